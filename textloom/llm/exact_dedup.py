@@ -5,99 +5,18 @@ The filters of two partitions merge as ``A = A1 | A2`` and ``B = B1 | B2 | (A1 &
 the merged B: no repeat is missed. Pass two tests each row against B. Rows outside B are certainly unique and pass straight
 through; only the rest shuffle, by SHA-256, and are grouped exactly.
 
-B is the only thing that is broadcast. It has ``BITS_PER_ROW`` bits a row and never more than ``MAX_BITS`` (32 MB). Beyond
-``MAX_BITS / BITS_PER_ROW`` rows more unique rows are tested in vain, so more (narrow) rows shuffle; results stay exact.
+B is the only thing that is broadcast. It has ``bloom.BITS_PER_ROW`` bits a row and never more than ``bloom.MAX_BITS`` (32 MB). Beyond
+``MAX_BITS / BITS_PER_ROW`` rows (16 million) more unique rows are tested in vain, so more (narrow) rows shuffle; results stay exact.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.bloom import repeated_filter
 from textloom.llm.common import materialize, text_of
 
-BITS_PER_ROW = 16
-MAX_BITS = 1 << 28
-#: A filter is dealt with in blocks of so many bits; both bits of a hash lie in one block.
-BLOCK_LOG2 = 19
-
-
-def _positions(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    u = h.view(np.uint64)
-    mask = np.uint64((1 << BLOCK_LOG2) - 1)
-    block = (u >> np.uint64(40)) & np.uint64(blocks - 1)
-    return block.astype(np.int64), (u & mask).astype(np.int64), ((u >> np.uint64(20)) & mask).astype(np.int64)
-
-
-def _build(blocks: int):
-    """mapInArrow: a partition's hashes into the non-empty blocks of its own A and B."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[int, np.ndarray] = {}
-        again: dict[int, np.ndarray] = {}
-        for batch in batches:
-            h, n = np.unique(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
-            block, p, q = _positions(h, blocks)
-            for b in np.unique(block):
-                at = block == b
-                a = first.setdefault(int(b), np.zeros(1 << BLOCK_LOG2, bool))
-                p1, q1 = p[at], q[at]
-                dup = (n[at] > 1) | (a[p1] & a[q1])
-                if dup.any():
-                    t = again.setdefault(int(b), np.zeros(1 << BLOCK_LOG2, bool))
-                    t[p1[dup]] = t[q1[dup]] = True
-                a[p1] = a[q1] = True
-        for b, a in first.items():
-            t = again.get(b, np.zeros(1 << BLOCK_LOG2, bool))
-            parts = [zlib.compress(np.packbits(x).tobytes(), 1) for x in (a, t)]
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in parts)], ["block", "first", "again"])
-
-    return run
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow after a shuffle by block: one B for each block, in memory bounded by the filter's size."""
-    first: dict[int, np.ndarray] = {}
-    again: dict[int, np.ndarray] = {}
-    size = (1 << BLOCK_LOG2) // 8
-    for batch in batches:
-        for b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            a, t = (np.frombuffer(zlib.decompress(z), np.uint8) for z in (x, y))
-            a0 = first.setdefault(b, np.zeros(size, np.uint8))
-            again[b] = again.get(b, np.zeros(size, np.uint8)) | t | (a0 & a)
-            first[b] = a0 | a
-    for b, t in again.items():
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([t.tobytes()], pa.binary())], ["block", "again"])
-
-
-def repeated_filter(hashes: DataFrame, rows: int):
-    """A Column function ``f(hash)``: false only if the hash occurs once in the one-column table ``hashes`` of 64-bit hashes."""
-    spark = hashes.sparkSession
-    blocks = 1
-    while blocks << BLOCK_LOG2 < min(MAX_BITS, rows * BITS_PER_ROW):
-        blocks *= 2
-    parts = hashes.mapInArrow(_build(blocks), "block int, first binary, again binary")
-    merged = parts.repartition("block").mapInArrow(_merge, "block int, again binary").collect()  # at most MAX_BITS / 8 bytes
-    bits = np.zeros((blocks, (1 << BLOCK_LOG2) // 8), np.uint8)
-    for r in merged:
-        bits[r["block"]] |= np.frombuffer(bytes(r["again"]), np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        v = shared.value
-        block, p, q = _positions(h.to_numpy(np.int64), v.shape[0])
-        hit = lambda x: (v[block, x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1
-        return pd.Series((hit(p) & hit(q)).astype(bool))
-
-    return maybe
-
 
 def _fingerprinted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, sha, h): narrow, the only scan of the texts."""
@@ -124,8 +43,6 @@ def _plan(docs: DataFrame, id_col: str, text_col: str):
 
 def _first_of(rows: DataFrame) -> DataFrame:
     """Rows (.., doc, sha, keep, top, ..) with ``kept``: the row of the kept id; of several with that very id and text, one."""
-    from pyspark.sql import Window
-
     same = F.col("doc").eqNullSafe(F.col("keep"))
     plain = rows.filter(~(same & (F.col("top") > 1))).withColumn("kept", same)
     tied = rows.filter(same & (F.col("top") > 1))
