@@ -64,31 +64,26 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
     return won
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_of("text"), F.lit(WORD)).cast("long").alias("size"))
+def _sized_columns() -> list:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_of("text"), F.lit(WORD)).cast("long").alias("size")]
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, shard, quota_words, start, taken.
+    """One row per document: doc_id, source, size, source_size, target, shards, shard, place, quota_words, start, passes, taken.
 
     ``weights`` repeat over the sources by code point, null last. ``start`` is where the document begins on its shard's line. A null text
     has size 0; a null source is a source of its own; rows alike in id are told apart by size only, in a fixed order. No document takes
     more than ``MAX_REPEAT`` times its size, and reruns agree, whatever the partitioning.
     """
     spark = docs.sparkSession
-    rows = materialize(_sized(docs), "sizes")
+    rows = materialize(docs.select(*_sized_columns()), "sizes")
     sources = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).collect()  # a row a source
     sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     count = sum(r["n"] for r in sources)
     per_shard = max(SHARD_DOCS, -(-count // MAX_SHARDS))
     want = targets([r["words"] for r in sources], [weights[i % len(weights)] for i in range(len(sources))], share * sum(r["words"] for r in sources))
     plan = spark.createDataFrame([(r["source"], -(-r["n"] // per_shard), r["words"], t) for r, t in zip(sources, want, strict=True)], "src string, shards long, source_size long, target double")
-    dealt = (
-        rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["src"]))
-        .drop("src")
-        .withColumn("at", F.xxhash64(F.lit(seed), "doc_id", "size"))
-        .withColumn("shard", F.pmod("at", "shards"))
-    )
+    dealt = _dealt(rows, plan, seed)
     lines = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words")).collect()  # at most MAX_SHARDS and one a source
     lines.sort(key=lambda r: (r["source"] is None, r["source"] or "", r["shard"]))
     by: dict = {}
@@ -101,23 +96,38 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
         for x, won in zip(own, sainte_lague([x["words"] for x in own], n), strict=True):
             quotas.append((x["source"], x["shard"], x["words"], min(won * block_words, MAX_REPEAT * x["words"])))
     quota = spark.createDataFrame(quotas, "src string, part long, line long, quota_words long")
-    w = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = dealt.withColumn("start", F.sum("size").over(w) - F.col("size"))
-    full = F.col("quota_words").cast("long") - F.col("quota_words") % F.greatest("line", F.lit(1))
-    rest = F.col("quota_words") % F.greatest("line", F.lit(1))
+    line = F.greatest("line", F.lit(1))
+    rest = F.col("quota_words") % line
     once_more = F.greatest(F.lit(0), F.least("size", rest - F.col("start")))
-    passes = (full / F.greatest("line", F.lit(1))).cast("long")
+    passes = ((F.col("quota_words") - rest) / line).cast("long")
     return placed.join(F.broadcast(quota), placed["source"].eqNullSafe(quota["src"]) & (placed["shard"] == quota["part"])).select(
-        "doc_id", "source", "size", "source_size", "target", "shard", "quota_words", "start", (passes * F.col("size") + once_more).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "shards", "shard", "place", "quota_words", "start", passes.alias("passes"), (passes * F.col("size") + once_more).cast("long").alias("taken")
     )
 
 
+def _dealt(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """Rows with their source's plan, their shard, and their place on its line, by hashes of seed, id and size alone."""
+    joined = rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["src"])).drop("src")  # a row a source
+    return joined.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), "shards")).withColumn("place", F.xxhash64(F.lit(seed + 1), "doc_id", "size"))
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """Whole documents in the mix's proportions: each row as often as ``taken / size`` rounds to (a document of no words: never).
+    """Whole documents in the mix's proportions: each row as often as ``taken / size`` rounds to, at least half a pass counting as one.
 
-    Rows without an id, or alike in id, are carried by their own size: the join is on id and size.
+    What is taken once more on a shard's line is what lies before a cut, so a shard's passes and cut say everything: documents meet one row
+    a shard in a broadcast of bounded size and are never shuffled. Documents of no words go with the passes of their shard.
     """
-    copies = mix(docs, **options).filter("size > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.floor(F.col("taken") / F.col("size") + 0.5).alias("__n")).filter("__n > 0").groupBy("__id", "__size").agg(F.max("__n").alias("__n"))
-    copies = materialize(copies, "copies")
-    whole = docs.withColumn("__words", F.regexp_count(text_of("text"), F.lit(WORD)).cast("long"))
-    return whole.join(copies, whole["doc_id"].eqNullSafe(copies["__id"]) & (whole["__words"] == copies["__size"])).withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = mix(docs, **options)
+    short = F.col("taken") - F.col("passes") * F.col("size")
+    cuts = rows.groupBy("source", "shard").agg(F.max("shards").alias("shards"), F.max("passes").alias("passes"), F.min(F.when((short * 2 < F.col("size")), F.struct("place", "doc_id", "size"))).alias("cut"))
+    cuts = materialize(cuts, "cuts")
+    plan = materialize(cuts.select(F.col("source").alias("src"), "shards").distinct(), "plan")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_sized_columns())
+    own = _dealt(whole, plan, options.get("seed", SEED))
+    cuts = cuts.select(F.col("source").alias("src"), F.col("shard").alias("part"), "passes", "cut")
+    met = own.join(F.broadcast(cuts), own["source"].eqNullSafe(cuts["src"]) & (own["shard"] == cuts["part"]))
+    before = F.col("cut").isNull() | (F.struct("place", "doc_id", "size") < F.col("cut"))
+    copies = F.col("passes") + before.cast("long")
+    return met.withColumn("copies", copies).filter("copies > 0").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
