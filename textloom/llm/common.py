@@ -21,6 +21,23 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound the bytes of an Arrow batch to a Python worker, whatever the length of its rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def tidied(run):
+    """A mapInArrow function that gives Arrow's unused memory back to the system when a task ends: workers are kept and add up."""
+
+    def wrapped(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of Hadoop for a string path."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
