@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.common import bounded_batches
+
 MAX_N = 4
 BUCKETS = 1 << 16
 MAX_SAMPLE = 2048
@@ -71,19 +73,17 @@ class Model:
 
     @classmethod
     def fit(cls, labels: list[str], rows: np.ndarray) -> Model:
+        """From labels and packed presence rows; works in small batches, as a row unpacked to floats takes 256 KB."""
         langs = sorted(set(labels))
         if not langs:
             return cls([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
         y = np.where(np.array(labels)[:, None] == np.array(langs)[None, :], 1.0, -1.0)
-        x = rows.astype(np.float32)
-        x /= np.sqrt(np.maximum(1.0, x.sum(axis=1, keepdims=True)))
-        # landmarks in turn from each language
-        turn = _turns(labels)[:LANDMARKS]
-        marks = x[turn]
+        marks = _unit(rows[_turns(labels)[:LANDMARKS]])  # landmarks in turn from each language
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         ok = values > 1e-6 * values.max()
         root = vectors[:, ok] / np.sqrt(values[ok])
-        z = np.c_[(x @ marks.T).astype(np.float64) @ root, np.ones(len(x))]
+        near = np.concatenate([_unit(rows[lo : lo + 64]) @ marks.T for lo in range(0, len(rows), 64)])
+        z = np.c_[near.astype(np.float64) @ root, np.ones(len(rows))]
         w = 1.0 / (y > 0).sum(axis=0)  # each language weighs alike
         out = np.zeros((z.shape[1], len(langs)))
         for c in range(len(langs)):
@@ -111,6 +111,12 @@ class Model:
         return names, score
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Packed presence rows as floats of unit length."""
+    x = np.unpackbits(rows, axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(1.0, x.sum(axis=1, keepdims=True)))
+
+
 def _turns(labels: list[str]) -> list[int]:
     seen: dict[str, int] = {}
     key = []
@@ -122,8 +128,9 @@ def _turns(labels: list[str]) -> list[int]:
 
 def train(docs: DataFrame, may_learn: Column) -> Model:
     """A model from the labelled rows for which ``may_learn`` holds; what reaches the driver is bounded by ``MAX_SAMPLE`` rows of 8 KB."""
+    bounded_batches(docs.sparkSession)
     got = sorted(((r["lang"], bytes(r["bits"])) for r in training_sample(docs, may_learn).mapInArrow(_bits, "lang string, bits binary").collect()))
-    rows = np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for _, b in got], np.uint8).reshape(len(got), BUCKETS)
+    rows = np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(len(got), BUCKETS // 8)
     return Model.fit([k for k, _ in got], rows)
 
 
@@ -133,6 +140,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned. Predictions are those of the whole text.
     Columns that are called lang_pred or score are replaced.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.bias))
 
     @F.pandas_udf("lang_pred string, score double")
