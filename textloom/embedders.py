@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from textloom import config
 from textloom.functions import text as T
-from textloom.functions import vectors as V
 
 
 class Embedder(Protocol):
@@ -22,7 +21,7 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Signed feature hashing of the terms of a text into ``dim`` places, unit length. A fold over the terms: no shuffle, no Python."""
+    """Signed feature hashing of the terms of a text into ``dim`` places, unit length. Each term's place and sign come from its MD5."""
 
     prefix = ""
 
@@ -30,12 +29,35 @@ class HashingEmbedder:
         self.dim = dim
 
     def column(self, text: Column) -> Column:
-        terms = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{3,}"), F.lit(0))
-        placed = F.transform(terms, lambda t: F.struct(V.hashed_place(t, self.dim)[0].alias("p"), V.hashed_place(t, self.dim)[1].alias("s")))
-        dims = F.sequence(F.lit(0), F.lit(self.dim - 1))
-        raw = F.transform(dims, lambda d: F.aggregate(F.filter(placed, lambda x: x["p"] == d), F.lit(0.0), lambda a, x: a + x["s"]))
-        length = V.norm(raw)
-        return F.when(length > 0, F.transform(raw, lambda x: x / length)).otherwise(raw)
+        dim = self.dim
+
+        def run(parts):
+            import hashlib
+            import re
+
+            import numpy as np
+            import pandas as pd
+
+            class Places(dict):
+                """Places of terms; forgets all when it has many."""
+
+                def __missing__(self, term):
+                    if len(self) > 100_000:
+                        self.clear()
+                    n = int(hashlib.md5(term.encode()).hexdigest()[:8], 16)
+                    self[term] = got = (n % dim, 1.0 if n // dim % 2 == 0 else -1.0)
+                    return got
+
+            places, terms = Places(), re.compile("[a-z0-9]{3,}")
+            for p in parts:
+                out = []
+                for t in p:
+                    at = [places[x] for x in terms.findall((t or "").lower())]
+                    v = np.bincount([a for a, _ in at], [s for _, s in at], dim) if at else np.zeros(dim)
+                    out.append(v / (np.sqrt((v * v).sum()) or 1.0))
+                yield pd.Series(out)
+
+        return F.pandas_udf(_iterates(run), "array<double>")(text)
 
     def embed(self, rows: DataFrame, text_col: str, out: str, query: bool = False) -> DataFrame:
         text = F.concat(F.lit(self.prefix), F.col(text_col)) if query and self.prefix else F.col(text_col)

@@ -116,16 +116,17 @@ def squeeze_blanks(c: ColumnLike) -> Column:
 def indel_ratio(a: ColumnLike, b: ColumnLike) -> Column:
     """100 * 2 * LCS / (|a| + |b|): the insert-delete similarity, by a fold of one row of the LCS table over the letters of ``a``."""
     x, y = col(a), col(b)
-    letters = F.split(y, "")
-    row0 = F.array_repeat(F.lit(0), F.length(y) + 1)
 
-    def step(row: Column, ch: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            left, up, diag = F.element_at(acc, -1), F.element_at(row, j + 1), F.element_at(row, j)
-            return F.array_append(acc, F.when(F.element_at(letters, j) == ch, diag + 1).otherwise(F.greatest(left, up)))
+    def of(letters: Column) -> Column:
+        def step(row: Column, ch: Column) -> Column:
+            def cell(acc: Column, j: Column) -> Column:
+                left, up, diag = F.element_at(acc, -1), F.element_at(row, j + 1), F.element_at(row, j)
+                return F.array_append(acc, F.when(F.element_at(letters, j) == ch, diag + 1).otherwise(F.greatest(left, up)))
 
-        return F.aggregate(F.sequence(F.lit(1), F.length(y)), F.array(F.lit(0)), cell)
+            return F.aggregate(F.sequence(F.lit(1), F.size(letters)), F.array(F.lit(0)), cell)
 
-    lcs = F.element_at(F.aggregate(F.split(x, ""), row0, step), -1)
+        return F.element_at(F.aggregate(F.split(x, ""), F.array_repeat(F.lit(0), F.size(letters) + 1), step), -1)
+
+    lcs = let(F.split(y, ""), of)
     total = F.length(x) + F.length(y)
     return F.when(total == 0, 100.0).when((F.length(x) == 0) | (F.length(y) == 0), 0.0).otherwise(200.0 * lcs / total)

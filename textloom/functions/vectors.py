@@ -1,4 +1,4 @@
-"""Vectors as arrays: dot products, cosines and a deterministic hashing embedding, all in the JVM."""
+"""Vectors as arrays: dot products and cosines, all in the JVM."""
 
 from __future__ import annotations
 
@@ -19,9 +19,3 @@ def norm(a: ColumnLike) -> Column:
 def cosine(a: ColumnLike, b: ColumnLike) -> Column:
     d = norm(a) * norm(b)
     return F.when(d > 0, dot(a, b) / d).otherwise(0.0)
-
-
-def hashed_place(term: Column, dim: int) -> tuple[Column, Column]:
-    """(place, sign) of a term by its MD5, the same in any engine."""
-    n = F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long")
-    return F.pmod(n, F.lit(dim)), F.when(F.pmod((n / dim).cast("long"), F.lit(2)) == 0, 1.0).otherwise(-1.0)

@@ -49,6 +49,28 @@ def vocabulary(chunks: DataFrame, min_count: int = S.vocab_min_count) -> DataFra
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_chunks")).filter(F.col("n_chunks") >= min_count)
 
 
+def ratio_udf():
+    """``text.indel_ratio`` as an Arrow UDF: the LCS by bit-parallel additions, a step a letter. (The expression form folds cell by cell.)"""
+
+    def run(a, b):
+        import pandas as pd
+
+        def ratio(x: str, y: str) -> float:
+            masks: dict[str, int] = {}
+            for i, c in enumerate(x):
+                masks[c] = masks.get(c, 0) | 1 << i
+            every = (1 << len(x)) - 1
+            v = every
+            for c in y:
+                u = v & masks.get(c, 0)
+                v = ((v + u) | (v - u)) & every
+            return 200.0 * (len(x) - v.bit_count()) / ((len(x) + len(y)) or 1)
+
+        return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return F.pandas_udf(run, "double")
+
+
 def fuzzy_matches(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """(term, match, score, rank): for terms of enough letters that are no vocabulary term, the likeliest vocabulary terms.
 
@@ -59,7 +81,7 @@ def fuzzy_matches(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     room = F.floor((1 - S.fuzzy_min_score / 100) * total + 1e-9)
     close = (2 * F.least(F.length("term"), F.length("match")) >= S.fuzzy_min_score / 100 * total) & (F.levenshtein("term", "match") <= room)
     met = meet(typos, vocab.select(F.col("term").alias("match")), close)
-    scored = met.withColumn("score", T.indel_ratio("term", "match")).filter(F.col("score") >= S.fuzzy_min_score)
+    scored = met.withColumn("score", ratio_udf()(F.col("term"), F.col("match"))).filter(F.col("score") >= S.fuzzy_min_score)
     return top(scored, ["term"], [F.desc("score"), "match"], S.fuzzy_max_matches_per_term)
 
 

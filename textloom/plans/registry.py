@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from textloom.plans import page_queries, relational_queries, text_queries
+
+QUERIES: dict = {**page_queries.QUERIES, **text_queries.QUERIES, **relational_queries.QUERIES}
+ORACLE_SQL: dict = {**page_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **relational_queries.ORACLE_SQL}
