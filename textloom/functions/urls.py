@@ -30,11 +30,12 @@ def query(u: ColumnLike) -> Column:
     return F.regexp_extract(col(u), r"^[^?#]*\?([^#]*)", 1)
 
 
-def _dots_removed(p: Column) -> Column:
-    """An absolute path with ``.`` and ``..`` resolved; empty segments but the last go."""
-    parts = F.split(F.regexp_replace(p, "^/+", ""), "/")
+def _dots_removed(p: Column, merged: bool) -> Column:
+    """An absolute path with ``.`` and ``..`` resolved; in a path merged with a base's, empty segments but the last go."""
+    parts = F.split(F.regexp_replace(p, "^/+" if merged else "^/", ""), "/")
     last = F.element_at(parts, -1)
-    inner = F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda x: x != "")
+    inner = F.slice(parts, 1, F.size(parts) - 1)
+    inner = F.filter(inner, lambda x: x != "") if merged else inner
     every = F.concat(inner, F.array(last))
     kept = F.aggregate(
         every,
@@ -57,8 +58,8 @@ def resolve(u: ColumnLike, base: ColumnLike) -> Column:
         F.when(b.isNull() | r.rlike(_SCHEME), r)
         .when(r.startswith("//"), F.concat(scheme(b), F.lit(":"), r))
         .when(p == "", F.concat(root, own, F.when(tail == "", base_query).otherwise(tail)))
-        .when(p.startswith("/"), F.concat(root, _dots_removed(p), tail))
-        .otherwise(F.concat(root, _dots_removed(F.concat(folder, p)), tail))
+        .when(p.startswith("/"), F.concat(root, _dots_removed(p, False), tail))
+        .otherwise(F.concat(root, _dots_removed(F.concat(folder, p), True), tail))
     )
 
 
