@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.bloom import repeated_filter
-from textloom.llm.common import materialize, text_of
+from textloom.llm.common import bounded_batches, materialize, text_of
 
 
 def _fingerprinted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -35,6 +35,7 @@ def _groups(suspects: DataFrame) -> DataFrame:
 
 
 def _plan(docs: DataFrame, id_col: str, text_col: str):
+    bounded_batches(docs.sparkSession)
     rows = materialize(_fingerprinted(docs, id_col, text_col), "fingerprints")
     maybe = repeated_filter(rows.select("h"), rows.count())
     suspects = materialize(rows.filter(maybe("h")).select("doc", "sha"), "suspects")

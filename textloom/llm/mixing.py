@@ -54,7 +54,7 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
     for _ in range(200):
         rate = (low + high) / 2
         low, high = (rate, high) if np.floor(v * rate + 0.5).sum() <= seats else (low, rate)
-    won = [int(x) for x in np.floor(v * low + 0.5)]
+    won = [int(x) for x in np.floor(v * low * (1 - 1e-12) + 0.5)]  # a little less, so that ties are left to the heap
     heap = [(-x / (2 * w + 1), i) for i, (x, w) in enumerate(zip(votes, won, strict=True)) if x > 0]
     heapq.heapify(heap)
     for _ in range(seats - sum(won)):

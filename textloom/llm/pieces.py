@@ -231,6 +231,13 @@ def _codec(model: str, pieces) -> Codec:
     return _CODECS[model]
 
 
+def _forget() -> None:
+    """At the end of a task: the remembered units go if they are many."""
+    for c in _CODECS.values():
+        if len(c.known) > REMEMBERED // 4:
+            c.known = {}
+
+
 def _fields(df: DataFrame, *more: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + list(more))
 
@@ -252,7 +259,7 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col:
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, ids_col])
 
-    return docs.mapInArrow(tidied(run), _fields(docs, f"`{ids_col}` array<int>"))
+    return docs.mapInArrow(tidied(run, _forget), _fields(docs, f"`{ids_col}` array<int>"))
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

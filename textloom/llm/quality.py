@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize
+from textloom.llm.common import bounded_batches, materialize
 
 MAX_SAMPLE = 8192
 RIDGE = 1.0
@@ -120,6 +120,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     (doc_id, quality 0/1); several labels of an id are averaged, null ones do not count, and a label never judges its own document. A null
     text is empty. Without labels the classifier is a constant and every score one half. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     marks = materialize(labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.avg(F.col("quality").cast("double")).alias("y")), "labels")

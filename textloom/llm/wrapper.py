@@ -9,7 +9,7 @@ few skeletons of a host, however many pages it has, and every page counts:
    pages that have it (``MIN_PAGES`` at least, and half of the host's pages) is template, varying slots may be content (inside an article,
    headings and flow stay in any case: copies of a page must not empty it);
 3. of the varying slots those of the page's article or main element are content or, where there is none, those of the smallest element that
-   holds ``MASS`` of the varying text. Navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are
+   holds ``MASS`` of the varying text, looked for below elements without text of their own. Navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are
    never content, whether known by element or by class, id or role.
 """
 
@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize, text_of
+from textloom.llm.common import bounded_batches, materialize, text_of
 
 MIN_PAGES = 3
 MASS = 0.6
+#: Blocks nested deeper than this belong to the skeleton node above them.
+DEEPEST = 64
 
 # Element names of HTML and the words by which pages name what is not content.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -136,6 +138,7 @@ class Page:
     def __init__(self, page: str):
         self.labels: list[str] = []
         self.children: list[list[int]] = []
+        self.depth: list[int] = []
         self.mains: set[int] = set()
         self.blocks: list[tuple[int, str]] = []
         self._text: list[str] = []
@@ -146,6 +149,7 @@ class Page:
     def _new(self, label: str) -> int:
         self.labels.append(label)
         self.children.append([])
+        self.depth.append(0)
         return len(self.labels) - 1
 
     def _flush(self) -> None:
@@ -192,7 +196,10 @@ class Page:
         last = self.children[slot][-1] if self.children[slot] else -1
         if last >= 0 and self.labels[last] == name:
             return last
+        if self.depth[slot] >= DEEPEST:
+            return slot
         self.children[slot].append(to := self._new(name))
+        self.depth[to] = self.depth[slot] + 1
         return to
 
     def skeleton(self) -> str:
@@ -317,7 +324,8 @@ def _decide(pdf):
             at = 0
             while True:
                 top = max(kids[at], key=lambda c: heavy[c], default=None)
-                if top is None or heavy[top] < MASS * max(1, heavy[0]) or lines[top][0] == "flow":
+                own_text = mass.get((k, at), 0) * (at in vary)
+                if top is None or own_text or heavy[top] < MASS * max(1, heavy[0]) or lines[top][0] == "flow":
                     break
                 at = top
             under, todo = set(), [at]
@@ -353,6 +361,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Character references are decoded, white space inside a block is one space, blocks are joined by one space in page order. A null html is
     empty and gives an empty text; pages without a host (null or odd urls) are aligned with one another. Extra columns are not read.
     """
+    bounded_batches(pages.sparkSession)
     seen = materialize(pages.select("url", text_of("html").alias("html")).mapInArrow(_observed, "host string, skel long, slot int, h long, n long, tree string"), "slots")
     stats = seen.filter("slot >= 0").groupBy("host", "skel", "slot").agg(F.count(F.lit(1)).alias("pages"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.sum("n").alias("n"))
     trees = seen.filter("slot = -1").select("host", "skel", "slot", F.lit(0).cast("long").alias("pages"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("n"), "tree").distinct()
