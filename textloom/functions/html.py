@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom import config
 from textloom.functions import urls
-from textloom.functions.text import ColumnLike, col, trim_all
+from textloom.functions.text import ColumnLike, col, let, trim_all
 
 
 def decode_entities(c: ColumnLike) -> Column:
@@ -55,11 +55,12 @@ def looks_like_html(c: ColumnLike) -> Column:
 
 def to_markdown(c: ColumnLike) -> Column:
     """Main content as Markdown: the article or main element (else the body) without chrome, headings as ``#``, list items as ``- ``."""
-    t = F.regexp_replace(strip_chrome(c), r"(?s)<!--.*?-->", "")
-    article = F.regexp_extract(t, r"(?is)<article\b[^>]*>(.*)</article\s*>", 1)
-    main = F.regexp_extract(t, r"(?is)<main\b[^>]*>(.*)</main\s*>", 1)
-    body = F.regexp_extract(t, r"(?is)<body\b[^>]*>(.*)", 1)
-    t = F.coalesce(F.nullif(article, F.lit("")), F.nullif(main, F.lit("")), F.nullif(body, F.lit("")), t)
+    def content(t: Column) -> Column:
+        parts = [F.regexp_extract(t, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1) for tag in ("article", "main")]
+        body = F.regexp_extract(t, r"(?is)<body\b[^>]*>(.*)", 1)
+        return F.coalesce(*[F.nullif(x, F.lit("")) for x in (*parts, body)], t)
+
+    t = let(F.regexp_replace(strip_chrome(c), r"(?s)<!--.*?-->", ""), content)
     t = F.regexp_replace(t, r"\s+", " ")
     for n in range(1, 7):
         t = F.regexp_replace(t, rf"(?i)<h{n}\b[^>]*>\s*", "\n" + "#" * n + " ")

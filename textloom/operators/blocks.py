@@ -49,9 +49,8 @@ def markdown_blocks(md: Column, fallback: Column) -> Column:
 
 def page_blocks(pages: DataFrame) -> DataFrame:
     """(page_id, block_ord, heading_path, text) of HTML pages; the title, or the url without one, is the fallback."""
-    t = H.title("html")
-    name = F.when(t == "", F.col("url")).otherwise(t)
-    blocks = pages.select("page_id", markdown_blocks(H.to_markdown("html"), name).alias("blocks"))
+    name = T.let(H.title("html"), lambda t: F.when(t == "", F.col("url")).otherwise(t))
+    blocks = pages.select("page_id", T.let(name, lambda n: markdown_blocks(H.to_markdown("html"), n)).alias("blocks"))
     return blocks.select("page_id", F.posexplode("blocks").alias("block_ord", "b")).select("page_id", F.col("block_ord").cast("long"), "b.heading_path", "b.text")
 
 
