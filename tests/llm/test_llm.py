@@ -221,6 +221,8 @@ def test_pieces_round_trip_and_scores(spark):
     got = pieces.with_digests(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and all(r["exact"] for r in got)
     assert pieces.with_digests(docs(spark, [])).count() == 0
+    d = docs(spark, ODD)
+    assert {r["doc_id"]: r["decoded"] for r in pieces.decode(pieces.encode(d)).collect()} == {i: t or "" for i, t in enumerate(ODD)}
 
 
 # op7 ------------------------------------------------------------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ decoding gives back every text exactly.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect
 from collections.abc import Iterator
@@ -280,8 +281,25 @@ def decode(rows: DataFrame, model: str = MODEL, ids_col: str = "ids", out_col: s
 
 
 def with_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids, text_sha256, decoded_sha256, exact: encoding, and whether decoding gives the text back."""
-    sha = lambda c: F.sha2(F.coalesce(F.col(c), F.lit("")).cast("binary"), 256)
-    coded = encode(docs.select("doc_id", "text", sha("text").alias("text_sha256")), model).drop("text")
-    back = decode(coded, model).withColumn("decoded_sha256", sha("decoded"))
+    """doc_id, n_tokens, ids, text_sha256, decoded_sha256, exact: encoding, and whether decoding gives the text back.
+
+    Both ways run in one Python stage, so that a task has one worker and one automaton.
+    """
+    bounded_batches(docs.sparkSession)
+    pieces = docs.sparkSession.sparkContext.broadcast(read_model(model))
+    rows = docs.select("doc_id", "text", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(model, pieces)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                got = codec.encode_all(part.column(1).to_pylist())
+                back = [hashlib.sha256(codec.decode(x.tolist()).encode("utf-8", "surrogatepass")).hexdigest() for x in got]
+                offsets = np.cumsum([0, *map(len, got)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), ids, pa.array(back, pa.string())], ["doc_id", "text_sha256", "ids", "decoded_sha256"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    back = rows.mapInArrow(tidied(run, _forget), f"doc_id {kind}, text_sha256 string, ids array<int>, decoded_sha256 string")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text_sha256", "decoded_sha256", (F.col("text_sha256") == F.col("decoded_sha256")).alias("exact"))
