@@ -9,8 +9,10 @@ Work is by class of equal sets (one representative each), and links are found in
 
 A. every representative is verified against the smallest representative of its buckets (a pair a document), and the links are followed
    to their ends by pointer jumping;
-B. only buckets that still hold more than one component are looked at: pairs of different components whose sizes allow the threshold and
-   whose signatures agree within six standard deviations of it are verified. Large buckets are cut into blocks that meet in twos.
+B. only buckets that still hold more than one component are looked at, for pairs of different components whose sizes allow the threshold and
+   whose signatures agree within six standard deviations of it. ``MERGING_ROUNDS`` rounds verify each component's likeliest pair and merge
+   what it links, so a large group of near copies falls into one component in few verifications; a last round verifies every pair that is
+   left and that wide signatures allow. Large buckets are cut into blocks that meet in twos.
 
 Every link is confirmed on the full sets of 64-bit shingle hashes. Components are the connected components of the links.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import bloom
-from textloom.llm.common import materialize, text_of
+from textloom.llm.common import bounded_batches, materialize, text_of, tidied
 
 CIRCLE_LOG2 = 20
 CIRCLE = 1 << CIRCLE_LOG2
@@ -37,6 +39,8 @@ MOST_BANDS = 52
 #: Coordinates kept (a byte each) for the estimate of round B, and its margin in standard deviations.
 KEPT, MARGIN = 128, 6
 BLOCK = 512
+#: Coordinates of the wide signatures of documents that share a bucket, and the rounds of merging before all that is left is verified.
+WIDE, MERGING_ROUNDS = 1024, 3
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -60,7 +64,7 @@ class _Words(dict):
     """64-bit hashes of words; forgets all when it has many, so that memory is bounded."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[w] = h = xxhash.xxh3_64_intdigest(w)
         return h
@@ -140,7 +144,9 @@ def _sets(width: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, width).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["doc", "items"])
+                sets = [shingles(t, width) for t in part.column(1).to_pylist()]
+                wide = signatures(sets, WIDE).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (sets, wide))], ["doc", "items", "wide"])
 
     return run
 
@@ -163,27 +169,70 @@ def _verify(num: int, den: int):
     return run
 
 
-def _close(num: int, den: int):
-    """applyInPandas over two blocks of a bucket: pairs (a, b), a < b, of different components that may be linked."""
-    t = num / den
-    least = math.floor(KEPT * t - MARGIN * math.sqrt(KEPT * t * (1 - t)))
+def _close(num: int, den: int, merging: bool):
+    """mapInArrow over rows sorted by (key, i, j): pairs (a, b), a < b, of different components in two blocks of a bucket that may be linked.
 
-    def run(pdf):
-        import pandas as pd
+    When ``merging``, only the likeliest pair of each component in a group, by the short signatures. Else every pair that both the short and
+    the wide signatures allow. Groups have at most two blocks; memory is bounded by a batch.
+    """
+    t = num / den
+    low = lambda k: math.floor(k * t - MARGIN * math.sqrt(k * t * (1 - t)))
+    least, least_wide = low(KEPT), low(WIDE)
 
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), KEPT)
-        doc, comp, n, part = (pdf[c].to_numpy(np.int64) for c in ("doc", "comp", "n", "part"))
-        out = []
-        two = part.min() != part.max()
-        for i in range(len(pdf)):
-            if two and part[i] != part.min():
-                continue
+    def pairs(bucket, doc, comp, n, part, sig, wide, keys) -> list[np.ndarray]:
+        out, two = [], bool((part != part[0]).any())
+        for i in range(len(doc)):
             ok = (comp != comp[i]) & (np.minimum(n, n[i]) * den >= num * np.maximum(n, n[i]))
-            ok &= (part != part[i]) if two else (doc > doc[i])
+            if two:
+                ok &= part != part[i]
+            if not merging or not two:
+                ok &= doc > doc[i]
             j = np.flatnonzero(ok)
-            j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
-            out += [(min(doc[i], d), max(doc[i], d)) for d in doc[j]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+            if not len(j):
+                continue
+            like = (sig[j] == sig[i]).sum(axis=1)
+            j, like = j[like >= least], like[like >= least]
+            if merging and len(j):
+                j = j[[int(like.argmax())]]
+                out.append(np.c_[np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), np.full(1, comp[i]), comp[j], [like.max()]])
+            elif len(j):
+                j = j[(wide[j] == wide[i]).sum(axis=1) >= least_wide]
+                # of the buckets that two documents share, the first one's group returns the pair
+                j = j[keys[i][(keys[j] == keys[i]).argmax(axis=1)] == bucket]
+                out.append(np.c_[np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])])
+        if merging and out:
+            found = np.concatenate(out)
+            best: dict[int, np.ndarray] = {}
+            for r in found[np.argsort(-found[:, 4], kind="stable")]:
+                for c in (int(r[2]), int(r[3])):
+                    best.setdefault(c, r)
+            out = [np.array([r[:2] for r in best.values()])]
+        return out
+
+    def of(rows: pa.Table) -> pa.RecordBatch:
+        key, i, j, doc, comp, n, part = (rows.column(c).to_numpy() for c in range(7))
+        sig = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint8).reshape(len(doc), KEPT)
+        wide = sig if merging else np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint8).reshape(len(doc), WIDE)
+        keys = sig if merging else rows.column(9).combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
+        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
+        found = [x for lo, hi in zip(cuts, cuts[1:], strict=False) if hi - lo > 1 for x in pairs(key[lo], *(c[lo:hi] for c in (doc, comp, n, part, sig, wide, keys)))]
+        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, c], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if not len(rows):
+                continue
+            last = [rows.column(c)[len(rows) - 1].as_py() for c in range(3)]
+            same = np.logical_and.reduce([rows.column(c).to_numpy() == x for c, x in enumerate(last)])
+            cut = len(rows) - int(same.sum())
+            if cut:
+                yield of(rows.slice(0, cut))
+            rest = rows.slice(cut)
+        if rest is not None and len(rest):
+            yield of(rest)
 
     return run
 
@@ -220,6 +269,27 @@ def _ends(parent: DataFrame) -> DataFrame:
             return at
 
 
+def _named(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of different components that pairs of documents join."""
+    named = lambda x: roots.select(F.col("doc").alias(x), F.col("root").alias(f"{x}_root"))
+    both = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    return both.filter("a <> b").distinct()
+
+
+def _candidates(open_: DataFrame, roots: DataFrame, nodes: DataFrame, wide: DataFrame | None, num: int, den: int) -> DataFrame:
+    """Distinct pairs to verify in buckets (key, doc, size): the likeliest ones, or with ``wide`` signatures all.
+
+    A bucket of many blocks is met block by block in separate groups.
+    """
+    rows = open_.join(roots, "doc", "left").withColumn("comp", F.coalesce("root", "doc")).join(nodes.select("doc", "n", "sig"), "doc")
+    rows = rows.join(wide.select("doc", "wide"), "doc").join(nodes.select("doc", "keys"), "doc") if wide is not None else rows
+    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("doc"), count).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), count - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
+    met = rows.withColumn("part", mine).withColumn("m", F.explode(meets)).select("key", "m.i", "m.j", "doc", "comp", "n", "part", "sig", *(["wide", "keys"] if wide is not None else []))
+    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidied(_close(num, den, wide is None)), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -227,9 +297,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     Documents without a word, or with a null text or id, are linked with nothing; a null id has a null component and is kept. Fewer words
     than ``width`` make one shingle. Rows alike in id are one node. An empty table gives no rows; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     bands, rows = banding(num / den)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
-    sketch = materialize(source.mapInArrow(_sketch(width, bands, rows), "doc long, n long, fa long, fb long, keys array<long>, sig binary"), "sketch")
+    sketch = materialize(source.mapInArrow(tidied(_sketch(width, bands, rows)), "doc long, n long, fa long, fb long, keys array<long>, sig binary"), "sketch")
     real = sketch.filter("n > 0 AND doc IS NOT NULL")
     classes = materialize(real.groupBy("fa", "fb", "n").agg(F.min("doc").alias("rep")), "classes")
     nodes = materialize(real.select("doc", "n", "keys", "sig").join(classes.select(F.col("rep").alias("doc"), "n"), ["doc", "n"], "left_semi"), "nodes")
@@ -239,30 +310,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     ids = materialize(members.select("doc").distinct(), "candidates")
     maybe = bloom.member_filter(ids.select(F.xxhash64("doc")), ids.count())
-    wanted = source.filter(F.col("doc").isNotNull() & maybe(F.xxhash64("doc")))
-    sets = materialize(wanted.mapInArrow(_sets(width), "doc long, items binary"), "sets")
+    # written in between, so that a task never has two Python workers
+    wanted = materialize(source.filter(F.col("doc").isNotNull() & maybe(F.xxhash64("doc"))), "wanted")
+    sets = materialize(wanted.mapInArrow(tidied(_sets(width)), "doc long, items binary, wide binary"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("doc").alias(x), F.col("items").alias(f"{x}_items")) for x in "ab")
         whole = pairs.join(b, "b").join(a, "a").select("a", "b", "a_items", "b_items")
-        return whole.mapInArrow(_verify(num, den), "a long, b long")
+        return whole.mapInArrow(tidied(_verify(num, den)), "a long, b long")
 
     tried = materialize(members.filter("doc <> center").groupBy("doc").agg(F.min("center").alias("a")).withColumnRenamed("doc", "b"), "stars")
     stars = materialize(linked(tried).groupBy("b").agg(F.min("a").alias("a")), "links")
     roots = _ends(stars.select(F.col("b").alias("doc"), F.col("a").alias("up")))
 
-    placed = materialize(members.select("key", "doc", "size").join(roots, "doc", "left").withColumn("comp", F.coalesce("root", "doc")).drop("root"), "placed")
-    split = materialize(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"), "split")
-    open_ = placed.join(split, "key", "left_semi").join(nodes.select("doc", "n", "sig").dropDuplicates(["doc"]), "doc")
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc"), count).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), count - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
-    met = open_.withColumn("part", mine).withColumn("m", F.explode(meets)).select("key", "m.i", "m.j", "doc", "n", "comp", "part", "sig")
-    pairs = materialize(met.groupBy("key", "i", "j").applyInPandas(_close(num, den), "a long, b long").distinct(), "pairs")
-    more = linked(pairs.join(tried, ["a", "b"], "left_anti"))
-    named = lambda x: roots.select(F.col("doc").alias(x), F.col("root").alias(f"{x}_root"))
-    across = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    joined = materialize(components(across), "joined")
+    open_, links = members.select("key", "doc", "size"), []
+    for merging in [True] * MERGING_ROUNDS + [False]:
+        placed = open_.join(roots, "doc", "left").select("key", "doc", "size", F.coalesce("root", "doc").alias("comp"))
+        split = materialize(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"), "split")
+        open_ = materialize(open_.join(split, "key", "left_semi"), "open")
+        pairs = materialize(_candidates(open_, roots, nodes, None if merging else sets, num, den), "pairs")
+        found = materialize(linked(pairs.join(tried, ["a", "b"], "left_anti")), "links")
+        links.append(found)
+        tried = tried.unionByName(pairs)
+        if merging:
+            edges = _named(found, roots)
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            hooks = _ends(both.filter("b < a").groupBy("a").agg(F.min("b").alias("up")).select(F.col("a").alias("doc"), "up"))
+            moved = hooks.select(F.col("doc").alias("was"), F.col("root").alias("now"))
+            old = roots.join(moved, roots["root"] == moved["was"], "left").select("doc", F.coalesce("now", "root").alias("root"))
+            roots = materialize(old.unionByName(hooks.join(roots, "doc", "left_anti").select("doc", "root")), "roots")
+    every = links[0]
+    for x in links[1:]:
+        every = every.unionByName(x)
+    joined = materialize(components(_named(every, roots)), "joined")
 
     ends = classes.join(roots.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     ends = materialize(ends.join(joined.select(F.col("node").alias("root"), F.col("root").alias("end")), "root", "left").select("fa", "fb", "n", F.coalesce("end", "root").alias("end")), "ends")
