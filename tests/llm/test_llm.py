@@ -246,6 +246,25 @@ def test_extraction(spark):
     assert wrapper.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def extracted(spark, bodies):
+    """Texts of pages of one host, by number."""
+    rows = [(i, f"https://n.org/{i}", page(i, b)) for i, b in enumerate(bodies)]
+    return [r["text"] for r in sorted(wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r["page_id"])]
+
+
+LONG = [f"The {w} of these passages is long enough to be a text of its own, and no other page of this host has the {w} one." for w in ("first", "second", "third", "fourth")]
+
+
+def test_class_words_do_not_drop_the_text(spark):
+    for form in (
+        "<div class='content has-sidebar'><article><p>{}</p></article></div>", "<div id='with-nav'><article><p>{}</p></article></div>", "<article><section class='post comments-open'><p>{}</p></section></article>",
+        "<article><p class='related'>{}</p></article>", "<div class='content sidebar'><article><p>{}</p></article></div>", "<div class='content widget'><p>{}</p></div>", "<div class='with-banner'><p>{}</p></div>",
+    ):
+        assert extracted(spark, [form.format(t) for t in LONG]) == LONG, form
+    noise = "<article><p>{}</p><div class='related-posts'><p>More {}</p></div><ul class='share'><li><a>{}</a></li></ul></article><div class='sidebar-left'><article>{}</article></div>"
+    assert extracted(spark, [noise.format(t, t[:20], t, t) for t in LONG]) == LONG
+
+
 def test_tree_matching_aligns_what_is_new():
     trees = [(1, "#root\t1,2\t0\na\t\t0\nb\t\t0"), (2, "#root\t1,2,3\t0\na\t\t0\nx\t\t0\nb\t\t0")]
     nodes = wrapper.induce(trees)

@@ -9,8 +9,9 @@ few skeletons of a host, however many pages it has, and every page counts:
    pages that have it (``MIN_PAGES`` at least, and half of the host's pages) is template, varying slots may be content (inside an article,
    headings and flow stay in any case: copies of a page must not empty it);
 3. of the varying slots those of the page's article or main element are content or, where there is none, those of the smallest element that
-   holds ``MASS`` of the varying text, looked for below elements without text of their own. Navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are
-   never content, whether known by element or by class, id or role.
+   holds ``MASS`` of the varying text, looked for below elements without text of their own. Navigation, headers, footers, sidebars, forms, scripts, styles and what is hidden or has such a role
+   are never content. An element that only a class or id names as a notice, advert, comments and the like is not content either, unless the page's only main elements are in it, it is a
+   varying paragraph of ``LARGE`` characters or more, or it holds ``NEARLY_ALL`` of the varying text.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from textloom.llm.common import bounded_batches, materialize, text_of
 
 MIN_PAGES = 3
 MASS = 0.6
+#: What an element named as noise must hold to be content all the same: characters a page, and the share of the varying text.
+LARGE = 80
+NEARLY_ALL = 0.9
 #: Blocks nested deeper than this belong to the skeleton node above them.
 DEEPEST = 64
 
@@ -44,6 +48,9 @@ NOISE = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice alert popup modal overlay "
     "newsletter subscribe subscription signup share sharing social related recommended recommendations trending comment comments reply replies respond disqus discussion widget toolbar pagination pager login search skip".split()
 )
+#: Words that may stand beside a word of NOISE in one class name (``sidebar-left``); any other word there changes its meaning (``has-sidebar``).
+NEUTRAL = set("area bar block box bottom container inner item items left link links list outer page post posts primary right secondary section site text top wrap wrapper".split())
+PROSE = set("p blockquote pre dd h2 h3 h4 h5 h6".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -56,11 +63,18 @@ class Node:
     attrs: dict
     up: Node | None = None
     items: list = field(default_factory=list)  # nodes and strings in page order
+    named: bool = False  # a class or id calls it noise
+    lost: bool = False  # inside noise of any kind
+    holds: bool = False  # a main element is below it
+
+
+class Root(Node):
+    free = False  # some main element is not inside noise
 
 
 def parse(page: str) -> Node:
     """A forgiving parser: void and raw-text elements, implied ends of p, li, dt, dd, option and table parts, stray ends ignored."""
-    root = at = Node("#root", {})
+    root = at = Root("#root", {})
     pos, size = 0, len(page)
     while pos < size:
         m = _TOKEN.search(page, pos)
@@ -95,6 +109,13 @@ def parse(page: str) -> Node:
             at = _ended(at, {"option"}, {"select"})
         node = Node(tag, {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(attrs)} if attrs.strip(" /") else {}, at)
         at.items.append(node)
+        node.named = bool(node.attrs) and tag not in ("html", "body", "main") and (_names_noise(node.attrs.get("class")) or _names_noise(node.attrs.get("id")))
+        node.lost = at.lost or at.named and at.tag != "article" or _is_dropped(at, False)
+        if _is_main(node):
+            root.free |= not node.lost and (tag == "article" or not node.named)
+            up = at
+            while up and not up.holds:
+                up.holds, up = True, up.up
         if tag in RAW:
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
             pos = stop.end() if stop else size
@@ -113,19 +134,35 @@ def _ended(at: Node, tags: set, within: set) -> Node:
     return at
 
 
-def _words(v: str | None) -> set:
-    return {x.lower() for x in _PARTS.findall(v or "")}
+def _names_noise(v: str | None) -> bool:
+    """Whether a class name, as a whole, is a word of NOISE, or such words with neutral ones or numbers."""
+    for token in (v or "").split():
+        words = {x.lower() for x in _PARTS.findall(token)}
+        if token.lower() in NOISE or words & NOISE and all(w in NOISE or w in NEUTRAL or w.isdigit() for w in words):
+            return True
+    return False
 
 
-def _is_noise(n: Node, inside: bool) -> bool:
+def _is_dropped(n: Node, inside: bool) -> bool:
+    """Never content, by its element, role or a hidden state."""
     if n.tag in DROPPED or n.tag == "header" and not inside:
         return True
     if not n.attrs or n.tag in ("html", "body", "main"):
         return False
-    if "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true" or (n.attrs.get("role") or "").lower() in NOISE_ROLES:
-        return True
-    words = _words(n.attrs.get("class")) | _words(n.attrs.get("id"))
-    return bool(words & NOISE) and not (n.tag == "article" and not inside)
+    return "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true" or (n.attrs.get("role") or "").lower() in NOISE_ROLES
+
+
+def _mostly_links(n: Node) -> bool:
+    chars, linked, todo = 0, 0, [(n, False)]
+    while todo:
+        at, link = todo.pop()
+        for x in at.items:
+            if isinstance(x, str):
+                k = len("".join(x.split()))
+                chars, linked = chars + k, linked + k * link
+            else:
+                todo.append((x, link or x.tag == "a"))
+    return 2 * linked > chars
 
 
 def _is_main(n: Node) -> bool:
@@ -133,7 +170,10 @@ def _is_main(n: Node) -> bool:
 
 
 class Page:
-    """``tree``: the skeleton as nested (label, children); ``blocks``: (slot, text) in page order; ``mains``: slots inside a main element."""
+    """``tree``: the skeleton as nested (label, children); ``blocks``: (slot, text) in page order; ``mains``: slots inside a main element.
+
+    An element that is named as noise is one skeleton node with all that is below it: ``!prose`` if it is a text paragraph, else ``!noise``.
+    """
 
     def __init__(self, page: str):
         self.labels: list[str] = []
@@ -143,7 +183,9 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         self._text: list[str] = []
         self._slot = self._new("#root")
-        self._walk(parse(page), self._slot, False)
+        root = parse(page)
+        self._spare = not root.free
+        self._walk(root, self._slot, False)
         self._flush()
 
     def _new(self, label: str) -> int:
@@ -159,28 +201,33 @@ class Page:
             self.blocks.append((self._slot, text))
 
     def _walk(self, n: Node, slot: int, inside: bool) -> None:
-        # iterative, as pages may be nested deeply; the last entry of a frame says whether its element is a block
-        stack = [(iter(n.items), slot, inside, True)]
+        # iterative, as pages may be nested deeply; the last entries of a frame say whether its element is a block and inside noise by name
+        stack = [(iter(n.items), slot, inside, True, False)]
         while stack:
-            items, slot, inside, block = stack[-1]
+            items, slot, inside, block, noisy = stack[-1]
             for x in items:
                 if isinstance(x, str):
                     self._text.append(x)
                 elif x.tag in ("br", "hr"):
                     self._text.append(" ")
-                elif _is_noise(x, inside):
+                elif _is_dropped(x, inside) or (named := self._is_noise(x, inside)) and (x.tag in INLINE or not noisy and self.depth[slot] >= DEEPEST):
                     if x.tag not in INLINE:
                         self._flush()
                 elif x.tag in INLINE:
-                    stack.append((iter(x.items), slot, inside, False))
+                    stack.append((iter(x.items), slot, inside, False, noisy))
                     break
                 else:
                     self._flush()
                     main = inside or _is_main(x)
-                    self._slot = self._place(x, slot)
+                    if noisy:
+                        self._slot = slot
+                    elif named:
+                        self._slot = self._child(slot, "!prose" if x.tag in PROSE and not _mostly_links(x) else "!noise")
+                    else:
+                        self._slot = self._place(x, slot)
                     if main:
                         self.mains.add(self._slot)
-                    stack.append((iter(x.items), self._slot, main, True))
+                    stack.append((iter(x.items), self._slot, main, True, noisy or named))
                     break
             else:
                 stack.pop()
@@ -188,11 +235,17 @@ class Page:
                     self._flush()
                     self._slot = stack[-1][1] if stack else 0
 
+    def _is_noise(self, x: Node, inside: bool) -> bool:
+        """Named as noise; an outermost article is not, nor is what holds the page's main elements if all of them are in such elements."""
+        return x.named and not (not inside and (x.tag == "article" or x.holds and self._spare))
+
     def _place(self, x: Node, slot: int) -> int:
         """The skeleton node of a block element under ``slot``: flow content joins flow, a like sibling its neighbour."""
         if x.tag in FLOW and self.labels[slot] == "flow":
             return slot
-        name = "flow" if x.tag in FLOW else ".".join([x.tag, *sorted((x.attrs.get("class") or x.attrs.get("id") or "").split())])
+        return self._child(slot, "flow" if x.tag in FLOW else ".".join([x.tag, *sorted((x.attrs.get("class") or x.attrs.get("id") or "").split())]))
+
+    def _child(self, slot: int, name: str) -> int:
         last = self.children[slot][-1] if self.children[slot] else -1
         if last >= 0 and self.labels[last] == name:
             return last
@@ -311,13 +364,14 @@ def _decide(pdf):
     for k in order:
         lines = [x.split("\t") for x in trees[k].split("\n")]
         kids = [[int(c) for c in x[1].split(",") if c] for x in lines]
-        own = [j for j, x in enumerate(lines) if x[2] == "1"]
+        named = {j for j, x in enumerate(lines) if x[0] in ("!noise", "!prose")}
+        own = [j for j, x in enumerate(lines) if x[2] == "1" and j not in named]
         free = lambda js, k=k: [j for j in js if nodes[k][j] not in fixed] or list(js)
         if own:
             # headings and flow of an article are its own even where copies make them constant
             keep = [j for j in own if nodes[k][j] not in fixed or lines[j][0] == "flow" or lines[j][0].split(".")[0] == "h1"] or own
         else:
-            vary = set(free(range(len(lines))))
+            vary = set(free([j for j in range(len(lines)) if j not in named]))
             heavy = [mass.get((k, j), 0) * (j in vary) for j in range(len(lines))]
             for j in range(len(lines) - 1, -1, -1):
                 heavy[j] += sum(heavy[c] for c in kids[j])
@@ -333,6 +387,13 @@ def _decide(pdf):
                 under.add(j := todo.pop())
                 todo += kids[j]
             keep = sorted(under & vary)
+        # named as noise, but text that varies
+        text = sum(mass.get((k, j), 0) for j in keep)
+        within = {j for j in named if lines[j][2] == "1"} if own else named & under
+        for j in sorted(named):
+            n = mass.get((k, j), 0) * (nodes[k][j] not in fixed)
+            if n >= LARGE * weight.get(k, 1) and (j in within and lines[j][0] == "!prose" or (j in within or not own) and n >= NEARLY_ALL * (n + text)):
+                keep.append(j)
         out.append((host, int(k), [int(j) for j in keep]))
     return pd.DataFrame(out, columns=["host", "skel", "keep"])
 
