@@ -265,6 +265,13 @@ def test_class_words_do_not_drop_the_text(spark):
     assert extracted(spark, [noise.format(t, t[:20], t, t) for t in LONG]) == LONG
 
 
+def test_repeated_block_goes_and_its_neighbour_stays(spark):
+    for form in ("<div><p>The same notice on all pages</p><p>{}</p></div>", "<div>The same notice on all pages</div><div>{}</div>", "<div><ul><li>Same notice<li>{}</ul></div>", "<div><p>{}</p><blockquote>Same</blockquote><p>And same</p></div>"):
+        assert extracted(spark, [form.format(t) for t in LONG]) == LONG, form
+    copies = ["<div><p>One text</p><p>in two parts</p></div>"] * 4
+    assert extracted(spark, copies) == ["One text in two parts"] * 4
+
+
 def test_tree_matching_aligns_what_is_new():
     trees = [(1, "#root\t1,2\t0\na\t\t0\nb\t\t0"), (2, "#root\t1,2,3\t0\na\t\t0\nx\t\t0\nb\t\t0")]
     nodes = wrapper.induce(trees)

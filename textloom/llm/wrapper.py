@@ -4,10 +4,10 @@ A page is parsed to a tree. For alignment the tree is reduced to a skeleton: blo
 content (paragraphs, lists, tables, ..) as one node. Pages of a host that share a skeleton are counted together, so induction works on the
 few skeletons of a host, however many pages it has, and every page counts:
 
-1. each page gives its skeleton and, for each slot (skeleton node), a hash and the length of its text; grouped sums follow;
-2. for each host the skeletons are aligned to a growing template by simple tree matching; a slot whose text is one and the same on all
-   pages that have it (``MIN_PAGES`` at least, and half of the host's pages) is template, varying slots may be content (inside an article,
-   headings and flow stay in any case: copies of a page must not empty it);
+1. each page gives its skeleton and a hash of each block of text with its slot (skeleton node); grouped counts follow;
+2. for each host the skeletons are aligned to a growing template by simple tree matching; a block that stands in one aligned slot on
+   ``MIN_PAGES`` pages of different text at least, and on half of the host's, is template, its varying neighbours may be content (inside an
+   article, headings and flow stay in any case: copies of a page must not empty it);
 3. of the varying slots those of the page's article or main element are content or, where there is none, those of the smallest element that
    holds ``MASS`` of the varying text, looked for below elements without text of their own. Navigation, headers, footers, sidebars, forms, scripts, styles and what is hidden or has such a role
    are never content. An element that only a class or id names as a notice, advert, comments and the like is not content either, unless the page's only main elements are in it, it is a
@@ -50,6 +50,7 @@ NOISE = set(
 )
 #: Words that may stand beside a word of NOISE in one class name (``sidebar-left``); any other word there changes its meaning (``has-sidebar``).
 NEUTRAL = set("area bar block box bottom container inner item items left link links list outer page post posts primary right secondary section site text top wrap wrapper".split())
+NAMED = "!prose", "!noise"
 PROSE = set("p blockquote pre dd h2 h3 h4 h5 h6".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
@@ -255,6 +256,12 @@ class Page:
         self.depth[to] = self.depth[slot] + 1
         return to
 
+    def key(self) -> int:
+        """Hash of the text inside main elements or, where there is none, of all text: equal for copies of a page."""
+        named = {i for i, x in enumerate(self.labels) if x in NAMED}
+        own = [t for s, t in self.blocks if s in self.mains and s not in named] or [t for s, t in self.blocks if s not in named] or [t for _, t in self.blocks]
+        return key_of("\n".join(own))
+
     def skeleton(self) -> str:
         out = []
         for i, label in enumerate(self.labels):
@@ -272,7 +279,10 @@ def host_of(url: str | None) -> str:
 
 
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(url, html) to rows (host, skel, slot, h, n); a slot's text may be empty. Each skeleton's own string comes once a task (slot -1)."""
+    """(url, html) to rows (host, skel, slot, h, n, page, tree): each different block of a slot with its characters and its page's text's hash.
+
+    One row a page has slot -2; each skeleton's own string comes once a task (slot -1).
+    """
     sent: set = set()
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
@@ -280,19 +290,21 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for url, page in zip(*(c.slice(lo, 512).to_pylist() for c in batch.columns[:2]), strict=True):
                 host, p = host_of(url), Page(page or "")
                 tree = p.skeleton()
-                skel = key_of(tree)
+                skel, text = key_of(tree), p.key()
                 if (host, skel) not in sent:
                     if len(sent) > 100_000:
                         sent.clear()
                     sent.add((host, skel))
-                    rows.append((host, skel, -1, 0, 0, tree))
-                texts: dict[int, list[str]] = {}
+                    rows.append((host, skel, -1, 0, 0, 0, tree))
+                rows.append((host, skel, -2, 0, 0, text, None))
+                sizes: dict[tuple, int] = {}
                 for slot, t in p.blocks:
-                    texts.setdefault(slot, []).append(t)
-                rows += [(host, skel, i, key_of(" ".join(texts.get(i, ()))), sum(map(len, texts.get(i, ()))), None) for i in range(len(p.labels))]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "skel", "slot", "h", "n", "tree"])
+                    at = slot, key_of(t)
+                    sizes[at] = sizes.get(at, 0) + len(t)
+                rows += [(host, skel, slot, h, n, text, None) for (slot, h), n in sizes.items()]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "skel", "slot", "h", "n", "page", "tree"])
 
 
 def match(a: tuple, b: tuple, i: int, j: int, memo: dict) -> tuple[int, list]:
@@ -344,34 +356,44 @@ def induce(trees: list[tuple[int, str]]) -> dict[int, list[int]]:
 
 
 def _decide(pdf):
-    """One host: (skel, slot, pages, lo, hi, n, tree) to (host, skel, keep): the slots that are content."""
+    """One host's rows to (host, skel, keep, drop): the slots that are content, and their blocks that are template all the same.
+
+    Rows with tree give a skeleton, those with slot -2 its pages and different texts; other rows give a slot's characters, or with
+    ``common`` those of a block that is frequent on the host.
+    """
     import pandas as pd
 
     host = pdf["host"].iloc[0]
     trees = pdf[pdf["slot"] == -1].drop_duplicates("skel").set_index("skel")["tree"].to_dict()
-    stats = pdf[pdf["slot"] >= 0]
-    weight = stats[stats["slot"] == 0].set_index("skel")["pages"].to_dict()
+    size = pdf[pdf["slot"] == -2].set_index("skel")
+    weight = size["pages"].to_dict()
     order = sorted(trees, key=lambda k: (-weight.get(k, 0), trees[k]))
     nodes = induce([(k, trees[k]) for k in order])
-    pages = sum(weight.values())
-    seen: dict[int, list] = {}
-    for r in stats.itertuples():
-        lo, hi, n = seen.setdefault(nodes[r.skel][r.slot], [r.lo, r.hi, 0])
-        seen[nodes[r.skel][r.slot]] = [min(lo, r.lo), max(hi, r.hi), n + r.pages]
-    fixed = {k for k, (lo, hi, n) in seen.items() if lo == hi and n >= MIN_PAGES and 2 * n >= pages}
-    mass = {(r.skel, r.slot): r.n for r in stats.itertuples()}
+    texts = size["d"].sum()
+    frequent = pdf[(pdf["slot"] >= 0) & pdf["common"]]
+    seen: dict[tuple, tuple] = {}
+    for r in frequent.itertuples():
+        lo, hi, d = seen.get(at := (nodes[r.skel][r.slot], r.h), (r.lo, r.hi, 0))
+        seen[at] = min(lo, r.lo), max(hi, r.hi), d + r.d
+    fixed = {at for at, (lo, hi, d) in seen.items() if lo != hi and d >= MIN_PAGES and 2 * d >= texts}
+    mass = {(r.skel, r.slot): r.n for r in pdf[(pdf["slot"] >= 0) & ~pdf["common"]].itertuples()}
+    template: dict[tuple, list] = {}
+    for r in frequent.itertuples():
+        if (nodes[r.skel][r.slot], r.h) in fixed:
+            mass[r.skel, r.slot] -= r.n
+            template.setdefault((r.skel, r.slot), []).append(int(r.h))
     out = []
     for k in order:
         lines = [x.split("\t") for x in trees[k].split("\n")]
         kids = [[int(c) for c in x[1].split(",") if c] for x in lines]
-        named = {j for j, x in enumerate(lines) if x[0] in ("!noise", "!prose")}
+        named = {j for j, x in enumerate(lines) if x[0] in NAMED}
         own = [j for j, x in enumerate(lines) if x[2] == "1" and j not in named]
-        free = lambda js, k=k: [j for j in js if nodes[k][j] not in fixed] or list(js)
         if own:
             # headings and flow of an article are its own even where copies make them constant
-            keep = [j for j in own if nodes[k][j] not in fixed or lines[j][0] == "flow" or lines[j][0].split(".")[0] == "h1"] or own
+            keep, whole = list(own), {j for j in own if lines[j][0] == "flow" or lines[j][0].split(".")[0] == "h1"}
         else:
-            vary = set(free([j for j in range(len(lines)) if j not in named]))
+            plain, whole = [j for j in range(len(lines)) if j not in named], set()
+            vary = {j for j in plain if mass.get((k, j), 0)} or set(plain)
             heavy = [mass.get((k, j), 0) * (j in vary) for j in range(len(lines))]
             for j in range(len(lines) - 1, -1, -1):
                 heavy[j] += sum(heavy[c] for c in kids[j])
@@ -391,11 +413,12 @@ def _decide(pdf):
         text = sum(mass.get((k, j), 0) for j in keep)
         within = {j for j in named if lines[j][2] == "1"} if own else named & under
         for j in sorted(named):
-            n = mass.get((k, j), 0) * (nodes[k][j] not in fixed)
+            n = mass.get((k, j), 0)
             if n >= LARGE * weight.get(k, 1) and (j in within and lines[j][0] == "!prose" or (j in within or not own) and n >= NEARLY_ALL * (n + text)):
                 keep.append(j)
-        out.append((host, int(k), [int(j) for j in keep]))
-    return pd.DataFrame(out, columns=["host", "skel", "keep"])
+        drop = [{"slot": int(j), "h": h} for j in keep if j not in whole for h in template.get((k, j), ())]
+        out.append((host, int(k), [int(j) for j in keep], drop))
+    return pd.DataFrame(out, columns=["host", "skel", "keep", "drop"])
 
 
 def _parsed(at: int, url: int):
@@ -408,8 +431,8 @@ def _parsed(at: int, url: int):
                     p = Page(page or "")
                     hosts.append(host_of(u))
                     skels.append(key_of(p.skeleton()))
-                    blocks.append([{"slot": s, "text": t} for s, t in p.blocks])
-                kind = pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string())]))
+                    blocks.append([{"slot": s, "h": key_of(t), "text": t} for s, t in p.blocks])
+                kind = pa.list_(pa.struct([("slot", pa.int32()), ("h", pa.int64()), ("text", pa.string())]))
                 rest = [i for i in range(part.num_columns) if i != at]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), pa.array(hosts, pa.string()), pa.array(skels, pa.int64()), pa.array(blocks, kind)], [*(part.schema.names[i] for i in rest), "__host", "__skel", "__blocks"])
 
@@ -423,13 +446,23 @@ def extract(pages: DataFrame) -> DataFrame:
     empty and gives an empty text; pages without a host (null or odd urls) are aligned with one another. Extra columns are not read.
     """
     bounded_batches(pages.sparkSession)
-    seen = materialize(pages.select("url", text_of("html").alias("html")).mapInArrow(_observed, "host string, skel long, slot int, h long, n long, tree string"), "slots")
-    stats = seen.filter("slot >= 0").groupBy("host", "skel", "slot").agg(F.count(F.lit(1)).alias("pages"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.sum("n").alias("n"))
-    trees = seen.filter("slot = -1").select("host", "skel", "slot", F.lit(0).cast("long").alias("pages"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("n"), "tree").distinct()
-    kept = materialize(stats.withColumn("tree", F.lit(None).cast("string")).unionByName(trees).groupBy("host").applyInPandas(_decide, "host string, skel long, keep array<int>"), "wrappers")
+    seen = materialize(pages.select("url", text_of("html").alias("html")).mapInArrow(_observed, "host string, skel long, slot int, h long, n long, page long, tree string"), "slots")
+    blocks = materialize(seen.filter("slot >= 0").groupBy("host", "skel", "slot", "h").agg(F.countDistinct("page").alias("d"), F.min("page").alias("lo"), F.max("page").alias("hi"), F.sum("n").alias("n")), "blocks")
+    sizes = seen.filter("slot = -2").groupBy("host", "skel").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("page").alias("d")).withColumn("slot", F.lit(-2))
+    often = blocks.groupBy("host", "h").agg(F.sum("d").alias("times")).filter(F.col("times") >= MIN_PAGES).join(sizes.groupBy("host").agg(F.sum("d").alias("texts")), "host").filter("2 * times >= texts")
+    rows = {"skel": "long", "slot": "int", "common": "boolean", "h": "long", "pages": "long", "d": "long", "lo": "long", "hi": "long", "n": "long", "tree": "string"}
+    zero = {"common": F.lit(False), "tree": F.lit(None)}
+    form = lambda x: x.select("host", *((F.col(c) if c in x.columns else zero.get(c, F.lit(0))).cast(t).alias(c) for c, t in rows.items()))
+    trees = form(seen.filter("slot = -1").select("host", "skel", "slot", "tree").distinct())
+    frequent = form(blocks.join(often, ["host", "h"], "left_semi").withColumn("common", F.lit(True)))
+    known = trees.unionByName(form(sizes)).unionByName(form(blocks.groupBy("host", "skel", "slot").agg(F.sum("n").alias("n")))).unionByName(frequent)
+    kept = materialize(known.groupBy("host").applyInPandas(_decide, "host string, skel long, keep array<int>, drop array<struct<slot:int,h:long>>"), "wrappers")
     whole = pages.select("page_id", "url", text_of("html").alias("html"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.schema.fields if f.name != "html")
-    read = whole.mapInArrow(_parsed(2, 1), f"{fields}, __host string, __skel long, __blocks array<struct<slot:int,text:string>>")
+    read = whole.mapInArrow(_parsed(2, 1), f"{fields}, __host string, __skel long, __blocks array<struct<slot:int,h:long,text:string>>")
     found = read.join(kept, (read["__host"] == kept["host"]) & (read["__skel"] == kept["skel"]), "left")
-    blocks = F.transform(F.filter("__blocks", lambda b: F.array_contains("keep", b["slot"])), lambda b: b["text"])
-    return found.select("page_id", "url", F.coalesce(blocks, F.array().cast("array<string>")).alias("blocks")).select("page_id", "url", F.array_join("blocks", " ").alias("text"), "blocks")
+    held = F.filter("__blocks", lambda b: F.array_contains("keep", b["slot"]))
+    own = F.filter(held, lambda b: ~F.exists("drop", lambda d: (d["slot"] == b["slot"]) & (d["h"] == b["h"])))
+    # a page of nothing but template blocks keeps them
+    texts = F.transform(F.when(F.size(own) > 0, own).otherwise(held), lambda b: b["text"])
+    return found.select("page_id", "url", F.coalesce(texts, F.array().cast("array<string>")).alias("blocks")).select("page_id", "url", F.array_join("blocks", " ").alias("text"), "blocks")
