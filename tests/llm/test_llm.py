@@ -272,6 +272,16 @@ def test_repeated_block_goes_and_its_neighbour_stays(spark):
     assert extracted(spark, copies) == ["One text in two parts"] * 4
 
 
+def test_alignment_decides_inside_and_outside_articles(spark):
+    for form in ("<article><h1>Same head</h1><p>{}</p><p>Please send us your remarks</p></article>", "<main><div><p>{}</p></div><div><p>Same box</p></div></main>", "<article><p>Same teaser</p></article><div class=story><p>{}</p></div>"):
+        assert extracted(spark, [form.format(t) for t in LONG]) == LONG, form
+    notice = "<article><p>{}</p><p>Same notice</p></article>"
+    copies = ["<article><p>One text</p><p>in two parts</p></article>"] * 4
+    assert extracted(spark, copies) == ["One text in two parts"] * 4
+    assert extracted(spark, [notice.format(t) for t in LONG[:3]] + [notice.format(LONG[3])] * 3) == LONG[:3] + [LONG[3]] * 3
+    assert extracted(spark, [notice.format(t) for t in LONG[:2]]) == [f"{t} Same notice" for t in LONG[:2]]  # two pages tell nothing
+
+
 def test_tree_matching_aligns_what_is_new():
     trees = [(1, "#root\t1,2\t0\na\t\t0\nb\t\t0"), (2, "#root\t1,2,3\t0\na\t\t0\nx\t\t0\nb\t\t0")]
     nodes = wrapper.induce(trees)

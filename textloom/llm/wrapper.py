@@ -6,9 +6,9 @@ few skeletons of a host, however many pages it has, and every page counts:
 
 1. each page gives its skeleton and a hash of each block of text with its slot (skeleton node); grouped counts follow;
 2. for each host the skeletons are aligned to a growing template by simple tree matching; a block that stands in one aligned slot on
-   ``MIN_PAGES`` pages of different text at least, and on half of the host's, is template, its varying neighbours may be content (inside an
-   article, headings and flow stay in any case: copies of a page must not empty it);
-3. of the varying slots those of the page's article or main element are content or, where there is none, those of the smallest element that
+   ``MIN_PAGES`` pages of different text at least, and on half of the host's, is template, inside an article as elsewhere, and its varying
+   neighbours may be content (copies of a page count once, and a page of template blocks alone keeps them: copies must not empty it);
+3. of the varying slots those of the page's article or main element are content or, where there is none or it holds less than 1 - ``MASS`` of the varying text, those of the smallest element that
    holds ``MASS`` of the varying text, looked for below elements without text of their own. Navigation, headers, footers, sidebars, forms, scripts, styles and what is hidden or has such a role
    are never content. An element that only a class or id names as a notice, advert, comments and the like is not content either, unless the page's only main elements are in it, it is a
    varying paragraph of ``LARGE`` characters or more, or it holds ``NEARLY_ALL`` of the varying text.
@@ -257,9 +257,8 @@ class Page:
         return to
 
     def key(self) -> int:
-        """Hash of the text inside main elements or, where there is none, of all text: equal for copies of a page."""
-        named = {i for i, x in enumerate(self.labels) if x in NAMED}
-        own = [t for s, t in self.blocks if s in self.mains and s not in named] or [t for s, t in self.blocks if s not in named] or [t for _, t in self.blocks]
+        """Hash of all text that is not named as noise, or of that if there is no other: equal for copies of a page."""
+        own = [t for s, t in self.blocks if self.labels[s] not in NAMED] or [t for _, t in self.blocks]
         return key_of("\n".join(own))
 
     def skeleton(self) -> str:
@@ -388,11 +387,12 @@ def _decide(pdf):
         kids = [[int(c) for c in x[1].split(",") if c] for x in lines]
         named = {j for j, x in enumerate(lines) if x[0] in NAMED}
         own = [j for j, x in enumerate(lines) if x[2] == "1" and j not in named]
+        plain = [j for j in range(len(lines)) if j not in named]
+        if texts >= MIN_PAGES and sum(mass.get((k, j), 0) for j in own) < (1 - MASS) * sum(mass.get((k, j), 0) for j in plain):
+            own = []  # what varies is elsewhere
         if own:
-            # headings and flow of an article are its own even where copies make them constant
-            keep, whole = list(own), {j for j in own if lines[j][0] == "flow" or lines[j][0].split(".")[0] == "h1"}
+            keep = list(own)
         else:
-            plain, whole = [j for j in range(len(lines)) if j not in named], set()
             vary = {j for j in plain if mass.get((k, j), 0)} or set(plain)
             heavy = [mass.get((k, j), 0) * (j in vary) for j in range(len(lines))]
             for j in range(len(lines) - 1, -1, -1):
@@ -416,7 +416,7 @@ def _decide(pdf):
             n = mass.get((k, j), 0)
             if n >= LARGE * weight.get(k, 1) and (j in within and lines[j][0] == "!prose" or (j in within or not own) and n >= NEARLY_ALL * (n + text)):
                 keep.append(j)
-        drop = [{"slot": int(j), "h": h} for j in keep if j not in whole for h in template.get((k, j), ())]
+        drop = [{"slot": int(j), "h": h} for j in keep for h in template.get((k, j), ())]
         out.append((host, int(k), [int(j) for j in keep], drop))
     return pd.DataFrame(out, columns=["host", "skel", "keep", "drop"])
 
