@@ -117,6 +117,17 @@ def chunk_index(spark, sf):
     return chunks.numbered(c, "site", ["doc_id"]).select("doc_id", "site", "chunk_index", "chunk_id")
 
 
+def whole_process_stats(spark, sf):
+    """Of all chunks of all documents, however long; ``process_stats`` has the documents of one chunk only, as its SQL does."""
+    return chunks.process_stats(chunks.chunk_documents(docs(spark, sf)))
+
+
+def whole_chunk_index(spark, sf):
+    """Of all chunks of all documents; their reasons are those of ``chunk_drop_reasons``."""
+    c = chunks.chunk_documents(docs(spark, sf)).filter("reason IS NULL").withColumn("site", F.col("doc_id") % 50)
+    return chunks.numbered(c, "site", ["doc_id", "piece_ord"]).select("doc_id", "piece_ord", "site", "chunk_index", "chunk_id")
+
+
 def _corpus(spark, sf):
     """Documents as chunks: the source is the heading, the text the body."""
     return docs(spark, sf).filter("text IS NOT NULL").select(
@@ -356,7 +367,7 @@ QUERIES = {f.__name__: f for f in (
     hard_window_split, chunk_documents, chunk_drop_reasons, short_chunk_reasons, process_stats, chunk_index, vocabulary, embedding_inputs, chunk_metadata, snippets, hashing_embeddings, knn_cosine, knn_topk_per_query,
     relevance_gate, index_count, query_terms, vocab_anti_join, fuzzy_corrections, keyword_boost, lexical_topk, hybrid_search, chunked_hybrid_search, answers, history_last_n, history_prompt, question_guard,
     citation_extract, citation_strip, refusals, grounding_downgrade, context_blocks, rate_limit, session_reset, rate_limit_with_resets, attempts_in_window, politeness_schedule, upsert_replace, purge_prefix,
-    seed_fallback, seed_summary, first_wins, event_props,
+    seed_fallback, seed_summary, first_wins, event_props, whole_process_stats, whole_chunk_index,
 )}
 
 # --- SQL ---------------------------------------------------------------------------------------------------------------------------------
