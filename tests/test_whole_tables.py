@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 from tests.test_operators import chunk_model
+from textloom import config
 from textloom.plans import registry
 
 
@@ -36,3 +37,19 @@ def test_chunks_of_documents_of_any_length(spark, tmp_path):
             count[i % 50] += 1
     assert sorted(tuple(r)[:4] for r in registry.QUERIES["whole_chunk_index"](spark, sf).collect()) == want
     assert sorted(tuple(r) for r in registry.QUERIES["chunk_drop_reasons"](spark, sf).collect()) == sorted((i, k, r) for (i, k), r in reason.items())
+
+
+def test_boost_of_every_document(spark, tmp_path):
+    rng = random.Random(8)
+    words = "water permit office county clerk the of road src1".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(25)]
+    asked = ["water permit office of county clerk", "road road src1 water the clerk now", "too few words"]
+    got = {(r["query_id"], r["chunk_id"]): r["boost"] for r in registry.QUERIES["whole_keyword_boost"](spark, tables(spark, tmp_path, texts, asked)).collect()}
+    want = {}
+    for q, question in enumerate(asked[:2]):
+        w = question.split()
+        terms = {t for t in [*w[:6], w[1][0] + w[1]] if len(t) >= 3 and t not in config.STOPWORDS}
+        for i, t in enumerate(texts):
+            hits = sum(1.0 if x == f"src{i % 3}" else 0.5 * (x in t.split()) for x in terms)
+            want[q, i] = round(config.SETTINGS.keyword_boost_weight * min(1.0, hits / len(terms)), 6)
+    assert got == want

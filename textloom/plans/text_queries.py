@@ -205,12 +205,21 @@ def fuzzy_corrections(spark, sf):
     return search.fuzzy_matches(terms, vocab).select("term", "match", F.round("score", 6).alias("score"), "rank")
 
 
-def keyword_boost(spark, sf):
+def _boosts(spark, sf, corpus):
     asked = _asked(spark, sf).select("query_id", T.query_terms("question").alias("terms"))
-    met = search.meet(asked, _corpus(spark, sf).filter("chunk_id % 10 = 0"))
+    met = search.meet(asked, corpus)
     return met.select("query_id", "chunk_id", F.round(search.keyword_boost(F.col("terms"), F.col("heading_path"), F.col("text")), 6).alias("boost"))
 
 
+def keyword_boost(spark, sf):
+    return _boosts(spark, sf, _corpus(spark, sf).filter("chunk_id % 10 = 0"))
+
+
+def whole_keyword_boost(spark, sf):
+    """Of all documents; ``keyword_boost`` has every tenth, as its SQL does."""
+    return _boosts(spark, sf, _corpus(spark, sf))
+
+
 def _embedded(spark, sf):
     return HashingEmbedder(DIM).embed(_corpus(spark, sf), "text", "embedding")
 
@@ -367,7 +376,7 @@ QUERIES = {f.__name__: f for f in (
     hard_window_split, chunk_documents, chunk_drop_reasons, short_chunk_reasons, process_stats, chunk_index, vocabulary, embedding_inputs, chunk_metadata, snippets, hashing_embeddings, knn_cosine, knn_topk_per_query,
     relevance_gate, index_count, query_terms, vocab_anti_join, fuzzy_corrections, keyword_boost, lexical_topk, hybrid_search, chunked_hybrid_search, answers, history_last_n, history_prompt, question_guard,
     citation_extract, citation_strip, refusals, grounding_downgrade, context_blocks, rate_limit, session_reset, rate_limit_with_resets, attempts_in_window, politeness_schedule, upsert_replace, purge_prefix,
-    seed_fallback, seed_summary, first_wins, event_props, whole_process_stats, whole_chunk_index,
+    seed_fallback, seed_summary, first_wins, event_props, whole_process_stats, whole_chunk_index, whole_keyword_boost,
 )}
 
 # --- SQL ---------------------------------------------------------------------------------------------------------------------------------
