@@ -1,5 +1,6 @@
 """The queries over whole tables and whole texts, against Python models on small tables."""
 
+import hashlib
 import random
 from collections import defaultdict
 
@@ -53,3 +54,22 @@ def test_boost_of_every_document(spark, tmp_path):
             hits = sum(1.0 if x == f"src{i % 3}" else 0.5 * (x in t.split()) for x in terms)
             want[q, i] = round(config.SETTINGS.keyword_boost_weight * min(1.0, hits / len(terms)), 6)
     assert got == want
+
+
+def test_texts_beyond_their_heads(spark, tmp_path):
+    """What stands after the 80th character counts: shortcodes, markers, hashes, embeddings and every second page."""
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    head = "word " * 20
+    texts = [head + "[gallery x] tail", head + "[2] other", head]
+    sf = tables(spark, tmp_path, texts)
+    rows = [(c, 0, "assistant", t + "[3]") for c, t in ((0, head), (2, head), (3, head))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{sf}/conversations.parquet")
+    spark.createDataFrame([(i, "u", "") for i in range(4)], "page_id long, url string, html string").write.parquet(f"{sf}/pages.parquet")
+    run = lambda name: registry.QUERIES[name](spark, sf).collect()
+    assert {r["doc_id"]: r["h"] for r in run("whole_shortcode_strip")} == {i: sha("x  " + t.replace("[gallery x]", "") + " [keep]") for i, t in enumerate(texts)}
+    assert sorted((r["conv_id"], r["pos"], r["n"]) for r in run("whole_citation_extract")) == [(0, 0, 3), (0, 1, 1), (2, 0, 3), (3, 0, 3), (3, 1, 2)]
+    assert {r["conv_id"]: r["h"] for r in run("whole_citation_strip")}[2] == sha(head.strip())
+    assert {r["conv_id"]: (r["h"], r["n_citations"]) for r in run("whole_grounding_downgrade")}[2] == (sha(rows[1][3]), 1)
+    assert len(run("whole_refusals")) == 3 and len(run("whole_hashing_embeddings")) == 3 * 64
+    assert {r["doc_id"]: r["h"] for r in run("whole_upsert_replace")} == {0: sha("new " + texts[0]), 1: sha(texts[1]), 2: sha(texts[2])}
+    assert {r["page_id"] for r in run("whole_court_judge_asof")} == {0, 1, 2, 3}

@@ -210,13 +210,22 @@ def link_grid_text(spark, sf):
     return grids.select("page_id", curated.grid_text(F.col("grids"), "buttons", "Links:").alias("text"))
 
 
-def court_judge_asof(spark, sf):
+def _court_judges(pages):
     t = F.concat(F.lit("107th District Court room 1. Judge Notice Board. Judge A"), F.col("page_id").cast("string"), F.lit("x. Honorable Judge Ann B. Lee\n103rd District Court and 107th District Court: Judge Max Ort, "), F.lit("404th District Court"))
     t = F.regexp_replace(t, r"Judge A\d+x", "Judge Ada Byron")
-    pairs = curated.court_judges(pages(spark, sf).filter("page_id % 2 = 0").select("page_id", t.alias("text")), "page_id")
+    pairs = curated.court_judges(pages.select("page_id", t.alias("text")), "page_id")
     return pairs.select("page_id", "court", "judge", "number")
 
 
+def court_judge_asof(spark, sf):
+    return _court_judges(pages(spark, sf).filter("page_id % 2 = 0"))
+
+
+def whole_court_judge_asof(spark, sf):
+    """Of all pages; ``court_judge_asof`` has every second, as its SQL does."""
+    return _court_judges(pages(spark, sf))
+
+
 def sitemap_locs(spark, sf):
     xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://example.org/'), F.col("page_id").cast("string"), F.lit(" </loc></url><url><loc>https://example.org/b</loc></url></urlset>"))
     return pages(spark, sf).select("page_id", F.array_join(crawl.sitemap_locs(xml), " ").alias("locs"))
@@ -231,7 +240,7 @@ QUERIES = {f.__name__: f for f in (
     url_normalize, url_parts, url_registered_domain, url_trap_filter, url_priority, url_asset_class, coverage_key_lookup, same_host_pairs, html_strip_chrome, html_title, html_visible_text, looks_like_html,
     html_links, external_domain_counts, needs_js, route_responses, pdf_verdicts, crawl_report, page_markdown, page_blocks, frontier_step, homepage_lookup, suffix_lookup, chunk_counts, crawled_urls,
     coverage_anti_join, coverage_counts, coverage_lookup, css_colour_counts, css_font_counts, css_vars, brand_roles, contrast_text, html_stylesheet, html_rewrite, html_logo, link_grid_text, court_judge_asof,
-    sitemap_locs, robots_admission,
+    sitemap_locs, robots_admission, whole_court_judge_asof,
 )}
 
 # --- SQL ---------------------------------------------------------------------------------------------------------------------------------
@@ -406,3 +415,5 @@ ORACLE_SQL = {
     "sitemap_locs": "SELECT page_id, 'https://example.org/' || page_id || ' https://example.org/b' AS locs FROM pages",
     "robots_admission": f"SELECT page_id, NOT (({_HOST} = 'thther.example.org' AND {_PATH} LIKE '/en/%') OR {_HOST} = 'ththed.example.org') AS allowed FROM pages",
 }
+
+ORACLE_SQL["whole_court_judge_asof"] = ORACLE_SQL["court_judge_asof"].removesuffix(" WHERE page_id % 2 = 0")

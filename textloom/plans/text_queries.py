@@ -58,6 +58,12 @@ def shortcode_strip(spark, sf):
     return docs(spark, sf).select("doc_id", F.regexp_replace(t, config.SHORTCODE, "").alias("text"))
 
 
+def whole_shortcode_strip(spark, sf):
+    """Of whole texts, as hashes; ``shortcode_strip`` has their first 40 characters, as its SQL does."""
+    t = F.concat(F.lit("[caption id=1]x[/caption] [VC_row a] "), "text", F.lit(" [keep]"))
+    return docs(spark, sf).select("doc_id", F.sha2(F.regexp_replace(t, config.SHORTCODE, ""), 256).alias("h"))
+
+
 def pdf_text_blocks(spark, sf):
     return blocks.text_blocks(docs(spark, sf))
 
@@ -158,6 +164,12 @@ def hashing_embeddings(spark, sf):
     return q.select("item_id", F.posexplode("v").alias("p", "x")).select("item_id", F.col("p").cast("long").alias("place"), F.round("x", 6).alias("x"))
 
 
+def whole_hashing_embeddings(spark, sf):
+    """Of all documents; ``hashing_embeddings`` has the benchmark's questions."""
+    d = get_embedder("hashing").embed(docs(spark, sf).select("doc_id", "text"), "text", "v")
+    return d.select("doc_id", F.posexplode("v").alias("p", "x")).select("doc_id", F.col("p").cast("long").alias("place"), F.round("x", 6).alias("x"))
+
+
 def knn_cosine(spark, sf):
     e = _read(spark, sf, "embeddings")
     q = e.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
@@ -270,30 +282,55 @@ def question_guard(spark, sf):
     return c.select("conv_id", "turn", sessions.question_guard(q).alias("verdict"), sessions.session_id_ok(session).alias("session_ok"))
 
 
-def _said(spark, sf):
-    """Assistant turns as answers with markers; some are refusals or cite nothing that exists."""
+def _said(spark, sf, head=None):
+    """Assistant turns as answers with markers, from their first ``head`` characters or whole; some are refusals or cite nothing that exists."""
     c = conversations(spark, sf).filter("role = 'assistant'")
-    k = F.col("conv_id") % 4
-    text = F.when(k == 0, F.concat(F.substring("text", 1, 80), F.lit(" [1][3] (x) [1] [99]"))).when(k == 1, F.concat(F.lit(S.not_available_message), F.lit(" "))).when(k == 2, F.substring("text", 1, 80)).otherwise(F.concat(F.substring("text", 1, 80), F.lit(" [2] [0] ( ) [99999999999999999999]")))
+    k, t = F.col("conv_id") % 4, F.substring("text", 1, head) if head else F.col("text")
+    text = F.when(k == 0, F.concat(t, F.lit(" [1][3] (x) [1] [99]"))).when(k == 1, F.concat(F.lit(S.not_available_message), F.lit(" "))).when(k == 2, t).otherwise(F.concat(t, F.lit(" [2] [0] ( ) [99999999999999999999]")))
     return c.select("conv_id", "turn", text.alias("said"))
 
 
-def citation_extract(spark, sf):
+def _cited(said):
     n = answer.citation_numbers(F.col("said"), F.lit(3))
-    return _said(spark, sf).select("conv_id", "turn", F.posexplode(n).alias("p", "n")).select("conv_id", "turn", F.col("p").cast("long").alias("pos"), "n")
+    return said.select("conv_id", "turn", F.posexplode(n).alias("p", "n")).select("conv_id", "turn", F.col("p").cast("long").alias("pos"), "n")
+
+
+def _grounded(said):
+    rows = said.withColumn("raw_answer", F.col("said")).withColumn("citations", answer.citation_numbers(F.col("said"), F.lit(3)))
+    return answer.grounded(rows).select("conv_id", "turn", "answer", F.size("citations").cast("long").alias("n_citations"), "grounded")
+
+
+def citation_extract(spark, sf):
+    return _cited(_said(spark, sf, 80))
 
 
 def citation_strip(spark, sf):
-    return _said(spark, sf).select("conv_id", "turn", T.strip_markers("said").alias("text"))
+    return _said(spark, sf, 80).select("conv_id", "turn", T.strip_markers("said").alias("text"))
 
 
 def refusals(spark, sf):
-    return _said(spark, sf).select("conv_id", "turn", answer.is_refusal(F.col("said")).alias("refusal"))
+    return _said(spark, sf, 80).select("conv_id", "turn", answer.is_refusal(F.col("said")).alias("refusal"))
 
 
 def grounding_downgrade(spark, sf):
-    rows = _said(spark, sf).withColumn("raw_answer", F.col("said")).withColumn("citations", answer.citation_numbers(F.col("said"), F.lit(3)))
-    return answer.grounded(rows).select("conv_id", "turn", "answer", F.size("citations").cast("long").alias("n_citations"), "grounded")
+    return _grounded(_said(spark, sf, 80))
+
+
+def whole_citation_extract(spark, sf):
+    """This and the next three of whole turns; the queries without ``whole`` have their first 80 characters, as their SQL does."""
+    return _cited(_said(spark, sf))
+
+
+def whole_citation_strip(spark, sf):
+    return _said(spark, sf).select("conv_id", "turn", F.sha2(T.strip_markers("said"), 256).alias("h"))
+
+
+def whole_refusals(spark, sf):
+    return _said(spark, sf).select("conv_id", "turn", answer.is_refusal(F.col("said")).alias("refusal"))
+
+
+def whole_grounding_downgrade(spark, sf):
+    return _grounded(_said(spark, sf)).select("conv_id", "turn", F.sha2("answer", 256).alias("h"), "n_citations", "grounded")
 
 
 def context_blocks(spark, sf):
@@ -330,14 +367,20 @@ def politeness_schedule(spark, sf):
     return crawl.politeness_schedule(e, "host", "arrival", per_second=0.001).select("call_id", F.round("start", 3).alias("start"))
 
 
-def _new(spark, sf):
-    return docs(spark, sf).filter("doc_id % 7 = 0").select((F.col("doc_id") + F.when(F.col("doc_id") % 2 == 0, 0).otherwise(1_000_000)).alias("doc_id"), F.concat(F.lit("new "), F.substring("text", 1, 20)).alias("text"), "lang", "source", F.lit(-1).cast("long").alias("n_chars"))
+def _new(spark, sf, head=20):
+    text = F.substring("text", 1, head) if head else F.col("text")
+    return docs(spark, sf).filter("doc_id % 7 = 0").select((F.col("doc_id") + F.when(F.col("doc_id") % 2 == 0, 0).otherwise(1_000_000)).alias("doc_id"), F.concat(F.lit("new "), text).alias("text"), "lang", "source", F.lit(-1).cast("long").alias("n_chars"))
 
 
 def upsert_replace(spark, sf):
     return index_store.upsert(docs(spark, sf), _new(spark, sf), "doc_id").select("doc_id", F.substring("text", 1, 24).alias("head"), "n_chars")
 
 
+def whole_upsert_replace(spark, sf):
+    """Of whole texts, as hashes; ``upsert_replace`` has their first 24 characters, as its SQL does."""
+    return index_store.upsert(docs(spark, sf), _new(spark, sf, None), "doc_id").select("doc_id", F.sha2("text", 256).alias("h"), "n_chars")
+
+
 def purge_prefix(spark, sf):
     d = docs(spark, sf).select(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("ext::"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string")).alias("chunk_id"), "n_chars")
     new = _new(spark, sf).select(F.concat(F.lit("ext::new::"), F.col("doc_id").cast("string")).alias("chunk_id"), "n_chars")
@@ -377,6 +420,7 @@ QUERIES = {f.__name__: f for f in (
     relevance_gate, index_count, query_terms, vocab_anti_join, fuzzy_corrections, keyword_boost, lexical_topk, hybrid_search, chunked_hybrid_search, answers, history_last_n, history_prompt, question_guard,
     citation_extract, citation_strip, refusals, grounding_downgrade, context_blocks, rate_limit, session_reset, rate_limit_with_resets, attempts_in_window, politeness_schedule, upsert_replace, purge_prefix,
     seed_fallback, seed_summary, first_wins, event_props, whole_process_stats, whole_chunk_index, whole_keyword_boost,
+    whole_shortcode_strip, whole_hashing_embeddings, whole_citation_extract, whole_citation_strip, whole_refusals, whole_grounding_downgrade, whole_upsert_replace,
 )}
 
 # --- SQL ---------------------------------------------------------------------------------------------------------------------------------
@@ -573,3 +617,17 @@ ORACLE_SQL = {
     "first_wins": "SELECT min(doc_id) AS doc_id, lower(substr(text, 1, 6)) AS label FROM documents GROUP BY 2",
     "event_props": "SELECT event_id, len(json_keys(props))::BIGINT AS n_keys FROM events",
 }
+
+_WHOLE_SAID = _SAID.replace("substr(text, 1, 80)", "text")
+_WHOLE_NEW = _NEW.replace("substr(text, 1, 20)", "text")
+ORACLE_SQL |= {
+    "whole_shortcode_strip": f"SELECT doc_id, sha256(regexp_replace('[caption id=1]x[/caption] [VC_row a] ' || text || ' [keep]', '{config.SHORTCODE}', '', 'g')) AS h FROM documents",
+    "whole_hashing_embeddings": f"""WITH {_embed('de', 'documents', 'doc_id', 'text')}
+        SELECT a.doc_id, place, round(coalesce(s / len, 0.0), 6) AS x FROM documents a CROSS JOIN (SELECT unnest(range(0, {DIM})) AS place) LEFT JOIN de_p ON de_p.doc_id = a.doc_id AND de_p.p = place LEFT JOIN de_l ON de_l.doc_id = a.doc_id""",
+    "whole_citation_extract": f"WITH {_WHOLE_SAID} SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY o) - 1 AS pos, n FROM once",
+    "whole_citation_strip": rf"WITH {_WHOLE_SAID} SELECT conv_id, turn, sha256(" + _trim(r"regexp_replace(regexp_replace(regexp_replace(said, '\s*\[\d+\]', '', 'g'), '\(\s*\)', '', 'g'), '[ \t]{2,}', ' ', 'g')") + ") AS h FROM said",
+    "whole_refusals": f"WITH {_WHOLE_SAID} SELECT conv_id, turn, {_REFUSAL} AS refusal FROM said",
+    "whole_grounding_downgrade": f"""WITH {_WHOLE_SAID}, g AS (SELECT conv_id, turn, said, (NOT {_REFUSAL}) AND len(ns) > 0 AS grounded, (SELECT count(*) FROM once x WHERE x.conv_id = nums.conv_id AND x.turn = nums.turn) AS c FROM nums)
+        SELECT conv_id, turn, sha256(CASE WHEN grounded THEN said ELSE '{_MSG}' END) AS h, CASE WHEN grounded THEN c ELSE 0 END AS n_citations, grounded FROM g""",
+    "whole_upsert_replace": f"WITH {_WHOLE_NEW}, u AS (SELECT doc_id, text, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n) SELECT doc_id, sha256(text) AS h, n_chars FROM u",
+}
