@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from textloom.llm import exact_dedup, langid, mixing, near_dedup, pieces
 from textloom.llm.common import materialize, table
 
-#: A prediction below this score, as good as a guess between the languages, is a rejection.
-LEAST_SCORE = 0.3
+#: A prediction whose score is below this many times that of a guess between the learned languages is a rejection.
+LEAST_LIFT = 1.2
+
+
+def least_score(languages: int) -> float:
+    """A guess between n languages scores 1 / n; with one or none there is nothing to reject by."""
+    return LEAST_LIFT / languages if languages > 1 else 0.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those that the classifier cannot tell."""
+    """Drop documents without a letter and those that the classifier cannot tell; all stay if no language could be learned."""
     model = langid.train(docs, ~langid.held_out())
+    if not model.langs:
+        return docs
     told = langid.predict(docs, model)
-    return told.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return told.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least_score(len(model.langs)))).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -406,3 +406,27 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in mixed.collect()} <= {r["doc_id"] for r in near.collect()}
     assert coded.count() == mixed.count() and all(r["exact"] for r in coded.collect())
     assert all(hashlib.sha256(whole[r["doc_id"]].encode()).hexdigest() == r["text_sha256"] for r in coded.collect())
+
+
+def test_pipeline_language_stage_drops_what_it_cannot_tell(spark):
+    import corpus_pipeline as cp
+
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(d, ~langid.held_out())
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    names, scores = model.predict(list(texts.values()))
+    good = [i for i, k, s in zip(texts, names, scores, strict=True) if k != langid.UNKNOWN and s >= 0.3]
+    assert len(model.langs) == 4 and ids(cp.language_id(spark, d, SF)) == sorted(good)
+    unlabelled = d.withColumn("lang", F.lit(None).cast("string"))
+    assert ids(cp.language_id(spark, unlabelled, SF)) == sorted(texts)
+    # twenty languages: a right answer for a text of few words scores little, but more than a guess
+    rng = random.Random(9)
+    words = [["".join(rng.choice("aeioubdfgklmnprst") for _ in range(5)) for _ in range(12)] for _ in range(20)]
+    said = [(" ".join(rng.choice(words[k]) for _ in range(30)), k) for k in range(20) for _ in range(16)]
+    said += [(f"{words[k][0]} {words[(k + 1) % 20][1]} {words[(k + 2) % 20][2]}", k) for k in range(20)] + [("123 456", 0)]
+    many = spark.createDataFrame([(i, t, f"l{k:02}", "s", len(t)) for i, (t, k) in enumerate(said)], "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.train(many, ~langid.held_out())
+    _, scores = model.predict([t for t, _ in said[:-1]])
+    assert len(model.langs) == 20 and min(scores) < 0.3
+    assert ids(cp.language_id(spark, many, SF)) == [i for i, s in enumerate(scores) if s >= 1.2 / 20] and sum(s >= 1.2 / 20 for s in scores) == len(scores)
