@@ -349,6 +349,53 @@ def test_chat_folds_events(spark):
     assert chat.render(log.limit(0)).count() == 0
 
 
+def folded(rows):
+    """The fold of (seq, kind, turn, role, text) events, an event at a time."""
+    turns = []
+    for _, kind, turn, role, text in sorted(rows):
+        at = next((t for t in reversed(turns) if t[0] == turn), None)
+        if kind == "message" or at is None:
+            turns.append([turn, role, text])
+        elif kind == "delta":
+            at[2] += text
+        else:
+            at[2] = text
+        if kind == "regenerate":
+            turns = [t for t in turns if t[0] <= turn]
+    return [(r, t) for _, r, t in turns]
+
+
+def test_chat_fold_equals_a_step_by_step_fold(spark, monkeypatch):
+    monkeypatch.setattr(chat, "TURN_BLOCK", 3)
+    rng = random.Random(5)
+    rows = [(c, k, rng.choice(["message", "delta", "delta", "edit", "regenerate"]), rng.randint(0, 9), rng.choice(["user", "assistant"]), rng.choice("abc") * rng.randint(0, 3)) for c in range(40) for k in range(rng.randint(1, 40))]
+    log = spark.createDataFrame(rows, "conv_id long, seq long, kind string, turn long, role string, text string").withColumn("events", F.lit("x")).withColumn("at", F.lit("y"))
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.fold(log.repartition(5)).collect()}
+    assert got == {c: folded([r[1:] for r in rows if r[0] == c]) for c in range(40)}
+
+
+def test_chat_log_folds_back(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b" * 1000 + "</s>"), (1, 1, "assistant", "b" * 1000 + "</s>"), (1, 3, "user", "x\\"), (1, 4, "assistant", None), (1, None, "assistant", "first"), (2, 1, None, ""), (2, 7, "assistant", "é😀" * 300_000), (None, 0, "user", "n")]
+    d = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("rows", F.lit(1)).withColumn("seq", F.lit(1))
+    log = chat.as_log(d)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    got = {r["conv_id"]: r for r in chat.read_back(chat.render(log)).collect()}
+    for c in (1, 2, None):
+        own = sorted(((-1 if t is None else t), r or "", x or "") for i, t, r, x in rows if i == c)
+        assert [(t["role"], t["text"]) for t in got[c]["turns"]] == [(r, x) for _, r, x in own]
+        assert got[c]["loss"] == "".join(x for _, r, x in own if r == "assistant")
+
+
+def test_chat_folds_a_long_stream_in_linear_time(spark):
+    import time
+
+    log = spark.range(100_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("seq"), F.when(F.col("id") % 20_000 == 7, "regenerate").otherwise("delta").alias("kind"), (F.col("id") % 2).alias("turn"), F.lit("assistant").alias("role"), (F.col("id") % 10).cast("string").alias("text"))
+    began = time.time()
+    (got,) = chat.fold(log).collect()
+    assert time.time() - began < 30
+    assert [t["text"] for t in got["turns"]] == [t for _, t in folded([(r["seq"], r["kind"], r["turn"], r["role"], r["text"]) for r in log.collect()])]
+
+
 def test_chat_escape_is_reversible(spark):
     rng = random.Random(6)
     texts = ["".join(rng.choice(["\\", "l", "b", "<", "s>", "/", "[", "INST]", "</s>", "[/ROLE]", "x"]) for _ in range(rng.randint(0, 12))) for _ in range(500)]
