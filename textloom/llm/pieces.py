@@ -6,8 +6,10 @@ worst piece and is written as byte pieces. The path of the best sum of scores wi
 for a model whose scores are merge ranks (then the result may differ from merging pairs).
 
 No piece has a blank after another character, so the best path of a text is that of its units (blanks and what follows them), and the
-units' paths are remembered (``REMEMBERED`` at most). Units that are new in a batch step through the automaton side by side. A literal U+2581, which the models use for the blank, is written as bytes, so that
-decoding gives back every text exactly.
+units' paths are remembered (``REMEMBERED`` at most). Units of more than ``LONGEST_REMEMBERED`` characters, as scripts without blanks have them, are cut
+further between two characters that are neighbours in no piece: no piece spans such a place, so the paths stay the best ones. Units that are new
+in a batch step through the automaton side by side; of those that stay long, few at a time, or one alone. A literal U+2581, which the
+models use for the blank, is written as bytes, so that decoding gives back every text exactly.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 REMEMBERED = 400_000
 LONGEST_REMEMBERED = 64
+#: Positions of units that step side by side (20 bytes each), and the fewest long units for which that pays.
+CELLS, FEWEST = 1 << 20, 12
 BLANK = "▁"
 _UNITS = re.compile(" +[^ ]*")
 
@@ -70,6 +74,9 @@ class Codec:
         self.single = {p: (i, score) for p, i, score in words if len(p) == 1}
         self.columns = {c: k for k, c in enumerate(sorted({c for p, _, _ in words if len(p) > 1 for c in p}), 1)}
         self._build(words)
+        pairs = {self.columns[a] * len(self.columns) + self.columns[b] for p, _, _ in words for a, b in zip(p, p[1:], strict=False)}
+        self.pairs = np.array(sorted(pairs | {-1}), np.int64)  # characters that are neighbours in some piece
+        self.lists: tuple = ()
         self.known: dict[str, bytes] = {}
         self.chars: dict[int, tuple[int, int, float]] = {}
 
@@ -174,6 +181,46 @@ class Codec:
             out[u] = self._spelled(units[u].replace(" ", BLANK), ids[k, h:].tolist()) if k in lost else raw[4 * (k * most + h) : 4 * (k + 1) * most]
         return out
 
+    def viterbi_one(self, unit: str) -> bytes:
+        """``viterbi`` of one long unit, in plain Python: a step a character without the cost of array calls."""
+        text = unit.replace(" ", BLANK)
+        if not self.lists:
+            self.lists = tuple(x.tolist() for x in (self.row, self.first, self.link, self.piece, self.gain, self.size))
+        row, first, link, piece, gain, size = self.lists
+        after, about = self.delta.item, self.chars.get
+        score, back, took = [0.0], [0], [1]
+        state = 0
+        for e, c in enumerate(map(ord, text)):
+            col, own, lone = about(c) or self._char(c)
+            state = after(row[state], col)
+            best, step, length = -np.inf, -1, 1
+            s = first[state]
+            while s >= 0:
+                v = score[e + 1 - size[s]] + gain[s]
+                if v > best:
+                    best, step, length = v, piece[s], size[s]
+                s = link[s]
+            if own > -2 and score[e] + lone > best:
+                best, step, length = score[e] + lone, own, 1
+            score.append(best)
+            back.append(step)
+            took.append(length)
+        ids, at = [], len(text)
+        while at:
+            ids.append(back[at])
+            at -= took[at]
+        ids.reverse()
+        return self._spelled(text, ids) if -1 in ids else np.array(ids, np.int32).tobytes()
+
+    def _cut(self, unit: str) -> list[str]:
+        """A long unit in parts that no piece spans."""
+        codes, at = np.unique(np.frombuffer(unit.replace(" ", BLANK).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+        col = np.array([(self.chars.get(c) or self._char(c))[0] for c in codes.tolist()], np.int64)[at]
+        key = np.where((col[:-1] > 0) & (col[1:] > 0), col[:-1] * len(self.columns) + col[1:], -2)
+        near = self.pairs[np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)] == key
+        ends = [0, *(np.flatnonzero(~near) + 1).tolist(), len(unit)]
+        return [unit[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
     def _spelled(self, unit: str, ids: list[int]) -> bytes:
         """A path on which characters that are no piece become byte pieces."""
         out, at = [], 0
@@ -194,7 +241,10 @@ class Codec:
             for part in (" " + t).split(BLANK) if t else ():
                 units = _UNITS.findall(part)
                 start = part.find(" ")
-                parts.append([part[:start] if start >= 0 else part, *units] if start and part else units)
+                units = [part[:start] if start >= 0 else part, *units] if start and part else units
+                if max(map(len, units), default=0) > LONGEST_REMEMBERED:
+                    units = [x for u in units for x in (self._cut(u) if len(u) > LONGEST_REMEMBERED else (u,))]
+                parts.append(units)
             cut.append(parts)
         needed = set(chain.from_iterable(chain.from_iterable(cut)))
         new = sorted(needed - self.known.keys(), key=len)
@@ -203,8 +253,11 @@ class Codec:
         at = bisect(new, LONGEST_REMEMBERED, key=len)
         for lo in range(0, at, 8192):
             self.known.update(zip(new[lo : min(at, lo + 8192)], self.viterbi(new[lo : min(at, lo + 8192)]), strict=True))
-        for u in new[at:]:
-            self.known[u] = self.viterbi([u])[0]
+        hi = len(new)
+        while hi > at:  # the longest first
+            lo = max(at, hi - max(1, CELLS // len(new[hi - 1])))
+            self.known.update(zip(new[lo:hi], self.viterbi(new[lo:hi]) if hi - lo >= FEWEST else map(self.viterbi_one, new[lo:hi]), strict=True))
+            hi = lo
         literal = np.array([self.byte_id[b] for b in BLANK.encode()], np.int32).tobytes()
         get = self.known.__getitem__
         out = [np.frombuffer(literal.join([b"".join(map(get, units)) for units in parts]), np.int32) for parts in cut]
@@ -281,9 +334,11 @@ def decode(rows: DataFrame, model: str = MODEL, ids_col: str = "ids", out_col: s
 
 
 def with_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids, text_sha256, decoded_sha256, exact: encoding, and whether decoding gives the text back.
+    """doc_id, n_tokens, ids, text_sha256, decoded_sha256, exact: encoding, and whether decoding gives the text back, a row for each of ``docs``.
 
-    Both ways run in one Python stage, so that a task has one worker and one automaton.
+    Null texts count as empty and have no ids; repeated rows and null ids stay as they are; of equally good paths that with the longer last
+    piece is taken, at each place. Other columns are not read, whatever they are called; an empty table gives no rows. Both ways run in one Python stage, so that a task has one worker
+    and one automaton.
     """
     bounded_batches(docs.sparkSession)
     pieces = docs.sparkSession.sparkContext.broadcast(read_model(model))
