@@ -111,8 +111,35 @@ def test_language_held_out_accuracy(spark):
     assert got.filter("score < 0 OR score > 1").count() == 0
 
 
+def test_language_scores_equal_the_kernel(spark):
+    """Predictions against the kernel of whole n-gram sets, without hashing, folding or batches."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").filter("lang IS NOT NULL AND text IS NOT NULL").orderBy("doc_id").limit(120).collect()
+    grams = [{r["text"].lower()[i : i + n] for n in range(1, langid.MAX_N + 1) for i in range(len(r["text"]) - n + 1)} for r in d]
+    rows = np.zeros((len(d), langid.BUCKETS), np.uint8)
+    for row, r in zip(rows, d, strict=True):
+        langid.presence(r["text"], row)
+    model = langid.Model.fit([r["lang"] for r in d[:80]], np.packbits(rows[:80], axis=1))
+    kernel = lambda a, b: np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in b] for x in a])
+    marks = [grams[i] for i in langid._turns([r["lang"] for r in d[:80]])[: langid.LANDMARKS]]
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    root = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    z = np.c_[kernel(grams[:80], marks) @ root, np.ones(80)]
+    f = []
+    for lang in model.langs:
+        y = np.array([1.0 if r["lang"] == lang else -1.0 for r in d[:80]])
+        each = np.where(y > 0, 1 / (y > 0).sum(), 1 / (y < 0).sum())
+        each *= 80 / each.sum()
+        w = np.linalg.solve(z.T @ (z * each[:, None]) + langid.RIDGE * 80 * np.eye(z.shape[1]) / 10, z.T @ (y * each))
+        f.append(np.c_[kernel(grams[80:], marks) @ root, np.ones(40)] @ w)
+    direct = np.exp(langid.STEEP * (np.array(f).T - np.max(f, axis=0)[:, None]))
+    names, scores = model.predict([r["text"] for r in d[80:]])
+    assert names == [model.langs[i] for i in direct.argmax(axis=1)]
+    assert np.abs(scores - (direct / direct.sum(axis=1, keepdims=True)).max(axis=1)).max() < 0.05  # hashing to BUCKETS places
+
+
 def test_language_of_odd_rows(spark):
-    d = docs(spark, [*ODD, "123 !!"])
+    d = docs(spark, [*ODD, "123 !!"]).withColumn("__p", F.lit("mine")).withColumn("told", F.lit("too"))
+    assert {(r["__p"], r["told"]) for r in langid.predict(d, langid.train(d, F.lit(True))).collect()} == {("mine", "too")}
     model = langid.train(d, ~langid.held_out())
     got = {r["doc_id"]: r for r in langid.predict(d, model).collect()}
     assert [got[i]["lang_pred"] for i in (0, 1, 2, len(ODD))] == ["und"] * 4
@@ -175,6 +202,27 @@ def test_compaction_versions_and_commits(spark, tmp_path):
     assert t.append(d.limit(1)) == 9 and t.read(d.schema).count() == 301
 
 
+def test_compaction_keeps_odd_rows_and_clashing_columns(spark, tmp_path):
+    d = docs(spark, [*ODD, "a", "é" * 1_000_000], [*range(len(ODD)), 3, None]).withColumn("arrival", F.concat(F.lit("mine "), F.col("doc_id"))).withColumn("path", F.lit("p")).withColumn("tier", F.lit(None).cast("int"))
+    t = compaction.ShardedTable(spark, f"file://{tmp_path}/t", 1 << 20)
+    with pytest.raises(ValueError):
+        compaction.spread_arrivals(d, 3, "arrival")
+    t.append_each(compaction.spread_arrivals(d, 3, "arrival_"), "arrival_", 3)
+    t.append(d.limit(0))
+    t.compact(d.schema)
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    assert sorted(map(key, t.read(d.schema).collect())) == sorted(map(key, d.collect()))
+    lost = tmp_path / "t" / "data" / "of-a-failed-commit"
+    lost.mkdir()
+    t.vacuum()
+    assert lost.exists()
+    t.vacuum(grace_ms=-10_000)
+    assert not lost.exists() and t.read(d.schema).count() == d.count()
+    table = tmp_path / "sf"
+    d.write.parquet(f"file://{table}/documents.parquet")
+    assert queries.op4_sharding(spark, f"file://{table}").count() == d.count()
+
+
 # op5 ------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -390,6 +438,20 @@ def test_mix_meets_targets_and_reruns(spark):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def test_many_sources_are_mixed_alike(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.choice([0, 1, 3, 3, 40, 300]), None if i % 50 == 0 else f"s{rng.randint(0, 60):02}") for i in range(1500)] + [(5000 + i, "v " * 4000, "s00") for i in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    d = d.withColumns({c: F.lit("x") for c in ("src", "part", "shard", "place", "row", "size", "copies", "k", "at")})
+    key = lambda r: (r["doc_id"], r["source"] or "", r["size"], round(r["target"], 6), r["taken"])
+    here = [sorted(map(key, mixing.mix(d, share=x).collect())) for x in (1.0, 5.0)]
+    copies = sorted(r["doc_id"] for r in mixing.mixed_documents(d).collect())
+    monkeypatch.setattr(mixing, "LOCAL_BYTES", 0)
+    assert [sorted(map(key, mixing.mix(d, share=x).collect())) for x in (1.0, 5.0)] == here
+    got = mixing.mixed_documents(d)
+    assert got.columns == d.columns and sorted(r["doc_id"] for r in got.collect()) == copies
+
+
 # op9 ------------------------------------------------------------------------------------------------------------------------------------
 
 

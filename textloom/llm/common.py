@@ -78,6 +78,13 @@ def release(spark: SparkSession, df: DataFrame) -> None:
         fs.delete(p, True)
 
 
+def new_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    while base.lower() in {c.lower() for c in df.columns}:
+        base += "_"
+    return base
+
+
 def text_of(col: str | Column) -> Column:
     """The text, an empty string if null."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

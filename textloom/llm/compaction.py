@@ -7,13 +7,19 @@ taken that number; then the commit is tried again on top of the newer version.
 
 Compaction puts shards into tiers by size (tier t: ``MIN_BYTES * RATIO^t`` and more). A tier of at least ``MIN_RUN`` shards is merged: its
 shards are packed into runs of up to ``target_bytes``, and each run is read by one task, which writes one file, again without a shuffle.
-Shards of half the target or more are left alone. Readers of an older version keep their files until ``vacuum``.
+Shards of half the target or more are left alone. Readers of an older version keep their files until ``vacuum``, which also removes what
+failed commits and lost compactions have left, once it is older than ``GRACE_MS``.
+
+A manifest's commit needs a file system with an atomic rename that does not replace (HDFS, local disks); one that merely copies, as object
+stores do, needs a lock around ``_commit``.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +29,7 @@ TARGET_BYTES = 128 << 20
 MIN_BYTES = 64 << 10
 RATIO = 4
 MIN_RUN = 4
+GRACE_MS = 24 * 3600 * 1000
 MANIFEST = "path string, bytes long, rows long, tier int"
 
 
@@ -34,7 +41,10 @@ def tier_of(size: int) -> int:
 
 
 class ShardedTable:
-    """Appends, compaction and reads of one sharded table. The driver handles manifests only: one entry a shard."""
+    """Appends, compaction and reads of one sharded table. The driver handles manifests only: one entry a shard.
+
+    Rows are stored as they are: null, empty and very long values, repeated rows (each stays) and columns of any name; their order is not kept.
+    """
 
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES):
         self.spark, self.path, self.target = spark, path.rstrip("/"), target_bytes
@@ -51,6 +61,7 @@ class ShardedTable:
     def _commit(self, change) -> int:
         """Write ``change(latest shards)`` as the next version by an atomic rename; on a lost race, again on the newer version."""
         jvm, tmp = self.spark._jvm, f"{self.path}/manifests/_{uuid.uuid4().hex}"
+        fs = hadoop_path(self.spark, self.path)[0]
         none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         while True:
             version = max(self.versions(), default=0) + 1
@@ -58,11 +69,15 @@ class ShardedTable:
             self.spark.createDataFrame([(s["path"], s["bytes"], s["rows"], s["tier"]) for s in shards], MANIFEST).coalesce(1).write.mode("overwrite").json(tmp)
             context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(hadoop_path(self.spark, tmp)[1].toUri(), self.spark._jsc.hadoopConfiguration())
             try:
+                if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/v{version}")):
+                    continue
                 context.rename(jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/v{version}"), none)
                 return version
-            except Exception as e:
-                if "FileAlreadyExists" not in str(e):
-                    raise
+            except Py4JJavaError as e:
+                # another writer has taken the number meanwhile: whatever a file system calls that, its manifest is there now
+                if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/v{version}")):
+                    fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)
+                    raise e
 
     def _shards(self, folder: str, schema) -> list[dict]:
         """The shards that a write has left in a folder, with their sizes and rows."""
@@ -123,17 +138,23 @@ class ShardedTable:
 
         return self._commit(change)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete the shards that none of the last ``keep`` versions lists; returns how many."""
-        kept = self.versions()[-keep:]
-        live = {s["path"] for v in kept for s in self.manifest(v)}
-        dead = {s["path"] for v in self.versions()[:-keep] for s in self.manifest(v)} - live
-        for v in self.versions()[:-keep]:
+    def vacuum(self, keep: int = 1, grace_ms: int = GRACE_MS) -> int:
+        """Delete the shards that none of the last ``keep`` versions lists, and folders that no commit has listed for ``grace_ms``; returns how many shards."""
+        versions = self.versions()
+        live = {s["path"] for v in versions[-keep:] for s in self.manifest(v)}
+        dead = {s["path"] for v in versions[:-keep] for s in self.manifest(v)} - live
+        for v in versions[:-keep]:
             fs, p = hadoop_path(self.spark, f"{self.path}/manifests/v{v}")
             fs.delete(p, True)
         for f in dead:
             fs, p = hadoop_path(self.spark, f)
             fs.delete(p, False)
+        old = int(time.time() * 1000) - grace_ms
+        for folder, name in (("manifests", lambda p: p.getName().startswith("_")), ("data", lambda p: not any(f"/{p.getName()}/" in x for x in live))):
+            fs, p = hadoop_path(self.spark, f"{self.path}/{folder}")
+            for s in fs.listStatus(p) if fs.exists(p) else []:
+                if name(s.getPath()) and s.getModificationTime() < old:
+                    fs.delete(s.getPath(), True)
         return len(dead)
 
     def read(self, schema, version: int | None = None) -> DataFrame:
@@ -142,6 +163,8 @@ class ShardedTable:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
 
-def spread_arrivals(docs: DataFrame, arrivals: int, by: str = "arrival") -> DataFrame:
-    """Rows with the number of the arrival that they come with, by their id (null: 0)."""
+def spread_arrivals(docs: DataFrame, arrivals: int, by: str) -> DataFrame:
+    """Rows with the number of the arrival that they come with in a new column ``by``, by their id (null: 0); rows of one id come together."""
+    if by in docs.columns:
+        raise ValueError(f"the rows have a column {by!r} of their own")
     return docs.withColumn(by, F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(arrivals)), F.lit(0)).cast("int"))

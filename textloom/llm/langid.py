@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_batches
+from textloom.llm.common import bounded_batches, new_name
 
 MAX_N = 4
 BUCKETS = 1 << 16
@@ -55,6 +55,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_sample(docs: DataFrame, may_learn: Column) -> DataFrame:
     """(lang, text): at most ``MAX_SAMPLE`` labelled rows for which ``may_learn`` holds, spread evenly over the languages by a hash of the id."""
     known = docs.filter(F.coalesce(may_learn, F.lit(False)) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "lang").withColumn("u", F.xxhash64(F.lit(7), "id") / 2.0**64 + 0.5)
+    # a language beyond the MAX_SAMPLE most frequent ones cannot have a row in the sample
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_SAMPLE)
     sizes = {r["lang"]: r["count"] for r in counts.collect()}
     each = max(1, MAX_SAMPLE // max(1, len(sizes)))
@@ -138,7 +139,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with lang_pred and score in (0, 1], by the text alone.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned. Predictions are those of the whole text.
-    Columns that are called lang_pred or score are replaced.
+    Of equal scores the language of the smaller name wins. Columns that are called lang_pred or score are replaced, all others kept; repeated
+    rows stay, and an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.bias))
@@ -150,7 +152,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         names, score = Model(*shared.value).predict(texts.tolist())
         return pd.DataFrame({"lang_pred": names, "score": score})
 
-    return docs.withColumn("__p", run(F.col(text_col))).withColumn("lang_pred", F.col("__p.lang_pred")).withColumn("score", F.col("__p.score")).drop("__p")
+    told = new_name(docs, "told")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.withColumn(told, run(F.col(f"`{text_col}`"))).select(*kept, F.col(f"{told}.lang_pred"), F.col(f"{told}.score"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

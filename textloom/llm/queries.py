@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import chat, compaction, exact_dedup, langid, mixing, near_dedup, pieces, quality, topk, wrapper
-from textloom.llm.common import shared_path, table
+from textloom.llm.common import new_name, shared_path, table
 
 #: Arrivals into which op4 deals the table.
 ARRIVALS = 4
@@ -34,7 +34,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append the documents in ``ARRIVALS`` arrivals, compact, drop what is superseded, and read the committed version back."""
     docs = table(spark, sf_dir, "documents")
     t = compaction.ShardedTable(spark, shared_path(spark, "shards"), OP4_TARGET)
-    t.append_each(compaction.spread_arrivals(docs, ARRIVALS), "arrival", ARRIVALS)
+    by = new_name(docs, "arrival")
+    t.append_each(compaction.spread_arrivals(docs, ARRIVALS, by), by, ARRIVALS)
     t.compact(docs.schema)
     t.vacuum()
     back = t.read(docs.schema)
