@@ -388,10 +388,70 @@ def test_alignment_decides_inside_and_outside_articles(spark):
     assert extracted(spark, [notice.format(t) for t in LONG[:2]]) == [f"{t} Same notice" for t in LONG[:2]]  # two pages tell nothing
 
 
-def test_tree_matching_aligns_what_is_new():
-    trees = [(1, "#root\t1,2\t0\na\t\t0\nb\t\t0"), (2, "#root\t1,2,3\t0\na\t\t0\nx\t\t0\nb\t\t0")]
-    nodes = wrapper.induce(trees)
-    assert nodes[2][1] == nodes[1][1] and nodes[2][3] == nodes[1][2] and nodes[2][2] not in nodes[1]
+def brute_match(a, b):
+    """Size of the largest order-keeping matching of two trees (label, [children])."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for p, x in enumerate(a[1]):
+        for q, y in enumerate(b[1]):
+            best[p + 1][q + 1] = max(best[p][q + 1], best[p + 1][q], best[p][q] + brute_match(x, y))
+    return 1 + best[-1][-1]
+
+
+def flat(tree):
+    lines, todo = [], [tree]
+    for label, kids in todo:
+        lines.append(f"{label}\t{','.join(str(len(todo) + k) for k in range(len(kids)))}\t0")
+        todo += kids
+    return "\n".join(lines)
+
+
+def test_tree_matching_equals_brute_force_and_aligns_what_is_new():
+    rng = random.Random(4)
+    grow = lambda d: (rng.choice("abc"), [grow(d - 1) for _ in range(rng.randint(0, 4))] if d else [])
+    for _ in range(150):
+        a, b = (("#root", [grow(2) for _ in range(rng.randint(0, 5))]) for _ in range(2))
+        x, y = wrapper._tree(flat(a)), wrapper._tree(flat(b))
+        size, pairs = wrapper.match(x, y, 0, 0, {}, (wrapper._prints(x), wrapper._prints(y)))
+        assert size == len(pairs) == len({i for i, _ in pairs}) == len({j for _, j in pairs}) == brute_match(a, b)
+        template = wrapper.grown([flat(a), flat(b)])
+        assert all(n < len(template[0]) for t in (x, y) for n in wrapper.aligned(template, t))
+    one, two = "#root\t1,2\t0\na\t\t0\nb\t\t0", "#root\t1,2,3\t0\na\t\t0\nx\t\t0\nb\t\t0"
+    for template in (wrapper.grown([one, two]), wrapper.grown([one])):  # with the new node, and without
+        p, q = (wrapper.aligned(template, wrapper._tree(t)) for t in (one, two))
+        assert q[1] == p[1] and q[3] == p[2] and q[2] not in p
+
+
+def test_a_host_of_many_layouts_is_aligned_to_its_heaviest(spark, monkeypatch):
+    forms = [f"<div class=top>Same notice</div><div class=x{k}><p>Same box</p></div><div class=body><p>{{}} {k}</p></div>" for k in range(12)]
+    bodies = [forms[k].format(t) for k in range(12) for t in LONG]
+    want = [f"{t} {k}" for k in range(12) for t in LONG]
+    assert extracted(spark, bodies) == want
+    monkeypatch.setattr(wrapper, "TEMPLATE_TREES", 2)
+    assert extracted(spark, bodies) == want
+
+
+def test_induction_decides_texts(spark, monkeypatch):
+    """Without induction (no block is ever frequent enough) the same pages give other texts."""
+    forms = ["<article><p>{}</p><p>Please send us your remarks</p></article>", f"<div class=a><p>{'Same teaser of this host. ' * 9}</p></div><div class=b><p>{{}}</p></div>"]
+    for form in forms:
+        with monkeypatch.context() as m:
+            m.setattr(wrapper, "MIN_PAGES", 1_000_000)
+            assert extracted(spark, [form.format(t) for t in LONG]) != LONG
+        assert extracted(spark, [form.format(t) for t in LONG]) == LONG
+
+
+def test_extraction_of_wide_pages_and_clashing_columns(spark):
+    import time
+
+    wide = "".join(f"<div><p>{'w' * (i % 7)} {i}</p></div><section><h2>h</h2></section>" for i in range(3000))
+    rows = [(i, f"https://w.org/{i}", page(i, f"<article>{wide}<p>{t}</p></article>"), "mine") for i, t in enumerate(LONG)] + [(None, None, "<p>" * 20_000 + "deep", "mine")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumns({c: F.lit(1) for c in ("host", "skel", "blocks", "keep", "drop")})
+    began = time.time()
+    got = {r["page_id"]: r for r in wrapper.extract(d).collect()}
+    assert time.time() - began < 60
+    assert [got[i]["text"].endswith(t) for i, t in enumerate(LONG)] == [True] * 4 and got[None]["text"] == "deep"
 
 
 # op8 ------------------------------------------------------------------------------------------------------------------------------------

@@ -106,10 +106,16 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 5""",
     "op7_html": r"""
-        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS t FROM pages),
-        b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
-        c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM b)
-        SELECT *, length(text) AS n_chars FROM c""",
+        WITH a AS (SELECT page_id, url, lower(regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1), '^www\.', '')) AS host,
+                          string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1|div|ul|li)\b[^>]*>') AS parts FROM pages),
+        b AS (SELECT page_id, url, host, unnest(parts) AS t, generate_subscripts(parts, 1) AS i FROM a),
+        c AS (SELECT page_id, url, host, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS block FROM b),
+        whole AS (SELECT page_id, host, string_agg(block, chr(10) ORDER BY i) AS page FROM c WHERE block <> '' GROUP BY ALL),
+        hosts AS (SELECT host, count(DISTINCT page) AS texts FROM whole GROUP BY host),
+        fixed AS (SELECT c.host, block FROM c JOIN whole USING (page_id) JOIN hosts ON hosts.host = c.host WHERE block <> '' GROUP BY c.host, block, texts HAVING count(DISTINCT page) >= greatest(3, texts / 2)),
+        d AS (SELECT c.*, f.block IS NULL AS own FROM c LEFT JOIN fixed f ON f.host = c.host AND f.block = c.block WHERE c.block <> ''),
+        e AS (SELECT page_id, coalesce(string_agg(block, ' ' ORDER BY i) FILTER (own), string_agg(block, ' ' ORDER BY i)) AS text FROM d GROUP BY page_id)
+        SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM pages LEFT JOIN e USING (page_id)""",
     "op9_chat": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),

@@ -5,7 +5,9 @@ content (paragraphs, lists, tables, ..) as one node. Pages of a host that share
 few skeletons of a host, however many pages it has, and every page counts:
 
 1. each page gives its skeleton and a hash of each block of text with its slot (skeleton node); grouped counts follow;
-2. for each host the skeletons are aligned to a growing template by simple tree matching; a block that stands in one aligned slot on
+2. a host's ``TEMPLATE_TREES`` most frequent skeletons grow its template by simple tree matching. Then every skeleton of the host is aligned to
+   the template by itself, so a host of very many layouts is spread over tasks; a node that the template lacks is known by its way from the
+   node above it. A block that stands in one aligned slot on
    ``MIN_PAGES`` pages of different text at least, and on half of the host's, is template, inside an article as elsewhere, and its varying
    neighbours may be content (copies of a page count once, and a page of template blocks alone keeps them: copies must not empty it);
 3. of the varying slots those of the page's article or main element are content or, where there is none or it holds less than 1 - ``MASS`` of the varying text, those of the smallest element that
@@ -24,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import bounded_batches, materialize, text_of
@@ -36,6 +38,8 @@ LARGE = 80
 NEARLY_ALL = 0.9
 #: Blocks nested deeper than this belong to the skeleton node above them.
 DEEPEST = 64
+#: The skeletons that make a host's template; all others are aligned to it.
+TEMPLATE_TREES = 256
 
 # Element names of HTML and the words by which pages name what is not content.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -306,20 +310,45 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "skel", "slot", "h", "n", "page", "tree"])
 
 
-def match(a: tuple, b: tuple, i: int, j: int, memo: dict) -> tuple[int, list]:
-    """Simple tree matching of node i of a and node j of b: (size, pairs) of the largest order-keeping matching of like labels."""
+def _tree(lines: str) -> tuple[list[str], list[list[int]], list[bool]]:
+    """(labels, children, inside a main element) of a skeleton string."""
+    rows = [x.split("\t") for x in lines.split("\n")]
+    return [x[0] for x in rows], [[int(c) for c in x[1].split(",") if c] for x in rows], [x[2] == "1" for x in rows]
+
+
+def _prints(tree: tuple) -> list[int]:
+    """Hash of each node's subtree; children come after their parents."""
+    out = [0] * len(tree[0])
+    for i in range(len(out) - 1, -1, -1):
+        out[i] = hash((tree[0][i], *(out[c] for c in tree[1][i])))
+    return out
+
+
+def match(a: tuple, b: tuple, i: int, j: int, memo: dict, prints: tuple) -> tuple[int, list]:
+    """Simple tree matching of node i of a and node j of b: (size, pairs) of the largest order-keeping matching of like labels.
+
+    Equal subtrees at either end of the children pair off first, which costs no size: wide pages that differ in few places stay cheap.
+    """
     if a[0][i] != b[0][j]:
         return 0, []
     if (i, j) in memo:
         return memo[i, j]
-    x, y = a[1][i], b[1][j]
+    x, y, same, pairs = list(a[1][i]), list(b[1][j]), [], []
+    while x and y and prints[0][x[0]] == prints[1][y[0]]:
+        same.append((x.pop(0), y.pop(0)))
+    while x and y and prints[0][x[-1]] == prints[1][y[-1]]:
+        same.append((x.pop(), y.pop()))
+    while same:
+        p, q = same.pop()
+        pairs.append((p, q))
+        same += zip(a[1][p], b[1][q], strict=True)
     best = np.zeros((len(x) + 1, len(y) + 1), int)
     for p in range(len(x)):
         for q in range(len(y)):
-            best[p + 1, q + 1] = max(best[p, q + 1], best[p + 1, q], best[p, q] + match(a, b, x[p], y[q], memo)[0])
-    pairs, p, q = [], len(x), len(y)
+            best[p + 1, q + 1] = max(best[p, q + 1], best[p + 1, q], best[p, q] + match(a, b, x[p], y[q], memo, prints)[0])
+    size, p, q = 1 + len(pairs) + int(best[-1, -1]), len(x), len(y)
     while p and q:
-        w = match(a, b, x[p - 1], y[q - 1], memo)
+        w = match(a, b, x[p - 1], y[q - 1], memo, prints)
         if w[0] and best[p, q] == best[p - 1, q - 1] + w[0]:
             pairs += w[1]
             p, q = p - 1, q - 1
@@ -327,19 +356,22 @@ def match(a: tuple, b: tuple, i: int, j: int, memo: dict) -> tuple[int, list]:
             p -= 1
         else:
             q -= 1
-    memo[i, j] = (1 + int(best[-1, -1]), [(i, j), *pairs])
+    memo[i, j] = (size, [(i, j), *pairs])
     return memo[i, j]
 
 
-def induce(trees: list[tuple[int, str]]) -> dict[int, list[int]]:
-    """Template nodes of the slots of each skeleton, from (key, skeleton) in order of weight; the template grows by what is new."""
-    labels, children, out = ["#root"], [[]], {}
-    for key, tree in trees:
-        lines = [x.split("\t") for x in tree.split("\n")]
-        own = ([x[0] for x in lines], [[int(c) for c in x[1].split(",") if c] for x in lines])
-        _, pairs = match((labels, children), own, 0, 0, {})
-        to = {j: i for i, j in pairs}
-        for j in range(len(lines)):  # parents come before their children
+def _matched(template: tuple, own: tuple, prints: list | None = None) -> dict[int, int]:
+    """Template nodes by own nodes."""
+    return {j: i for i, j in match(template, own, 0, 0, {}, (prints or _prints(template), _prints(own)))[1]}
+
+
+def grown(trees: list[str]) -> tuple[list[str], list[list[int]]]:
+    """A template (labels, children) that holds every one of the skeletons, in order of weight; it grows by what is new."""
+    labels, children = ["#root"], [[]]
+    for lines in trees:
+        own = _tree(lines)
+        to = _matched((labels, children), own)
+        for j in range(len(own[0])):  # parents come before their children
             at = 0
             for c in own[1][j]:
                 if c in to:
@@ -350,75 +382,121 @@ def induce(trees: list[tuple[int, str]]) -> dict[int, list[int]]:
                     to[c] = len(labels) - 1
                     children[to[j]].insert(at, to[c])
                     at += 1
-        out[key] = [to[j] for j in range(len(lines))]
+    return labels, children
+
+
+def aligned(template: tuple, own: tuple, prints: list | None = None) -> list[int]:
+    """The node of each slot of a skeleton: the template's, or for what it lacks a hash of the node above, the label and its turn there."""
+    to, out = _matched(template, own, prints), [0] * len(own[0])
+    for j in range(len(own[0])):
+        turns: dict[str, int] = {}
+        for c in own[1][j]:
+            label = own[0][c]
+            if c in to:
+                out[c] = to[c]
+            else:
+                turns[label] = turns.get(label, 0) + 1
+                out[c] = key_of(f"{out[j]} {turns[label]} {label}")
     return out
 
 
-def _decide(pdf):
-    """One host's rows to (host, skel, keep, drop): the slots that are content, and their blocks that are template all the same.
-
-    Rows with tree give a skeleton, those with slot -2 its pages and different texts; other rows give a slot's characters, or with
-    ``common`` those of a block that is frequent on the host.
-    """
+def _templates(pdf):
+    """applyInPandas over one host's heaviest skeletons (host, place, tree): its template."""
     import pandas as pd
 
-    host = pdf["host"].iloc[0]
-    trees = pdf[pdf["slot"] == -1].drop_duplicates("skel").set_index("skel")["tree"].to_dict()
-    size = pdf[pdf["slot"] == -2].set_index("skel")
-    weight = size["pages"].to_dict()
-    order = sorted(trees, key=lambda k: (-weight.get(k, 0), trees[k]))
-    nodes = induce([(k, trees[k]) for k in order])
-    texts = size["d"].sum()
-    frequent = pdf[(pdf["slot"] >= 0) & pdf["common"]]
-    seen: dict[tuple, tuple] = {}
-    for r in frequent.itertuples():
-        lo, hi, d = seen.get(at := (nodes[r.skel][r.slot], r.h), (r.lo, r.hi, 0))
-        seen[at] = min(lo, r.lo), max(hi, r.hi), d + r.d
-    fixed = {at for at, (lo, hi, d) in seen.items() if lo != hi and d >= MIN_PAGES and 2 * d >= texts}
-    mass = {(r.skel, r.slot): r.n for r in pdf[(pdf["slot"] >= 0) & ~pdf["common"]].itertuples()}
-    template: dict[tuple, list] = {}
-    for r in frequent.itertuples():
-        if (nodes[r.skel][r.slot], r.h) in fixed:
-            mass[r.skel, r.slot] -= r.n
-            template.setdefault((r.skel, r.slot), []).append(int(r.h))
-    out = []
-    for k in order:
-        lines = [x.split("\t") for x in trees[k].split("\n")]
-        kids = [[int(c) for c in x[1].split(",") if c] for x in lines]
-        named = {j for j, x in enumerate(lines) if x[0] in NAMED}
-        own = [j for j, x in enumerate(lines) if x[2] == "1" and j not in named]
-        plain = [j for j in range(len(lines)) if j not in named]
-        if texts >= MIN_PAGES and sum(mass.get((k, j), 0) for j in own) < (1 - MASS) * sum(mass.get((k, j), 0) for j in plain):
-            own = []  # what varies is elsewhere
-        if own:
-            keep = list(own)
-        else:
-            vary = {j for j in plain if mass.get((k, j), 0)} or set(plain)
-            heavy = [mass.get((k, j), 0) * (j in vary) for j in range(len(lines))]
-            for j in range(len(lines) - 1, -1, -1):
-                heavy[j] += sum(heavy[c] for c in kids[j])
-            at = 0
-            while True:
-                top = max(kids[at], key=lambda c: heavy[c], default=None)
-                own_text = mass.get((k, at), 0) * (at in vary)
-                if top is None or own_text or heavy[top] < MASS * max(1, heavy[0]) or lines[top][0] == "flow":
-                    break
-                at = top
-            under, todo = set(), [at]
-            while todo:
-                under.add(j := todo.pop())
-                todo += kids[j]
-            keep = sorted(under & vary)
-        # named as noise, but text that varies
-        text = sum(mass.get((k, j), 0) for j in keep)
-        within = {j for j in named if lines[j][2] == "1"} if own else named & under
-        for j in sorted(named):
-            n = mass.get((k, j), 0)
-            if n >= LARGE * weight.get(k, 1) and (j in within and lines[j][0] == "!prose" or (j in within or not own) and n >= NEARLY_ALL * (n + text)):
-                keep.append(j)
-        drop = [{"slot": int(j), "h": h} for j in keep for h in template.get((k, j), ())]
-        out.append((host, int(k), [int(j) for j in keep], drop))
-    return pd.DataFrame(out, columns=["host", "skel", "keep", "drop"])
+    labels, children = grown(pdf.sort_values("place")["tree"].tolist())
+    lines = [f"{label}\t{','.join(map(str, c))}\t0" for label, c in zip(labels, children, strict=True)]
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": ["\n".join(lines)]})
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (host, skel, tree, template) to (host, skel, slot, node)."""
+    last, template, prints = None, ([], []), []
+    for batch in batches:
+        rows = []
+        for host, skel, tree, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if lines != last:
+                last, template = lines, _tree(lines)[:2]
+                prints = _prints(template)
+            rows += [(host, skel, slot, node) for slot, node in enumerate(aligned(template, _tree(tree), prints))]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["host", "skel", "slot", "node"])
+
+
+def decide(tree: tuple, pages: int, texts: int, mass: dict[int, int]) -> list[int]:
+    """The slots of a skeleton that are content.
+
+    ``pages`` have it, ``texts`` is how many different page texts the host has, ``mass`` gives the characters of each slot's varying blocks.
+    """
+    labels, kids, inside = tree
+    named = {j for j, x in enumerate(labels) if x in NAMED}
+    own = [j for j, x in enumerate(inside) if x and j not in named]
+    plain = [j for j in range(len(labels)) if j not in named]
+    if texts >= MIN_PAGES and sum(mass.get(j, 0) for j in own) < (1 - MASS) * sum(mass.get(j, 0) for j in plain):
+        own = []  # what varies is elsewhere
+    under: set[int] = set()
+    if own:
+        keep = list(own)
+    else:
+        vary = {j for j in plain if mass.get(j, 0)} or set(plain)
+        heavy = [mass.get(j, 0) * (j in vary) for j in range(len(labels))]
+        for j in range(len(labels) - 1, -1, -1):
+            heavy[j] += sum(heavy[c] for c in kids[j])
+        at = 0
+        while True:
+            top = max(kids[at], key=lambda c: heavy[c], default=None)
+            own_text = mass.get(at, 0) * (at in vary)
+            if top is None or own_text or heavy[top] < MASS * max(1, heavy[0]) or labels[top] == "flow":
+                break
+            at = top
+        todo = [at]
+        while todo:
+            under.add(j := todo.pop())
+            todo += kids[j]
+        keep = sorted(under & vary)
+    # named as noise, but text that varies
+    text = sum(mass.get(j, 0) for j in keep)
+    within = {j for j in named if inside[j]} if own else named & under
+    for j in sorted(named):
+        n = mass.get(j, 0)
+        if n >= LARGE * pages and (j in within and labels[j] == "!prose" or (j in within or not own) and n >= NEARLY_ALL * (n + text)):
+            keep.append(j)
+    return keep
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (host, skel, tree, pages, texts, mass, drop) to (host, skel, keep, drop)."""
+    for batch in batches:
+        host, skel, tree, pages, texts, mass, drop = (c.to_pylist() for c in batch.columns)
+        keep = []
+        for t, n, m, slots, gone in zip(tree, pages, texts, mass, drop, strict=True):
+            left = {x["slot"]: x["n"] for x in slots or ()}
+            for x in gone or ():
+                left[x["slot"]] -= x["n"]
+            keep.append(decide(_tree(t), n, m, left))
+        out = [[{"slot": x["slot"], "h": x["h"]} for x in gone or ()] for gone in drop]
+        kinds = pa.list_(pa.int32()), pa.list_(pa.struct([("slot", pa.int32()), ("h", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, kinds[0]), pa.array(out, kinds[1])], ["host", "skel", "keep", "drop"])
+
+
+def _wrappers(seen: DataFrame) -> DataFrame:
+    """(host, skel, keep, drop): the slots of each skeleton that are content, and the template blocks in them, from rows of ``_observed``."""
+    trees = materialize(seen.filter("slot = -1").groupBy("host", "skel").agg(F.min("tree").alias("tree")), "trees")
+    blocks = materialize(seen.filter("slot >= 0").groupBy("host", "skel", "slot", "h").agg(F.countDistinct("page").alias("d"), F.min("page").alias("lo"), F.max("page").alias("hi"), F.sum("n").alias("n")), "blocks")
+    sizes = materialize(seen.filter("slot = -2").groupBy("host", "skel").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("page").alias("d")), "sizes")
+    hosts = sizes.groupBy("host").agg(F.sum("d").alias("texts"))
+    heaviest = Window.partitionBy("host").orderBy(F.desc("pages"), "skel")
+    heavy = sizes.select("host", "skel", F.row_number().over(heaviest).alias("place")).filter(F.col("place") <= TEMPLATE_TREES)
+    templates = trees.join(heavy, ["host", "skel"]).select("host", "place", "tree").groupBy("host").applyInPandas(_templates, "host string, template string")
+    nodes = trees.join(materialize(templates, "templates"), "host").select("host", "skel", "tree", "template").mapInArrow(_placed, "host string, skel long, slot int, node long")
+    often = blocks.groupBy("host", "h").agg(F.sum("d").alias("times")).filter(F.col("times") >= MIN_PAGES).join(hosts, "host").filter("2 * times >= texts")
+    frequent = materialize(blocks.join(often, ["host", "h"]).join(nodes, ["host", "skel", "slot"]), "frequent")
+    fixed = frequent.groupBy("host", "node", "h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("d").alias("d"), F.max("texts").alias("texts")).filter((F.col("lo") != F.col("hi")) & (F.col("d") >= MIN_PAGES) & (2 * F.col("d") >= F.col("texts")))
+    gone = frequent.join(fixed.select("host", "node", "h"), ["host", "node", "h"], "left_semi").groupBy("host", "skel").agg(F.collect_list(F.struct("slot", "h", "n")).alias("drop"))
+    mass = blocks.groupBy("host", "skel", "slot").agg(F.sum("n").alias("n")).groupBy("host", "skel").agg(F.collect_list(F.struct("slot", "n")).alias("mass"))
+    known = trees.join(sizes.select("host", "skel", "pages"), ["host", "skel"]).join(mass, ["host", "skel"], "left").join(gone, ["host", "skel"], "left").join(hosts, "host")
+    found = known.select("host", "skel", "tree", "pages", "texts", "mass", "drop").mapInArrow(_decided, "host string, skel long, keep array<int>, drop array<struct<slot:int,h:long>>")
+    return materialize(found, "wrappers")
 
 
 def _parsed(at: int, url: int):
@@ -443,20 +521,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, blocks array<string>.
 
     Character references are decoded, white space inside a block is one space, blocks are joined by one space in page order. A null html is
-    empty and gives an empty text; pages without a host (null or odd urls) are aligned with one another. Extra columns are not read.
+    empty and gives an empty text; pages without a host (null or odd urls) are aligned with one another. Repeated rows stay, each with its text; of
+    skeletons met equally often the smaller hash comes first. Extra columns are not read, whatever they are called; an empty table gives no rows.
     """
     bounded_batches(pages.sparkSession)
     seen = materialize(pages.select("url", text_of("html").alias("html")).mapInArrow(_observed, "host string, skel long, slot int, h long, n long, page long, tree string"), "slots")
-    blocks = materialize(seen.filter("slot >= 0").groupBy("host", "skel", "slot", "h").agg(F.countDistinct("page").alias("d"), F.min("page").alias("lo"), F.max("page").alias("hi"), F.sum("n").alias("n")), "blocks")
-    sizes = seen.filter("slot = -2").groupBy("host", "skel").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("page").alias("d")).withColumn("slot", F.lit(-2))
-    often = blocks.groupBy("host", "h").agg(F.sum("d").alias("times")).filter(F.col("times") >= MIN_PAGES).join(sizes.groupBy("host").agg(F.sum("d").alias("texts")), "host").filter("2 * times >= texts")
-    rows = {"skel": "long", "slot": "int", "common": "boolean", "h": "long", "pages": "long", "d": "long", "lo": "long", "hi": "long", "n": "long", "tree": "string"}
-    zero = {"common": F.lit(False), "tree": F.lit(None)}
-    form = lambda x: x.select("host", *((F.col(c) if c in x.columns else zero.get(c, F.lit(0))).cast(t).alias(c) for c, t in rows.items()))
-    trees = form(seen.filter("slot = -1").select("host", "skel", "slot", "tree").distinct())
-    frequent = form(blocks.join(often, ["host", "h"], "left_semi").withColumn("common", F.lit(True)))
-    known = trees.unionByName(form(sizes)).unionByName(form(blocks.groupBy("host", "skel", "slot").agg(F.sum("n").alias("n")))).unionByName(frequent)
-    kept = materialize(known.groupBy("host").applyInPandas(_decide, "host string, skel long, keep array<int>, drop array<struct<slot:int,h:long>>"), "wrappers")
+    kept = _wrappers(seen)
     whole = pages.select("page_id", "url", text_of("html").alias("html"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.schema.fields if f.name != "html")
     read = whole.mapInArrow(_parsed(2, 1), f"{fields}, __host string, __skel long, __blocks array<struct<slot:int,h:long,text:string>>")
