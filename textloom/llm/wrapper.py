@@ -481,14 +481,14 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _wrappers(seen: DataFrame) -> DataFrame:
     """(host, skel, keep, drop): the slots of each skeleton that are content, and the template blocks in them, from rows of ``_observed``."""
-    trees = materialize(seen.filter("slot = -1").groupBy("host", "skel").agg(F.min("tree").alias("tree")), "trees")
+    trees = seen.filter("slot = -1").groupBy("host", "skel").agg(F.min("tree").alias("tree"))
     blocks = materialize(seen.filter("slot >= 0").groupBy("host", "skel", "slot", "h").agg(F.countDistinct("page").alias("d"), F.min("page").alias("lo"), F.max("page").alias("hi"), F.sum("n").alias("n")), "blocks")
-    sizes = materialize(seen.filter("slot = -2").groupBy("host", "skel").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("page").alias("d")), "sizes")
+    sizes = seen.filter("slot = -2").groupBy("host", "skel").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("page").alias("d"))
     hosts = sizes.groupBy("host").agg(F.sum("d").alias("texts"))
     heaviest = Window.partitionBy("host").orderBy(F.desc("pages"), "skel")
     heavy = sizes.select("host", "skel", F.row_number().over(heaviest).alias("place")).filter(F.col("place") <= TEMPLATE_TREES)
     templates = trees.join(heavy, ["host", "skel"]).select("host", "place", "tree").groupBy("host").applyInPandas(_templates, "host string, template string")
-    nodes = trees.join(materialize(templates, "templates"), "host").select("host", "skel", "tree", "template").mapInArrow(_placed, "host string, skel long, slot int, node long")
+    nodes = trees.join(templates, "host").select("host", "skel", "tree", "template").mapInArrow(_placed, "host string, skel long, slot int, node long")
     often = blocks.groupBy("host", "h").agg(F.sum("d").alias("times")).filter(F.col("times") >= MIN_PAGES).join(hosts, "host").filter("2 * times >= texts")
     frequent = materialize(blocks.join(often, ["host", "h"]).join(nodes, ["host", "skel", "slot"]), "frequent")
     fixed = frequent.groupBy("host", "node", "h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("d").alias("d"), F.max("texts").alias("texts")).filter((F.col("lo") != F.col("hi")) & (F.col("d") >= MIN_PAGES) & (2 * F.col("d") >= F.col("texts")))
