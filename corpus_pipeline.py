@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import exact_dedup, langid, mixing, near_dedup, pieces
-from textloom.llm.common import materialize, table
+from textloom.llm.common import mark, materialize, release_since, table
 
 #: A prediction whose score is below this many times that of a guess between the learned languages is a rejection.
 LEAST_LIFT = 1.2
@@ -60,7 +60,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, began = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release_since(spark, began, docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -657,3 +657,19 @@ def test_pipeline_language_stage_drops_what_it_cannot_tell(spark):
     _, scores = model.predict([t for t, _ in said[:-1]])
     assert len(model.langs) == 20 and min(scores) < 0.3
     assert ids(cp.language_id(spark, many, SF)) == [i for i, s in enumerate(scores) if s >= 1.2 / 20] and sum(s >= 1.2 / 20 for s in scores) == len(scores)
+
+
+def test_pipeline_takes_odd_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    texts = [*ODD, "the same words stand here again and again for all to read", "the same words stand here again and again for all to read", None]
+    more = docs(spark, texts, [*range(len(ODD)), 70, 70, None]).withColumns({c: F.lit("mine") for c in ("row", "sha", "tied", "src", "part", "__p", "h")})
+    more.write.parquet(f"file://{tmp_path}/odd/documents.parquet")
+    got = cp.run(spark, f"file://{tmp_path}/odd").collect()
+    assert all(r["exact"] for r in got) and {r["doc_id"] for r in got} <= {*range(len(ODD)), 70, None}
+    at = more
+    for name, stage in cp.STAGES[:-1]:
+        at = materialize(stage(spark, at, ""), name)
+        assert at.columns == more.columns and {r["row"] for r in at.select("row").distinct().collect()} <= {"mine"}
+    more.limit(0).write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    assert cp.run(spark, f"file://{tmp_path}/none").count() == 0

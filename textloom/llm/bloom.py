@@ -83,23 +83,34 @@ def _filter(hashes: DataFrame, rows: int, which: str):
     bits = np.zeros((blocks, (1 << BLOCK_LOG2) // 8), np.uint8)
     for r in merged:
         bits[r["block"]] |= np.frombuffer(bytes(r[which]), np.uint8)
-    shared = hashes.sparkSession.sparkContext.broadcast(bits)
+    return hashes.sparkSession.sparkContext.broadcast(bits)
 
+
+def held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether a filter holds 64-bit hashes, as far as it can tell."""
+    block, p, q = positions(h, bits.shape[0])
+    hit = lambda x: (bits[block, x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1
+    return (hit(p) & hit(q)).astype(bool)
+
+
+def _tester(shared):
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
-        v = shared.value
-        block, p, q = positions(h.to_numpy(np.int64), v.shape[0])
-        hit = lambda x: (v[block, x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1
-        return pd.Series((hit(p) & hit(q)).astype(bool))
+        return pd.Series(held(shared.value, h.to_numpy(np.int64)))
 
     return maybe
 
 
 def repeated_filter(hashes: DataFrame, rows: int):
     """A Column function of a 64-bit hash: false only if it occurs at most once in the one-column table ``hashes``."""
-    return _filter(hashes, rows, "again")
+    return _tester(_filter(hashes, rows, "again"))
 
 
 def member_filter(hashes: DataFrame, rows: int):
     """A Column function of a 64-bit hash: false only if it does not occur in the one-column table ``hashes``."""
+    return _tester(member_bits(hashes, rows))
+
+
+def member_bits(hashes: DataFrame, rows: int):
+    """The broadcast filter of the one-column table ``hashes``, for ``held`` in functions on batches."""
     return _filter(hashes, rows, "first")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,19 +64,34 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+_MADE = threading.local()
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here, lost executors cost nothing before it."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
+    mark()
+    _MADE.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a materialised table that no later plan reads."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        fs, p = hadoop_path(spark, f)
-        fs.delete(p, True)
+def mark() -> int:
+    """How many tables this thread has materialised, for ``release_since``."""
+    _MADE.paths = getattr(_MADE, "paths", [])
+    return len(_MADE.paths)
+
+
+def release_since(spark: SparkSession, began: int, *keep: DataFrame) -> None:
+    """Delete the tables that this thread has materialised since ``began`` and that no later plan reads; ``keep`` stay."""
+    kept = [f for df in keep for f in df.inputFiles()]
+    for path in _MADE.paths[began:]:
+        tail = path.rsplit("/", 1)[1]
+        if not any(f"/{tail}/" in f for f in kept):
+            fs, p = hadoop_path(spark, path)
+            fs.delete(p, True)
+            _MADE.paths.remove(path)
 
 
 def new_name(df: DataFrame, base: str) -> str:

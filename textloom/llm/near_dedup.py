@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import bloom
-from textloom.llm.common import bounded_batches, materialize, text_of, tidied
+from textloom.llm.common import bounded_batches, mark, materialize, release_since, text_of, tidied
 
 CIRCLE_LOG2 = 20
 CIRCLE = 1 << CIRCLE_LOG2
@@ -139,9 +139,12 @@ def _sketch(width: int, bands: int, rows: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, wanted):
+    """mapInArrow over (doc, text, h): the sets and wide signatures of documents whose hash the broadcast filter ``wanted`` holds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(bloom.held(wanted.value, batch.column(2).to_numpy(zero_copy_only=False))))
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 sets = [shingles(t, width) for t in part.column(1).to_pylist()]
@@ -298,6 +301,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     than ``width`` make one shingle. Rows alike in id are one node. An empty table gives no rows; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
+    began = mark()
     bands, rows = banding(num / den)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
     sketch = materialize(source.mapInArrow(tidied(_sketch(width, bands, rows)), "doc long, n long, fa long, fb long, keys array<long>, sig binary"), "sketch")
@@ -309,10 +313,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     members = materialize(exploded.join(buckets, "key"), "members")
 
     ids = materialize(members.select("doc").distinct(), "candidates")
-    maybe = bloom.member_filter(ids.select(F.xxhash64("doc")), ids.count())
-    # written in between, so that a task never has two Python workers
-    wanted = materialize(source.filter(F.col("doc").isNotNull() & maybe(F.xxhash64("doc"))), "wanted")
-    sets = materialize(wanted.mapInArrow(tidied(_sets(width)), "doc long, items binary, wide binary"), "sets")
+    wanted = bloom.member_bits(ids.select(F.xxhash64("doc")), ids.count())
+    # tested where the sets are made: a task has one Python worker, and as many tasks share the work as read the texts
+    sets = materialize(source.filter("doc IS NOT NULL").withColumn("h", F.xxhash64("doc")).mapInArrow(tidied(_sets(width, wanted)), "doc long, items binary, wide binary"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("doc").alias(x), F.col("items").alias(f"{x}_items")) for x in "ab")
@@ -346,6 +349,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     ends = classes.join(roots.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     ends = materialize(ends.join(joined.select(F.col("node").alias("root"), F.col("root").alias("end")), "root", "left").select("fa", "fb", "n", F.coalesce("end", "root").alias("end")), "ends")
+    release_since(docs.sparkSession, began, sketch, ends)
     found = sketch.select("doc", "n", "fa", "fb").join(ends, ["fa", "fb", "n"], "left")
     comp = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("end")).otherwise(F.col("doc"))
     return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc"), F.lit(True)).alias("kept"))
