@@ -28,7 +28,7 @@ def test_chunks_of_documents_of_any_length(spark, tmp_path):
             reason[i, k] = "short" if len(c.split()) < 25 else "duplicate" if c in seen else "kept"
             seen |= {c} if reason[i, k] == "kept" else set()
     assert max(k for _, k in reason) > 2
-    stats = registry.QUERIES["whole_process_stats"](spark, sf).first()
+    stats = registry.QUERIES["process_stats"](spark, sf).first()
     assert stats["pieces"] == len(reason) and (stats["dropped_nav"], stats["dropped_garbage"]) == (0, 0)
     assert [stats[x] for x in ("kept", "dropped_short", "dropped_duplicate")] == [sum(v == x for v in reason.values()) for x in ("kept", "short", "duplicate")]
     want, count = [], defaultdict(int)
@@ -36,7 +36,7 @@ def test_chunks_of_documents_of_any_length(spark, tmp_path):
         if r == "kept":
             want.append((i, k, i % 50, count[i % 50]))
             count[i % 50] += 1
-    assert sorted(tuple(r)[:4] for r in registry.QUERIES["whole_chunk_index"](spark, sf).collect()) == want
+    assert sorted(tuple(r)[:4] for r in registry.QUERIES["chunk_index"](spark, sf).collect()) == want
     assert sorted(tuple(r) for r in registry.QUERIES["chunk_drop_reasons"](spark, sf).collect()) == sorted((i, k, r) for (i, k), r in reason.items())
 
 
@@ -45,7 +45,7 @@ def test_boost_of_every_document(spark, tmp_path):
     words = "water permit office county clerk the of road src1".split()
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(25)]
     asked = ["water permit office of county clerk", "road road src1 water the clerk now", "too few words"]
-    got = {(r["query_id"], r["chunk_id"]): r["boost"] for r in registry.QUERIES["whole_keyword_boost"](spark, tables(spark, tmp_path, texts, asked)).collect()}
+    got = {(r["query_id"], r["chunk_id"]): r["boost"] for r in registry.QUERIES["keyword_boost"](spark, tables(spark, tmp_path, texts, asked)).collect()}
     want = {}
     for q, question in enumerate(asked[:2]):
         w = question.split()
@@ -66,10 +66,10 @@ def test_texts_beyond_their_heads(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{sf}/conversations.parquet")
     spark.createDataFrame([(i, "u", "") for i in range(4)], "page_id long, url string, html string").write.parquet(f"{sf}/pages.parquet")
     run = lambda name: registry.QUERIES[name](spark, sf).collect()
-    assert {r["doc_id"]: r["h"] for r in run("whole_shortcode_strip")} == {i: sha("x  " + t.replace("[gallery x]", "") + " [keep]") for i, t in enumerate(texts)}
-    assert sorted((r["conv_id"], r["pos"], r["n"]) for r in run("whole_citation_extract")) == [(0, 0, 3), (0, 1, 1), (2, 0, 3), (3, 0, 3), (3, 1, 2)]
-    assert {r["conv_id"]: r["h"] for r in run("whole_citation_strip")}[2] == sha(head.strip())
-    assert {r["conv_id"]: (r["h"], r["n_citations"]) for r in run("whole_grounding_downgrade")}[2] == (sha(rows[1][3]), 1)
-    assert len(run("whole_refusals")) == 3 and len(run("whole_hashing_embeddings")) == 3 * 64
-    assert {r["doc_id"]: r["h"] for r in run("whole_upsert_replace")} == {0: sha("new " + texts[0]), 1: sha(texts[1]), 2: sha(texts[2])}
-    assert {r["page_id"] for r in run("whole_court_judge_asof")} == {0, 1, 2, 3}
+    assert {r["doc_id"]: r["h"] for r in run("shortcode_strip")} == {i: sha("x  " + t.replace("[gallery x]", "") + " [keep]") for i, t in enumerate(texts)}
+    assert sorted((r["conv_id"], r["pos"], r["n"]) for r in run("citation_extract")) == [(0, 0, 3), (0, 1, 1), (2, 0, 3), (3, 0, 3), (3, 1, 2)]
+    assert {r["conv_id"]: r["h"] for r in run("citation_strip")}[2] == sha(head.strip())
+    assert {r["conv_id"]: (r["h"], r["n_citations"]) for r in run("grounding_downgrade")}[2] == (sha(rows[1][3]), 1)
+    assert len(run("refusals")) == 3 and len(run("hashing_embeddings")) == 3 * 64
+    assert {r["doc_id"]: r["h"] for r in run("upsert_replace")} == {0: sha("new " + texts[0]), 1: sha(texts[1]), 2: sha(texts[2])}
+    assert {r["page_id"] for r in run("court_judge_asof")} == {0, 1, 2, 3}

@@ -104,4 +104,18 @@ RGB_COLOUR = r"rgba?\(\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)"
 CSS_VAR = r"(?i)(--[\w-]*(?:color|primary|secondary|accent|brand|main)[\w-]*)\s*:\s*([^;]+);"
 FONT_FAMILY = r"(?i)font-family\s*:\s*([^;}{]+)[;}]"
 ICON_FONT = r"icon|glyph|awesome|dashicon|fontello|material"
-ENTITIES = (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+TRACKERS = (
+    r"<!-- Google tag \(gtag\.js\) -->",
+    r"<script[^>]*googletagmanager[^>]*>\s*</script>",
+    r"<script>\s*window\.dataLayer[\s\S]*?gtag\('config'[\s\S]*?</script>",
+    r"<script[^>]*siteanalyze[^>]*>\s*</script>",
+    r'<script type="speculationrules">[\s\S]*?</script>',
+    r'<script id="wp-emoji-settings"[\s\S]*?</script>',
+    r'<script type="module">[\s\S]*?wp-emoji[\s\S]*?</script>',
+    r"<script[^>]*wp-emoji-release[^>]*>\s*</script>",
+)
+ENTITIES = (
+    ("&nbsp;", "\u00a0"), ("&#160;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'"), ("&ndash;", "–"), ("&#8211;", "–"),
+    ("&mdash;", "—"), ("&#8212;", "—"), ("&lsquo;", "‘"), ("&#8216;", "‘"), ("&rsquo;", "’"), ("&#8217;", "’"), ("&ldquo;", "“"), ("&#8220;", "“"), ("&rdquo;", "”"), ("&#8221;", "”"), ("&hellip;", "…"),
+    ("&#8230;", "…"), ("&bull;", "•"), ("&laquo;", "«"), ("&raquo;", "»"), ("&reg;", "®"), ("&trade;", "™"), ("&#038;", "&"), ("&amp;", "&"),
+)

@@ -54,7 +54,7 @@ def looks_like_html(c: ColumnLike) -> Column:
 
 
 def to_markdown(c: ColumnLike) -> Column:
-    """Main content as Markdown: the article or main element (else the body) without chrome, headings as ``#``, list items as ``- ``."""
+    """Main content as Markdown: the article or main element (else the body) without chrome, headings as ``#``, list items as ``- ``, table rows as ``| cell | cell |``."""
     def content(t: Column) -> Column:
         parts = [F.regexp_extract(t, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1) for tag in ("article", "main")]
         body = F.regexp_extract(t, r"(?is)<body\b[^>]*>(.*)", 1)
@@ -64,6 +64,9 @@ def to_markdown(c: ColumnLike) -> Column:
     t = F.regexp_replace(t, r"\s+", " ")
     for n in range(1, 7):
         t = F.regexp_replace(t, rf"(?i)<h{n}\b[^>]*>\s*", "\n" + "#" * n + " ")
+    # a row of a table is a line with its cells between bars
+    t = F.regexp_replace(F.regexp_replace(t, r"(?i)</t[dh]\s*>\s*<t[dh]\b[^>]*>\s*", " | "), r"(?i)<tr\b[^>]*>\s*<t[dh]\b[^>]*>\s*", "\n| ")
+    t = F.regexp_replace(t, r"(?i)\s*</t[dh]\s*>\s*</tr\s*>", " |\n")
     t = F.regexp_replace(t, r"(?i)<li\b[^>]*>\s*", "\n- ")
     t = F.regexp_replace(t, r"(?i)</?(p|div|br|ul|ol|li|h[1-6]|table|tr|section|article|header|blockquote|pre|dl|dt|dd)\b[^>]*>", "\n")
     t = decode_entities(F.regexp_replace(t, r"<[^>]*>", ""))

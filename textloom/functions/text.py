@@ -75,26 +75,30 @@ def sentence_marks(c: ColumnLike) -> Column:
 
 def looks_like_nav(c: ColumnLike) -> Column:
     """Menus and link lists: few words without a sentence mark, a menu prefix or phrase, or many short lines with hardly a mark."""
-    t = trim_all(c)
-    marks = sentence_marks(t)
-    lines = F.filter(F.transform(F.split(t, r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"), trim_all), lambda x: x != "")
-    n = F.size(lines)
-    total = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x))
-    phrase = F.lit(False)
-    for p in config.NAV_PHRASES:
-        phrase = phrase | F.lower(t).contains(p)
-    return (
-        ((marks == 0) & (word_count(t) < 12))
-        | ((marks == 0) & t.rlike(rf"(?i)^{config.NAV_PREFIX}\b"))
-        | ((marks <= 1) & phrase)
-        | ((n >= 10) & (marks <= F.greatest(F.lit(1), F.floor(n * 0.08))) & (total < 45 * n))
-    )
+    return let(trim_all(c), _nav)
+
+
+def _nav(t: Column) -> Column:
+    def of(x: Column) -> Column:
+        marks, n, total = x["marks"], x["n"], x["total"]
+        phrase = F.lit(False)
+        for p in config.NAV_PHRASES:
+            phrase = phrase | F.lower(t).contains(p)
+        return (
+            ((marks == 0) & (word_count(t) < 12))
+            | ((marks == 0) & t.rlike(rf"(?i)^{config.NAV_PREFIX}\b"))
+            | ((marks <= 1) & phrase)
+            | ((n >= 10) & (marks <= F.greatest(F.lit(1), F.floor(n * 0.08))) & (total < 45 * n))
+        )
+
+    lengths = F.filter(F.transform(F.split(t, r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.length(trim_all(x))), lambda n: n > 0)
+    counted = let(lengths, lambda ns: F.struct(sentence_marks(t).alias("marks"), F.size(ns).alias("n"), F.aggregate(ns, F.lit(0), lambda a, n: a + n).alias("total")))
+    return let(counted, of)
 
 
 def looks_like_garbage(c: ColumnLike) -> Column:
     """Twenty words or more, over two fifths of them single characters."""
-    w = words(c)
-    return (F.size(w) >= 20) & (F.size(F.filter(w, lambda x: F.length(x) == 1)) > 0.40 * F.size(w))
+    return let(words(c), lambda w: (F.size(w) >= 20) & (F.size(F.filter(w, lambda x: F.length(x) == 1)) > 0.40 * F.size(w)))
 
 
 def looks_like_shell(c: ColumnLike) -> Column:

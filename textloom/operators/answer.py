@@ -9,6 +9,7 @@ from textloom import config
 from textloom.embedders import Answerer, ExtractiveAnswerer, IdentityRewriter, Rewriter
 from textloom.functions import text as T
 from textloom.operators import search
+from textloom.scratch import materialize
 
 S = config.SETTINGS
 
@@ -57,7 +58,8 @@ def answer(queries: DataFrame, chunks: DataFrame, vocab: DataFrame, embedder, an
     history = F.col("history") if "history" in queries.columns else F.lit("")
     asked = queries.select("query_id", F.col("question").alias("original"), rewriter.rewrite(F.col("question"), history).alias("question"))
     asked = embedder.embed(asked, "question", "q_vec", query=True)
-    found = search.hybrid(asked, chunks, vocab, k)
+    asked = materialize(asked, "asked")
+    found = materialize(search.hybrid(asked, chunks, vocab, k), "found")
     gated = search.gate(found, asked)
     whole = asked.join(gated, "query_id").join(passages(found, chunks), "query_id", "left")
     said = F.when(F.col("relevant"), answerer.answer(F.col("original"), F.col("passages"))).otherwise(F.lit(S.not_available_message))

@@ -112,14 +112,7 @@ def brand(sheets: DataFrame, key: str) -> DataFrame:
     return base.select(key, *[F.coalesce(v, F.lit(NEUTRAL[k])).alias(k) for k, v in got.items()], top.alias("top_colors"), lost.alias("fallbacks"))
 
 
-TRACKERS = (
-    r"(?is)<script[^>]*\b(?:googletagmanager|siteanalyze|wp-emoji-release)[^>]*>\s*</script>",
-    r"(?is)<script>\s*window\.dataLayer.*?</script>",
-    r"(?is)<script type=\"speculationrules\">.*?</script>",
-)
-
-
-def rewrite_saved_page(html: Column, trackers: tuple = TRACKERS, asset_prefixes: tuple = (), images: str | None = None, inject: str = "") -> tuple[Column, Column]:
+def rewrite_saved_page(html: Column, trackers: tuple = config.TRACKERS, asset_prefixes: tuple = (), images: str | None = None, inject: str = "") -> tuple[Column, Column]:
     """(html, removed): trackers removed and counted, srcset dropped, asset folders renamed, images made local, ``inject`` before the first </body>."""
     out, removed = html, F.lit(0)
     for p in trackers:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom import config
 from textloom.functions import text as T
+from textloom.scratch import materialize
 
 S = config.SETTINGS
 
@@ -67,7 +68,7 @@ def judged(cut: DataFrame, order: list[str]) -> DataFrame:
 
     First wins by the order columns: the smallest order of a hash is a grouped minimum, so a text of many copies does not meet in one task.
     """
-    marked = cut.withColumn("reason", drop_reason()).withColumn("h", T.text_hash("text"))
+    marked = materialize(cut.withColumn("reason", drop_reason()).withColumn("h", T.text_hash("text")), "marked")  # else cut and judged twice
     first = marked.filter("reason IS NULL").groupBy("h").agg(F.min(F.struct(*order)).alias("first"))
     both = marked.join(first, "h", "left")
     return both.withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.struct(*order) != F.col("first"), "duplicate")).drop("first")

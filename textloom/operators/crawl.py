@@ -11,6 +11,7 @@ from textloom import config
 from textloom.functions import html as H
 from textloom.functions import text as T
 from textloom.functions import urls as U
+from textloom.scratch import numbered
 
 S = config.SETTINGS
 
@@ -36,7 +37,8 @@ def frontier_step(edges: DataFrame, seen: DataFrame, allowed: tuple, budget: int
     found = edges.filter(T.let(F.col("dst_url"), lambda u: U.in_scope(u, allowed) & ~U.is_trap(u) & ~U.is_asset(u)))
     first = found.groupBy(F.col("dst_url").alias("url")).agg(F.min(F.struct("page_id", "link_ord")).alias("at"))
     fresh = first.join(seen.select("url"), "url", "left_anti").withColumn("class", F.when(U.priority("url") < 0, 0).otherwise(1).cast("long"))
-    ranked = fresh.orderBy("class", "at", "url").limit(budget)
+    # places are given by sorted partitions, so the frontier is not gathered in one task
+    ranked = numbered(fresh, [F.col("class"), F.col("at"), F.col("url")], "place").filter(F.col("place") < budget)
     return ranked.select("url", "class", F.col("at.page_id").alias("page_id"), F.col("at.link_ord").alias("link_ord"))
 
 
@@ -90,32 +92,30 @@ def expand_sitemaps(roots: DataFrame, fetched: DataFrame, most_depth: int = 5) -
     return out.distinct()
 
 
-def allowed_by_robots(urls: DataFrame, robots: dict[str, str], agent: str = "*", url_col: str = "url") -> DataFrame:
-    """``urls`` with ``allowed``, by each host's robots text; hosts without one, and texts that cannot be read, allow all."""
-    rules = dict(robots)
+def allowed_by_robots(urls: DataFrame, robots: DataFrame, agent: str = "*", url_col: str = "url") -> DataFrame:
+    """``urls`` with ``allowed``, by each host's text in ``robots`` (host, robots); hosts without one, and texts that cannot be read, allow all."""
 
-    def check(u):
-        from urllib.parse import urlparse
+    def check(url, text):
         from urllib.robotparser import RobotFileParser
 
-        made: dict = {}
+        import pandas as pd
 
-        def ok(x: str) -> bool:
+        made: dict = {}
+        out = []
+        for u, t in zip(url, text, strict=True):
             try:
-                host = urlparse(x).netloc.lower()
-                if host not in rules:
-                    return True
-                if host not in made:
+                if t not in made:
                     p = RobotFileParser()
-                    p.parse(rules[host].splitlines())
-                    made[host] = p
-                return made[host].can_fetch(agent, x)
-            except Exception:  # any failure allows
-                return True
-
-        return u.map(ok).astype(bool)
-
-    return urls.withColumn("allowed", F.pandas_udf(check, "boolean")(F.col(url_col)))
+                    p.parse(t.splitlines())
+                    made = {t: p}  # rows of a host come together
+                out.append(made[t].can_fetch(agent, u))
+            except Exception:  # any failure allows, and so does no text
+                out.append(True)
+        return pd.Series(out, dtype=bool)
+
+    rules = robots.select(F.lower("host").alias("__host"), F.col("robots").alias("__robots")).dropDuplicates(["__host"])
+    met = urls.withColumn("__of", F.lower(U.authority(url_col))).join(rules, F.col("__of") == F.col("__host"), "left")
+    return met.withColumn("allowed", F.pandas_udf(check, "boolean")(F.col(url_col), F.col("__robots"))).drop("__of", "__host", "__robots")
 
 
 def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], allowed: tuple, levels: int = 20, budget: int = S.max_pages, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:

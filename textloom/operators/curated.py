@@ -106,19 +106,21 @@ def mentions(texts: DataFrame, key: str, pattern: str, kind: str) -> DataFrame:
 
 
 def court_judges(texts: DataFrame, key: str) -> DataFrame:
-    """(key, court, judge): the first acceptable judge between a court's first mention and the next court's, as an as-of join.
+    """(key, court, judge, number): the first acceptable judge between a court's first mention and the next court's, as an as-of join; empty if none.
 
-    Each judge's mention belongs to the last court mentioned before it; notices and mentions of districts are no judges.
+    Each judge's mention belongs to the last court mentioned before it; the bare words notice and important, and what names a district, are no judges.
     """
     courts = mentions(texts, key, config.COURT, "court")
     courts = courts.groupBy(key, "value").agg(F.min("pos").alias("pos")).select(key, F.lit("court").alias("kind"), "pos", "value")
-    judges = mentions(texts, key, config.JUDGE, "judge").filter(~F.lower("value").rlike("notice|important") & ~F.col("value").contains("District"))
+    judges = mentions(texts, key, config.JUDGE, "judge").filter(~F.lower("value").isin("notice", "important") & ~F.col("value").contains("District"))
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = courts.unionByName(judges).withColumn("court", F.last(F.when(F.col("kind") == "court", F.col("value")), ignorenulls=True).over(w))
-    return placed.filter("kind = 'judge' AND court IS NOT NULL").groupBy(key, "court").agg(F.min_by("value", "pos").alias("judge")).withColumn("number", F.regexp_extract("court", r"^\d+", 0).cast("long"))
+    # a court without a judge keeps its row: its own mention is in its section
+    judge = F.min(F.when(F.col("kind") == "judge", F.struct("pos", "value")))["value"]
+    return placed.filter("court IS NOT NULL").groupBy(key, "court").agg(F.coalesce(judge, F.lit("")).alias("judge")).withColumn("number", F.regexp_extract("court", r"^\d+", 0).cast("long"))
 
 
 def court_overview(pairs: DataFrame, key: str, intro: str) -> DataFrame:
     """(key, text): an overview chunk with a line a court, by number."""
     rows = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("number", "court", "judge"))).alias("ps"))
-    return rows.select(key, F.concat(F.lit(intro + "\n"), F.array_join(F.transform("ps", lambda p: F.concat(F.lit("- "), p["court"], F.lit(" District Court: Judge "), p["judge"])), "\n")).alias("text"))
+    return rows.select(key, F.concat(F.lit(intro + "\n"), F.array_join(F.transform("ps", lambda p: F.concat(F.lit("- "), p["court"], F.lit(" District Court"), F.when(p["judge"] != "", F.concat(F.lit(": Judge "), p["judge"])).otherwise(F.lit("")))), "\n")).alias("text"))

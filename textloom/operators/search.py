@@ -1,33 +1,42 @@
 """Retrieval: exact dense top-k, lexical and typo-tolerant branches, keyword boost and the hybrid ranking.
 
-Questions come as a table. Up to ``BROADCAST_QUERIES`` of them are broadcast (their number is checked first); more are cut into blocks of
-that size, and every row meets every block through an equi-join on the block's number, so no side is ever broadcast unchecked.
+Questions come as a table and are dealt by hash into rounds of about ``ROUND_BYTES``, so what is broadcast has a checked size whatever their number. Rows stay
+where they are: in a round every task goes over its rows once, in Arrow batches, and returns each question's best ones only, so what shuffles
+is in proportion to questions and tasks. All search terms of a round's questions are looked for by one automaton pass over each text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom import config
 from textloom.functions import text as T
-from textloom.functions import vectors as V
+from textloom.scratch import bounded_batches, materialize
 
 S = config.SETTINGS
-BROADCAST_QUERIES = 2048
+ROUND_BYTES = 4 << 20
+#: Rows of an Arrow batch that are scored at once.
+SLAB = 1024
+
 
+def dealt(queries: DataFrame, size: Column) -> list[DataFrame]:
+    """``queries`` in rounds of about ``ROUND_BYTES`` by the Column ``size``."""
+    total = queries.agg(F.sum(size)).first()[0] or 0
+    rounds = max(1, -(-total // ROUND_BYTES))
+    return [queries.filter(F.pmod(F.xxhash64(*queries.columns), F.lit(rounds)) == i) for i in range(rounds)] if rounds > 1 else [queries]
 
-def meet(queries: DataFrame, rows: DataFrame, on: Column | None = None) -> DataFrame:
-    """Each row beside each query (for which ``on`` holds)."""
-    n = queries.count()
-    if n <= BROADCAST_QUERIES:
-        q = F.broadcast(queries)
-        return rows.join(q, on) if on is not None else rows.crossJoin(q)
-    blocks = -(-n // BROADCAST_QUERIES)
-    q = queries.withColumn("__b", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)))
-    r = rows.withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cond = F.col("__b") == F.col("__c")
-    return r.join(q, cond & on if on is not None else cond).drop("__b", "__c")
+
+def meet(queries: DataFrame, rows: DataFrame, size: Column, on: Column | None = None) -> DataFrame:
+    """Each row beside each query (for which ``on`` holds); queries are broadcast a round at a time."""
+    out = None
+    for q in dealt(queries, size):
+        met = rows.join(F.broadcast(q), on) if on is not None else rows.crossJoin(F.broadcast(q))
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def top(rows: DataFrame, by: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -36,11 +45,130 @@ def top(rows: DataFrame, by: list[str], order: list, k: int, rank: str = "rank")
     return rows.withColumn(rank, F.row_number().over(w).cast("long")).filter(F.col(rank) <= k)
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """To four places, halves up by the decimal form, as SQL's round does."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    up = np.floor(np.abs(x) * 1e4 + 0.5)
+    for at in zip(*np.nonzero(np.abs(np.abs(x) * 1e4 + 0.5 - np.rint(np.abs(x) * 1e4 + 0.5)) < 1e-6), strict=True):
+        up[at] = float(Decimal(repr(float(abs(x[at])))).quantize(Decimal("0.0001"), ROUND_HALF_UP)) * 1e4
+    return np.copysign(np.rint(up) / 1e4, x) + 0.0
+
+
+def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosine of each row of q with each of v; sums run over the places in order, as an expression's would."""
+    dot, a, b = np.zeros((len(q), len(v))), np.zeros(len(q)), np.zeros(len(v))
+    for j in range(min(q.shape[1], v.shape[1])):
+        if q[:, j].any():
+            dot += q[:, j][:, None] * v[:, j][None, :]
+    for x, n in ((q, a), (v, b)):
+        for j in range(x.shape[1]):
+            n += x[:, j] * x[:, j]
+    d = np.sqrt(a)[:, None] * np.sqrt(b)[None, :]
+    return np.divide(dot, d, out=np.zeros_like(dot), where=d > 0)
+
+
+class _Best:
+    """The k best (score, id) of each of n lists, ties to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.rows = k, [np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)]
+        self.least = np.full(n, -np.inf)
+
+    def add(self, at: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        ok = score >= self.least[at]
+        at, ids, score = (np.concatenate([x, y[ok]]) for x, y in zip(self.rows, (at, ids, score), strict=True))
+        place = np.unique(ids, return_inverse=True)[1] if len(ids) else np.zeros(0, int)
+        order = np.lexsort((place, -score, at))
+        at, ids, score = at[order], ids[order], score[order]
+        turn = np.arange(len(at)) - np.searchsorted(at, at)
+        self.least[at[turn == self.k - 1]] = score[turn == self.k - 1]
+        self.rows = [x[turn < self.k] for x in (at, ids, score)]
+
+
+def _scan(shared, pool: int, each: int):
+    """mapInArrow over (id, vector[, text]): a task's ``pool`` best rows of each broadcast question, and the ``each`` best that hold each of its variants."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        ids, vectors, variants = shared.value
+        owner = np.array([q for q, vs in enumerate(variants) for _ in vs], np.int64)
+        known: dict[str, list[int]] = {}
+        for slot, v in enumerate(v for vs in variants for v in vs):
+            known.setdefault(v, []).append(slot)
+        slots, find = [np.array(x, np.int64) for x in known.values()], _finder(list(known))
+        dense, lists, kind = _Best(len(ids), max(1, pool)), _Best(len(owner), max(1, each)), None
+        for batch in batches:
+            kind = batch.column(0).type
+            for lo in range(0, batch.num_rows, SLAB):
+                part = batch.slice(lo, SLAB)
+                own = np.array(part.column(0).to_pylist(), object)
+                v = np.array([x or [] for x in part.column(1).to_pylist()], np.float64).reshape(len(own), -1)
+                score = rounded(cosines(vectors, v))
+                if pool:
+                    k = min(pool, len(own))
+                    floor = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+                    q, c = np.nonzero(score >= np.maximum(floor, dense.least)[:, None])
+                    dense.add(q, own[c], score[q, c])
+                if slots:
+                    found = [(c, i) for c, t in enumerate(part.column(2).to_pylist()) for i in find(t or "")]
+                    if found:
+                        at = np.concatenate([slots[i] for _, i in found])
+                        c = np.repeat([c for c, _ in found], [len(slots[i]) for _, i in found])
+                        lists.add(at, own[c], score[owner[at], c])
+        first = np.r_[0, np.cumsum([len(vs) for vs in variants])[:-1]].astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+        for best, question, ord_ in ((dense, lambda at: at, lambda at: np.full(len(at), -1)), (lists, lambda at: owner[at], lambda at: at - first[owner[at]])):
+            at, got, score = best.rows
+            if len(at) and kind is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in question(at)]), pa.array(ord_(at), pa.int32()), pa.array(got.tolist(), kind), pa.array(score)], ["query", "variant_ord", "row", "score"])
+
+    return run
+
+
+def _finder(words: list[str]):
+    """A function from a text to the places in ``words`` of those that it holds."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda t: [i for i, w in enumerate(words) if w in t]
+    if not words:
+        return lambda t: ()
+    machine = ahocorasick.Automaton()
+    for i, w in enumerate(words):
+        machine.add_word(w, i)
+    machine.make_automaton()
+    return lambda t: {i for _, i in machine.iter(t)}
+
+
+def _found(queries: DataFrame, rows: DataFrame, q_id: str, q_vec: str, r_id: str, r_vec: str, pool: int, words: str | None = None, text: str | None = None) -> DataFrame:
+    """(q_id, variant_ord, r_id, score, rank): the dense ``pool`` of each question (variant_ord -1) and, with ``words``, the nearest rows whose text holds each of them.
+
+    ``queries`` is read twice, so it should be written. Null and empty vectors score 0; rows without an id take part under null.
+    """
+    spark = rows.sparkSession
+    bounded_batches(spark)
+    wanted = queries.select(q_id, F.col(q_vec).cast("array<double>").alias("vec"), (F.col(words) if words else F.array().cast("array<string>")).alias("words"))
+    size = F.octet_length(F.col(q_id).cast("string")) + 8 * F.size("vec") + F.aggregate("words", F.lit(0), lambda n, w: n + F.octet_length(w) + 8)
+    source = rows.select(F.col(r_id), F.col(r_vec).cast("array<double>").alias("vec"), *([F.col(text).alias("text")] if text else []))
+    kinds = f"query {queries.schema[q_id].dataType.simpleString()}, variant_ord int, row {rows.schema[r_id].dataType.simpleString()}, score double"
+    out = None
+    for part in dealt(wanted, size):
+        got = part.collect()  # about ROUND_BYTES
+        shared = spark.sparkContext.broadcast(([r[0] for r in got], np.array([r["vec"] or [] for r in got], np.float64).reshape(len(got), -1), [r["words"] or [] for r in got]))
+        if got:
+            met = source.mapInArrow(_scan(shared, pool, S.lexical_matches_per_term), kinds)
+            out = met if out is None else out.unionByName(met)
+    out = out if out is not None else spark.createDataFrame([], kinds)
+    w = Window.partitionBy("query", "variant_ord").orderBy(F.desc("score"), "row")
+    most = F.when(F.col("variant_ord") < 0, pool).otherwise(S.lexical_matches_per_term)
+    ranked = out.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= most)
+    return ranked.select(F.col("query").alias(q_id), "variant_ord", F.col("row").alias(r_id), "score", "rank")
+
+
 def knn(queries: DataFrame, rows: DataFrame, k: int, q_vec: str, r_vec: str, q_id: str, r_id: str) -> DataFrame:
     """(q_id, r_id, score, rank): the k nearest by cosine, rounded to four places; ties to the smaller id."""
-    met = meet(queries.select(q_id, q_vec), rows.select(r_id, r_vec))
-    scored = met.select(q_id, r_id, F.round(V.cosine(q_vec, r_vec), 4).alias("score"))
-    return top(scored, [q_id], [F.desc("score"), r_id], k)
+    return _found(queries, rows, q_id, q_vec, r_id, r_vec, k).drop("variant_ord")
 
 
 def vocabulary(chunks: DataFrame, min_count: int = S.vocab_min_count) -> DataFrame:
@@ -80,7 +208,7 @@ def fuzzy_matches(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     total = F.length("term") + F.length("match")
     room = F.floor((1 - S.fuzzy_min_score / 100) * total + 1e-9)
     close = (2 * F.least(F.length("term"), F.length("match")) >= S.fuzzy_min_score / 100 * total) & (F.levenshtein("term", "match") <= room)
-    met = meet(typos, vocab.select(F.col("term").alias("match")), close)
+    met = meet(materialize(typos, "typos"), vocab.select(F.col("term").alias("match")), F.octet_length("term") + 8, close)
     scored = met.withColumn("score", ratio_udf()(F.col("term"), F.col("match"))).filter(F.col("score") >= S.fuzzy_min_score)
     return top(scored, ["term"], [F.desc("score"), "match"], S.fuzzy_max_matches_per_term)
 
@@ -103,18 +231,20 @@ def variants(terms: Column) -> Column:
 
 def lexical(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, variant_ord, variant, chunk_id, score, rank): per variant, the nearest chunks whose text holds it (case-sensitive)."""
-    asked = queries.select("query_id", "q_vec", F.posexplode(variants(F.concat("terms", "fuzzy"))).alias("variant_ord", "variant"))
-    met = meet(asked, chunks.select("chunk_id", "text", "embedding"), F.col("text").contains(F.col("variant")))
-    scored = met.select("query_id", "variant_ord", "variant", "chunk_id", F.round(V.cosine("q_vec", "embedding"), 4).alias("score"))
-    return top(scored, ["query_id", "variant_ord"], [F.desc("score"), "chunk_id"], S.lexical_matches_per_term)
+    asked = materialize(queries.select("query_id", "q_vec", variants(F.concat("terms", "fuzzy")).alias("variants")), "asked")
+    found = _found(asked, chunks, "query_id", "q_vec", "chunk_id", "embedding", 0, "variants", "text")
+    named = asked.select("query_id", F.posexplode("variants").alias("variant_ord", "variant"))
+    return found.join(named, ["query_id", "variant_ord"]).select("query_id", "variant_ord", "variant", "chunk_id", "score", "rank")
 
 
 def keyword_boost(terms: Column, heading: Column, body: Column, weight: float = S.keyword_boost_weight) -> Column:
     """Up to ``weight``: each distinct term counts 1 as a whole word of the heading, else one half in the body, over the number of terms."""
-    once = F.array_distinct(terms)
-    head, text = T.tokens_set(heading), T.tokens_set(body)
-    hits = F.aggregate(once, F.lit(0.0), lambda a, t: a + F.when(F.array_contains(head, t), 1.0).when(F.array_contains(text, t), 0.5).otherwise(0.0))
-    return F.when(F.size(once) == 0, 0.0).otherwise(weight * F.least(F.lit(1.0), hits / F.size(once)))
+    def boost(words: Column) -> Column:
+        once = F.array_distinct(terms)
+        hits = F.aggregate(once, F.lit(0.0), lambda a, t: a + F.when(F.array_contains(words["head"], t), 1.0).when(F.array_contains(words["text"], t), 0.5).otherwise(0.0))
+        return F.when(F.size(once) == 0, 0.0).otherwise(weight * F.least(F.lit(1.0), hits / F.size(once)))
+
+    return T.let(F.struct(T.tokens_set(heading).alias("head"), T.tokens_set(body).alias("text")), boost)  # words cut once, not for each term
 
 
 def hybrid(queries: DataFrame, chunks: DataFrame, vocab: DataFrame, k: int = S.retrieval_top_k, pool: int = S.retrieval_candidate_pool) -> DataFrame:
@@ -124,9 +254,8 @@ def hybrid(queries: DataFrame, chunks: DataFrame, vocab: DataFrame, k: int = S.r
     equal rerank scores keep the order of finding. ``score`` is the true cosine.
     """
     asked = analysed(queries, vocab).join(queries.select("query_id", "q_vec"), "query_id")
-    dense = knn(asked, chunks, max(k, pool), "q_vec", "embedding", "query_id", "chunk_id")
-    words = lexical(asked, chunks)
-    first = dense.select("query_id", "chunk_id", "score", F.lit(-1).alias("variant_ord"), "rank").unionByName(words.select("query_id", "chunk_id", "score", "variant_ord", "rank"))
+    asked = materialize(asked.withColumn("variants", variants(F.concat("terms", "fuzzy"))), "asked")
+    first = _found(asked, chunks, "query_id", "q_vec", "chunk_id", "embedding", max(k, pool), "variants", "text")
     merged = first.groupBy("query_id", "chunk_id").agg(F.first("score").alias("score"), F.min(F.struct("variant_ord", "rank")).alias("found"))
     ids = merged.join(asked.select("query_id", F.concat("terms", "fuzzy").alias("boost_terms")), "query_id")
     whole = chunks.select("chunk_id", "heading_path", "text").join(ids, "chunk_id")

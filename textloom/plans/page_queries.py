@@ -135,7 +135,7 @@ def _crawled(spark, sf):
 
 
 def _page_chunks(spark, sf):
-    return pages(spark, sf).filter("page_id % 3 <> 0").select(U.normalize("url").alias("source_url"), F.col("page_id").alias("chunk_index"), H.title("html").alias("page_title"), (F.col("page_id") % 10 == 3).alias("is_pdf"))
+    return pages(spark, sf).filter(U.path("url") != "/").select(U.normalize("url").alias("source_url"), F.col("page_id").alias("chunk_index"), H.title("html").alias("page_title"), (F.col("page_id") % 10 == 3).alias("is_pdf"))
 
 
 def chunk_counts(spark, sf):
@@ -210,20 +210,15 @@ def link_grid_text(spark, sf):
     return grids.select("page_id", curated.grid_text(F.col("grids"), "buttons", "Links:").alias("text"))
 
 
-def _court_judges(pages):
+def court_judge_asof(spark, sf):
     t = F.concat(F.lit("107th District Court room 1. Judge Notice Board. Judge A"), F.col("page_id").cast("string"), F.lit("x. Honorable Judge Ann B. Lee\n103rd District Court and 107th District Court: Judge Max Ort, "), F.lit("404th District Court"))
     t = F.regexp_replace(t, r"Judge A\d+x", "Judge Ada Byron")
-    pairs = curated.court_judges(pages.select("page_id", t.alias("text")), "page_id")
+    pairs = curated.court_judges(pages(spark, sf).select("page_id", t.alias("text")), "page_id")
     return pairs.select("page_id", "court", "judge", "number")
 
 
-def court_judge_asof(spark, sf):
-    return _court_judges(pages(spark, sf).filter("page_id % 2 = 0"))
-
-
-def whole_court_judge_asof(spark, sf):
-    """Of all pages; ``court_judge_asof`` has every second, as its SQL does."""
-    return _court_judges(pages(spark, sf))
+def court_overview(spark, sf):
+    return curated.court_overview(court_judge_asof(spark, sf), "page_id", "Courts:")
 
 
 def sitemap_locs(spark, sf):
@@ -232,7 +227,7 @@ def sitemap_locs(spark, sf):
 
 
 def robots_admission(spark, sf):
-    rules = {"thther.example.org": "User-agent: *\nDisallow: /en/\n", "ththed.example.org": "User-agent: *\nDisallow: /\n"}
+    rules = spark.createDataFrame([("thther.example.org", "User-agent: *\nDisallow: /en/\n"), ("ththed.example.org", "User-agent: *\nDisallow: /\n")], "host string, robots string")
     return crawl.allowed_by_robots(pages(spark, sf).select("page_id", "url"), rules).select("page_id", "allowed")
 
 
@@ -240,7 +235,7 @@ QUERIES = {f.__name__: f for f in (
     url_normalize, url_parts, url_registered_domain, url_trap_filter, url_priority, url_asset_class, coverage_key_lookup, same_host_pairs, html_strip_chrome, html_title, html_visible_text, looks_like_html,
     html_links, external_domain_counts, needs_js, route_responses, pdf_verdicts, crawl_report, page_markdown, page_blocks, frontier_step, homepage_lookup, suffix_lookup, chunk_counts, crawled_urls,
     coverage_anti_join, coverage_counts, coverage_lookup, css_colour_counts, css_font_counts, css_vars, brand_roles, contrast_text, html_stylesheet, html_rewrite, html_logo, link_grid_text, court_judge_asof,
-    sitemap_locs, robots_admission, whole_court_judge_asof,
+    sitemap_locs, robots_admission, court_overview,
 )}
 
 # --- SQL ---------------------------------------------------------------------------------------------------------------------------------
@@ -316,7 +311,7 @@ _LINKS = rf"""
     l AS (SELECT page_id, url AS src_url, link_ord::BIGINT AS link_ord, 'https://' || {_BARE} ||
                  (CASE WHEN length(href) > 1 THEN regexp_replace(href, '/+$', '') ELSE '/' END) AS dst_url FROM a)"""
 _CRAWLED = f"c AS (SELECT {_NORM} AS url, page_id % 10 = 3 AS is_pdf, page_id FROM pages), u AS (SELECT url, arg_max(is_pdf, page_id) AS is_pdf FROM c GROUP BY url)"
-_CHUNKS = f"k AS (SELECT {_NORM} AS source_url, page_id, {_TITLE} AS page_title, page_id % 10 = 3 AS is_pdf FROM pages WHERE page_id % 3 <> 0), n AS (SELECT source_url, count(*) AS n_chunks, arg_min(page_title, page_id) AS page_title, arg_max(is_pdf, page_id) AS is_pdf FROM k GROUP BY source_url)"
+_CHUNKS = f"k AS (SELECT {_NORM} AS source_url, page_id, {_TITLE} AS page_title, page_id % 10 = 3 AS is_pdf FROM pages WHERE {_PATH} <> '/'), n AS (SELECT source_url, count(*) AS n_chunks, arg_min(page_title, page_id) AS page_title, arg_max(is_pdf, page_id) AS is_pdf FROM k GROUP BY source_url)"
 _KEY = rf"replace(lower({_HOST}), 'www.', '') || (CASE WHEN regexp_replace({_PATH}, '/+$', '') = '' THEN '/' ELSE regexp_replace({_PATH}, '/+$', '') END)"
 _SHEET = """s AS (SELECT page_id, 'a{color:#' || substr(sha256(url), 1, 6) || '} b{background:#' || substr(sha256(url), 7, 3) || ';} :root{--brand-color: #' || substr(sha256(url), 10, 6) || '; --Main-tone: rgb(' ||
     (page_id % 256) || ', 20, 200); --accent: #ffffff;} p{font-family: ''Font' || (page_id % 5) || ''', serif;} i{font-family: FontAwesome;} q{font-family: inherit}' AS css FROM pages)"""
@@ -411,9 +406,14 @@ ORACLE_SQL = {
         b AS (SELECT *, list_slice(p, 1, len(p) - 1) AS dir FROM a)
         SELECT page_id, sch || '://' || host || '/' || array_to_string(list_concat(list_slice(dir, 1, greatest(len(dir) - 1, 0)), ['img', page_id || '.png']), '/') AS logo FROM b""",
     "link_grid_text": "SELECT page_id, 'Links:' || chr(10) || '- Pay now: /a' || chr(10) || '- P' || page_id || ': /c' AS text FROM pages",
-    "court_judge_asof": "SELECT page_id, unnest(['107th', '103rd']) AS court, unnest(['Ann B. Lee', 'Max Ort']) AS judge, unnest([107, 103])::BIGINT AS number FROM pages WHERE page_id % 2 = 0",
     "sitemap_locs": "SELECT page_id, 'https://example.org/' || page_id || ' https://example.org/b' AS locs FROM pages",
     "robots_admission": f"SELECT page_id, NOT (({_HOST} = 'thther.example.org' AND {_PATH} LIKE '/en/%') OR {_HOST} = 'ththed.example.org') AS allowed FROM pages",
 }
 
-ORACLE_SQL["whole_court_judge_asof"] = ORACLE_SQL["court_judge_asof"].removesuffix(" WHERE page_id % 2 = 0")
+_JUDGES = rf"""t AS (SELECT page_id, '107th District Court room 1. Judge Notice Board. Judge Ada Byron. Honorable Judge Ann B. Lee' || chr(10) || '103rd District Court and 107th District Court: Judge Max Ort, 404th District Court' AS t FROM pages),
+    c AS (SELECT page_id, t, unnest(list_distinct(regexp_extract_all(t, '{config.COURT}', 1))) AS court FROM t), p AS (SELECT *, position(court || ' District Court' IN t) AS pos FROM c),
+    s AS (SELECT page_id, court, substr(t, pos, coalesce(lead(pos) OVER (PARTITION BY page_id ORDER BY pos), length(t) + 1) - pos) AS span FROM p),
+    j AS (SELECT page_id, court, coalesce(list_filter(list_transform(regexp_extract_all(span, '{config.JUDGE}', 1), lambda x: trim(x)), lambda x: lower(x) NOT IN ('notice', 'important') AND NOT contains(x, 'District'))[1], '') AS judge,
+        regexp_extract(court, '^\d+')::BIGINT AS number FROM s)"""
+ORACLE_SQL["court_judge_asof"] = f"WITH {_JUDGES} SELECT * FROM j"
+ORACLE_SQL["court_overview"] = f"WITH {_JUDGES} SELECT page_id, 'Courts:' || chr(10) || string_agg('- ' || court || ' District Court' || CASE WHEN judge <> '' THEN ': Judge ' || judge ELSE '' END, chr(10) ORDER BY number, court, judge) AS text FROM j GROUP BY page_id"

@@ -9,6 +9,7 @@ from textloom import config
 from textloom.embedders import HashingEmbedder, get_embedder
 from textloom.functions import text as T
 from textloom.functions import vectors as V
+from textloom.scratch import materialize
 from textloom.operators import answer, blocks, brand, chunks, index_store, search, sessions
 
 S = config.SETTINGS
@@ -54,12 +55,6 @@ def shell_filter(spark, sf):
 
 
 def shortcode_strip(spark, sf):
-    t = F.concat(F.lit("[caption id=1]x[/caption] [VC_row a] "), F.substring("text", 1, 40), F.lit(" [keep]"))
-    return docs(spark, sf).select("doc_id", F.regexp_replace(t, config.SHORTCODE, "").alias("text"))
-
-
-def whole_shortcode_strip(spark, sf):
-    """Of whole texts, as hashes; ``shortcode_strip`` has their first 40 characters, as its SQL does."""
     t = F.concat(F.lit("[caption id=1]x[/caption] [VC_row a] "), "text", F.lit(" [keep]"))
     return docs(spark, sf).select("doc_id", F.sha2(F.regexp_replace(t, config.SHORTCODE, ""), 256).alias("h"))
 
@@ -104,32 +99,11 @@ def chunk_drop_reasons(spark, sf):
     return chunks.chunk_documents(docs(spark, sf)).select("doc_id", "piece_ord", F.coalesce("reason", F.lit("kept")).alias("reason"))
 
 
-def _short(spark, sf):
-    """Documents that are one chunk each, judged: the chunk filters in a form that plain SQL can follow."""
-    b = blocks.text_blocks(docs(spark, sf)).filter(T.word_count("text") <= S.chunk_max_tokens)
-    return chunks.judged(chunks.pieces(b, ["doc_id"], []), ["doc_id", "piece_ord"])
-
-
-def short_chunk_reasons(spark, sf):
-    return _short(spark, sf).select("doc_id", F.coalesce("reason", F.lit("kept")).alias("reason"))
-
-
 def process_stats(spark, sf):
-    return chunks.process_stats(_short(spark, sf))
-
-
-def chunk_index(spark, sf):
-    c = _short(spark, sf).filter("reason IS NULL").withColumn("site", F.col("doc_id") % 50)
-    return chunks.numbered(c, "site", ["doc_id"]).select("doc_id", "site", "chunk_index", "chunk_id")
-
-
-def whole_process_stats(spark, sf):
-    """Of all chunks of all documents, however long; ``process_stats`` has the documents of one chunk only, as its SQL does."""
     return chunks.process_stats(chunks.chunk_documents(docs(spark, sf)))
 
 
-def whole_chunk_index(spark, sf):
-    """Of all chunks of all documents; their reasons are those of ``chunk_drop_reasons``."""
+def chunk_index(spark, sf):
     c = chunks.chunk_documents(docs(spark, sf)).filter("reason IS NULL").withColumn("site", F.col("doc_id") % 50)
     return chunks.numbered(c, "site", ["doc_id", "piece_ord"]).select("doc_id", "piece_ord", "site", "chunk_index", "chunk_id")
 
@@ -160,31 +134,25 @@ def snippets(spark, sf):
 
 
 def hashing_embeddings(spark, sf):
-    q = get_embedder("hashing").embed(_read(spark, sf, "benchmark"), "text", "v", query=True)
-    return q.select("item_id", F.posexplode("v").alias("p", "x")).select("item_id", F.col("p").cast("long").alias("place"), F.round("x", 6).alias("x"))
-
-
-def whole_hashing_embeddings(spark, sf):
-    """Of all documents; ``hashing_embeddings`` has the benchmark's questions."""
     d = get_embedder("hashing").embed(docs(spark, sf).select("doc_id", "text"), "text", "v")
     return d.select("doc_id", F.posexplode("v").alias("p", "x")).select("doc_id", F.col("p").cast("long").alias("place"), F.round("x", 6).alias("x"))
 
 
 def knn_cosine(spark, sf):
     e = _read(spark, sf, "embeddings")
-    q = e.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
     return search.knn(q, e, S.retrieval_candidate_pool, "q_vec", "embedding", "query_id", "vec_id")
 
 
 def knn_topk_per_query(spark, sf):
     e = _read(spark, sf, "embeddings")
-    q = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
     return search.knn(q, e, S.retrieval_top_k, "q_vec", "embedding", "query_id", "vec_id")
 
 
 def relevance_gate(spark, sf):
     e = _read(spark, sf, "embeddings")
-    q = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
     found = search.knn(q, e, S.retrieval_top_k, "q_vec", "embedding", "query_id", "vec_id").filter("query_id <> vec_id")
     return search.gate(found, q)
 
@@ -217,19 +185,10 @@ def fuzzy_corrections(spark, sf):
     return search.fuzzy_matches(terms, vocab).select("term", "match", F.round("score", 6).alias("score"), "rank")
 
 
-def _boosts(spark, sf, corpus):
-    asked = _asked(spark, sf).select("query_id", T.query_terms("question").alias("terms"))
-    met = search.meet(asked, corpus)
-    return met.select("query_id", "chunk_id", F.round(search.keyword_boost(F.col("terms"), F.col("heading_path"), F.col("text")), 6).alias("boost"))
-
-
 def keyword_boost(spark, sf):
-    return _boosts(spark, sf, _corpus(spark, sf).filter("chunk_id % 10 = 0"))
-
-
-def whole_keyword_boost(spark, sf):
-    """Of all documents; ``keyword_boost`` has every tenth, as its SQL does."""
-    return _boosts(spark, sf, _corpus(spark, sf))
+    asked = materialize(_asked(spark, sf).select("query_id", T.query_terms("question").alias("terms")), "asked")
+    met = search.meet(asked, _corpus(spark, sf), 8 + F.aggregate("terms", F.lit(0), lambda n, t: n + F.octet_length(t) + 8))
+    return met.select("query_id", "chunk_id", F.round(search.keyword_boost(F.col("terms"), F.col("heading_path"), F.col("text")), 6).alias("boost"))
 
 
 def _embedded(spark, sf):
@@ -282,55 +241,31 @@ def question_guard(spark, sf):
     return c.select("conv_id", "turn", sessions.question_guard(q).alias("verdict"), sessions.session_id_ok(session).alias("session_ok"))
 
 
-def _said(spark, sf, head=None):
-    """Assistant turns as answers with markers, from their first ``head`` characters or whole; some are refusals or cite nothing that exists."""
+def _said(spark, sf):
+    """Assistant turns as answers with markers; some are refusals or cite nothing that exists."""
     c = conversations(spark, sf).filter("role = 'assistant'")
-    k, t = F.col("conv_id") % 4, F.substring("text", 1, head) if head else F.col("text")
+    k, t = F.col("conv_id") % 4, F.col("text")
     text = F.when(k == 0, F.concat(t, F.lit(" [1][3] (x) [1] [99]"))).when(k == 1, F.concat(F.lit(S.not_available_message), F.lit(" "))).when(k == 2, t).otherwise(F.concat(t, F.lit(" [2] [0] ( ) [99999999999999999999]")))
     return c.select("conv_id", "turn", text.alias("said"))
 
 
-def _cited(said):
-    n = answer.citation_numbers(F.col("said"), F.lit(3))
-    return said.select("conv_id", "turn", F.posexplode(n).alias("p", "n")).select("conv_id", "turn", F.col("p").cast("long").alias("pos"), "n")
-
-
-def _grounded(said):
-    rows = said.withColumn("raw_answer", F.col("said")).withColumn("citations", answer.citation_numbers(F.col("said"), F.lit(3)))
-    return answer.grounded(rows).select("conv_id", "turn", "answer", F.size("citations").cast("long").alias("n_citations"), "grounded")
-
-
 def citation_extract(spark, sf):
-    return _cited(_said(spark, sf, 80))
+    n = answer.citation_numbers(F.col("said"), F.lit(3))
+    said = _said(spark, sf).select("conv_id", "turn", F.posexplode(n).alias("p", "n"))
+    return said.select("conv_id", "turn", F.col("p").cast("long").alias("pos"), "n")
 
 
 def citation_strip(spark, sf):
-    return _said(spark, sf, 80).select("conv_id", "turn", T.strip_markers("said").alias("text"))
-
-
-def refusals(spark, sf):
-    return _said(spark, sf, 80).select("conv_id", "turn", answer.is_refusal(F.col("said")).alias("refusal"))
-
-
-def grounding_downgrade(spark, sf):
-    return _grounded(_said(spark, sf, 80))
-
-
-def whole_citation_extract(spark, sf):
-    """This and the next three of whole turns; the queries without ``whole`` have their first 80 characters, as their SQL does."""
-    return _cited(_said(spark, sf))
-
-
-def whole_citation_strip(spark, sf):
     return _said(spark, sf).select("conv_id", "turn", F.sha2(T.strip_markers("said"), 256).alias("h"))
 
 
-def whole_refusals(spark, sf):
+def refusals(spark, sf):
     return _said(spark, sf).select("conv_id", "turn", answer.is_refusal(F.col("said")).alias("refusal"))
 
 
-def whole_grounding_downgrade(spark, sf):
-    return _grounded(_said(spark, sf)).select("conv_id", "turn", F.sha2("answer", 256).alias("h"), "n_citations", "grounded")
+def grounding_downgrade(spark, sf):
+    rows = _said(spark, sf).withColumn("raw_answer", F.col("said")).withColumn("citations", answer.citation_numbers(F.col("said"), F.lit(3)))
+    return answer.grounded(rows).select("conv_id", "turn", F.sha2("answer", 256).alias("h"), F.size("citations").cast("long").alias("n_citations"), "grounded")
 
 
 def context_blocks(spark, sf):
@@ -367,18 +302,13 @@ def politeness_schedule(spark, sf):
     return crawl.politeness_schedule(e, "host", "arrival", per_second=0.001).select("call_id", F.round("start", 3).alias("start"))
 
 
-def _new(spark, sf, head=20):
-    text = F.substring("text", 1, head) if head else F.col("text")
-    return docs(spark, sf).filter("doc_id % 7 = 0").select((F.col("doc_id") + F.when(F.col("doc_id") % 2 == 0, 0).otherwise(1_000_000)).alias("doc_id"), F.concat(F.lit("new "), text).alias("text"), "lang", "source", F.lit(-1).cast("long").alias("n_chars"))
+def _new(spark, sf):
+    """An arrival: new versions of some documents, and new ones."""
+    return docs(spark, sf).filter("doc_id % 7 = 0").select((F.col("doc_id") + F.when(F.col("doc_id") % 2 == 0, 0).otherwise(1_000_000)).alias("doc_id"), F.concat(F.lit("new "), "text").alias("text"), "lang", "source", F.lit(-1).cast("long").alias("n_chars"))
 
 
 def upsert_replace(spark, sf):
-    return index_store.upsert(docs(spark, sf), _new(spark, sf), "doc_id").select("doc_id", F.substring("text", 1, 24).alias("head"), "n_chars")
-
-
-def whole_upsert_replace(spark, sf):
-    """Of whole texts, as hashes; ``upsert_replace`` has their first 24 characters, as its SQL does."""
-    return index_store.upsert(docs(spark, sf), _new(spark, sf, None), "doc_id").select("doc_id", F.sha2("text", 256).alias("h"), "n_chars")
+    return index_store.upsert(docs(spark, sf), _new(spark, sf), "doc_id").select("doc_id", F.sha2("text", 256).alias("h"), "n_chars")
 
 
 def purge_prefix(spark, sf):
@@ -389,7 +319,7 @@ def purge_prefix(spark, sf):
 
 def _seeds(spark, sf):
     seeds = docs(spark, sf).select(F.col("source").alias("label")).distinct().withColumn("always_add_fallback", F.substring("label", -1, 1) == "1")
-    found = docs(spark, sf).filter("source < 'src15'").select(F.col("source").alias("label"), F.col("doc_id").cast("string").alias("chunk_id"))
+    found = docs(spark, sf).filter(F.substring("source", -1, 1) != "3").select(F.col("source").alias("label"), F.col("doc_id").cast("string").alias("chunk_id"))
     curated = seeds.select("label", F.concat(F.lit("ext::"), "label", F.lit("::desc")).alias("chunk_id"))
     return seeds, found, curated
 
@@ -405,8 +335,9 @@ def seed_summary(spark, sf):
 
 
 def first_wins(spark, sf):
-    d = docs(spark, sf).select("doc_id", F.lower(F.substring("text", 1, 6)).alias("label"))
-    return brand.first_by(d, ["label"], ["doc_id"]).select("doc_id", "label")
+    """The first document of each text, whatever its case."""
+    d = docs(spark, sf).select("doc_id", F.lower("text").alias("label"))
+    return brand.first_by(d, ["label"], ["doc_id"]).select("doc_id", F.sha2("label", 256).alias("h"))
 
 
 def event_props(spark, sf):
@@ -416,11 +347,10 @@ def event_props(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     sentence_split, word_counts, text_hashes, nav_filter, garbage_filter, short_filter, shell_filter, shortcode_strip, pdf_text_blocks, exact_dedup, paragraph_doc_freq, boilerplate_hashes, boilerplate_strip,
-    hard_window_split, chunk_documents, chunk_drop_reasons, short_chunk_reasons, process_stats, chunk_index, vocabulary, embedding_inputs, chunk_metadata, snippets, hashing_embeddings, knn_cosine, knn_topk_per_query,
+    hard_window_split, chunk_documents, chunk_drop_reasons, process_stats, chunk_index, vocabulary, embedding_inputs, chunk_metadata, snippets, hashing_embeddings, knn_cosine, knn_topk_per_query,
     relevance_gate, index_count, query_terms, vocab_anti_join, fuzzy_corrections, keyword_boost, lexical_topk, hybrid_search, chunked_hybrid_search, answers, history_last_n, history_prompt, question_guard,
     citation_extract, citation_strip, refusals, grounding_downgrade, context_blocks, rate_limit, session_reset, rate_limit_with_resets, attempts_in_window, politeness_schedule, upsert_replace, purge_prefix,
-    seed_fallback, seed_summary, first_wins, event_props, whole_process_stats, whole_chunk_index, whole_keyword_boost,
-    whole_shortcode_strip, whole_hashing_embeddings, whole_citation_extract, whole_citation_strip, whole_refusals, whole_grounding_downgrade, whole_upsert_replace,
+    seed_fallback, seed_summary, first_wins, event_props,
 )}
 
 # --- SQL ---------------------------------------------------------------------------------------------------------------------------------
@@ -461,9 +391,6 @@ _PARAS = rf"""r AS (SELECT doc_id, regexp_split_to_array(text, '\n+') AS ps FROM
     p AS (SELECT doc_id, pos, para, sha256({_squeeze('para')}) AS h FROM s WHERE para <> '')"""
 _FREQ = "f AS (SELECT h, count(DISTINCT doc_id) AS n_docs FROM p WHERE length(para) >= 20 GROUP BY h)"
 _BOILER = f"b AS (SELECT h, n_docs FROM f WHERE n_docs >= greatest(5, floor((SELECT count(*) FROM documents) * {FRACTION})) AND (SELECT count(*) FROM documents) >= 5)"
-_SHORT = rf"""d AS (SELECT doc_id, {_BLOCK} AS text FROM documents), e AS (SELECT doc_id, text, {_nw('text')} AS n, sha256({_squeeze('text')}) AS h FROM d WHERE text <> ''),
-    j AS (SELECT *, CASE WHEN n < 25 THEN 'short' WHEN {_nav('text')} THEN 'nav' WHEN {_garbage('text')} THEN 'garbage' END AS r FROM e WHERE n <= 480),
-    k AS (SELECT *, CASE WHEN r IS NOT NULL THEN r WHEN doc_id > min(doc_id) FILTER (r IS NULL) OVER (PARTITION BY h) THEN 'duplicate' ELSE 'kept' END AS reason FROM j)"""
 _VOCAB = f"""vt AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(coalesce(source, '') || chr(10) || text), '[a-z][a-z0-9]{{2,}}'), lambda x: x NOT IN ({_STOP})))) AS term FROM documents WHERE text IS NOT NULL),
     voc AS (SELECT term, count(*) AS n_chunks FROM vt GROUP BY term HAVING count(*) >= 2)"""
 _ASKED = rf"""w AS (SELECT item_id, regexp_split_to_array({_trim('text')}, '\s+') AS w FROM benchmark), asked AS (SELECT item_id AS query_id, array_to_string(w[1:6], ' ') || ' ' || substr(w[2], 1, 1) || w[2] AS question FROM w WHERE len(w) >= 6)"""
@@ -525,8 +452,8 @@ _HYBRID = f"""{_ASKED}, {_TERMS}, {_VOCAB}, {_FUZZY}, {_CORPUS},
     rr AS (SELECT me.query_id, me.chunk_id, score, o, round(score + {_boost('bterms', 'heading_path', 'text')}, 4) AS rerank_score FROM me JOIN bt USING (query_id) JOIN corpus USING (chunk_id)),
     hy AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, o, chunk_id) AS rank, chunk_id, score, rerank_score FROM rr QUALIFY rank <= 8)"""
 _MSG = S.not_available_message.replace("'", "''")
-_SAID = f"""said AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN substr(text, 1, 80) || ' [1][3] (x) [1] [99]' WHEN 1 THEN '{_MSG} ' WHEN 2 THEN substr(text, 1, 80)
-    ELSE substr(text, 1, 80) || ' [2] [0] ( ) [99999999999999999999]' END AS said FROM conversations WHERE role = 'assistant'),
+_SAID = f"""said AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN text || ' [1][3] (x) [1] [99]' WHEN 1 THEN '{_MSG} ' WHEN 2 THEN text
+    ELSE text || ' [2] [0] ( ) [99999999999999999999]' END AS said FROM conversations WHERE role = 'assistant'),
     nums AS (SELECT conv_id, turn, said, list_filter(list_transform(regexp_extract_all(said, '\\[(\\d+)\\]', 1), lambda x: try_cast(x AS BIGINT)), lambda x: x IS NOT NULL AND x >= 1 AND x <= 3) AS ns FROM said),
     each AS (SELECT conv_id, turn, unnest(ns) AS n, generate_subscripts(ns, 1) AS o FROM nums), once AS (SELECT conv_id, turn, n, min(o) AS o FROM each GROUP BY ALL)""".replace("\\\\", "\\")
 _REFUSAL = f"(regexp_replace({_squeeze('said')}, '\\.+$', '') = '{_MSG.strip().lower().rstrip('.')}')"
@@ -544,8 +471,8 @@ def _limiter(part: str, source: str, window: int, limit: int) -> str:
 
 _EV = "ev AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events)"
 _EPOCH = "ep AS (SELECT event_id, user_id, coalesce(sum((event_type = 'signup')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS epoch, epoch_us(ts) AS us FROM events)"
-_NEW = "n AS (SELECT doc_id + (CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1000000 END) AS doc_id, 'new ' || substr(text, 1, 20) AS text, -1::BIGINT AS n_chars FROM documents WHERE doc_id % 7 = 0)"
-_SEEDS = """s AS (SELECT DISTINCT source AS label FROM documents), f AS (SELECT source AS label, doc_id::VARCHAR AS chunk_id FROM documents WHERE source < 'src15'),
+_NEW = "n AS (SELECT doc_id + (CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1000000 END) AS doc_id, 'new ' || text AS text, -1::BIGINT AS n_chars FROM documents WHERE doc_id % 7 = 0)"
+_SEEDS = """s AS (SELECT DISTINCT source AS label FROM documents), f AS (SELECT source AS label, doc_id::VARCHAR AS chunk_id FROM documents WHERE right(source, 1) <> '3'),
     c AS (SELECT label, chunk_id FROM f UNION ALL SELECT label, 'ext::' || label || '::desc' FROM s WHERE label NOT IN (SELECT label FROM f) OR right(label, 1) = '1')"""
 
 ORACLE_SQL = {
@@ -561,7 +488,12 @@ ORACLE_SQL = {
     "garbage_filter": f"SELECT doc_id, {_garbage('text')} AS garbage FROM documents",
     "short_filter": f"SELECT doc_id, {_nw('text')}::BIGINT AS n_words FROM documents WHERE {_nw('text')} < 25",
     "shell_filter": r"SELECT doc_id, len(regexp_extract_all(t, '\{\{')) >= 2 AND contains(t, '}}') AS shell FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{{a}} {{b}} ' || text WHEN 1 THEN '{{a }' || text ELSE text END AS t FROM documents)",
-    "shortcode_strip": f"SELECT doc_id, regexp_replace('[caption id=1]x[/caption] [VC_row a] ' || substr(text, 1, 40) || ' [keep]', '{config.SHORTCODE}', '', 'g') AS text FROM documents",
+    "shortcode_strip": f"SELECT doc_id, sha256(regexp_replace('[caption id=1]x[/caption] [VC_row a] ' || text || ' [keep]', '{config.SHORTCODE}', '', 'g')) AS h FROM documents",
+    "hashing_embeddings": f"""WITH {_embed('de', 'documents', 'doc_id', 'text')}
+        SELECT a.doc_id, place, round(coalesce(s / nullif(len, 0), 0.0), 6) AS x FROM documents a CROSS JOIN (SELECT unnest(range(0, {DIM})) AS place) LEFT JOIN de_p ON de_p.doc_id = a.doc_id AND de_p.p = place LEFT JOIN de_l ON de_l.doc_id = a.doc_id""",
+    "keyword_boost": f"""WITH {_ASKED}, {_TERMS}, {_CORPUS}, words AS MATERIALIZED (SELECT chunk_id, {_TOKENS.format('heading_path')} AS h, list_distinct({_TOKENS.format('text')}) AS t FROM corpus),
+        terms AS (SELECT query_id, list_distinct(terms) AS d FROM tq), hits AS (SELECT query_id, chunk_id, len(d) AS n, len(list_intersect(d, h)) AS a, len(list_intersect(d, list_concat(h, t))) AS b FROM terms CROSS JOIN words)
+        SELECT query_id, chunk_id, round(CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE {S.keyword_boost_weight}::DOUBLE * least(1.0::DOUBLE, (0.5::DOUBLE * (a + b)) / n) END, 6) AS boost FROM hits""",
     "pdf_text_blocks": f"SELECT doc_id, t AS text FROM (SELECT doc_id, {_BLOCK} AS t FROM documents) WHERE t <> ''",
     "exact_dedup": f"SELECT sha256({_squeeze('text')}) AS h, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "paragraph_doc_freq": f"WITH {_PARAS}, {_FREQ} SELECT * FROM f",
@@ -569,28 +501,20 @@ ORACLE_SQL = {
     "boilerplate_strip": f"WITH {_PARAS}, {_FREQ}, {_BOILER} SELECT doc_id, string_agg(para, chr(10) ORDER BY pos) AS text FROM p WHERE h NOT IN (SELECT h FROM b) GROUP BY doc_id",
     "hard_window_split": rf"""WITH a AS (SELECT doc_id, regexp_split_to_array({_trim('text')}, '\s+') AS w FROM documents), b AS (SELECT doc_id, w, unnest(range(0, floor((len(w) - 100) / 380)::BIGINT * 380 + 1, 380)) AS s FROM a WHERE len(w) > 480),
         c AS (SELECT doc_id, s // 380 AS pos, w[s + 1 : s + 480] AS x FROM b) SELECT doc_id, pos, len(x)::BIGINT AS n_words, sha256(array_to_string(x, ' ')) AS h FROM c""",
-    "short_chunk_reasons": f"WITH {_SHORT} SELECT doc_id, reason FROM k",
-    "process_stats": f"""WITH {_SHORT} SELECT count(*) AS pieces, count(*) FILTER (reason = 'kept') AS kept, count(*) FILTER (reason = 'short') AS dropped_short, count(*) FILTER (reason = 'nav') AS dropped_nav,
-        count(*) FILTER (reason = 'garbage') AS dropped_garbage, count(*) FILTER (reason = 'duplicate') AS dropped_duplicate, coalesce(avg(n) FILTER (reason = 'kept'), 0.0) AS avg_tokens FROM k""",
-    "chunk_index": f"""WITH {_SHORT}, m AS (SELECT doc_id, doc_id % 50 AS site, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) - 1 AS chunk_index FROM k WHERE reason = 'kept')
-        SELECT *, sha256(site || '|' || chunk_index) AS chunk_id FROM m""",
     "vocabulary": f"WITH {_VOCAB} SELECT * FROM voc ORDER BY term",
     "embedding_inputs": f"SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 AND {_trim('source')} <> '' THEN source || chr(10) || text ELSE text END) AS h FROM documents",
     "chunk_metadata": "SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 > 0 THEN source ELSE '' END AS source_url, '' AS page_title, '' AS heading_path, 0::BIGINT AS chunk_index, '' AS crawl_timestamp, CASE WHEN doc_id % 5 > 0 THEN n_chars ELSE 0 END AS token_count, false AS is_pdf FROM documents",
     "snippets": "SELECT doc_id, substr(text, 1, 200) AS snippet FROM documents",
-    "hashing_embeddings": f"""WITH asked AS (SELECT item_id, text FROM benchmark), {_embed('qe', 'asked', 'item_id', 'text')}
-        SELECT a.item_id, place, round(coalesce(s / len, 0.0), 6) AS x FROM asked a CROSS JOIN (SELECT unnest(range(0, {DIM})) AS place) LEFT JOIN qe_p ON qe_p.item_id = a.item_id AND qe_p.p = place LEFT JOIN qe_l ON qe_l.item_id = a.item_id""",
-    "knn_cosine": """SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 4) AS score, row_number() OVER (ORDER BY score DESC, c.vec_id) AS rank
-        FROM embeddings q JOIN embeddings c ON q.vec_id = 0 QUALIFY rank <= 40""",
+    "knn_cosine": """SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 4) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, c.vec_id) AS rank
+        FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 QUALIFY rank <= 40""",
     "knn_topk_per_query": """SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 4) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, c.vec_id) AS rank
-        FROM embeddings q JOIN embeddings c ON q.vec_id % 25 = 0 QUALIFY rank <= 8""",
+        FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 QUALIFY rank <= 8""",
     "relevance_gate": """WITH k AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 4) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, c.vec_id) AS rank
-        FROM embeddings q JOIN embeddings c ON q.vec_id % 25 = 0 QUALIFY rank <= 8) SELECT query_id, coalesce(max(score) FILTER (query_id <> vec_id), 0.0) AS best, best >= 0.35 AS relevant FROM k GROUP BY query_id""",
+        FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 QUALIFY rank <= 8) SELECT query_id, coalesce(max(score) FILTER (query_id <> vec_id), 0.0) AS best, best >= 0.35 AS relevant FROM k GROUP BY query_id""",
     "index_count": "SELECT count(*) AS n FROM embeddings",
     "query_terms": f"WITH {_ASKED}, {_TERMS} SELECT query_id, generate_subscripts(terms, 1) - 1 AS pos, unnest(terms) AS term FROM tq",
     "vocab_anti_join": f"WITH {_ASKED}, {_TERMS}, {_VOCAB}, u AS (SELECT query_id, unnest(list_distinct(terms)) AS term FROM tq) SELECT * FROM u WHERE term NOT IN (SELECT term FROM voc)",
     "fuzzy_corrections": f"WITH {_ASKED}, {_TERMS}, {_VOCAB}, {_FUZZY} SELECT term, match, round(score, 6) AS score, rank FROM fm",
-    "keyword_boost": f"WITH {_ASKED}, {_TERMS}, {_CORPUS} SELECT query_id, chunk_id, round({_boost('terms', 'heading_path', 'text')}, 6) AS boost FROM tq CROSS JOIN corpus WHERE chunk_id % 10 = 0",
     "lexical_topk": f"""WITH {_ASKED}, {_TERMS}, {_CORPUS}, bt AS (SELECT query_id, terms AS bterms FROM tq), {_variants('bterms')}, {_embed('qe', 'asked', 'query_id', 'question')}, {_embed('de', 'corpus', 'chunk_id', 'text')},
         {_cosine('qe', 'de', 'query_id', 'chunk_id')}, {_LEX} SELECT query_id, variant_ord, variant, chunk_id, score, rank FROM lex""",
     "hybrid_search": f"WITH {_HYBRID} SELECT * FROM hy",
@@ -598,10 +522,10 @@ ORACLE_SQL = {
     "history_prompt": f"SELECT conv_id, string_agg(upper(coalesce(role, '')) || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS history FROM ({_LAST}) GROUP BY conv_id",
     "question_guard": f"""SELECT conv_id, turn, CASE WHEN turn % 3 = 1 OR {_trim('text')} = '' THEN 'empty' WHEN length({_trim('text')}) > 1000 THEN 'too_long' ELSE 'ok' END AS verdict, conv_id % 150 BETWEEN 1 AND 128 AS session_ok FROM conversations""",
     "citation_extract": f"WITH {_SAID} SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY o) - 1 AS pos, n FROM once",
-    "citation_strip": rf"WITH {_SAID} SELECT conv_id, turn, " + _trim(r"regexp_replace(regexp_replace(regexp_replace(said, '\s*\[\d+\]', '', 'g'), '\(\s*\)', '', 'g'), '[ \t]{2,}', ' ', 'g')") + " AS text FROM said",
+    "citation_strip": rf"WITH {_SAID} SELECT conv_id, turn, sha256(" + _trim(r"regexp_replace(regexp_replace(regexp_replace(said, '\s*\[\d+\]', '', 'g'), '\(\s*\)', '', 'g'), '[ \t]{2,}', ' ', 'g')") + ") AS h FROM said",
     "refusals": f"WITH {_SAID} SELECT conv_id, turn, {_REFUSAL} AS refusal FROM said",
     "grounding_downgrade": f"""WITH {_SAID}, g AS (SELECT conv_id, turn, said, (NOT {_REFUSAL}) AND len(ns) > 0 AS grounded, (SELECT count(*) FROM once x WHERE x.conv_id = nums.conv_id AND x.turn = nums.turn) AS c FROM nums)
-        SELECT conv_id, turn, CASE WHEN grounded THEN said ELSE '{_MSG}' END AS answer, CASE WHEN grounded THEN c ELSE 0 END AS n_citations, grounded FROM g""",
+        SELECT conv_id, turn, sha256(CASE WHEN grounded THEN said ELSE '{_MSG}' END) AS h, CASE WHEN grounded THEN c ELSE 0 END AS n_citations, grounded FROM g""",
     "context_blocks": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
         SELECT conv_id, sha256('<context>' || chr(10) || string_agg('<passage n="' || k || '" source="c:' || turn || '" heading="' || role || '">' || chr(10) || text || chr(10) || '</passage>', chr(10) ORDER BY k) || chr(10) || '</context>') AS h FROM r GROUP BY conv_id""",
     "rate_limit": f"WITH {_limiter('user_id', _EV, 86_400_000_000, 3)} SELECT user_id, event_id, limited FROM go",
@@ -610,24 +534,10 @@ ORACLE_SQL = {
     "attempts_in_window": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS attempts FROM events",
     "politeness_schedule": """WITH e AS (SELECT user_id % 10 AS host, event_id, epoch_us(ts) / 1e6 AS a, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS i FROM events)
         SELECT event_id AS call_id, round(max(a - i / 0.001) OVER (PARTITION BY host ORDER BY i) + i / 0.001, 3) AS start FROM e""",
-    "upsert_replace": f"WITH {_NEW}, u AS (SELECT doc_id, text, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n) SELECT doc_id, substr(text, 1, 24) AS head, n_chars FROM u",
+    "upsert_replace": f"WITH {_NEW}, u AS (SELECT doc_id, text, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n) SELECT doc_id, sha256(text) AS h, n_chars FROM u",
     "purge_prefix": f"WITH {_NEW} SELECT doc_id::VARCHAR AS chunk_id, n_chars FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT 'ext::new::' || doc_id, n_chars FROM n",
     "seed_fallback": f"WITH {_SEEDS} SELECT * FROM c",
     "seed_summary": f"WITH {_SEEDS}, p AS (SELECT source AS label, count(*) AS pages FROM documents GROUP BY 1), k AS (SELECT label, count(*) AS chunks FROM c GROUP BY 1) SELECT label, coalesce(pages, 0) AS pages, coalesce(chunks, 0) AS chunks FROM p FULL JOIN k USING (label)",
-    "first_wins": "SELECT min(doc_id) AS doc_id, lower(substr(text, 1, 6)) AS label FROM documents GROUP BY 2",
+    "first_wins": "SELECT min(doc_id) AS doc_id, sha256(lower(text)) AS h FROM documents GROUP BY lower(text)",
     "event_props": "SELECT event_id, len(json_keys(props))::BIGINT AS n_keys FROM events",
 }
-
-_WHOLE_SAID = _SAID.replace("substr(text, 1, 80)", "text")
-_WHOLE_NEW = _NEW.replace("substr(text, 1, 20)", "text")
-ORACLE_SQL |= {
-    "whole_shortcode_strip": f"SELECT doc_id, sha256(regexp_replace('[caption id=1]x[/caption] [VC_row a] ' || text || ' [keep]', '{config.SHORTCODE}', '', 'g')) AS h FROM documents",
-    "whole_hashing_embeddings": f"""WITH {_embed('de', 'documents', 'doc_id', 'text')}
-        SELECT a.doc_id, place, round(coalesce(s / len, 0.0), 6) AS x FROM documents a CROSS JOIN (SELECT unnest(range(0, {DIM})) AS place) LEFT JOIN de_p ON de_p.doc_id = a.doc_id AND de_p.p = place LEFT JOIN de_l ON de_l.doc_id = a.doc_id""",
-    "whole_citation_extract": f"WITH {_WHOLE_SAID} SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY o) - 1 AS pos, n FROM once",
-    "whole_citation_strip": rf"WITH {_WHOLE_SAID} SELECT conv_id, turn, sha256(" + _trim(r"regexp_replace(regexp_replace(regexp_replace(said, '\s*\[\d+\]', '', 'g'), '\(\s*\)', '', 'g'), '[ \t]{2,}', ' ', 'g')") + ") AS h FROM said",
-    "whole_refusals": f"WITH {_WHOLE_SAID} SELECT conv_id, turn, {_REFUSAL} AS refusal FROM said",
-    "whole_grounding_downgrade": f"""WITH {_WHOLE_SAID}, g AS (SELECT conv_id, turn, said, (NOT {_REFUSAL}) AND len(ns) > 0 AS grounded, (SELECT count(*) FROM once x WHERE x.conv_id = nums.conv_id AND x.turn = nums.turn) AS c FROM nums)
-        SELECT conv_id, turn, sha256(CASE WHEN grounded THEN said ELSE '{_MSG}' END) AS h, CASE WHEN grounded THEN c ELSE 0 END AS n_citations, grounded FROM g""",
-    "whole_upsert_replace": f"WITH {_WHOLE_NEW}, u AS (SELECT doc_id, text, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n) SELECT doc_id, sha256(text) AS h, n_chars FROM u",
-}

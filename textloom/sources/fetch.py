@@ -27,20 +27,18 @@ Fetch = Callable[[str], Response]
 
 
 def with_retries(fetch: Fetch, tries: int = config.SETTINGS.max_retries, base: float = config.SETTINGS.retry_backoff_base, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], Response | None]:
-    """Exceptions and statuses from 500 are tried again after base ** attempt seconds; the last server error is returned, all else failing is None."""
+    """Exceptions and statuses from 500 are tried again after base ** n seconds, n the tries so far; the last try's answer counts, and an exception there is None."""
 
     def run(url: str) -> Response | None:
-        last = None
-        for attempt in range(tries):
+        for tried in range(1, tries + 1):
             try:
-                last = fetch(url)
-                if last.status < 500:
-                    return last
+                got = fetch(url)
             except Exception:  # tried again
-                pass
-            if attempt + 1 < tries:
-                sleep(base**attempt)
-        return last
+                got = None
+            if tried == tries or got and got.status < 500:
+                return got
+            sleep(base**tried)
+        return None
 
     return run
 
