@@ -189,7 +189,7 @@ def test_retries_and_throttle():
         return fetch.Response(500 if len(calls) < 3 else 200, "text/html", "x")
 
     assert fetch.with_retries(flaky, 3, 1.5, slept.append)("u").status == 200
-    assert slept == [1.0, 1.5]
+    assert slept == [1.5, 2.25]  # base ** 1, base ** 2
     assert fetch.with_retries(lambda u: fetch.Response(404, "", ""), 3, 1.5, slept.append)("u").status == 404
     now = [0.0]
     gate = fetch.Throttle(2.0, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))

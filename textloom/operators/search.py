@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from textloom import config
 from textloom.functions import text as T
@@ -86,8 +87,8 @@ class _Best:
         self.rows = [x[turn < self.k] for x in (at, ids, score)]
 
 
-def _scan(shared, pool: int, each: int):
-    """mapInArrow over (id, vector[, text]): a task's ``pool`` best rows of each broadcast question, and the ``each`` best that hold each of its variants."""
+def _scan(shared, pool: int, each: int, id_type):
+    """mapInArrow over (id, vector[, text]), with the questions' ids of Arrow type ``id_type``: a task's ``pool`` best rows of each broadcast question, and the ``each`` best that hold each of its variants."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -121,7 +122,7 @@ def _scan(shared, pool: int, each: int):
         for best, question, ord_ in ((dense, lambda at: at, lambda at: np.full(len(at), -1)), (lists, lambda at: owner[at], lambda at: at - first[owner[at]])):
             at, got, score = best.rows
             if len(at) and kind is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in question(at)]), pa.array(ord_(at), pa.int32()), pa.array(got.tolist(), kind), pa.array(score)], ["query", "variant_ord", "row", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in question(at)], id_type), pa.array(ord_(at), pa.int32()), pa.array(got.tolist(), kind), pa.array(score)], ["query", "variant_ord", "row", "score"])
 
     return run
 
@@ -151,13 +152,14 @@ def _found(queries: DataFrame, rows: DataFrame, q_id: str, q_vec: str, r_id: str
     wanted = queries.select(q_id, F.col(q_vec).cast("array<double>").alias("vec"), (F.col(words) if words else F.array().cast("array<string>")).alias("words"))
     size = F.octet_length(F.col(q_id).cast("string")) + 8 * F.size("vec") + F.aggregate("words", F.lit(0), lambda n, w: n + F.octet_length(w) + 8)
     source = rows.select(F.col(r_id), F.col(r_vec).cast("array<double>").alias("vec"), *([F.col(text).alias("text")] if text else []))
+    id_type = to_arrow_type(queries.schema[q_id].dataType)
     kinds = f"query {queries.schema[q_id].dataType.simpleString()}, variant_ord int, row {rows.schema[r_id].dataType.simpleString()}, score double"
     out = None
     for part in dealt(wanted, size):
         got = part.collect()  # about ROUND_BYTES
         shared = spark.sparkContext.broadcast(([r[0] for r in got], np.array([r["vec"] or [] for r in got], np.float64).reshape(len(got), -1), [r["words"] or [] for r in got]))
         if got:
-            met = source.mapInArrow(_scan(shared, pool, S.lexical_matches_per_term), kinds)
+            met = source.mapInArrow(_scan(shared, pool, S.lexical_matches_per_term, id_type), kinds)
             out = met if out is None else out.unionByName(met)
     out = out if out is not None else spark.createDataFrame([], kinds)
     w = Window.partitionBy("query", "variant_ord").orderBy(F.desc("score"), "row")
