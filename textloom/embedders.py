@@ -104,6 +104,14 @@ def _iterates(f):
     return f
 
 
+def _iterates_two(f):
+    """The same for two columns."""
+    import pandas as pd
+
+    f.__annotations__ = {"frames": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return f
+
+
 _REGISTRY: dict[str, Callable[[], Embedder]] = {"hashing": HashingEmbedder}
 _MADE: dict[str, Embedder] = {}
 
@@ -155,6 +163,38 @@ class IdentityRewriter:
         return question
 
 
+class FunctionRewriter:
+    """Any model as a rewriter: ``load()`` runs once a task and returns a function (question, history) to a text.
+
+    A question without history stays as it is and never meets the model; so does one for which the model fails or says nothing.
+    """
+
+    def __init__(self, load: Callable[[], Callable[[str, str], str | None]]):
+        self.load = load
+
+    def rewrite(self, question: Column, history: Column) -> Column:
+        load = self.load
+
+        def run(frames):
+            import pandas as pd
+
+            model = None
+            for asked, before in frames:
+                out = []
+                for q, h in zip(asked, before, strict=True):
+                    said = None
+                    if h:
+                        try:
+                            model = model or load()
+                            said = (model(q, h) or "").strip()
+                        except Exception:  # the question itself will do
+                            said = None
+                    out.append(said or q)
+                yield pd.Series(out, dtype=object)
+
+        return F.pandas_udf(_iterates_two(run), "string")(question, F.coalesce(history, F.lit("")))
+
+
 class Answerer(Protocol):
     """An answer with ``[n]`` markers from the ranked passages array<struct<rank, text, ..>>."""
 
@@ -171,3 +211,35 @@ class ExtractiveAnswerer:
         best = F.slice(passages, 1, self.passages)
         said = F.transform(best, lambda p: F.concat(F.coalesce(F.try_element_at(T.sentences(p["text"]), F.lit(1)), F.lit("")), F.lit(" ["), p["rank"].cast("string"), F.lit("]")))
         return F.array_join(said, " ")
+
+
+class FunctionAnswerer:
+    """Any model as an answerer: ``load()`` runs once a task and returns a function (question, context) to an answer.
+
+    ``context`` renders the passages. A call that fails is an error of the query that names its cause; nothing is answered in its place.
+    """
+
+    def __init__(self, load: Callable[[], Callable[[str, str], str]], context: Callable[[Column], Column]):
+        self.load, self.context = load, context
+
+    def answer(self, question: Column, passages: Column) -> Column:
+        load = self.load
+
+        def run(frames):
+            import pandas as pd
+
+            model = None
+            for asked, given in frames:
+                out = []
+                for q, c in zip(asked, given, strict=True):
+                    if c is None:  # a question without passages is refused before
+                        out.append(None)
+                        continue
+                    try:
+                        model = model or load()
+                        out.append((model(q, c) or "").strip())
+                    except Exception as e:
+                        raise RuntimeError(f"the answerer failed: {e}") from e
+                yield pd.Series(out, dtype=object)
+
+        return F.pandas_udf(_iterates_two(run), "string")(question, F.when(passages.isNotNull(), self.context(passages)))

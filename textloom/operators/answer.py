@@ -66,3 +66,12 @@ def answer(queries: DataFrame, chunks: DataFrame, vocab: DataFrame, embedder, an
     drafted = whole.withColumn("raw_answer", said).withColumn("citations", citations(F.col("raw_answer"), F.coalesce("passages", F.slice("passages", 1, 0))))
     drafted = drafted.withColumn("citations", F.coalesce("citations", F.array().cast("array<struct<n:bigint,source_url:string,page_title:string,heading_path:string,snippet:string>>")))
     return grounded(drafted).select("query_id", F.col("original").alias("question"), "answer", "citations", "grounded")
+
+
+def health(store, model: str = "extractive") -> dict:
+    """State of the service; a store that is missing or cannot be read gives None chunks, never an error."""
+    try:
+        count = store.count() if store.versions() else None
+    except Exception:  # a cold or broken index
+        count = None
+    return {"status": "ok", "indexed_chunks": count, "model": model}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,10 @@ def seed_summary(pages: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 class CorpusStore:
-    """A table of chunks in a folder of versions ``v<n>``; readers use the latest complete one (with its _SUCCESS mark)."""
+    """A table of chunks in a folder of versions ``v<n>``; readers use the latest complete one (with its _SUCCESS mark).
+
+    A version is written aside and then renamed to its name. Of two writers of one version the later one finds the name taken and goes on to the next, so neither is lost.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -56,18 +61,45 @@ class CorpusStore:
     def read(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{version or self.versions()[-1]}")
 
+    def _commit(self, aside: str, version: int) -> bool:
+        """Rename a written folder to a version's name; False, with the folder still aside, if the name was taken."""
+        fs, new = self._fs(aside)
+        at = self._fs(f"{self.path}/v{version}")[1]
+        if fs.exists(at):
+            return False
+        renamed = fs.rename(new, at)
+        # renaming onto a folder that has just come moves into it
+        inside = self._fs(f"{self.path}/v{version}/{new.getName()}")[1]
+        if fs.exists(inside):
+            fs.rename(inside, new)
+            return False
+        if not renamed and fs.exists(new) and not fs.exists(at):
+            raise OSError(f"{aside} could not be renamed to {at}")
+        return bool(renamed)
+
+    def _aside(self, rows: DataFrame) -> str:
+        aside = f"{self.path}/_{uuid.uuid4().hex}"
+        rows.write.parquet(aside)
+        return aside
+
     def rebuild(self, rows: DataFrame) -> int:
         """Write all rows as the next version."""
+        aside = self._aside(rows)
         version = max(self.versions(), default=0) + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        while not self._commit(aside, version):
+            version += 1
         return version
 
     def upsert(self, new: DataFrame, key: str, purge: str | None = None) -> int:
-        """Replace by key, or by the key prefix ``purge``, into the next version."""
-        if not self.versions():
-            return self.rebuild(new)
-        old = self.read()
-        return self.rebuild(purge_prefix(old, new, key, purge) if purge else upsert(old, new, key))
+        """Replace by key, or by the key prefix ``purge``, into the next version; done again on top of a version that another writer put there meanwhile."""
+        while True:
+            base = max(self.versions(), default=0)
+            old = self.read(base) if base else None
+            aside = self._aside(new if old is None else purge_prefix(old, new, key, purge) if purge else upsert(old, new, key))
+            if self._commit(aside, base + 1):
+                return base + 1
+            fs, p = self._fs(aside)
+            fs.delete(p, True)
 
     def count(self) -> int:
         """Rows of the latest version (from the files' footers); 0 without one."""

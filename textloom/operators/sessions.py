@@ -71,3 +71,9 @@ def attempts_in_window(events: DataFrame, key: str, ts: str, seconds: int) -> Da
 def throttled(arrivals: Column, spacing: float) -> Column:
     """array<double>: start times of calls that arrive at the given sorted times and must be ``spacing`` apart."""
     return F.aggregate(arrivals, F.array().cast("array<double>"), lambda acc, t: F.array_append(acc, F.when(F.size(acc) == 0, t).otherwise(F.greatest(t, F.try_element_at(acc, F.lit(-1)) + spacing))))
+
+
+def reset(messages: DataFrame, hits: DataFrame, key: str, session) -> tuple[DataFrame, DataFrame]:
+    """(messages, hits) without those of a session: its history and its calls are forgotten, other and null sessions stay."""
+    other = ~F.col(key).eqNullSafe(F.lit(session))
+    return messages.filter(other), hits.filter(other)

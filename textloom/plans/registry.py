@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.plans import page_queries, relational_queries, text_queries
+from textloom.plans import file_queries, page_queries, relational_queries, text_queries
 
-QUERIES: dict = {**page_queries.QUERIES, **text_queries.QUERIES, **relational_queries.QUERIES}
-ORACLE_SQL: dict = {**page_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **relational_queries.ORACLE_SQL}
+QUERIES: dict = {**page_queries.QUERIES, **text_queries.QUERIES, **relational_queries.QUERIES, **file_queries.QUERIES}
+ORACLE_SQL: dict = {**page_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **relational_queries.ORACLE_SQL, **file_queries.ORACLE_SQL}

@@ -28,7 +28,7 @@ def read_crawled_urls(spark: SparkSession, path: str) -> DataFrame:
 
 def read_saved_html(spark: SparkSession, path: str) -> DataFrame:
     """(path, html): saved pages, a file a row."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 
 def write_json(rows: DataFrame, path: str) -> None:

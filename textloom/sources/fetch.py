@@ -43,6 +43,58 @@ def with_retries(fetch: Fetch, tries: int = config.SETTINGS.max_retries, base: f
     return run
 
 
+class Browser:
+    """A renderer of pages, started at the first need; once starting or rendering fails it stays off, and pages keep what plain calls gave.
+
+    ``start()`` returns a function from a url to the rendered HTML.
+    """
+
+    def __init__(self, start: Callable[[], Callable[[str], str]]):
+        self.start, self.draw, self.off = start, None, False
+
+    def render(self, url: str) -> str | None:
+        if self.off:
+            return None
+        try:
+            self.draw = self.draw or self.start()
+            return self.draw(url) or None
+        except Exception:  # no browser here, or a broken one
+            self.off = True
+            return None
+
+
+def with_browser(fetch: Fetch, browser: Browser, always: bool = False) -> Callable[[str], Response | None]:
+    """HTML by a plain call, by the browser where a firewall or something other than HTML answered or the call failed; None if neither gives HTML.
+
+    ``always`` leaves out the plain call. Other errors (404, 500, ..) are not tried again by the browser.
+    """
+
+    def drawn(url: str) -> Response | None:
+        html = browser.render(url)
+        return Response(200, "text/html", html) if html else None
+
+    def run(url: str) -> Response | None:
+        if always:
+            return drawn(url)
+        try:
+            got = fetch(url)
+        except Exception:  # as good as blocked
+            got = None
+        if got is None:
+            return drawn(url)
+        if got.status < 400 and "text/html" in (got.content_type or "").lower() and holds_html(got.body):
+            return got
+        return drawn(url) if got.status < 400 or got.status in BLOCKED else None
+
+    return run
+
+
+def holds_html(body: str | None) -> bool:
+    """``html.looks_like_html`` for one text in Python."""
+    head = (body or "")[:4000].lower()
+    return any(tag in head for tag in ("<html", "<body", "<div", "<a ", "<p>"))
+
+
 class Throttle:
     """At most ``per_second`` calls a second from this process."""
 
@@ -56,10 +108,10 @@ class Throttle:
         self.next = max(now, self.next) + self.gap
 
 
-def fetch_all(urls: DataFrame, make: Callable[[], Fetch], per_second: float | None = None) -> DataFrame:
+def fetch_all(urls: DataFrame, make: Callable[[], Fetch], per_second: float | None = None, browser: Callable[[], Callable[[str], str]] | None = None, always: bool = False) -> DataFrame:
     """Fetch each url; ``make()`` builds a client once a task. A failed fetch has a null status.
 
-    Rows are dealt by host, so a host's calls are spaced by one task.
+    Rows are dealt by host, so a host's calls are spaced by one task. ``browser`` starts a renderer for ``with_browser``.
     """
 
     def run(frames: Iterator) -> Iterator:
@@ -68,6 +120,8 @@ def fetch_all(urls: DataFrame, make: Callable[[], Fetch], per_second: float | No
         import pandas as pd
 
         fetch, gate = with_retries(make()), Throttle(per_second) if per_second else None
+        if browser:
+            fetch = with_browser(fetch, Browser(browser), always)
         for pdf in frames:
             out = []
             for u in pdf["url"]:
@@ -91,7 +145,7 @@ def wants_browser(status, html):
 
 
 def register_page_source(spark) -> None:
-    """``spark.read.format("textloom_pages")`` with options ``urls`` (blank-separated) and ``fetcher`` (module:function): a Python data source."""
+    """``spark.read.format("textloom_pages")`` with options ``urls`` (blank-separated), ``fetcher`` (module:function) and ``perPartition`` (200): a Python data source, partitioned by runs of urls of neighbouring hosts."""
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
     class Part(InputPartition):
@@ -103,8 +157,9 @@ def register_page_source(spark) -> None:
             self.options = options
 
         def partitions(self):
-            urls = self.options.get("urls", "").split()
-            return [Part(urls[i::8]) for i in range(min(8, len(urls)))]
+            urls = sorted(self.options.get("urls", "").split(), key=lambda u: (u.split("/")[2:3], u))
+            size = int(self.options.get("perPartition", "200"))
+            return [Part(urls[i : i + size]) for i in range(0, len(urls), size)]
 
         def read(self, partition):
             import datetime
