@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, compaction, exact_dedup, langid, mixing, near_dedup, pieces, quality, topk, wrapper
+from textloom.llm import bpe, chat, compaction, exact_dedup, langid, mixing, near_dedup, pieces, quality, repeats, topk, wrapper
 from textloom.llm.common import new_name, shared_path, table
 
 #: Arrivals into which op4 deals the table.
@@ -78,6 +78,39 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return bpe.decode(coded).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth text (by the checksum of its id) is turned into one with a period before its runs are looked for."""
+    h, n = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")), F.size("words").cast("long")
+    g = F.floor(h / 10)
+    docs = table(spark, sf_dir, "documents").select("doc_id", repeats.words_of("text").alias("words"))
+    docs = docs.withColumns({"n": n, "a": F.when((h % 10 == 0) & (n > 0), g % n), "g": g}).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    periodic = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + F.pmod(i - F.col("a"), F.col("p"))).cast("int"))))
+    docs = docs.select("doc_id", F.when(F.col("a").isNull(), F.col("words")).otherwise(periodic).alias("words"))
+    found = repeats.periodic_runs(docs, "words")
+    # cross products compare exponents without a fraction
+    after = lambda x, y: F.signum(y["length"] * x["period"] - x["length"] * y["period"]).cast("int")
+    first = lambda x, y: F.when(after(x, y) != 0, after(x, y)).when(x["start"] != y["start"], F.signum(x["start"] - y["start"])).otherwise(F.signum(x["period"] - y["period"])).cast("int")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", F.get(F.array_sort("runs", first), F.lit(0))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
@@ -89,6 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
     "op10_quality": op10_quality,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_runs": op12_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -126,4 +161,24 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(chars)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    # a run moved by its period agrees in 16 words at least, so only places whose next 16 words are alike are met; stretches of such pairs are runs
+    "op12_runs": r"""
+        WITH t AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+        d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                     xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                                     lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM documents, t),
+        e AS (SELECT doc_id, words, len(words) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN (h // 10) % len(words) END AS a FROM d),
+        f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+        x AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN words ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN words[i + 1] ELSE words[a + (i - a) % p + 1] END) END AS words FROM f),
+        w AS (SELECT doc_id, n, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM x),
+        s AS (SELECT doc_id, n, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS next FROM w QUALIFY i <= n - 16),
+        pairs AS (SELECT s.doc_id, s.i, o.i - s.i AS q FROM s JOIN s o ON s.doc_id = o.doc_id AND s.next = o.next AND s.i < o.i AND o.i - s.i <= s.n / 3),
+        stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + 15 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island),
+        runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(24, 3 * q) GROUP BY ALL),
+        best AS (SELECT r.*, row_number() OVER (PARTITION BY doc_id ORDER BY length::DECIMAL(38, 18) / period DESC, start, period) AS k FROM runs r),
+        listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM w
+                 WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = w.doc_id AND w.i >= r.start + r.period AND w.i < r.start + r.length) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.words, '')) AS collapsed_sha256
+        FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN (FROM best WHERE k = 1) USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
