@@ -10,9 +10,11 @@ Work is by class of equal sets (one representative each), and links are found in
 A. every representative is verified against the smallest representative of its buckets (a pair a document), and the links are followed
    to their ends by pointer jumping;
 B. only buckets that still hold more than one component are looked at, for pairs of different components whose sizes allow the threshold and
-   whose signatures agree within six standard deviations of it. ``MERGING_ROUNDS`` rounds verify each component's likeliest pair and merge
-   what it links, so a large group of near copies falls into one component in few verifications; a last round verifies every pair that is
-   left and that wide signatures allow. Large buckets are cut into blocks that meet in twos.
+   whose signatures agree within six standard deviations of it. A pair is looked at in the first bucket that its documents share and nowhere else. Merging
+   rounds verify each component's likeliest pair and merge what it links, so a large group of near copies falls into one component in few
+   verifications; they end with the first round that merges nothing, after ``MERGING_ROUNDS`` at the latest. A last round brings the full sets of the documents that
+   still have a possible partner to their buckets and confirms there, so no pair is ever a row of a table but the links between components
+   that a bucket finds (fewer than it has documents). Large buckets are cut into blocks that meet in twos.
 
 Every link is confirmed on the full sets of 64-bit shingle hashes. Components are the connected components of the links.
 """
@@ -39,8 +41,12 @@ MOST_BANDS = 52
 #: Coordinates kept (a byte each) for the estimate of round B, and its margin in standard deviations.
 KEPT, MARGIN = 128, 6
 BLOCK = 512
-#: Coordinates of the wide signatures of documents that share a bucket, and the rounds of merging before all that is left is verified.
-WIDE, MERGING_ROUNDS = 1024, 3
+#: Rounds of merging, at most, before all that is left is verified.
+MERGING_ROUNDS = 4
+#: Pairs that are held at once while the likeliest are looked for.
+PAIRS = 1 << 20
+#: Documents of a group from which on its pairs are looked at as a matrix.
+MATRIX = 24
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -130,26 +136,26 @@ def _sketch(width: int, bands: int, rows: int):
                         key = (key ^ part[:, :, i]) * _MIX[i % 8]
                         key ^= key >> np.uint64(29)
                     prints = [[int(x.view(np.int64)) for x in (np.bitwise_xor.reduce(s), (s * _MIX[6] ^ (s >> np.uint64(30))).sum(dtype=np.uint64))] if len(s) else [0, 0] for s in sets]
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(_mixed(key).view(np.int64).ravel()))
+                key = _mixed(key)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(key.view(np.int64).ravel()))
+                low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, 256), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([p[i] for p in prints], pa.int64()) for i in (0, 1)), keys, pa.array([x.tobytes() for x in sig[:, :KEPT].astype(np.uint8)], pa.binary())],
-                    ["doc", "n", "fa", "fb", "keys", "sig"],
+                    [ids.slice(lo, 256), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([p[i] for p in prints], pa.int64()) for i in (0, 1)), keys, *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (sig[:, :KEPT].astype(np.uint8), low))],
+                    ["doc", "n", "fa", "fb", "keys", "sig", "prints"],
                 )
 
     return run
 
 
 def _sets(width: int, wanted):
-    """mapInArrow over (doc, text, h): the sets and wide signatures of documents whose hash the broadcast filter ``wanted`` holds."""
+    """mapInArrow over (doc, text, h): the sets of documents whose hash the broadcast filter ``wanted`` holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(bloom.held(wanted.value, batch.column(2).to_numpy(zero_copy_only=False))))
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sets = [shingles(t, width) for t in part.column(1).to_pylist()]
-                wide = signatures(sets, WIDE).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (sets, wide))], ["doc", "items", "wide"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, width).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["doc", "items"])
 
     return run
 
@@ -172,55 +178,69 @@ def _verify(num: int, den: int):
     return run
 
 
-def _close(num: int, den: int, merging: bool):
-    """mapInArrow over rows sorted by (key, i, j): pairs (a, b), a < b, of different components in two blocks of a bucket that may be linked.
+class _Groups:
+    """Rows sorted by (key, i, j), the groups of a bucket's one or two blocks, and their pairs of different components that may be linked.
 
-    When ``merging``, only the likeliest pair of each component in a group, by the short signatures. Else every pair that both the short and
-    the wide signatures allow. Groups have at most two blocks; memory is bounded by a batch.
+    A pair belongs to the first band in which its documents are alike, told by 32 bits of the band's key (with 51 bands, a pair is taken for another's with a chance of 1e-8).
     """
-    t = num / den
-    low = lambda k: math.floor(k * t - MARGIN * math.sqrt(k * t * (1 - t)))
-    least, least_wide = low(KEPT), low(WIDE)
-
-    def pairs(bucket, doc, comp, n, part, sig, wide, keys) -> list[np.ndarray]:
-        out, two = [], bool((part != part[0]).any())
-        for i in range(len(doc)):
-            ok = (comp != comp[i]) & (np.minimum(n, n[i]) * den >= num * np.maximum(n, n[i]))
-            if two:
-                ok &= part != part[i]
-            if not merging or not two:
-                ok &= doc > doc[i]
-            j = np.flatnonzero(ok)
-            if not len(j):
-                continue
-            like = (sig[j] == sig[i]).sum(axis=1)
-            j, like = j[like >= least], like[like >= least]
-            if merging and len(j):
-                j = j[[int(like.argmax())]]
-                out.append(np.c_[np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), np.full(1, comp[i]), comp[j], [like.max()]])
-            elif len(j):
-                j = j[(wide[j] == wide[i]).sum(axis=1) >= least_wide]
-                # of the buckets that two documents share, the first one's group returns the pair
-                j = j[keys[i][(keys[j] == keys[i]).argmax(axis=1)] == bucket]
-                out.append(np.c_[np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])])
-        if merging and out:
-            found = np.concatenate(out)
-            best: dict[int, np.ndarray] = {}
-            for r in found[np.argsort(-found[:, 4], kind="stable")]:
-                for c in (int(r[2]), int(r[3])):
-                    best.setdefault(c, r)
-            out = [np.array([r[:2] for r in best.values()])]
-        return out
 
-    def of(rows: pa.Table) -> pa.RecordBatch:
-        key, i, j, doc, comp, n, part = (rows.column(c).to_numpy() for c in range(7))
-        sig = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint8).reshape(len(doc), KEPT)
-        wide = sig if merging else np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint8).reshape(len(doc), WIDE)
-        keys = sig if merging else rows.column(9).combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
-        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
-        found = [x for lo, hi in zip(cuts, cuts[1:], strict=False) if hi - lo > 1 for x in pairs(key[lo], *(c[lo:hi] for c in (doc, comp, n, part, sig, wide, keys)))]
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, c], pa.int64()) for c in (0, 1)], ["a", "b"])
+    def __init__(self, rows: pa.Table, num: int, den: int):
+        key, i, j, self.doc, self.comp, self.n, self.part = (rows.column(c).to_numpy() for c in range(7))
+        wide = lambda c, kind: np.frombuffer(b"".join(rows.column(c).to_pylist()), kind).reshape(len(key), -1)
+        self.sig, self.prints = wide(7, np.uint8), wide(8, np.uint32)
+        self.band = (self.prints == (key.view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None]).argmax(axis=1)
+        self.group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        self.two = i != j
+        self.num, self.den = num, den
+        t = num / den
+        self.least = math.floor(KEPT * t - MARGIN * math.sqrt(KEPT * t * (1 - t)))
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows a, rows b, signature places alike) of parts of all pairs; a large group is met as a matrix, small ones side by side."""
+        cuts = np.flatnonzero(np.diff(self.group, prepend=0, append=-1))
+        size = np.diff(cuts)
+        for at in np.flatnonzero(size >= MATRIX):
+            yield from self._of_matrix(np.arange(cuts[at], cuts[at + 1]))
+        a, d = np.flatnonzero(np.repeat(size < MATRIX, size)), 0
+        while len(a):
+            d += 1
+            a = a[a + d < len(self.doc)]
+            a = a[self.group[a] == self.group[a + d]]
+            b = a + d
+            short, long = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
+            x = a[(self.comp[a] != self.comp[b]) & (short * self.den >= long * self.num) & ~(self.two[a] & (self.part[a] == self.part[b]))]
+            for lo, hi in ((0, 8), (8, self.prints.shape[1])):  # most pairs that belong elsewhere are told by the first bands
+                if len(x):
+                    alike = (self.prints[x, lo:hi] == self.prints[x + d, lo:hi]) & (np.arange(lo, hi) < self.band[x][:, None])
+                    x = x[~alike.any(axis=1)]
+            yield from self._alike(x, x + d)
+
+    def _of_matrix(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        one = self.part[rows] == self.part[rows[0]]
+        a, b = (rows[one], rows[~one]) if self.two[rows[0]] else (rows, rows)
+        if not len(b):
+            return
+        n, m = self.n[a][:, None], self.n[b][None, :]
+        ok = (self.comp[a][:, None] != self.comp[b][None, :]) & (n * self.den >= m * self.num) & (m * self.den >= n * self.num)
+        if a is b:
+            ok &= np.tri(len(a), k=-1, dtype=bool).T
+        p, q = np.ascontiguousarray(self.prints[a].T), np.ascontiguousarray(self.prints[b].T)
+        for c in range(self.band[rows[0]]):
+            ok &= p[c][:, None] != q[c][None, :]
+        x, y = np.nonzero(ok)
+        for lo in range(0, len(x), 1 << 14):
+            yield from self._alike(a[x[lo : lo + (1 << 14)]], b[y[lo : lo + (1 << 14)]])
+
+    def _alike(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if len(a):
+            like = (self.sig[a] == self.sig[b]).sum(axis=1)
+            ok = like >= self.least
+            if ok.any():
+                yield a[ok], b[ok], like[ok]
+
+
+def _grouped(of):
+    """mapInArrow over rows sorted by (key, i, j): ``of`` gets tables of whole groups; memory is bounded by a batch and two blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -232,14 +252,88 @@ def _close(num: int, den: int, merging: bool):
             same = np.logical_and.reduce([rows.column(c).to_numpy() == x for c, x in enumerate(last)])
             cut = len(rows) - int(same.sum())
             if cut:
-                yield of(rows.slice(0, cut))
+                yield from of(rows.slice(0, cut))
             rest = rows.slice(cut)
         if rest is not None and len(rest):
-            yield of(rest)
+            yield from of(rest)
 
     return run
 
 
+def _likeliest(num: int, den: int):
+    """Of whole groups: (comp, like, a, b), the likeliest pair of each component that has one."""
+
+    def best(found: list[np.ndarray]) -> np.ndarray:
+        x = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+        x = x[np.lexsort((x[:, 3], x[:, 2], -x[:, 1], x[:, 0]))]
+        return x[np.r_[True, x[1:, 0] != x[:-1, 0]][: len(x)]]
+
+    def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        g, found, held = _Groups(rows, num, den), [], 0
+        for a, b, like in g.pairs():
+            low, high = np.minimum(g.doc[a], g.doc[b]), np.maximum(g.doc[a], g.doc[b])
+            found += [np.c_[g.comp[x], like, low, high] for x in (a, b)]
+            held += 2 * len(a)
+            if held > PAIRS:
+                found = [best(found)]
+                held = len(found[0])
+        out = best(found)
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, c], pa.int64()) for c in range(4)], ["comp", "like", "a", "b"])
+
+    return _grouped(of)
+
+
+def _possible(num: int, den: int):
+    """Of whole groups: the rows that have a partner."""
+
+    def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        g = _Groups(rows, num, den)
+        mask = np.zeros(len(rows), bool)
+        for a, b, _ in g.pairs():
+            mask[a] = mask[b] = True
+        yield from rows.filter(pa.array(mask)).to_batches()
+
+    return _grouped(of)
+
+
+def _confirmed(num: int, den: int):
+    """Of whole groups with their full sets (the last column): links (a, b) of components that join what is linked in the group, each link exact."""
+
+    def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        g = _Groups(rows, num, den)
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column(9).to_pylist()]
+        first = np.r_[0, np.cumsum([len(x) for x in sets])]
+        code = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.zeros(0, np.int64)
+        has = np.zeros(int(code.max()) + 1 if len(code) else 0, bool)
+        name, root = np.unique(g.comp, return_inverse=True)
+        label = np.arange(len(name))
+        found = list(g.pairs())
+        a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        by = np.lexsort((b, a))
+        a, b = a[by], b[by]
+        cuts, out = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True]) if len(a) else [], []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            x = a[lo]
+            y = b[lo:hi]
+            y = y[label[root[y]] != label[root[x]]]
+            mine = code[first[x] : first[x + 1]]
+            has[mine] = True
+            for at in range(0, len(y), BLOCK):
+                some = y[at : at + BLOCK]
+                size = first[some + 1] - first[some]
+                starts = np.cumsum(size) - size
+                common = np.add.reduceat(has[code[np.repeat(first[some] - starts, size) + np.arange(size.sum())]], starts, dtype=np.int64)
+                for z in some[den * common >= num * (len(mine) + size - common)]:
+                    p, q = label[root[x]], label[root[z]]
+                    if p != q:
+                        label[label == max(p, q)] = min(p, q)
+                        out.append((min(name[root[x]], name[root[z]]), max(name[root[x]], name[root[z]])))
+            has[mine] = False
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    return _grouped(of)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node that the edges (a, b) reach; nodes without edges are left out.
 
@@ -279,18 +373,25 @@ def _named(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.filter("a <> b").distinct()
 
 
-def _candidates(open_: DataFrame, roots: DataFrame, nodes: DataFrame, wide: DataFrame | None, num: int, den: int) -> DataFrame:
-    """Distinct pairs to verify in buckets (key, doc, size): the likeliest ones, or with ``wide`` signatures all.
-
-    A bucket of many blocks is met block by block in separate groups.
-    """
-    rows = open_.join(roots, "doc", "left").withColumn("comp", F.coalesce("root", "doc")).join(nodes.select("doc", "n", "sig"), "doc")
-    rows = rows.join(wide.select("doc", "wide"), "doc").join(nodes.select("doc", "keys"), "doc") if wide is not None else rows
+def _met(open_: DataFrame, roots: DataFrame, near: DataFrame) -> DataFrame:
+    """The rows of ``_Groups`` for buckets (key, doc, size), dealt by group; a bucket of many blocks is met block by block in separate groups."""
+    rows = open_.join(roots, "doc", "left").withColumn("comp", F.coalesce("root", "doc")).join(near, "doc")
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("doc"), count).cast("int")
     meets = F.transform(F.sequence(F.lit(0), count - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
-    met = rows.withColumn("part", mine).withColumn("m", F.explode(meets)).select("key", "m.i", "m.j", "doc", "comp", "n", "part", "sig", *(["wide", "keys"] if wide is not None else []))
-    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidied(_close(num, den, wide is None)), "a long, b long").distinct()
+    met = rows.withColumn("part", mine).withColumn("m", F.explode(meets)).select("key", "m.i", "m.j", "doc", "comp", "n", "part", "sig", "prints")
+    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _still_open(open_: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of buckets (key, doc, size) those that hold more than one component."""
+    placed = open_.join(roots, "doc", "left").select("key", F.coalesce("root", "doc").alias("comp"))
+    split = materialize(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"), "split")
+    return materialize(open_.join(split, "key", "left_semi"), "open")
+
+
+def _any(rows: DataFrame) -> bool:
+    return bool(rows.limit(1).count())
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,14 +401,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     Documents without a word, or with a null text or id, are linked with nothing; a null id has a null component and is kept. Fewer words
     than ``width`` make one shingle. Rows alike in id are one node. An empty table gives no rows; other columns are not read.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     began = mark()
     bands, rows = banding(num / den)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
-    sketch = materialize(source.mapInArrow(tidied(_sketch(width, bands, rows)), "doc long, n long, fa long, fb long, keys array<long>, sig binary"), "sketch")
+    sketch = materialize(source.mapInArrow(tidied(_sketch(width, bands, rows)), "doc long, n long, fa long, fb long, keys array<long>, sig binary, prints binary"), "sketch")
     real = sketch.filter("n > 0 AND doc IS NOT NULL")
     classes = materialize(real.groupBy("fa", "fb", "n").agg(F.min("doc").alias("rep")), "classes")
-    nodes = materialize(real.select("doc", "n", "keys", "sig").join(classes.select(F.col("rep").alias("doc"), "n"), ["doc", "n"], "left_semi"), "nodes")
+    nodes = materialize(real.select("doc", "n", "keys", "sig", "prints").join(classes.select(F.col("rep").alias("doc"), "n"), ["doc", "n"], "left_semi"), "nodes")
     exploded = nodes.select(F.explode("keys").alias("key"), "doc")
     buckets = materialize(exploded.groupBy("key").agg(F.min("doc").alias("center"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     members = materialize(exploded.join(buckets, "key"), "members")
@@ -315,7 +417,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     ids = materialize(members.select("doc").distinct(), "candidates")
     wanted = bloom.member_bits(ids.select(F.xxhash64("doc")), ids.count())
     # tested where the sets are made: a task has one Python worker, and as many tasks share the work as read the texts
-    sets = materialize(source.filter("doc IS NOT NULL").withColumn("h", F.xxhash64("doc")).mapInArrow(tidied(_sets(width, wanted)), "doc long, items binary, wide binary"), "sets")
+    sets = materialize(source.filter("doc IS NOT NULL").withColumn("h", F.xxhash64("doc")).mapInArrow(tidied(_sets(width, wanted)), "doc long, items binary"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("doc").alias(x), F.col("items").alias(f"{x}_items")) for x in "ab")
@@ -326,24 +428,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     stars = materialize(linked(tried).groupBy("b").agg(F.min("a").alias("a")), "links")
     roots = _ends(stars.select(F.col("b").alias("doc"), F.col("a").alias("up")))
 
-    open_, links = members.select("key", "doc", "size"), []
-    for merging in [True] * MERGING_ROUNDS + [False]:
-        placed = open_.join(roots, "doc", "left").select("key", "doc", "size", F.coalesce("root", "doc").alias("comp"))
-        split = materialize(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"), "split")
-        open_ = materialize(open_.join(split, "key", "left_semi"), "open")
-        pairs = materialize(_candidates(open_, roots, nodes, None if merging else sets, num, den), "pairs")
+    links: list[DataFrame] = []
+    open_ = _still_open(members.select("key", "doc", "size"), roots)
+    near = materialize(nodes.join(open_.select("doc").distinct(), "doc", "left_semi").select("doc", "n", "sig", "prints"), "near")
+    kinds = "key long, i int, j int, doc long, comp long, n long, part int, sig binary, prints binary"
+    for _ in range(MERGING_ROUNDS):
+        if not _any(open_):
+            break
+        each = _met(open_, roots, near).mapInArrow(tidied(_likeliest(num, den)), "comp long, like long, a long, b long")
+        pairs = materialize(each.groupBy("comp").agg(F.max(F.struct("like", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs")
         found = materialize(linked(pairs.join(tried, ["a", "b"], "left_anti")), "links")
-        links.append(found)
+        if not _any(found):
+            break
         tried = tried.unionByName(pairs)
-        if merging:
-            edges = _named(found, roots)
-            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            hooks = _ends(both.filter("b < a").groupBy("a").agg(F.min("b").alias("up")).select(F.col("a").alias("doc"), "up"))
-            moved = hooks.select(F.col("doc").alias("was"), F.col("root").alias("now"))
-            old = roots.join(moved, roots["root"] == moved["was"], "left").select("doc", F.coalesce("now", "root").alias("root"))
-            roots = materialize(old.unionByName(hooks.join(roots, "doc", "left_anti").select("doc", "root")), "roots")
-    every = links[0]
-    for x in links[1:]:
+        edges = _named(found, roots)
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = _ends(both.filter("b < a").groupBy("a").agg(F.min("b").alias("up")).select(F.col("a").alias("doc"), "up"))
+        moved = hooks.select(F.col("doc").alias("was"), F.col("root").alias("now"))
+        old = roots.join(moved, roots["root"] == moved["was"], "left").select("doc", F.coalesce("now", "root").alias("root"))
+        roots = materialize(old.unionByName(hooks.join(roots, "doc", "left_anti").select("doc", "root")), "roots")
+        links.append(found)
+        open_ = _still_open(open_, roots)
+    if _any(open_):
+        possible = materialize(_met(open_, roots, near).mapInArrow(tidied(_possible(num, den)), kinds), "possible")
+        whole = possible.join(sets, "doc").select(*possible.columns, "items").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        last = materialize(whole.mapInArrow(tidied(_confirmed(num, den)), "a long, b long"), "links")
+        links.append(last)
+    every = spark.createDataFrame([], "a long, b long")
+    for x in links:
         every = every.unionByName(x)
     joined = materialize(components(_named(every, roots)), "joined")
 
