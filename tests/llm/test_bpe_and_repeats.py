@@ -52,16 +52,23 @@ def test_repeated_rows_null_ids_and_clashing_names(spark, monkeypatch, library):
     assert [bytes(r["decoded"]) for r in bpe.decode(spark.createDataFrame([(None,), ([],)], "ids array<int>")).collect()] == [b"", b""]
 
 
-def test_merges_of_equal_rank_go_from_the_left():
-    ranks = {bytes([i]): i for i in range(256)} | {b"aa": 256, b"aaaa": 257, b"aab": 258}
-    assert bpe.merged(b"aaaaa", ranks) == [257, 97]
-    assert bpe.merged(b"aaab", ranks) == [256, 97, 98]
-    assert bpe.merged(b"", ranks) == []
-
-
-def test_long_pieces_are_merged_in_bounded_time(library):
-    piece = "abcdefghij" * 20_000
-    assert bpe.merged(piece.encode(), bpe.read_ranks(bpe.RANKS)) == library.encode_ordinary(piece)
+def plainly_merged(piece, ranks):
+    """Of all neighbours the pair of the lowest rank is merged, the leftmost first, until no pair has a rank."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks), default=None)
+        if best is None:
+            return [ranks[p] for p in parts]
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+
+def test_ids_of_a_piece_equal_plain_merging():
+    ranks, rng = bpe.read_ranks(bpe.RANKS), random.Random(4)
+    encoder = bpe.Encoder(ranks, bpe.PATTERN)
+    for _ in range(300):
+        piece = "".join(rng.choice("abcdeéth日 's") for _ in range(rng.randrange(1, 150)))
+        assert np.frombuffer(encoder[piece], np.int32).tolist() == plainly_merged(piece.encode(), ranks)
+    assert max(map(len, encoder)) <= bpe.LONGEST_REMEMBERED
 
 
 def test_op11_on_the_whole_table(spark, library):

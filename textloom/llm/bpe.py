@@ -12,7 +12,7 @@ through. Decoding concatenates the bytes of the ids.
 from __future__ import annotations
 
 import base64
-import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,39 +40,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: of all neighbours the pair of the lowest rank is merged, the leftmost first, until no pair has a rank."""
-    if piece in ranks:
-        return [ranks[piece]]
-    ends = list(range(1, len(piece) + 1))  # of the part that starts at a place; 0 once it is merged away
-    before = list(range(-1, len(piece) - 1))
-    heap = [(r, i, i + 1, i + 2) for i in range(len(piece) - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-    heapq.heapify(heap)
-
-    def offer(i: int) -> None:
-        if i >= 0 and (j := ends[i]) < len(piece) and (r := ranks.get(piece[i : ends[j]])) is not None:
-            heapq.heappush(heap, (r, i, j, ends[j]))
-
-    while heap:
-        _, i, j, end = heapq.heappop(heap)
-        if ends[i] != j or ends[j] != end:
-            continue  # one of its parts has been merged since
-        ends[i], ends[j] = end, 0
-        if end < len(piece):
-            before[end] = i
-        offer(before[i])
-        offer(i)
-    return [ranks[piece[i:end]] for i, end in enumerate(ends) if end]
-
-
 class Encoder(dict):
-    """Packed ids of pre-tokens; forgets all when it has many, so that memory is bounded."""
+    """Packed ids of pre-tokens, each merged by itself by the public library's native code; forgets all when it has many, so that memory is bounded."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import tiktoken
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merged(piece.encode(), self.ranks), np.int32).tobytes()
+        ids = array("i", self.core.encode_single_piece(piece.encode())).tobytes()
         if len(piece) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -86,11 +63,11 @@ class Encoder(dict):
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(path: str, ranks) -> Encoder:
+def _encoder(path: str, ranks, pattern: str) -> Encoder:
     """One encoder of a file in each Python worker."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(ranks.value)
+        _ENCODERS[path] = Encoder(ranks.value, pattern)
     return _ENCODERS[path]
 
 
@@ -177,7 +154,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", ranks:
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def straight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks, table)
+        encoder = _encoder(ranks, table, pattern)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -185,7 +162,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", ranks:
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(got)], [*part.schema.names, ids_col])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks, table)
+        encoder = _encoder(ranks, table, pattern)
         for batch in batches:
             for i in range(batch.num_rows):
                 row, start, t, ends, since, upto = (c[i].as_py() for c in batch.columns)
