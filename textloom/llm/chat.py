@@ -1,6 +1,6 @@
 """Chat formatting by event-sourced reconstruction, with DataFrame functions only.
 
-A log holds events (conv_id, seq, kind, turn, role, text), in order of seq. Folded, they give a conversation's turns:
+A log holds events (conv_id, seq, kind, turn, role, text), in order of seq, a number or a struct. Folded, they give a conversation's turns:
 
 * ``message``  starts a turn (a later one of the same turn number starts another turn),
 * ``delta``    appends streamed text to the latest turn of its number, which it starts if need be,
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from textloom.functions.text import let
 
@@ -74,9 +75,10 @@ def fold(log: DataFrame) -> DataFrame:
     one number below all others, events without a seq come first. Extra columns are ignored, an empty log gives no rows. The result
     is one row a conversation, so its turns meet in one task in the end; that is the contract's, not the plan's.
     """
+    seq = F.col("seq") if isinstance(log.schema["seq"].dataType, StructType) else F.col("seq").cast("long")
     e = log.select(
         "conv_id", F.col("turn").cast("long").alias("turn"),
-        F.struct(F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("kind").cast("string"), F.lit("message")).alias("kind"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("e"),
+        F.struct(seq.alias("seq"), F.coalesce(F.col("kind").cast("string"), F.lit("message")).alias("kind"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("e"),
     )
     again = F.max(F.when(F.col("e.kind") == "regenerate", F.struct(F.col("e.seq").alias("seq"), F.col("e.kind").alias("kind"), F.col("turn")))).alias("again")
     narrow = e.groupBy("conv_id", "turn").agg(again)
@@ -117,25 +119,25 @@ def as_log(conversations: DataFrame) -> DataFrame:
     """A table (conv_id, turn, role, text) as the log of a chat service, (conv_id, seq, kind, turn, role, text), whose fold is the table again.
 
     The loss role's texts are streamed in deltas of ``PART`` characters, the others come as messages. A turn of odd number has a draft first: the loss
-    role's is regenerated, which drops a turn that was begun after it; another's is edited. Turn numbers are ints; rows of one conversation
+    role's is regenerated, which drops a turn that was begun after it; another's is edited. Turn numbers are longs, seq is (turn, place of the event in it); rows of one conversation
     and number follow one another by role and text, repeated rows too. Null roles and texts are empty.
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))
-    rows = conversations.groupBy("conv_id", F.col("turn").cast("int").alias("at")).agg(F.array_sort(F.collect_list(F.struct(role, text))).alias("rows"))
-    at = F.col("at").cast("long")
+    rows = conversations.groupBy("conv_id", F.col("turn").cast("long").alias("at")).agg(F.array_sort(F.collect_list(F.struct(role, text))).alias("rows"))
+    at = F.col("at")
+    drafted = (at % 2 != 0) & (at < (1 << 63) - 1)  # the last number has none after it
     event = lambda kind, role, text, turn=at: F.struct(F.lit(kind).alias("kind"), turn.alias("turn"), role.alias("role"), text.alias("text"))
 
     def events(r: Column) -> Column:
         streamed = F.transform(F.regexp_extract_all(r["text"], F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), lambda p: event("delta", r["role"], p))
         draft, nothing = F.lit(DRAFT), F.lit("")
-        begun = F.array(event("message", r["role"], draft), event("delta", r["role"], draft), event("message", F.lit("user"), draft, at + 1), event("regenerate", r["role"], nothing))
+        begun = F.array(event("message", r["role"], draft), event("delta", r["role"], draft), event("message", F.lit("user"), draft, F.try_add(at, F.lit(1))), event("regenerate", r["role"], nothing))
         return (
-            F.when((r["role"] == LOSS_ROLE) & (at % 2 != 0), F.concat(begun, streamed))
+            F.when((r["role"] == LOSS_ROLE) & drafted, F.concat(begun, streamed))
             .when(r["role"] == LOSS_ROLE, F.concat(F.array(event("message", r["role"], nothing)), streamed))
-            .when(at % 2 != 0, F.array(event("message", r["role"], draft), event("edit", r["role"], r["text"])))
+            .when(drafted, F.array(event("message", r["role"], draft), event("edit", r["role"], r["text"])))
             .otherwise(F.array(event("message", r["role"], r["text"])))
         )
 
     each = rows.select("conv_id", "at", F.posexplode(F.flatten(F.transform("rows", events))).alias("k", "e"))
-    seq = F.shiftleft(F.coalesce(at, F.lit(-1 << 31)), 32) + F.col("k")
-    return each.select("conv_id", seq.alias("seq"), "e.*")
+    return each.select("conv_id", F.struct("at", "k").alias("seq"), "e.*")

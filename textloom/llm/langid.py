@@ -53,17 +53,26 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_sample(docs: DataFrame, may_learn: Column) -> DataFrame:
-    """(lang, text): at most ``MAX_SAMPLE`` labelled rows for which ``may_learn`` holds, spread evenly over the languages by a hash of the id."""
-    known = docs.filter(F.coalesce(may_learn, F.lit(False)) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "lang").withColumn("u", F.xxhash64(F.lit(7), "id") / 2.0**64 + 0.5)
+    """(lang, text): at most ``MAX_SAMPLE`` labelled rows with a text for which ``may_learn`` holds, spread evenly over the languages by a hash of the id.
+
+    An id gives one row at most, however often it is repeated: of its rows that may be learned from, the one of the smallest hash.
+    """
+    may = docs.filter(F.coalesce(may_learn, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    rows = may.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), "text")
+    known = rows.select("id", "lang", (F.xxhash64(F.lit(7), "id") / 2.0**64 + 0.5).alias("u"))
     # a language beyond the MAX_SAMPLE most frequent ones cannot have a row in the sample
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_SAMPLE)
-    sizes = {r["lang"]: r["count"] for r in counts.collect()}
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_SAMPLE)
+    sizes = {r["lang"]: r["n"] for r in counts.collect()}
     each = max(1, MAX_SAMPLE // max(1, len(sizes)))
-    # far more than enough rows pass by hash before the exact choice, so no task gets a whole language
+    # far more than enough ids pass by hash before the exact choice, so no task gets a whole language
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 8.0 * each / n))]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
     w = Window.partitionBy("lang").orderBy("u", "id")
-    chosen = known.filter(F.col("u") < F.coalesce(share[F.col("lang")], F.lit(0.0))).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= each).select("id", F.col("lang").alias("label")).dropDuplicates(["id"])
-    return docs.join(F.broadcast(chosen), docs["doc_id"].cast("long") == chosen["id"]).select("label", "text")  # MAX_SAMPLE ids at most
+    passed = known.filter(F.col("u") < F.coalesce(share[F.col("lang")], F.lit(0.0))).distinct()
+    chosen = passed.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= each).select("id").distinct()
+    own = rows.join(F.broadcast(chosen), "id")  # MAX_SAMPLE ids at most
+    # an id's rows meet as one value a task, never as a list
+    least = own.groupBy("id").agg(F.min_by(F.struct("lang", "text"), F.struct(F.xxhash64("lang", "text"), F.col("lang"))).alias("r"))
+    return least.select(F.col("r.lang").alias("lang"), F.col("r.text").alias("text"))
 
 
 class Model:

@@ -12,7 +12,7 @@ A. every representative is verified against the smallest representative of its b
 B. only buckets that still hold more than one component are looked at, for pairs of different components whose sizes allow the threshold and
    whose signatures agree within six standard deviations of it. A pair is looked at in the first bucket that its documents share and nowhere else. Merging
    rounds verify each component's likeliest pair and merge what it links, so a large group of near copies falls into one component in few
-   verifications; they end with the first round that merges nothing, after ``MERGING_ROUNDS`` at the latest. A last round brings the full sets of the documents that
+   verifications; they end with the first round that merges little, after ``MERGING_ROUNDS`` at the latest. A last round brings the full sets of the documents that
    still have a possible partner to their buckets and confirms there, so no pair is ever a row of a table but the links between components
    that a bucket finds (fewer than it has documents). Large buckets are cut into blocks that meet in twos.
 
@@ -43,6 +43,8 @@ KEPT, MARGIN = 128, 6
 BLOCK = 512
 #: Rounds of merging, at most, before all that is left is verified.
 MERGING_ROUNDS = 4
+#: Merging also ends after a round that linked less than one in so many of its pairs.
+SPARSE = 4
 #: Pairs that are held at once while the likeliest are looked for.
 PAIRS = 1 << 20
 #: Documents of a group from which on its pairs are looked at as a matrix.
@@ -263,22 +265,24 @@ def _grouped(of):
 def _likeliest(num: int, den: int):
     """Of whole groups: (comp, like, a, b), the likeliest pair of each component that has one."""
 
-    def best(found: list[np.ndarray]) -> np.ndarray:
-        x = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
-        x = x[np.lexsort((x[:, 3], x[:, 2], -x[:, 1], x[:, 0]))]
-        return x[np.r_[True, x[1:, 0] != x[:-1, 0]][: len(x)]]
-
     def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         g, found, held = _Groups(rows, num, den), [], 0
+        name, comp = np.unique(g.comp, return_inverse=True)
+
+        def best(found: list[np.ndarray]) -> np.ndarray:
+            x = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+            x = x[np.argsort(x[:, 0] * (KEPT + 1) - x[:, 1])]
+            return x[np.r_[True, x[1:, 0] != x[:-1, 0]][: len(x)]]
+
         for a, b, like in g.pairs():
-            low, high = np.minimum(g.doc[a], g.doc[b]), np.maximum(g.doc[a], g.doc[b])
-            found += [np.c_[g.comp[x], like, low, high] for x in (a, b)]
+            found += [np.c_[comp[x], like, a, b] for x in (a, b)]
             held += 2 * len(a)
             if held > PAIRS:
                 found = [best(found)]
                 held = len(found[0])
         out = best(found)
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, c], pa.int64()) for c in range(4)], ["comp", "like", "a", "b"])
+        a, b = g.doc[out[:, 2]], g.doc[out[:, 3]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (name[out[:, 0]], out[:, 1], np.minimum(a, b), np.maximum(a, b))], ["comp", "like", "a", "b"])
 
     return _grouped(of)
 
@@ -449,6 +453,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         roots = materialize(old.unionByName(hooks.join(roots, "doc", "left_anti").select("doc", "root")), "roots")
         links.append(found)
         open_ = _still_open(open_, roots)
+        if found.count() * SPARSE < pairs.count():
+            break
     if _any(open_):
         possible = materialize(_met(open_, roots, near).mapInArrow(tidied(_possible(num, den)), kinds), "possible")
         whole = possible.join(sets, "doc").select(*possible.columns, "items").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")

@@ -80,9 +80,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """The classifier, from the ``MAX_SAMPLE`` labelled documents of the smallest hashes."""
+    """The classifier, from the ``MAX_SAMPLE`` labelled documents of the smallest hashes; of a repeated id the row of the smallest hash of its text, so that no more rows reach the driver."""
     chosen = labels.select("id", "y").orderBy(F.xxhash64(F.lit(11), "id"), "id", "y").limit(MAX_SAMPLE)
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"].cast("long") == chosen["id"]).select("y", "text").mapInArrow(_measured, "y double, x array<double>").collect()
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")  # MAX_SAMPLE ids at most
+    least = own.groupBy("id", "y").agg(F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), F.length("text"))).alias("r"))
+    rows = least.select("y", F.col("r.text").alias("text")).mapInArrow(_measured, "y double, x array<double>").collect()
     rows = sorted((r["y"], tuple(r["x"])) for r in rows)
     return fit(np.array([r[1] for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r[0] for r in rows], float))
 

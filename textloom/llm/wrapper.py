@@ -12,7 +12,7 @@ few skeletons of a host, however many pages it has, and every page counts:
    neighbours may be content (copies of a page count once, and a page of template blocks alone keeps them: copies must not empty it);
 3. of the varying slots those of the page's article or main element are content or, where there is none or it holds less than 1 - ``MASS`` of the varying text, those of the smallest element that
    holds ``MASS`` of the varying text, looked for below elements without text of their own. Navigation, headers, footers, sidebars, forms, scripts, styles and what is hidden or has such a role
-   are never content. An element that only a class or id names as a notice, advert, comments and the like is not content either, unless the page's only main elements are in it, it is a
+   are never content, but for a form around the page's only main elements, or around all of a page with text paragraphs: it loses its controls. An element that only a class or id, a heading of its own ("Reader comments") or its place (an article in an article) names as a notice, advert, comments and the like is not content either, unless the page's only main elements are in it, it is a
    varying paragraph of ``LARGE`` characters or more, or it holds ``NEARLY_ALL`` of the varying text.
 """
 
@@ -56,7 +56,11 @@ NOISE = set(
 NEUTRAL = set("area bar block box bottom container inner item items left link links list outer page post posts primary right secondary section site text top wrap wrapper".split())
 NAMED = "!prose", "!noise"
 PROSE = set("p blockquote pre dd h2 h3 h4 h5 h6".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: What a page-wide form loses when it is opened, and the heading by which a section says that it holds comments.
+CONTROLS = set("label legend fieldset option optgroup output datalist".split())
+COMMENTS = re.compile(r"(?i)\W*(?:\d+\s+)?(?:(?:reader|user|visitor|guest|recent|latest|all|leave an?|post an?|add an?|write an?|your)\s+)?(?:comments?|replies|reply)\W*(?:\d+\W*)?")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -170,6 +174,45 @@ def _mostly_links(n: Node) -> bool:
     return 2 * linked > chars
 
 
+def _is_comments(n: Node) -> bool:
+    """An article within an article, which is what HTML calls a comment on it, or a section under a heading that says so."""
+    if n.tag not in ("article", "section", "div"):
+        return False
+    up = n.up if n.tag == "article" else None
+    while up:
+        if up.tag == "article":
+            return True
+        up = up.up
+    at = n
+    while at.tag in ("article", "section", "div", "header"):
+        at = next((x for x in at.items if not isinstance(x, str) or x.strip()), None)
+        if at is None or isinstance(at, str):
+            return False
+    return at.tag in HEADINGS and COMMENTS.fullmatch(_said(at)) is not None
+
+
+def _said(n: Node) -> str:
+    out, todo = [], [n]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            out.append(at)
+        else:
+            todo += reversed(at.items)
+    return entities.unescape("".join(out)).strip()
+
+
+def _has_prose(n: Node) -> bool:
+    """Whether some text paragraph with words is below."""
+    todo = [n]
+    while todo:
+        at = todo.pop()
+        if at.tag in PROSE and _said(at):
+            return True
+        todo += [x for x in at.items if not isinstance(x, str)]
+    return False
+
+
 def _is_main(n: Node) -> bool:
     return n.tag in ("article", "main") or n.attrs.get("role") == "main" or n.attrs.get("itemprop") == "articleBody"
 
@@ -189,9 +232,13 @@ class Page:
         self._text: list[str] = []
         self._slot = self._new("#root")
         root = parse(page)
-        self._spare = not root.free
+        self._spare, self._open = not root.free, False
         self._walk(root, self._slot, False)
         self._flush()
+        if not self.blocks and "<form" in page.lower():  # all of the page is in a form
+            self._open = True
+            self._walk(root, self._slot, False)
+            self._flush()
 
     def _new(self, label: str) -> int:
         self.labels.append(label)
@@ -215,7 +262,7 @@ class Page:
                     self._text.append(x)
                 elif x.tag in ("br", "hr"):
                     self._text.append(" ")
-                elif _is_dropped(x, inside) or (named := self._is_noise(x, inside)) and (x.tag in INLINE or not noisy and self.depth[slot] >= DEEPEST):
+                elif _is_dropped(x, inside) and not self._is_page_wide(x) or self._open and x.tag in CONTROLS or (named := self._is_noise(x, inside)) and (x.tag in INLINE or not noisy and self.depth[slot] >= DEEPEST):
                     if x.tag not in INLINE:
                         self._flush()
                 elif x.tag in INLINE:
@@ -240,9 +287,14 @@ class Page:
                     self._flush()
                     self._slot = stack[-1][1] if stack else 0
 
+    def _is_page_wide(self, x: Node) -> bool:
+        """A form around the page's main elements, all of which are in noise, or around all that a page has."""
+        form = x.tag == "form" or x.tag not in DROPPED and (x.attrs.get("role") or "").lower() == "form"
+        return form and (x.holds and self._spare or self._open and _has_prose(x))
+
     def _is_noise(self, x: Node, inside: bool) -> bool:
-        """Named as noise; an outermost article is not, nor is what holds the page's main elements if all of them are in such elements."""
-        return x.named and not (not inside and (x.tag == "article" or x.holds and self._spare))
+        """Named or headed as noise; an outermost article is not, nor is what holds the page's main elements if all of them are in such elements."""
+        return (x.named or _is_comments(x)) and not (not inside and (x.tag == "article" or x.holds and self._spare))
 
     def _place(self, x: Node, slot: int) -> int:
         """The skeleton node of a block element under ``slot``: flow content joins flow, a like sibling its neighbour."""
