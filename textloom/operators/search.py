@@ -201,17 +201,45 @@ def ratio_udf():
     return F.pandas_udf(run, "double")
 
 
+def bigrams(c: Column) -> Column:
+    """The pairs of neighbouring letters, numbered where they repeat (``na#0``, ``an#0``, ``na#1``), so that sets of them meet as often as the words share pairs."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))
+    return F.when(F.length(c) < 2, F.array().cast("array<string>")).otherwise(F.transform(pairs, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(pairs, 1, i), lambda x: x == g)).cast("string"))))
+
+
+def fuzzy_candidates(typos: DataFrame, vocab: DataFrame, least: float = S.fuzzy_min_score) -> DataFrame:
+    """(term, match): pairs that may have an insert-delete ratio of ``least``, a superset of those that have it, by an equi-join.
+
+    A term of n letters and a match of m are at most d = (1 - least) (n + m) insertions and deletions apart, x letters of the term and y of the match.
+    A deletion breaks two of the term's n - 1 pairs at most, an insertion one, so n - 1 - 2x - y pairs are shared and one of the term's
+    2x + y + 1 rarest pairs is among them. Only those are looked up, by pair and length. Where that is more than the term has, every
+    word of that length is a candidate (under the pair ``""``); with the default score that is never so from four letters on.
+    """
+    far = 1 - least / 100
+    known = vocab.select(F.col("term").alias("match"), F.length("term").alias("m"), F.explode(F.array_append(bigrams(F.col("term")), F.lit(""))).alias("gram"))
+    # letters and digits make some thousand pairs, however large the vocabulary
+    often = known.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    own = typos.select("term", F.explode(bigrams(F.col("term"))).alias("gram")).join(often, "gram", "left")
+    rare = own.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram"))), lambda g: g["gram"]).alias("grams"))
+    n, m = F.length("term"), F.col("m")
+    lengths = F.sequence(F.ceil(n * (1 - far) / (1 + far) - 1e-9).cast("int"), F.floor(n * (1 + far) / (1 - far) + 1e-9).cast("int"))
+    each = rare.withColumn("m", F.explode(lengths)).withColumn("d", F.floor(far * (n + m) + 1e-9).cast("int"))
+    each = each.withColumn("d", F.col("d") - F.pmod(F.col("d") - F.abs(n - m), F.lit(2))).filter(F.col("d") >= F.abs(n - m))
+    wanted = (F.col("d") + n - m) + F.floor((F.col("d") + m - n) / 2) + 1
+    looked = F.when(wanted > F.size("grams"), F.array(F.lit(""))).otherwise(F.slice("grams", F.lit(1), wanted.cast("int")))
+    return each.select("term", "m", F.explode(looked).alias("gram")).join(known, ["m", "gram"]).select("term", "match").distinct()
+
+
 def fuzzy_matches(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """(term, match, score, rank): for terms of enough letters that are no vocabulary term, the likeliest vocabulary terms.
 
-    A length band and a banded edit distance, which never exceeds the insert-delete distance, come before the exact ratio.
+    Candidates share a rare pair of letters; a banded edit distance, which never exceeds the insert-delete distance, comes before the exact ratio.
     """
-    typos = terms.select("term").distinct().filter(F.length("term") >= S.fuzzy_min_term_len).join(vocab.select("term"), "term", "left_anti")
-    total = F.length("term") + F.length("match")
-    room = F.floor((1 - S.fuzzy_min_score / 100) * total + 1e-9)
-    close = (2 * F.least(F.length("term"), F.length("match")) >= S.fuzzy_min_score / 100 * total) & (F.levenshtein("term", "match") <= room)
-    met = meet(materialize(typos, "typos"), vocab.select(F.col("term").alias("match")), F.octet_length("term") + 8, close)
-    scored = met.withColumn("score", ratio_udf()(F.col("term"), F.col("match"))).filter(F.col("score") >= S.fuzzy_min_score)
+    vocab = materialize(vocab.select("term"), "vocabulary")  # read by each of the joins
+    typos = terms.select("term").distinct().filter(F.length("term") >= S.fuzzy_min_term_len).join(vocab, "term", "left_anti")
+    met = fuzzy_candidates(materialize(typos, "typos"), vocab)
+    room = F.floor((1 - S.fuzzy_min_score / 100) * (F.length("term") + F.length("match")) + 1e-9)
+    scored = met.filter(F.levenshtein("term", "match") <= room).withColumn("score", ratio_udf()(F.col("term"), F.col("match"))).filter(F.col("score") >= S.fuzzy_min_score)
     return top(scored, ["term"], [F.desc("score"), "match"], S.fuzzy_max_matches_per_term)
 
 
