@@ -77,14 +77,14 @@ class CorpusStore:
             raise OSError(f"{aside} could not be renamed to {at}")
         return bool(renamed)
 
-    def _aside(self, rows: DataFrame) -> str:
+    def _aside(self, rows: DataFrame, by: list[str] | None = None) -> str:
         aside = f"{self.path}/_{uuid.uuid4().hex}"
-        rows.write.parquet(aside)
+        rows.write.partitionBy(*(by or [])).parquet(aside)
         return aside
 
-    def rebuild(self, rows: DataFrame) -> int:
-        """Write all rows as the next version."""
-        aside = self._aside(rows)
+    def rebuild(self, rows: DataFrame, by: list[str] | None = None) -> int:
+        """Write all rows as the next version, partitioned by the columns ``by``."""
+        aside = self._aside(rows, by)
         version = max(self.versions(), default=0) + 1
         while not self._commit(aside, version):
             version += 1

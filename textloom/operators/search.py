@@ -79,7 +79,8 @@ class _Best:
     def add(self, at: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         ok = score >= self.least[at]
         at, ids, score = (np.concatenate([x, y[ok]]) for x, y in zip(self.rows, (at, ids, score), strict=True))
-        place = np.unique(ids, return_inverse=True)[1] if len(ids) else np.zeros(0, int)
+        turn = {x: i for i, x in enumerate(sorted(set(ids), key=lambda x: (x is not None, 0 if x is None else x)))}  # a null id comes first
+        place = np.array([turn[x] for x in ids], int)
         order = np.lexsort((place, -score, at))
         at, ids, score = at[order], ids[order], score[order]
         turn = np.arange(len(at)) - np.searchsorted(at, at)

@@ -9,8 +9,10 @@ from textloom import config
 from textloom.embedders import HashingEmbedder, get_embedder
 from textloom.functions import text as T
 from textloom.functions import vectors as V
-from textloom.scratch import materialize
 from textloom.operators import answer, blocks, brand, chunks, index_store, search, sessions
+from textloom.operators.dense_index import DenseIndex
+from textloom.operators.dense_index import ALL as DENSE_ALL
+from textloom.scratch import materialize, shared_path
 
 S = config.SETTINGS
 FRACTION = 0.02
@@ -150,6 +152,27 @@ def knn_topk_per_query(spark, sf):
     return search.knn(q, e, S.retrieval_top_k, "q_vec", "embedding", "query_id", "vec_id")
 
 
+def _dense_index(spark, sf):
+    """The embeddings, indexed anew in the shared folder."""
+    e = _read(spark, sf, "embeddings")
+    index = DenseIndex(spark, shared_path(spark, "dense"))
+    index.build(e, "vec_id", "embedding")
+    return index, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
+
+
+def dense_index_exact(spark, sf):
+    """The index with all cells probed: the exact search."""
+    index, q = _dense_index(spark, sf)
+    return index.search(q, "query_id", "q_vec", "vec_id", "embedding", probes=DENSE_ALL)
+
+
+def dense_index_recall(spark, sf):
+    """Of each query's exact nearest, how many the index finds with the probes that it chose."""
+    index, q = _dense_index(spark, sf)
+    want, got = knn_cosine(spark, sf).select("query_id", "vec_id"), index.search(q, "query_id", "q_vec", "vec_id", "embedding").select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return want.join(got, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"))
+
+
 def relevance_gate(spark, sf):
     e = _read(spark, sf, "embeddings")
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
@@ -348,7 +371,7 @@ def event_props(spark, sf):
 QUERIES = {f.__name__: f for f in (
     sentence_split, word_counts, text_hashes, nav_filter, garbage_filter, short_filter, shell_filter, shortcode_strip, pdf_text_blocks, exact_dedup, paragraph_doc_freq, boilerplate_hashes, boilerplate_strip,
     hard_window_split, chunk_documents, chunk_drop_reasons, process_stats, chunk_index, vocabulary, embedding_inputs, chunk_metadata, snippets, hashing_embeddings, knn_cosine, knn_topk_per_query,
-    relevance_gate, index_count, query_terms, vocab_anti_join, fuzzy_corrections, keyword_boost, lexical_topk, hybrid_search, chunked_hybrid_search, answers, history_last_n, history_prompt, question_guard,
+    relevance_gate, dense_index_exact, dense_index_recall, index_count, query_terms, vocab_anti_join, fuzzy_corrections, keyword_boost, lexical_topk, hybrid_search, chunked_hybrid_search, answers, history_last_n, history_prompt, question_guard,
     citation_extract, citation_strip, refusals, grounding_downgrade, context_blocks, rate_limit, session_reset, rate_limit_with_resets, attempts_in_window, politeness_schedule, upsert_replace, purge_prefix,
     seed_fallback, seed_summary, first_wins, event_props,
 )}
@@ -507,6 +530,8 @@ ORACLE_SQL = {
     "snippets": "SELECT doc_id, substr(text, 1, 200) AS snippet FROM documents",
     "knn_cosine": """SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 4) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, c.vec_id) AS rank
         FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 QUALIFY rank <= 40""",
+    "dense_index_exact": """SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 4) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, c.vec_id) AS rank
+        FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 QUALIFY rank <= 40""",
     "knn_topk_per_query": """SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 4) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, c.vec_id) AS rank
         FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 QUALIFY rank <= 8""",
     "relevance_gate": """WITH k AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 4) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, c.vec_id) AS rank
