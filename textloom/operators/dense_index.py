@@ -86,8 +86,7 @@ def _probing(shared, pool: int, id_type):
                 if q is None:
                     continue
                 rows = np.flatnonzero(cell == c)
-                v = np.array([x or [] for x in batch.column(1).take(pa.array(rows)).to_pylist()], object)
-                v = np.array([np.asarray(x, np.float64) if len(x) == vectors.shape[1] else np.zeros(vectors.shape[1]) for x in v]).reshape(len(rows), -1)
+                v = search.matrix(batch.column(1).take(pa.array(rows)).to_pylist(), vectors.shape[1])
                 for lo in range(0, len(rows), search.SLAB):
                     some = rows[lo : lo + search.SLAB]
                     score = search.rounded(search.cosines(vectors[q], v[lo : lo + search.SLAB]))
@@ -157,7 +156,7 @@ class DenseIndex:
         made = self.lists.read(version).select("cells").first()
         at = sorted(self.cells.read(made[0] if made else None).collect())
         known = self.probes.read().filter(F.col("cells") == (made[0] if made else -1)).first() if self.probes.versions() else None
-        return np.array([r["centre"] for r in at], np.float64).reshape(len(at), -1), known["probes"] if known else len(at) + 1
+        return np.array([r["centre"] for r in at], np.float64).reshape(len(at), len(at[0]["centre"]) if at else 0), known["probes"] if known else len(at) + 1
 
     def search(self, queries: DataFrame, q_id: str, q_vec: str, r_id: str, r_vec: str, k: int = S.retrieval_candidate_pool, probes: int | None = None, version: int | None = None) -> DataFrame:
         """(q_id, r_id, score, rank): of each question the k nearest rows in the cells it probes, by cosine rounded to four places, ties to the smaller id.
@@ -175,7 +174,7 @@ class DenseIndex:
             got = part.collect()  # about ROUND_BYTES
             if not got:
                 continue
-            v = np.array([r["vec"] if r["vec"] and len(r["vec"]) == at.shape[1] else [0.0] * at.shape[1] for r in got], np.float64).reshape(len(got), at.shape[1])
+            v = search.matrix([r["vec"] for r in got], at.shape[1])
             turn = np.argsort(-(v @ at.T), axis=1, kind="stable")[:, :probes]
             by: dict[int, np.ndarray] = {int(c): np.flatnonzero((turn == c).any(axis=1)) for c in np.unique(turn)}
             if probes > len(at):  # the cell of rows without a vector

@@ -69,6 +69,12 @@ def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.divide(dot, d, out=np.zeros_like(dot), where=d > 0)
 
 
+def matrix(vectors: list, width: int) -> np.ndarray:
+    """Vectors as rows; null ones and those of another size or with nulls are zero."""
+    none = [0.0] * width
+    return np.array([x if x and len(x) == width and None not in x else none for x in vectors], np.float64).reshape(len(vectors), width)
+
+
 class _Best:
     """The k best (score, id) of each of n lists, ties to the smaller id."""
 
@@ -106,8 +112,7 @@ def _scan(shared, pool: int, each: int, id_type):
             for lo in range(0, batch.num_rows, SLAB):
                 part = batch.slice(lo, SLAB)
                 own = np.array(part.column(0).to_pylist(), object)
-                v = np.array([x or [] for x in part.column(1).to_pylist()], np.float64).reshape(len(own), -1)
-                score = rounded(cosines(vectors, v))
+                score = rounded(cosines(vectors, matrix(part.column(1).to_pylist(), vectors.shape[1])))
                 if pool:
                     k = min(pool, len(own))
                     floor = -np.partition(-score, k - 1, axis=1)[:, k - 1]
@@ -146,7 +151,7 @@ def _finder(words: list[str]):
 def _found(queries: DataFrame, rows: DataFrame, q_id: str, q_vec: str, r_id: str, r_vec: str, pool: int, words: str | None = None, text: str | None = None) -> DataFrame:
     """(q_id, variant_ord, r_id, score, rank): the dense ``pool`` of each question (variant_ord -1) and, with ``words``, the nearest rows whose text holds each of them.
 
-    ``queries`` is read twice, so it should be written. Null and empty vectors score 0; rows without an id take part under null.
+    ``queries`` is read twice, so it should be written. Null and empty vectors, and those of another size than the questions', score 0; rows without an id take part under null.
     """
     spark = rows.sparkSession
     bounded_batches(spark)
@@ -158,7 +163,8 @@ def _found(queries: DataFrame, rows: DataFrame, q_id: str, q_vec: str, r_id: str
     out = None
     for part in dealt(wanted, size):
         got = part.collect()  # about ROUND_BYTES
-        shared = spark.sparkContext.broadcast(([r[0] for r in got], np.array([r["vec"] or [] for r in got], np.float64).reshape(len(got), -1), [r["words"] or [] for r in got]))
+        width = max((len(r["vec"]) for r in got if r["vec"]), default=0)
+        shared = spark.sparkContext.broadcast(([r[0] for r in got], matrix([r["vec"] for r in got], width), [r["words"] or [] for r in got]))
         if got:
             met = source.mapInArrow(_scan(shared, pool, S.lexical_matches_per_term, id_type), kinds)
             out = met if out is None else out.unionByName(met)

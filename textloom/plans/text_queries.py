@@ -12,6 +12,7 @@ from textloom.functions import vectors as V
 from textloom.operators import answer, blocks, brand, chunks, index_store, search, sessions
 from textloom.operators.dense_index import DenseIndex
 from textloom.operators.dense_index import ALL as DENSE_ALL
+from textloom.operators.lexical_index import LexicalIndex, lexical
 from textloom.scratch import materialize, shared_path
 
 S = config.SETTINGS
@@ -224,6 +225,15 @@ def lexical_topk(spark, sf):
     return search.lexical(asked, _embedded(spark, sf)).select("query_id", F.col("variant_ord").cast("long"), "variant", "chunk_id", "score", "rank")
 
 
+def lexical_index_topk(spark, sf):
+    """The same through a persisted index: only rows that may hold a term are read."""
+    index = LexicalIndex(spark, shared_path(spark, "lexical"))
+    index.build(_embedded(spark, sf))
+    asked = HashingEmbedder(DIM).embed(_asked(spark, sf), "question", "q_vec", query=True)
+    asked = asked.select("query_id", "q_vec", T.query_terms("question").alias("terms"), F.array().cast("array<string>").alias("fuzzy"))
+    return lexical(asked, index).select("query_id", F.col("variant_ord").cast("long"), "variant", "chunk_id", "score", "rank")
+
+
 def hybrid_search(spark, sf):
     """Flagship: questions against all documents, dense pool and lexical branch merged and boosted."""
     asked = HashingEmbedder(DIM).embed(_asked(spark, sf), "question", "q_vec", query=True)
@@ -371,7 +381,7 @@ def event_props(spark, sf):
 QUERIES = {f.__name__: f for f in (
     sentence_split, word_counts, text_hashes, nav_filter, garbage_filter, short_filter, shell_filter, shortcode_strip, pdf_text_blocks, exact_dedup, paragraph_doc_freq, boilerplate_hashes, boilerplate_strip,
     hard_window_split, chunk_documents, chunk_drop_reasons, process_stats, chunk_index, vocabulary, embedding_inputs, chunk_metadata, snippets, hashing_embeddings, knn_cosine, knn_topk_per_query,
-    relevance_gate, dense_index_exact, dense_index_recall, index_count, query_terms, vocab_anti_join, fuzzy_corrections, keyword_boost, lexical_topk, hybrid_search, chunked_hybrid_search, answers, history_last_n, history_prompt, question_guard,
+    relevance_gate, dense_index_exact, dense_index_recall, index_count, query_terms, vocab_anti_join, fuzzy_corrections, keyword_boost, lexical_topk, lexical_index_topk, hybrid_search, chunked_hybrid_search, answers, history_last_n, history_prompt, question_guard,
     citation_extract, citation_strip, refusals, grounding_downgrade, context_blocks, rate_limit, session_reset, rate_limit_with_resets, attempts_in_window, politeness_schedule, upsert_replace, purge_prefix,
     seed_fallback, seed_summary, first_wins, event_props,
 )}
@@ -566,3 +576,4 @@ ORACLE_SQL = {
     "first_wins": "SELECT min(doc_id) AS doc_id, sha256(lower(text)) AS h FROM documents GROUP BY lower(text)",
     "event_props": "SELECT event_id, len(json_keys(props))::BIGINT AS n_keys FROM events",
 }
+ORACLE_SQL["lexical_index_topk"] = ORACLE_SQL["lexical_topk"]
