@@ -13,6 +13,10 @@ from textloom.operators import blocks, brand, crawl, curated, reports
 
 #: Allow-list of the queries: one registered domain and one exact host.
 ALLOWED = ("example.org", "ththan.example.net")
+#: A page of fewer visible characters gives no chunk.
+LEAST_CHARS = 1200
+#: Pages of the next crawl level.
+BUDGET = 60
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -83,8 +87,8 @@ def html_links(spark, sf):
 
 
 def external_domain_counts(spark, sf):
-    e = pages(spark, sf).select(F.col("url").alias("dst_url"))
-    return crawl.external_counts(e, ALLOWED).orderBy(F.desc("n"), "domain").limit(20)
+    """The domains that most links lead to, of those outside the allow-list."""
+    return crawl.external_counts(crawl.links(pages(spark, sf)), ALLOWED).orderBy(F.desc("n"), "domain").limit(20)
 
 
 def needs_js(spark, sf):
@@ -119,7 +123,7 @@ def page_blocks(spark, sf):
 def frontier_step(spark, sf):
     p = pages(spark, sf)
     seen = p.filter("page_id % 2 = 0").select(U.normalize("url").alias("url"))
-    return crawl.frontier_step(crawl.links(p), seen, ALLOWED, budget=100_000_000)
+    return crawl.frontier_step(crawl.links(p), seen, ALLOWED, budget=BUDGET)
 
 
 def homepage_lookup(spark, sf):
@@ -135,7 +139,8 @@ def _crawled(spark, sf):
 
 
 def _page_chunks(spark, sf):
-    return pages(spark, sf).filter(U.path("url") != "/").select(U.normalize("url").alias("source_url"), F.col("page_id").alias("chunk_index"), H.title("html").alias("page_title"), (F.col("page_id") % 10 == 3).alias("is_pdf"))
+    """One chunk a page of some text; the others are crawled and not indexed."""
+    return pages(spark, sf).filter(F.length(H.visible_text("html")) >= LEAST_CHARS).select(U.normalize("url").alias("source_url"), F.col("page_id").alias("chunk_index"), H.title("html").alias("page_title"), (F.col("page_id") % 10 == 3).alias("is_pdf"))
 
 
 def chunk_counts(spark, sf):
@@ -311,7 +316,7 @@ _LINKS = rf"""
     l AS (SELECT page_id, url AS src_url, link_ord::BIGINT AS link_ord, 'https://' || {_BARE} ||
                  (CASE WHEN length(href) > 1 THEN regexp_replace(href, '/+$', '') ELSE '/' END) AS dst_url FROM a)"""
 _CRAWLED = f"c AS (SELECT {_NORM} AS url, page_id % 10 = 3 AS is_pdf, page_id FROM pages), u AS (SELECT url, arg_max(is_pdf, page_id) AS is_pdf FROM c GROUP BY url)"
-_CHUNKS = f"k AS (SELECT {_NORM} AS source_url, page_id, {_TITLE} AS page_title, page_id % 10 = 3 AS is_pdf FROM pages WHERE {_PATH} <> '/'), n AS (SELECT source_url, count(*) AS n_chunks, arg_min(page_title, page_id) AS page_title, arg_max(is_pdf, page_id) AS is_pdf FROM k GROUP BY source_url)"
+_CHUNKS = f"k AS (SELECT {_NORM} AS source_url, page_id, {_TITLE} AS page_title, page_id % 10 = 3 AS is_pdf FROM pages WHERE length({_VISIBLE}) >= {LEAST_CHARS}), n AS (SELECT source_url, count(*) AS n_chunks, arg_min(page_title, page_id) AS page_title, arg_max(is_pdf, page_id) AS is_pdf FROM k GROUP BY source_url)"
 _KEY = rf"replace(lower({_HOST}), 'www.', '') || (CASE WHEN regexp_replace({_PATH}, '/+$', '') = '' THEN '/' ELSE regexp_replace({_PATH}, '/+$', '') END)"
 _SHEET = """s AS (SELECT page_id, 'a{color:#' || substr(sha256(url), 1, 6) || '} b{background:#' || substr(sha256(url), 7, 3) || ';} :root{--brand-color: #' || substr(sha256(url), 10, 6) || '; --Main-tone: rgb(' ||
     (page_id % 256) || ', 20, 200); --accent: #ffffff;} p{font-family: ''Font' || (page_id % 5) || ''', serif;} i{font-family: FontAwesome;} q{font-family: inherit}' AS css FROM pages)"""
@@ -353,7 +358,7 @@ ORACLE_SQL = {
     "html_visible_text": f"SELECT page_id, {_VISIBLE} AS text FROM pages",
     "looks_like_html": "SELECT page_id, regexp_matches(lower(substr(html, 1, 4000)), '<html|<body|<div|<a |<p>') AS is_html FROM pages",
     "html_links": _LINKS + " SELECT * FROM l",
-    "external_domain_counts": f"SELECT {_DOMAIN} AS domain, count(*) AS n FROM pages WHERE NOT {_IN} GROUP BY 1 ORDER BY n DESC, domain LIMIT 20",
+    "external_domain_counts": _LINKS + f" SELECT {_of(_DOMAIN, 'dst_url')} AS domain, count(*) AS n FROM l WHERE NOT {_of(_IN, 'dst_url')} GROUP BY 1 ORDER BY n DESC, domain LIMIT 20",
     "needs_js": f"SELECT page_id, {_NEEDS} AS needs_js FROM pages",
     "route_responses": """
         WITH r AS (SELECT page_id, url, CASE page_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 404 WHEN 2 THEN 503 ELSE 200 END AS s,
@@ -373,7 +378,7 @@ ORACLE_SQL = {
     "frontier_step": _LINKS + f""",
         s AS (SELECT {_NORM} AS url FROM pages WHERE page_id % 2 = 0),
         f AS (SELECT dst_url AS url, min({{'p': page_id, 'l': link_ord}}) AS spot FROM l WHERE {_of(_IN, 'dst_url')} AND NOT {_trap(_of(_PQ, 'dst_url'))} AND NOT {_asset(_of(_PATH, 'dst_url'))} GROUP BY 1)
-        SELECT url, (CASE WHEN {_priority(_PQ)} < 0 THEN 0 ELSE 1 END)::BIGINT AS class, spot.p AS page_id, spot.l AS link_ord FROM f WHERE url NOT IN (SELECT url FROM s)""",
+        SELECT url, (CASE WHEN {_priority(_PQ)} < 0 THEN 0 ELSE 1 END)::BIGINT AS class, spot.p AS page_id, spot.l AS link_ord FROM f WHERE url NOT IN (SELECT url FROM s) ORDER BY class, page_id, link_ord, url LIMIT {BUDGET}""",
     "homepage_lookup": "SELECT page_id, url FROM pages WHERE rtrim(lower(url), '/') IN ('https://thther.example.org/en/685', 'https://www.thther.example.org/en/685') ORDER BY page_id LIMIT 1",
     "suffix_lookup": f"SELECT page_id, url, length({_VISIBLE}) AS n_chars FROM pages WHERE rtrim(lower(url), '/') LIKE '%/en/685' ORDER BY page_id LIMIT 1",
     "chunk_counts": f"WITH {_CHUNKS} SELECT * FROM n",

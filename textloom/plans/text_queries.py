@@ -107,8 +107,8 @@ def process_stats(spark, sf):
 
 
 def chunk_index(spark, sf):
-    c = chunks.chunk_documents(docs(spark, sf)).filter("reason IS NULL").withColumn("site", F.col("doc_id") % 50)
-    return chunks.numbered(c, "site", ["doc_id", "piece_ord"]).select("doc_id", "piece_ord", "site", "chunk_index", "chunk_id")
+    c = chunks.chunk_documents(docs(spark, sf)).filter("reason IS NULL").withColumn("site", F.col("doc_id"))  # a document is a page here
+    return chunks.numbered(c, "site", ["piece_ord"]).select("doc_id", "piece_ord", "site", "chunk_index", "chunk_id")
 
 
 def _corpus(spark, sf):
@@ -493,6 +493,35 @@ _REFUSAL = f"(regexp_replace({_squeeze('said')}, '\\.+$', '') = '{_MSG.strip().l
 _LAST = "SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM conversations QUALIFY age <= 6"
 
 
+def _chunks() -> str:
+    """The chunker as a recursive walk over each long document's sentences: ``lo`` is the first sentence of the open chunk, ``n`` its words."""
+    size, overlap = S.chunk_max_tokens, S.chunk_overlap_tokens
+    step = size - overlap
+    return rf"""RECURSIVE tb AS (SELECT doc_id, text, {_nw('text')} AS nw FROM (SELECT doc_id, {_BLOCK} AS text FROM documents) WHERE text <> ''),
+    la AS (SELECT doc_id, regexp_split_to_array(text, '\n+') AS ls FROM tb WHERE nw > {size}),
+    lb AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS l FROM la),
+    lc AS (SELECT doc_id, i, string_split(regexp_replace(l, '([.!?])["'')\]]?\s+([A-Z0-9("''\[])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ss FROM lb),
+    ld AS (SELECT doc_id, i, generate_subscripts(ss, 1) AS j, {_trim('unnest(ss)')} AS sentence FROM lc),
+    se AS MATERIALIZED (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM (SELECT doc_id, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS i, {_nw('sentence')} AS w FROM ld WHERE sentence <> '')),
+    tl AS (SELECT a.doc_id, a.i, min(b.i) AS tail FROM se a JOIN se b ON a.doc_id = b.doc_id AND b.i < a.i AND b.i >= a.i - {overlap} AND a.c - a.w - (b.c - b.w) <= {overlap} GROUP BY ALL),
+    st AS MATERIALIZED (SELECT se.doc_id, se.i, se.w, se.c, coalesce(tail, se.i) AS tail FROM se LEFT JOIN tl USING (doc_id, i)),
+    go AS (SELECT doc_id, i, CASE WHEN w > {size} THEN i + 1 ELSE i END AS lo, CASE WHEN w > {size} THEN 0 ELSE w END AS n, NULL::BIGINT AS cut FROM st WHERE i = 1 UNION ALL
+           SELECT s.doc_id, s.i, CASE WHEN s.w > {size} THEN s.i + 1 WHEN g.n + s.w > {size} AND g.lo < s.i THEN greatest(g.lo, s.tail) ELSE g.lo END,
+                  CASE WHEN s.w > {size} THEN 0 WHEN g.n + s.w > {size} AND g.lo < s.i THEN s.c - (p.c - p.w) ELSE g.n + s.w END,
+                  CASE WHEN g.lo < s.i AND (s.w > {size} OR g.n + s.w > {size}) THEN g.lo END
+           FROM go g JOIN st s ON s.doc_id = g.doc_id AND s.i = g.i + 1 JOIN st p ON p.doc_id = g.doc_id AND p.i = greatest(g.lo, s.tail)),
+    en AS (SELECT doc_id, max(i) AS last FROM se GROUP BY doc_id),
+    ra AS (SELECT doc_id, i AS spot, cut AS lo, i - 1 AS hi FROM go WHERE cut IS NOT NULL UNION ALL SELECT doc_id, i + 1, lo, i FROM go JOIN en USING (doc_id) WHERE i = last AND lo <= i),
+    mo AS (SELECT doc_id, i, regexp_split_to_array(sentence, '\s+') AS w FROM se WHERE w > {size}),
+    mw AS (SELECT doc_id, i, w, unnest(range(0, floor((len(w) - {overlap}) / {step})::BIGINT * {step} + 1, {step})) AS s FROM mo),
+    pc AS (SELECT doc_id, 0 AS spot, 0 AS k, 0 AS s, text FROM tb WHERE nw <= {size}
+           UNION ALL SELECT ra.doc_id, spot, 0, 0, string_agg(sentence, ' ' ORDER BY se.i) FROM ra JOIN se ON se.doc_id = ra.doc_id AND se.i BETWEEN lo AND hi GROUP BY ra.doc_id, spot, lo, hi
+           UNION ALL SELECT doc_id, i, 1, s, array_to_string(w[s + 1 : s + {size}], ' ') FROM mw),
+    pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY spot, k, s) - 1 AS piece_ord, text, {_nw('text')}::BIGINT AS token_count FROM pc WHERE {_trim('text')} <> ''),
+    jr AS (SELECT *, sha256({_squeeze('text')}) AS h, CASE WHEN token_count < {S.chunk_min_tokens} THEN 'short' WHEN {_nav('text')} THEN 'nav' WHEN {_garbage('text')} THEN 'garbage' END AS bad FROM pieces),
+    judged AS (SELECT *, CASE WHEN bad IS NULL AND row_number() OVER (PARTITION BY h, bad IS NULL ORDER BY doc_id, piece_ord) > 1 THEN 'duplicate' ELSE bad END AS reason FROM jr)"""
+
+
 def _limiter(part: str, source: str, window: int, limit: int) -> str:
     """The admitted-only window as a recursive walk over each session's events."""
     return f"""RECURSIVE {source},
@@ -534,6 +563,12 @@ ORACLE_SQL = {
     "boilerplate_strip": f"WITH {_PARAS}, {_FREQ}, {_BOILER} SELECT doc_id, string_agg(para, chr(10) ORDER BY pos) AS text FROM p WHERE h NOT IN (SELECT h FROM b) GROUP BY doc_id",
     "hard_window_split": rf"""WITH a AS (SELECT doc_id, regexp_split_to_array({_trim('text')}, '\s+') AS w FROM documents), b AS (SELECT doc_id, w, unnest(range(0, floor((len(w) - 100) / 380)::BIGINT * 380 + 1, 380)) AS s FROM a WHERE len(w) > 480),
         c AS (SELECT doc_id, s // 380 AS pos, w[s + 1 : s + 480] AS x FROM b) SELECT doc_id, pos, len(x)::BIGINT AS n_words, sha256(array_to_string(x, ' ')) AS h FROM c""",
+    "chunk_documents": f"WITH {_chunks()} SELECT doc_id, piece_ord, token_count, sha256(text) AS h FROM pieces",
+    "chunk_drop_reasons": f"WITH {_chunks()} SELECT doc_id, piece_ord, coalesce(reason, 'kept') AS reason FROM judged",
+    "process_stats": f"""WITH {_chunks()} SELECT count(*) AS pieces, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason = 'short') AS dropped_short, count(*) FILTER (reason = 'nav') AS dropped_nav,
+        count(*) FILTER (reason = 'garbage') AS dropped_garbage, count(*) FILTER (reason = 'duplicate') AS dropped_duplicate, coalesce(avg(token_count) FILTER (reason IS NULL), 0.0) AS avg_tokens FROM judged""",
+    "chunk_index": f"""WITH {_chunks()}, k AS (SELECT doc_id, piece_ord, doc_id AS site, row_number() OVER (PARTITION BY doc_id ORDER BY piece_ord) - 1 AS chunk_index FROM judged WHERE reason IS NULL)
+        SELECT *, sha256(site || '|' || chunk_index) AS chunk_id FROM k""",
     "vocabulary": f"WITH {_VOCAB} SELECT * FROM voc ORDER BY term",
     "embedding_inputs": f"SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 AND {_trim('source')} <> '' THEN source || chr(10) || text ELSE text END) AS h FROM documents",
     "chunk_metadata": "SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 > 0 THEN source ELSE '' END AS source_url, '' AS page_title, '' AS heading_path, 0::BIGINT AS chunk_index, '' AS crawl_timestamp, CASE WHEN doc_id % 5 > 0 THEN n_chars ELSE 0 END AS token_count, false AS is_pdf FROM documents",
@@ -577,3 +612,6 @@ ORACLE_SQL = {
     "event_props": "SELECT event_id, len(json_keys(props))::BIGINT AS n_keys FROM events",
 }
 ORACLE_SQL["lexical_index_topk"] = ORACLE_SQL["lexical_topk"]
+_CHUNKED = """corpus AS MATERIALIZED (SELECT sha256(doc_id || '|' || (row_number() OVER (PARTITION BY doc_id ORDER BY piece_ord) - 1)) AS chunk_id, substr(split_part(text, chr(10), 1), 1, 60) AS heading_path, text FROM judged WHERE reason IS NULL)"""
+_CHUNK_VOCAB = _VOCAB.replace("doc_id, unnest", "chunk_id, unnest").replace("coalesce(source, '')", "heading_path").replace("FROM documents WHERE text IS NOT NULL", "FROM corpus")
+ORACLE_SQL["chunked_hybrid_search"] = f"WITH {_chunks()}, {_CHUNKED}, {_HYBRID.replace(_VOCAB, _CHUNK_VOCAB).replace(_CORPUS + ',', '')} SELECT * FROM hy"
