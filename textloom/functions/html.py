@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,11 +13,39 @@ from textloom.functions import urls
 from textloom.functions.text import ColumnLike, col, let, trim_all
 
 
+#: Named character references, those of config.ENTITIES first as a lookup goes through the map in order; then the numbers that stand for another character.
+_NAMES = {e[1:-1]: c for e, c in config.ENTITIES if e[1] != "#"} | {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
+_NUMBERS = {str(n): c for n in range(128, 160) if (c := bytes([n]).decode("cp1252", "ignore"))} | {"0": "\ufffd"}
+
+
 def decode_entities(c: ColumnLike) -> Column:
-    out = col(c)
-    for entity, char in config.ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Named and numbered character references with their semicolon as characters, in one pass: what comes out is not read again. Unknown ones stay as they are.
+
+    Numbers from 128 to 159 are windows-1252's, as browsers have it; 0, surrogates and those beyond Unicode are U+FFFD.
+    """
+    names, numbers = (F.from_json(F.lit(json.dumps(m)), "map<string,string>") for m in (_NAMES, _NUMBERS))
+
+    def numbered(n: Column) -> Column:
+        valid = (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.coalesce(F.try_element_at(numbers, n.cast("string")), char)
+
+    def one(after: Column) -> Column:
+        def put(name: Column) -> Column:
+            char = (
+                F.when(name == "", F.lit(None).cast("string"))
+                .when(name.rlike("^#[xX]"), numbered(F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10).cast("long")))
+                .when(name.startswith("#"), numbered(F.substring(name, F.lit(2), F.length(name)).cast("long")))
+                .otherwise(F.try_element_at(names, name))
+            )
+            return let(char, lambda x: F.when(x.isNull(), F.concat(F.lit("&"), after)).otherwise(F.concat(x, F.substring(after, F.length(name) + 2, F.length(after)))))
+
+        return let(F.regexp_extract(after, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1), put)
+
+    def decoded(parts: Column) -> Column:
+        return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+
+    return F.when(F.instr(col(c), "&") == 0, col(c)).otherwise(let(F.split(col(c), "&"), decoded))
 
 
 def without_tags(c: ColumnLike, tags: tuple) -> Column:

@@ -84,7 +84,7 @@ def boilerplate_hashes(spark, sf):
 
 
 def boilerplate_strip(spark, sf):
-    p = _paras(spark, sf)
+    p = materialize(_paras(spark, sf), "paragraphs")  # read for the frequencies and for the texts
     return blocks.strip_boilerplate(p, blocks.boilerplate(p, docs(spark, sf), "doc_id", FRACTION), "doc_id")
 
 
@@ -341,13 +341,20 @@ def _new(spark, sf):
 
 
 def upsert_replace(spark, sf):
-    return index_store.upsert(docs(spark, sf), _new(spark, sf), "doc_id").select("doc_id", F.sha2("text", 256).alias("h"), "n_chars")
+    """Through a store: only the arrival is written."""
+    store = index_store.CorpusStore(spark, shared_path(spark, "store"))
+    store.rebuild(docs(spark, sf))
+    store.upsert(_new(spark, sf), "doc_id")
+    return store.read().select("doc_id", F.sha2("text", 256).alias("h"), "n_chars")
 
 
 def purge_prefix(spark, sf):
     d = docs(spark, sf).select(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("ext::"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string")).alias("chunk_id"), "n_chars")
     new = _new(spark, sf).select(F.concat(F.lit("ext::new::"), F.col("doc_id").cast("string")).alias("chunk_id"), "n_chars")
-    return index_store.purge_prefix(d, new, "chunk_id", "ext::")
+    store = index_store.CorpusStore(spark, shared_path(spark, "store"))
+    store.rebuild(d)
+    store.upsert(new, "chunk_id", purge="ext::")
+    return store.read()
 
 
 def _seeds(spark, sf):
