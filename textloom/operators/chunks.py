@@ -20,12 +20,14 @@ def hard_windows(sentence: Column, size: int = S.chunk_max_tokens, overlap: int
     return F.when(F.size(w) < size, F.array(F.array_join(w, " "))).otherwise(F.filter(F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, F.lit(size)), " ")), lambda x: x != ""))
 
 
-def chunk_section(text: Column, size: int = S.chunk_max_tokens, overlap: int = S.chunk_overlap_tokens) -> Column:
-    """Chunks of a section: whole if short enough, else sentences packed greedily; a new chunk starts with the tail sentences of the last one
+def chunk_section(text: Column, size: int = S.chunk_max_tokens, overlap: int = S.chunk_overlap_tokens, counts: Column | None = None, total: Column | None = None) -> Column:
+    """Chunks of a section by words, or by another counter's ``counts`` of its sentences and ``total`` of the text: whole if short enough, else sentences packed greedily; a new chunk starts with the tail sentences of the last one
     that fit in ``overlap`` tokens, and is not checked again when its first sentence joins."""
     state = "struct<out:array<string>,cur:array<struct<s:string,n:int>>,n:int>"
     zero = F.expr(f"cast(named_struct('out', array(), 'cur', array(), 'n', 0) as {state})")
     sized = F.transform(T.sentences(text), lambda s: F.struct(s.alias("s"), F.size(T.words(s)).alias("n")))
+    if counts is not None:
+        sized = F.zip_with(T.sentences(text), counts, lambda s, n: F.struct(s.alias("s"), n.cast("int").alias("n")))
     join = lambda cur: F.array_join(F.transform(cur, lambda x: x["s"]), " ")
 
     def tail(cur: Column) -> Column:
@@ -49,13 +51,19 @@ def chunk_section(text: Column, size: int = S.chunk_max_tokens, overlap: int = S
 
     packed = F.aggregate(sized, zero, step, lambda st: F.when(F.size(st["cur"]) > 0, F.array_append(st["out"], join(st["cur"]))).otherwise(st["out"]))
     whole = T.trim_all(text)
-    return F.when(whole == "", F.array().cast("array<string>")).when(T.word_count(text) <= size, F.array(whole)).otherwise(F.filter(packed, lambda c: T.trim_all(c) != ""))
+    return F.when(whole == "", F.array().cast("array<string>")).when((T.word_count(text) if total is None else total) <= size, F.array(whole)).otherwise(F.filter(packed, lambda c: T.trim_all(c) != ""))
 
 
-def pieces(blocks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """(keys.., order.., piece_ord, text, token_count): chunks before any filter."""
-    cut = blocks.select(*keys, *order, F.posexplode(chunk_section(F.col("text"))).alias("piece_ord", "chunk"))
-    return cut.select(*keys, *order, F.col("piece_ord").cast("long"), F.col("chunk").alias("text")).withColumn("token_count", T.word_count("text"))
+def pieces(blocks: DataFrame, keys: list[str], order: list[str], counter=None) -> DataFrame:
+    """(keys.., order.., piece_ord, text, token_count): chunks before any filter.
+
+    Tokens are words, or what ``counter`` counts: it is called for a text, and its ``each`` for an array of sentences. An over-long sentence is cut by words either way.
+    """
+    if counter is not None:
+        blocks = blocks.withColumns({"__counts": counter.each(T.sentences("text")), "__total": counter(F.col("text"))})
+    section = chunk_section(F.col("text")) if counter is None else chunk_section(F.col("text"), counts=F.col("__counts"), total=F.col("__total"))
+    cut = blocks.select(*keys, *order, F.posexplode(section).alias("piece_ord", "chunk"))
+    return cut.select(*keys, *order, F.col("piece_ord").cast("long"), F.col("chunk").alias("text")).withColumn("token_count", T.word_count("text") if counter is None else counter(F.col("text")))
 
 
 def drop_reason() -> Column:
@@ -80,11 +88,11 @@ def numbered(chunks: DataFrame, key: str, order: list[str]) -> DataFrame:
     return chunks.withColumn("chunk_index", (F.row_number().over(w) - 1).cast("long")).withColumn("chunk_id", F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.col("chunk_index").cast("string")), 256))
 
 
-def chunk_documents(docs: DataFrame) -> DataFrame:
-    """documents to judged chunks: doc_id, piece_ord, text, token_count, h, reason."""
+def chunk_documents(docs: DataFrame, counter=None) -> DataFrame:
+    """documents to judged chunks: doc_id, piece_ord, text, token_count, h, reason; by words or by another ``counter``."""
     from textloom.operators.blocks import text_blocks
 
-    return judged(pieces(text_blocks(docs), ["doc_id"], []), ["doc_id", "piece_ord"])
+    return judged(pieces(text_blocks(docs), ["doc_id"], [], counter), ["doc_id", "piece_ord"])
 
 
 def corpus(docs: DataFrame) -> DataFrame:
