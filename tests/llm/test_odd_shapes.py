@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.test_llm import components, docs, shingle_set
@@ -98,3 +99,56 @@ def test_texts_just_below_the_threshold(spark, monkeypatch):
         monkeypatch.setattr(near_dedup, "BLOCK", block)
         monkeypatch.setattr(near_dedup, "MERGING_ROUNDS", rounds)
         assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, texts), 5, 80, 100).collect()} == want
+
+
+def posterior(rows, labels, keep):
+    """The hierarchical posterior worked out group by group: {doc_id: (score, kept)} from rows (doc_id, host, path, p_doc)."""
+    y = {i: labels.get(i, p) for i, _, _, p in rows}
+    mean = (sum(y.values()) + 1) / (len(y) + 2)
+
+    def strength(groups):
+        n = [len(g) for g, _ in groups]
+        if len(groups) < 2:
+            return 1e6
+        spread = sum(len(g) * (sum(y[i] for i in g) / len(g) - above) ** 2 for g, above in groups)
+        room = sum(n) - sum(k * k for k in n) / sum(n)
+        within = max(mean * (1 - mean), 1e-9)
+        between = (spread - (len(groups) - 1) * within) / room if room > 0 else 0.0
+        return min(1e6, max(1.0, within / between - 1)) if between > 0 else 1e6
+
+    hosts, paths = {}, {}
+    for i, h, p, _ in rows:
+        hosts.setdefault(h, []).append(i)
+        paths.setdefault((h, p), []).append(i)
+    k0 = strength([(g, mean) for g in hosts.values()])
+    of_host = {h: (sum(y[i] for i in g) + k0 * mean) / (len(g) + k0) for h, g in hosts.items()}
+    k1 = strength([(g, of_host[h]) for (h, _), g in paths.items()])
+    out, logit = {}, lambda p: np.log(max(p, 1e-9) / max(1 - p, 1e-9))
+    for i, h, p, doc in rows:
+        g = paths[h, p]
+        site = (max(sum(y[j] for j in g) - y[i], 0.0) + k1 * of_host[h]) / (len(g) - 1 + k1)
+        out[i] = 1 / (1 + np.exp(-(logit(doc) + logit(site) - logit(mean))))
+    return {i: (s, s >= keep) for i, s in out.items()}
+
+
+def test_quality_posterior_and_sites_that_change_verdicts(spark):
+    """Texts that look alike on two hosts, one of them good and one of them not: the sites decide, rightly, and as the direct formula has it."""
+    rng = random.Random(2)
+    rows, labels, truth = [], {}, {}
+    for i in range(240):
+        host = ("fine", "bad", "mixed")[i % 3]
+        path = "en" if host != "mixed" or i % 2 else "de"
+        good = {"fine": True, "bad": False, "mixed": path == "en"}[host] ^ (rng.random() < 0.05)
+        rows.append((i, " ".join(rng.choice("some words that tell little of what they are".split()) for _ in range(30)), host, path))
+        truth[i] = good
+        if rng.random() < 0.5:
+            labels[i] = float(good)
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    marks = spark.createDataFrame([(i, int(v)) for i, v in labels.items()], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.classify(d, marks).collect()}
+    want = posterior([(i, h, p, got[i]["p_doc"]) for i, _, h, p in rows], labels, quality.KEEP)
+    assert all(abs(got[i]["score"] - s) < 1e-6 and got[i]["kept"] == k for i, (s, k) in want.items())
+    held = [i for i in truth if i not in labels]
+    right = lambda f: sum(f(got[i]) == truth[i] for i in held) / len(held)
+    alone, whole = right(lambda r: r["p_doc"] >= quality.KEEP), right(lambda r: r["kept"])
+    assert whole >= 0.9 > 0.75 > alone

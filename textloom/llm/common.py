@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import threading
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word of the contracts: a run of anything but the six ASCII blanks.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset and all run on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from textloom.scratch import bounded_batches, hadoop_path, mark, materialize, numbered, release_since, shared_path, shared_root
 
+__all__ = ["WORD", "bounded_batches", "hadoop_path", "mark", "materialize", "new_name", "numbered", "release_since", "shared_path", "shared_root", "table", "text_of", "tidied"]
 
-def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Bound the bytes of an Arrow batch to a Python worker, whatever the length of its rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+#: A word of the contracts: a run of anything but the six ASCII blanks.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def tidied(run, forget=None):
@@ -50,50 +33,6 @@ def tidied(run, forget=None):
     return wrapped
 
 
-def hadoop_path(spark: SparkSession, path: str):
-    """(file system, path) of Hadoop for a string path."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_root(spark)}/textloom/{tag}-{uuid.uuid4().hex}"
-    fs, p = hadoop_path(spark, path)
-    fs.deleteOnExit(p)
-    return path
-
-
-_MADE = threading.local()
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here, lost executors cost nothing before it."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    mark()
-    _MADE.paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def mark() -> int:
-    """How many tables this thread has materialised, for ``release_since``."""
-    _MADE.paths = getattr(_MADE, "paths", [])
-    return len(_MADE.paths)
-
-
-def release_since(spark: SparkSession, began: int, *keep: DataFrame) -> None:
-    """Delete the tables that this thread has materialised since ``began`` and that no later plan reads; ``keep`` stay."""
-    kept = [f for df in keep for f in df.inputFiles()]
-    for path in _MADE.paths[began:]:
-        tail = path.rsplit("/", 1)[1]
-        if not any(f"/{tail}/" in f for f in kept):
-            fs, p = hadoop_path(spark, path)
-            fs.delete(p, True)
-            _MADE.paths.remove(path)
-
-
 def new_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have."""
     while base.lower() in {c.lower() for c in df.columns}:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD, materialize, new_name, text_of
+from textloom.llm.common import WORD, materialize, new_name, numbered, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
@@ -73,20 +73,6 @@ def _sized_columns() -> list:
     return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_of("text"), F.lit(WORD)).cast("long").alias("size")]
 
 
-def _numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``rows``, written, with their place from 0 in a total order; the driver reads a row a partition."""
-    at = new_name(rows, "at")
-    kept = materialize(rows.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright(at, 33)
-    sizes = sorted(kept.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    before, starts = 0, []
-    for r in sizes:
-        starts += [F.lit(r["p"]), F.lit(before)]
-        before += r["n"]
-    first = F.create_map(*starts)[part] if starts else F.lit(0)
-    return kept.withColumn(name, (first + F.col(at).bitwiseAND((1 << 33) - 1)).cast("long")).drop(at)
-
-
 def _searched(rows: DataFrame, low: float, high: float, value, most: float) -> float:
     """The largest rate, to the last digits, at which the sum of the Column value(rate), growing with it, is at most ``most``."""
     while high - low > 1e-15 * high:
@@ -99,7 +85,7 @@ def _searched(rows: DataFrame, low: float, high: float, value, most: float) -> f
 
 def _plan_spread(sources: DataFrame, per_shard: int, weights: tuple, total: float, block_words: int) -> DataFrame:
     """``PLAN`` from the table of sources, by aggregates."""
-    s = _numbered(sources, [F.col("source").asc_nulls_last()], "i")
+    s = numbered(sources, [F.col("source").asc_nulls_last()], "i")
     s = s.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % len(weights) + 1).cast("int")))
     cap, live = MAX_REPEAT * F.col("words"), s.filter("words > 0")
     top, caps = live.agg(F.max(cap / F.col("weight")), F.sum(cap)).first()
@@ -117,7 +103,7 @@ def _plan_spread(sources: DataFrame, per_shard: int, weights: tuple, total: floa
     rate = _searched(s, 0.0, seats / given * 2 + 2 / most, won, seats) if seats else 0.0
     s = s.withColumn("won", won(rate * (1 - 1e-12)).cast("long"))
     left = seats - (s.agg(F.sum("won")).first()[0] or 0)
-    s = _numbered(s, [(F.col("target") / (2 * F.col("won") + 1)).desc(), F.col("i")], "k")
+    s = numbered(s, [(F.col("target") / (2 * F.col("won") + 1)).desc(), F.col("i")], "k")
     one = ((F.col("k") < left) & (F.col("target") > 0)).cast("long")
     return materialize(s.select(F.col("source").alias("src"), F.ceil(F.col("n") / per_shard).alias("shards"), F.col("words").alias("source_size"), "target", (F.col("won") + one).alias("seats")), "plan")
 

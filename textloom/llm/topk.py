@@ -184,12 +184,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
     rows = quantise(vectors, id_col, vec_col).withColumn("dim", F.size("v")).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
     rows = materialize(rows, "vectors")
     cands = materialize(rows.mapInArrow(_pack(CANDIDATE_BLOCK), PACKED), "candidates")
-    queries = materialize(rows.filter(is_query), "queries")
+    asked = rows.filter(is_query)
     # counted as written in the widest integers
-    rounds = max(1, -(-(queries.agg(F.sum(8 * (F.col("dim") + 1))).first()[0] or 0) // ROUND_BYTES))
+    rounds = max(1, -(-(asked.agg(F.sum(8 * (F.col("dim") + 1))).first()[0] or 0) // ROUND_BYTES))
+    # in order of rounds, so that a round reads its own pages of the table
+    dealt = asked.withColumn("round", F.pmod(F.xxhash64("vec_id"), F.lit(rounds)))
+    queries = materialize(dealt.repartition("round").sortWithinPartitions("round"), "queries")
     found = None
     for i in range(rounds):
-        mine = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == i).coalesce(1)
+        mine = queries.filter(F.col("round") == i).drop("round")
         blocks = [r.asDict() for r in mine.mapInArrow(_pack(QUERY_BLOCK), PACKED).collect()]  # about ROUND_BYTES
         if not blocks:
             continue
