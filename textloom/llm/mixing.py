@@ -16,10 +16,10 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD, materialize, new_name, numbered, text_of
+from textloom.llm.common import WORD, materialize, numbered, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
