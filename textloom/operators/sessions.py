@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from textloom import config
 from textloom.functions import text as T
+from textloom.operators import hot_session
+from textloom.scratch import materialize
 
 S = config.SETTINGS
 
+#: Sessions of more events than this are not folded in one row but cut into blocks of at most so many events.
+FOLD_EVENTS, BLOCK_EVENTS = 1024, 1 << 18
+
 
 def last_messages(messages: DataFrame, key: str, order: str, n: int = S.conversation_memory_turns) -> DataFrame:
     """The last n messages of each session; tasks cut to n before the shuffle."""
@@ -47,12 +52,28 @@ def admitted(times: Column, window_us: int, limit: int) -> Column:
     return F.aggregate(times, zero, step, lambda s: s["out"])
 
 
-def rate_limited(events: DataFrame, keys: list[str], ts: str, event_id: str, window_us: int = 60_000_000, limit: int = S.rate_limit_per_minute) -> DataFrame:
-    """(keys.., event_id, limited): the admitted-only sliding window, a fold over each session's events in order of time and id."""
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    lists = events.select(*keys, F.struct(us.alias("us"), F.col(event_id).alias("id")).alias("e")).groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("es"))
+def rate_limited(
+    events: DataFrame, keys: list[str], ts: str, event_id: str, window_us: int = 60_000_000, limit: int = S.rate_limit_per_minute,
+    fold: int = FOLD_EVENTS, block: int = BLOCK_EVENTS,
+) -> DataFrame:
+    """(keys.., event_id, limited): the admitted-only sliding window over each session's events in order of time and id.
+
+    Sessions of at most ``fold`` events are folded in one row each; larger ones go through ``hot_session.limited``, which never gathers more than
+    ``block`` events and gives the same result. Events without a time are admitted and leave no trace; null keys are a session.
+    """
+    rows = events.select(F.struct(*keys).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(event_id).alias("id"))
+    timed = rows.filter("us IS NOT NULL")
+    hot = materialize(timed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > fold).select("k"), "hot")
+    some = hot.limit(1).count() > 0
+    usual = timed.join(hot, "k", "left_anti") if some else timed
+    lists = usual.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("us", "id"))).alias("es"))
     judged = lists.withColumn("ok", admitted(F.transform("es", lambda e: e["us"]), window_us, limit))
-    return judged.select(*keys, F.explode(F.arrays_zip(F.transform("es", lambda e: e["id"]).alias("id"), F.col("ok").alias("ok"))).alias("z")).select(*keys, F.col("z.id").alias(event_id), (~F.col("z.ok")).alias("limited"))
+    each = F.explode(F.arrays_zip(F.transform("es", lambda e: e["id"]).alias("id"), F.col("ok").alias("ok"))).alias("z")
+    out = judged.select("k", each).select("k", F.col("z.id").alias("id"), (~F.col("z.ok")).alias("limited"))
+    if some:
+        out = out.unionByName(hot_session.limited(timed.join(hot, "k", "left_semi"), window_us, limit, block))
+    out = out.unionByName(rows.filter("us IS NULL").select("k", "id", F.lit(False).alias("limited")))
+    return out.select(*[F.col("k")[c].alias(c) for c in keys], F.col("id").alias(event_id), "limited")
 
 
 def with_epoch(events: DataFrame, key: str, ts: str, event_id: str, is_reset: Column) -> DataFrame:

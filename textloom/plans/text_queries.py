@@ -315,6 +315,10 @@ def rate_limit(spark, sf):
     return sessions.rate_limited(events(spark, sf), ["user_id"], "ts", "event_id", window_us=86_400_000_000, limit=3)
 
 
+def rate_limit_hot(spark, sf):
+    return sessions.rate_limited(events(spark, sf), ["event_type"], "ts", "event_id", window_us=86_400_000_000, limit=20)
+
+
 def session_reset(spark, sf):
     return sessions.with_epoch(events(spark, sf), "user_id", "ts", "event_id", F.col("event_type") == "signup").select("event_id", "user_id", "epoch")
 
@@ -389,7 +393,7 @@ QUERIES = {f.__name__: f for f in (
     sentence_split, word_counts, text_hashes, nav_filter, garbage_filter, short_filter, shell_filter, shortcode_strip, pdf_text_blocks, exact_dedup, paragraph_doc_freq, boilerplate_hashes, boilerplate_strip,
     hard_window_split, chunk_documents, chunk_drop_reasons, process_stats, chunk_index, vocabulary, embedding_inputs, chunk_metadata, snippets, hashing_embeddings, knn_cosine, knn_topk_per_query,
     relevance_gate, dense_index_exact, dense_index_recall, index_count, query_terms, vocab_anti_join, fuzzy_corrections, keyword_boost, lexical_topk, lexical_index_topk, hybrid_search, chunked_hybrid_search, answers, history_last_n, history_prompt, question_guard,
-    citation_extract, citation_strip, refusals, grounding_downgrade, context_blocks, rate_limit, session_reset, rate_limit_with_resets, attempts_in_window, politeness_schedule, upsert_replace, purge_prefix,
+    citation_extract, citation_strip, refusals, grounding_downgrade, context_blocks, rate_limit, rate_limit_hot, session_reset, rate_limit_with_resets, attempts_in_window, politeness_schedule, upsert_replace, purge_prefix,
     seed_fallback, seed_summary, first_wins, event_props,
 )}
 
@@ -606,6 +610,7 @@ ORACLE_SQL = {
     "context_blocks": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
         SELECT conv_id, sha256('<context>' || chr(10) || string_agg('<passage n="' || k || '" source="c:' || turn || '" heading="' || role || '">' || chr(10) || text || chr(10) || '</passage>', chr(10) ORDER BY k) || chr(10) || '</context>') AS h FROM r GROUP BY conv_id""",
     "rate_limit": f"WITH {_limiter('user_id', _EV, 86_400_000_000, 3)} SELECT user_id, event_id, limited FROM go",
+    "rate_limit_hot": f"WITH {_limiter('event_type', _EV.replace('user_id', 'event_type'), 86_400_000_000, 20)} SELECT event_type, event_id, limited FROM go",
     "session_reset": f"WITH {_EPOCH} SELECT event_id, user_id, epoch FROM ep",
     "rate_limit_with_resets": f"WITH {_limiter('user_id, epoch', _EPOCH + ', ev AS (SELECT user_id, epoch, event_id, us FROM ep)', 86_400_000_000, 2)} SELECT event_id, limited FROM go",
     "attempts_in_window": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS attempts FROM events",
