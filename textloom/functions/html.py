@@ -48,12 +48,57 @@ def decode_entities(c: ColumnLike) -> Column:
     return F.when(F.instr(col(c), "&") == 0, col(c)).otherwise(let(F.split(col(c), "&"), decoded))
 
 
+#: Elements whose content is text to a parser: they end at the first end tag of their name.
+_RAW = ("script", "style")
+#: Stands for one level of indentation until white space is squeezed; one that a text holds itself is taken out.
+_INDENT = "\x01"
+
+
+def _at_tags(c: Column, names: tuple) -> Column:
+    """A text cut in front of each start and end tag of the names."""
+    return F.split(c, rf"(?i)(?=</?(?:{'|'.join(names)})(?![\w-])[^>]*>)")
+
+
+def _tag(part: Column, names: tuple) -> Column:
+    """The tag that a part begins with: its name in lower case, with a slash in front if it is an end tag; empty if none."""
+    return F.lower(F.regexp_extract(part, rf"(?i)^<(/?(?:{'|'.join(names)}))(?![\w-])[^>]*>", 1))
+
+
+def _past(part: Column) -> Column:
+    """What follows the tag that a part begins with."""
+    return F.substring(part, F.instr(part, ">") + 1, F.length(part))
+
+
 def without_tags(c: ColumnLike, tags: tuple) -> Column:
-    """Whole elements of ``tags`` removed, with all they hold."""
+    """Whole elements of ``tags`` removed, with all they hold, elements of the same kind too.
+
+    An end tag closes the last open element of its name and all opened in it. Elements that are never closed and end tags without a start stay as
+    they are; script and style end at their first end tag.
+    """
     out = col(c)
-    for t in tags:
+    for t in (x for x in tags if x in _RAW):
         out = F.regexp_replace(out, rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", "")
-    return out
+    names = tuple(x for x in tags if x not in _RAW)
+    if not names:
+        return out
+    state = "struct<open:array<struct<name:string,at:int>>,out:array<string>>"
+    zero = F.expr(f"cast(named_struct('open', array(), 'out', array()) as {state})")
+
+    def step(s: Column, part: Column) -> Column:
+        def by(tag: Column) -> Column:
+            opened = F.struct(F.array_append(s["open"], F.struct(tag.alias("name"), F.size(s["out"]).alias("at"))).alias("open"), F.array_append(s["out"], part).alias("out"))
+            plain = F.struct(s["open"].alias("open"), F.array_append(s["out"], part).alias("out"))
+
+            def closed(at: Column) -> Column:
+                cut = F.struct(F.filter(s["open"], lambda o: o["at"] < at).alias("open"), F.array_append(F.slice(s["out"], F.lit(1), at), _past(part)).alias("out"))
+                return F.when(at.isNull(), plain.cast(state)).otherwise(cut.cast(state))
+
+            last = F.try_element_at(F.filter(s["open"], lambda o: F.concat(F.lit("/"), o["name"]) == tag), F.lit(-1))["at"]
+            return F.when(tag == "", plain.cast(state)).when(tag.startswith("/"), let(last, closed)).otherwise(opened.cast(state))
+
+        return let(_tag(part, names), by)
+
+    return let(out, lambda t: F.when(t.rlike(rf"(?i)</(?:{'|'.join(names)})(?![\w-])"), F.aggregate(_at_tags(t, names), zero, step, lambda s: F.array_join(s["out"], ""))).otherwise(t))
 
 
 def strip_chrome(c: ColumnLike) -> Column:
@@ -61,6 +106,85 @@ def strip_chrome(c: ColumnLike) -> Column:
     return without_tags(c, config.CHROME_TAGS)
 
 
+def _tables(c: Column) -> Column:
+    """Tables as lines: a row is ``| cell | cell |``, with the marks inside a cell as blanks; a table in a cell follows its row, with rows of its own."""
+    names = ("table", "tr", "td", "th")
+    state = "struct<open:array<struct<lines:array<string>,cells:array<string>,below:array<string>>>,out:array<string>>"
+    zero = F.expr(f"cast(named_struct('open', array(), 'out', array()) as {state})")
+    none = F.array().cast("array<string>")
+
+    def table(lines: Column, cells: Column, below: Column) -> Column:
+        return F.struct(lines.alias("lines"), cells.alias("cells"), below.alias("below"))
+
+    def row(cells: Column) -> Column:
+        blank = lambda x: trim_all(F.regexp_replace(F.regexp_replace(x, r"(?i)</?(p|div|br|ul|ol|li|h[1-6]|section|article|header|blockquote|pre|dl|dt|dd)\b[^>]*>", " "), r"\s+", " "))
+        return F.concat(F.lit("| "), F.array_join(F.transform(cells, blank), " | "), F.lit(" |"))
+
+    def flushed(t: Column) -> Column:
+        """A table with its row, if it has one, among its lines."""
+        return F.when(F.size(t["cells"]) == 0, table(F.concat(t["lines"], t["below"]), none, none)).otherwise(table(F.concat(t["lines"], F.array(row(t["cells"])), t["below"]), none, none))
+
+    def text(t: Column, x: Column) -> Column:
+        """A table with a text in its last cell; between rows a text is a line."""
+        n = F.size(t["cells"])
+        into = table(t["lines"], F.array_append(F.slice(t["cells"], F.lit(1), n - 1), F.concat(F.element_at(t["cells"], -1), x)), t["below"])
+        return F.when(trim_all(x) == "", t).when(n == 0, table(F.array_append(t["lines"], x), none, t["below"])).otherwise(into)
+
+    def step(s: Column, part: Column) -> Column:
+        deep = F.size(s["open"])
+        outer = F.slice(s["open"], F.lit(1), F.greatest(deep - 1, F.lit(0)))
+        top = F.try_element_at(s["open"], F.lit(-1))
+
+        def become(opened: Column, out: Column) -> Column:
+            return F.struct(opened.alias("open"), out.alias("out")).cast(state)
+
+        def with_top(t: Column) -> Column:
+            return become(F.array_append(outer, t), s["out"])
+
+        def closing() -> Column:
+            inner = flushed(top)["lines"]
+            parent = F.element_at(outer, -1)
+            below = text(table(parent["lines"], parent["cells"], F.concat(parent["below"], inner)), _past(part))
+            at_root = become(outer, F.concat(s["out"], F.array(F.concat(F.lit("\n"), F.array_join(inner, "\n"), F.lit("\n"), _past(part)))))
+            return F.when(deep == 1, at_root).otherwise(become(F.array_append(F.slice(outer, F.lit(1), deep - 2), below), s["out"]))
+
+        def by(tag: Column) -> Column:
+            rest = F.when(tag == "", part).otherwise(_past(part))
+            cell = table(top["lines"], F.array_append(top["cells"], rest), top["below"])
+            return (
+                F.when(tag == "table", become(F.array_append(s["open"], text(table(none, none, none), rest)), s["out"]))
+                .when(deep == 0, become(s["open"], F.array_append(s["out"], F.when(tag == "", part).otherwise(F.concat(F.lit("\n"), rest)))))
+                .when(tag == "/table", closing())
+                .when(tag.isin("tr", "/tr"), with_top(text(flushed(top), rest)))
+                .when(tag.isin("td", "th"), with_top(cell))
+                .otherwise(with_top(text(top, rest)))
+            )
+
+        return let(_tag(part, names), by)
+
+    def finish(s: Column) -> Column:
+        left = F.flatten(F.transform(s["open"], lambda t: flushed(t)["lines"]))  # tables that are never closed
+        return F.concat(F.array_join(s["out"], ""), F.when(F.size(left) > 0, F.concat(F.lit("\n"), F.array_join(left, "\n"))).otherwise(""))
+
+    return F.when(F.lower(c).contains("<table"), F.aggregate(_at_tags(c, names), zero, step, finish)).otherwise(c)
+
+
+def _lists(c: Column) -> Column:
+    """List items as lines with ``- ``, one indentation for each list around theirs."""
+    names = ("ul", "ol", "li")
+
+    def step(s: Column, part: Column) -> Column:
+        def by(tag: Column) -> Column:
+            deep = F.when(tag.isin("ul", "ol"), s["deep"] + 1).when(tag.isin("/ul", "/ol"), F.greatest(s["deep"] - 1, F.lit(0))).otherwise(s["deep"])
+            rest = F.when(tag == "", part).when(tag == "li", F.concat(F.lit("\n"), F.repeat(F.lit(_INDENT), F.greatest(deep - 1, F.lit(0))), F.lit("- "), F.ltrim(_past(part)))).otherwise(F.concat(F.lit("\n"), _past(part)))
+            return F.struct(deep.cast("int").alias("deep"), F.array_append(s["out"], rest).alias("out")).cast("struct<deep:int,out:array<string>>")
+
+        return let(_tag(part, names), by)
+
+    zero = F.expr("cast(named_struct('deep', 0, 'out', array()) as struct<deep:int,out:array<string>>)")
+    return F.when(F.lower(c).contains("<li"), F.aggregate(_at_tags(c, names), zero, step, lambda s: F.array_join(s["out"], ""))).otherwise(c)
+
+
 def visible_text(c: ColumnLike, sep: str = " ") -> Column:
     """Text nodes without markup and comments; runs of white space become ``sep``."""
     out = F.regexp_replace(col(c), r"(?s)<!--.*?-->", "")
@@ -85,23 +209,22 @@ def looks_like_html(c: ColumnLike) -> Column:
 
 
 def to_markdown(c: ColumnLike) -> Column:
-    """Main content as Markdown: the article or main element (else the body) without chrome, headings as ``#``, list items as ``- ``, table rows as ``| cell | cell |``."""
+    """Main content as Markdown: the article or main element (else the body) without chrome, headings as ``#``, list items as ``- ``, table rows as ``| cell | cell |``.
+
+    A list in a list is indented, a table in a cell follows the row of the cell.
+    """
     def content(t: Column) -> Column:
         parts = [F.regexp_extract(t, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1) for tag in ("article", "main")]
         body = F.regexp_extract(t, r"(?is)<body\b[^>]*>(.*)", 1)
         return F.coalesce(*[F.nullif(x, F.lit("")) for x in (*parts, body)], t)
 
-    t = let(F.regexp_replace(strip_chrome(c), r"(?s)<!--.*?-->", ""), content)
-    t = F.regexp_replace(t, r"\s+", " ")
+    t = let(F.translate(F.regexp_replace(strip_chrome(c), r"(?s)<!--.*?-->", ""), _INDENT, ""), content)
+    t = let(let(F.regexp_replace(t, r"\s+", " "), _tables), _lists)
     for n in range(1, 7):
         t = F.regexp_replace(t, rf"(?i)<h{n}\b[^>]*>\s*", "\n" + "#" * n + " ")
-    # a row of a table is a line with its cells between bars
-    t = F.regexp_replace(F.regexp_replace(t, r"(?i)</t[dh]\s*>\s*<t[dh]\b[^>]*>\s*", " | "), r"(?i)<tr\b[^>]*>\s*<t[dh]\b[^>]*>\s*", "\n| ")
-    t = F.regexp_replace(t, r"(?i)\s*</t[dh]\s*>\s*</tr\s*>", " |\n")
-    t = F.regexp_replace(t, r"(?i)<li\b[^>]*>\s*", "\n- ")
-    t = F.regexp_replace(t, r"(?i)</?(p|div|br|ul|ol|li|h[1-6]|table|tr|section|article|header|blockquote|pre|dl|dt|dd)\b[^>]*>", "\n")
+    t = F.regexp_replace(t, r"(?i)</?(p|div|br|h[1-6]|section|article|header|blockquote|pre|dl|dt|dd)\b[^>]*>", "\n")
     t = decode_entities(F.regexp_replace(t, r"<[^>]*>", ""))
-    return trim_all(F.regexp_replace(t, r" *\n[ \n]*", "\n"))
+    return F.replace(trim_all(F.regexp_replace(t, r" *\n[ \n]*", "\n")), F.lit(_INDENT), F.lit("  "))
 
 
 def stylesheet(c: ColumnLike) -> Column:
