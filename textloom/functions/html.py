@@ -45,7 +45,7 @@ def decode_entities(c: ColumnLike) -> Column:
     def decoded(parts: Column) -> Column:
         return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
 
-    return F.when(F.instr(col(c), "&") == 0, col(c)).otherwise(let(F.split(col(c), "&"), decoded))
+    return let(col(c), lambda t: F.when(F.instr(t, "&") == 0, t).otherwise(let(F.split(t, "&"), decoded)))
 
 
 #: Elements whose content is text to a parser: they end at the first end tag of their name.

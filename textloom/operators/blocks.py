@@ -26,25 +26,29 @@ def markdown_blocks(md: Column, fallback: Column) -> Column:
     def path(st: Column) -> Column:
         names = F.filter(F.transform(st, lambda h: T.trim_all(h["tx"])), lambda x: x != "")
         once = F.aggregate(names, F.array().cast("array<string>"), lambda acc, x: F.when((F.size(acc) > 0) & F.try_element_at(acc, F.lit(-1)).eqNullSafe(x), acc).otherwise(F.array_append(acc, x)))
-        return F.when(F.size(once) > 0, F.array_join(once, " > ")).otherwise(fallback)
+        return T.let(once, lambda o: F.when(F.size(o) > 0, F.array_join(o, " > ")).otherwise(fallback))
 
     def flushed(s: Column) -> Column:
         body = T.trim_all(F.array_join(s["buf"], "\n"))
-        return F.when(body == "", s["bl"]).otherwise(F.array_append(s["bl"], F.struct(path(s["st"]).alias("heading_path"), body.alias("text"))))
+        return T.let(body, lambda b: F.when(b == "", s["bl"]).otherwise(F.array_append(s["bl"], F.struct(path(s["st"]).alias("heading_path"), b.alias("text")))))
 
-    def step(s: Column, raw: Column) -> Column:
-        line = T.trim_all(raw)
-        level = F.length(F.regexp_extract(line, HEADING, 1))
+    def read(line: Column) -> Column:
         label = T.trim_all(F.regexp_replace(T.trim_all(F.regexp_extract(line, HEADING, 2)), r"^#+|#+$", ""))
-        above = F.filter(s["st"], lambda h: h["lv"] < level)
-        stack = F.when(label == "", above).otherwise(F.array_append(above, F.struct(level.alias("lv"), label.alias("tx"))))
         body = T.trim_all(F.regexp_replace(line, config.SHORTCODE, ""))
-        dropped = (line != "") & (F.lower(line).isin(list(config.CHROME_LINES)) | (body == ""))
-        headed = F.struct(stack.alias("st"), F.array().cast("array<string>").alias("buf"), flushed(s).alias("bl"))
-        kept = F.struct(s["st"].alias("st"), F.array_append(s["buf"], body).alias("buf"), s["bl"].alias("bl"))
-        return F.when(level > 0, headed.cast(state)).when(dropped, s).otherwise(kept.cast(state))
+        dropped = T.let(body, lambda b: (line != "") & (F.lower(line).isin(list(config.CHROME_LINES)) | (b == "")))
+        return F.struct(F.length(F.regexp_extract(line, HEADING, 1)).alias("level"), label.alias("label"), body.alias("body"), dropped.alias("dropped"))
 
-    return F.aggregate(lines, zero, step, flushed)
+    def step(s: Column, x: Column) -> Column:
+        def headed() -> Column:
+            above = F.filter(s["st"], lambda h: h["lv"] < x["level"])
+            stack = F.when(x["label"] == "", above).otherwise(F.array_append(above, F.struct(x["level"].alias("lv"), x["label"].alias("tx"))))
+            return F.struct(stack.alias("st"), F.array().cast("array<string>").alias("buf"), flushed(s).alias("bl"))
+
+        kept = F.struct(s["st"].alias("st"), F.array_append(s["buf"], x["body"]).alias("buf"), s["bl"].alias("bl"))
+        return F.when(x["level"] > 0, headed().cast(state)).when(x["dropped"], s).otherwise(kept.cast(state))
+
+    # each line is read once, before the fold
+    return F.aggregate(F.transform(lines, lambda raw: T.let(T.trim_all(raw), read)), zero, step, flushed)
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
