@@ -95,10 +95,15 @@ def needs_js(spark, sf):
     return pages(spark, sf).select("page_id", crawl.needs_render(F.col("html")).alias("needs_js"))
 
 
-def route_responses(spark, sf):
+def answer_of_page():
+    """(status, content type) that the page's server is said to give."""
     status = F.when(F.col("page_id") % 7 == 0, F.lit(None)).when(F.col("page_id") % 7 == 1, 404).when(F.col("page_id") % 7 == 2, 503).otherwise(200)
     kind = F.when(F.col("page_id") % 5 == 0, "application/pdf").when(F.col("page_id") % 5 == 1, "image/png").when(F.col("page_id") % 5 == 2, "").otherwise("text/html; charset=utf-8")
-    return pages(spark, sf).select("page_id", crawl.route(status, kind, F.col("url")).alias("route"))
+    return status, kind
+
+
+def route_responses(spark, sf):
+    return pages(spark, sf).select("page_id", crawl.route(*answer_of_page(), F.col("url")).alias("route"))
 
 
 def pdf_verdicts(spark, sf):

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -95,23 +96,37 @@ def holds_html(body: str | None) -> bool:
     return any(tag in head for tag in ("<html", "<body", "<div", "<a ", "<p>"))
 
 
+def host(url: str | None) -> str:
+    return ((url or "").split("/") + ["", "", ""])[2].lower()
+
+
 class Throttle:
-    """At most ``per_second`` calls a second from this process."""
+    """At most ``per_second`` calls a second to a host from this process; hosts do not wait for one another."""
 
     def __init__(self, per_second: float = config.SETTINGS.requests_per_second, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.gap, self.clock, self.sleep, self.next = 1 / per_second, clock, sleep, 0.0
+        self.gap, self.clock, self.sleep, self.next = 1 / per_second, clock, sleep, {}
+
+    def wait(self, of: str = "") -> None:
+        now, free = self.clock(), self.next.get(of, 0.0)
+        if now < free:
+            self.sleep(free - now)
+        self.next[of] = max(now, free) + self.gap
+
 
-    def wait(self) -> None:
-        now = self.clock()
-        if now < self.next:
-            self.sleep(self.next - now)
-        self.next = max(now, self.next) + self.gap
+def in_turns(urls: Sequence[str]) -> list[str]:
+    """The urls with their hosts taking turns, each host's in their order, so that a pause for one host passes with calls to others."""
+    seen: Counter = Counter()
+    turns = []
+    for i, u in enumerate(urls):
+        turns.append((seen[host(u)], i, u))
+        seen[host(u)] += 1
+    return [u for _, _, u in sorted(turns, key=lambda t: t[:2])]
 
 
 def fetch_all(urls: DataFrame, make: Callable[[], Fetch], per_second: float | None = None, browser: Callable[[], Callable[[str], str]] | None = None, always: bool = False) -> DataFrame:
     """Fetch each url; ``make()`` builds a client once a task. A failed fetch has a null status.
 
-    Rows are dealt by host, so a host's calls are spaced by one task. ``browser`` starts a renderer for ``with_browser``.
+    Rows are dealt by host, so a host's calls are spaced by one task; hosts of a task take turns. ``browser`` starts a renderer for ``with_browser``.
     """
 
     def run(frames: Iterator) -> Iterator:
@@ -124,12 +139,12 @@ def fetch_all(urls: DataFrame, make: Callable[[], Fetch], per_second: float | No
             fetch = with_browser(fetch, Browser(browser), always)
         for pdf in frames:
             out = []
-            for u in pdf["url"]:
+            for u in in_turns(list(pdf["url"])):
                 if gate:
-                    gate.wait()
+                    gate.wait(host(u))
                 r = fetch(u)
                 out.append((u, r.status if r else None, r.content_type if r else None, r.body if r else None, datetime.datetime.now(datetime.UTC).isoformat()))
-            yield pd.DataFrame(out, columns=["url", "http_status", "content_type", "raw_html", "fetch_timestamp"])
+            yield pd.DataFrame(out, columns=["url", "http_status", "content_type", "raw_html", "fetch_timestamp"]).astype({"http_status": "Int32"})
 
     return urls.select("url").repartition(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1)).mapInPandas(run, RESPONSE)
 
