@@ -73,3 +73,11 @@ def test_texts_beyond_their_heads(spark, tmp_path):
     assert len(run("refusals")) == 3 and len(run("hashing_embeddings")) == 3 * 64
     assert {r["doc_id"]: r["h"] for r in run("upsert_replace")} == {0: sha("new " + texts[0]), 1: sha(texts[1]), 2: sha(texts[2])}
     assert {r["page_id"] for r in run("court_judge_asof")} == {0, 1, 2, 3}
+
+
+def test_boost_cuts_words_before_rows_meet_questions(spark, tmp_path):
+    """An exchange stands between the words and the pairs: without one the join's code cuts them again in each pair."""
+    sf = tables(spark, tmp_path, ["water permit office"], ["water permit office of county clerk"])
+    plan = registry.QUERIES["keyword_boost"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    pairs, dealt, cut = (next(i for i, x in enumerate(plan) if w in x) for w in ("Join Cross", "RepartitionByExpression", "split("))
+    assert pairs < dealt < cut

@@ -64,9 +64,14 @@ def vocab_terms(heading: ColumnLike, body: ColumnLike, site_words: tuple = confi
     return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit("[a-z][a-z0-9]{2,}"), F.lit(0)), lambda x: ~x.isin(stop)))
 
 
+def whole_words(c: ColumnLike) -> Column:
+    """Lower-case whole words."""
+    return F.split(F.lower(F.coalesce(col(c), F.lit(""))), r"[^\p{L}\p{N}_]+")
+
+
 def tokens_set(c: ColumnLike) -> Column:
     """Distinct lower-case whole words, for whole-word tests by ``array_contains``."""
-    return F.array_distinct(F.split(F.lower(F.coalesce(col(c), F.lit(""))), r"[^\p{L}\p{N}_]+"))
+    return F.array_distinct(whole_words(c))
 
 
 def sentence_marks(c: ColumnLike) -> Column:

@@ -31,11 +31,23 @@ def dealt(queries: DataFrame, size: Column) -> list[DataFrame]:
     return [queries.filter(F.pmod(F.xxhash64(*queries.columns), F.lit(rounds)) == i) for i in range(rounds)] if rounds > 1 else [queries]
 
 
-def meet(queries: DataFrame, rows: DataFrame, size: Column, on: Column | None = None) -> DataFrame:
-    """Each row beside each query (for which ``on`` holds); queries are broadcast a round at a time."""
+def boosts(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, boost): the keyword boost of every question with every row.
+
+    ``queries`` has query_id and terms and is broadcast a round at a time. A row's words are cut once a round; only those that some question
+    of the round asks for stay beside it and are compared in each pair, which finds what all of its words would.
+    """
+    once = queries.select("query_id", F.array_distinct("terms").alias("once"))
     out = None
-    for q in dealt(queries, size):
-        met = rows.join(F.broadcast(q), on) if on is not None else rows.crossJoin(F.broadcast(q))
+    for q in dealt(once, 8 + F.aggregate("once", F.lit(0), lambda n, t: n + F.octet_length(t) + 8)):
+        known = q.select(F.explode("once").alias("t")).agg(F.collect_set("t").alias("known"))
+        cut = rows.crossJoin(F.broadcast(known)).select("chunk_id", F.array_intersect("known", T.whole_words("heading_path")).alias("head"), F.array_intersect("known", T.whole_words("text")).alias("body"))
+        # dealt anew: evens the pairs out, and ends the stage, in which the join would cut a row's words again for each question
+        dealt_out = cut.withColumn("either", F.array_union("head", "body")).select("chunk_id", "head", "either").repartition("chunk_id")
+        met = dealt_out.crossJoin(F.broadcast(q))
+        hits = (F.size(F.array_intersect("once", "head")) + F.size(F.array_intersect("once", "either"))) * 0.5
+        boost = F.when((F.size("once") == 0) | (F.size("either") == 0), 0.0).otherwise(S.keyword_boost_weight * F.least(F.lit(1.0), hits / F.size("once")))
+        met = met.select("query_id", "chunk_id", boost.alias("boost"))
         out = met if out is None else out.unionByName(met)
     return out
 

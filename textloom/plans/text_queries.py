@@ -211,8 +211,7 @@ def fuzzy_corrections(spark, sf):
 
 def keyword_boost(spark, sf):
     asked = materialize(_asked(spark, sf).select("query_id", T.query_terms("question").alias("terms")), "asked")
-    met = search.meet(asked, _corpus(spark, sf), 8 + F.aggregate("terms", F.lit(0), lambda n, t: n + F.octet_length(t) + 8))
-    return met.select("query_id", "chunk_id", F.round(search.keyword_boost(F.col("terms"), F.col("heading_path"), F.col("text")), 6).alias("boost"))
+    return search.boosts(asked, _corpus(spark, sf)).withColumn("boost", F.round("boost", 6))
 
 
 def _embedded(spark, sf):
