@@ -5,6 +5,7 @@ import random
 import pytest
 
 from textloom.operators import search
+from textloom.scratch import materialize
 
 
 def ratio(a, b):
@@ -64,3 +65,13 @@ def test_no_nested_loop(spark):
     terms = spark.createDataFrame([("comissioner",)], "term string")
     plan = search.fuzzy_candidates(terms, terms.selectExpr("'commissioner' AS term"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_vocabulary_is_not_broadcast(spark):
+    """Small files, yet the sizes that count are those in memory: both joins with the vocabulary are merge joins, whatever its file's size."""
+    vocab = materialize(spark.range(3000).selectExpr("concat('commissioner', id) AS term"), "vocab")
+    plan = search.fuzzy_matches(spark.createDataFrame([("comissioner1",)], "term string"), vocab)._jdf.queryExecution()
+    assert "strategy=merge" in plan.optimizedPlan().toString()
+    assert plan.executedPlan().toString().count("SortMergeJoin [m#") == 1
+    typos = spark.createDataFrame([("comissioner1",)], "term string")
+    assert "BroadcastHashJoin [m#" not in search.fuzzy_candidates(typos, vocab)._jdf.queryExecution().executedPlan().toString()

@@ -233,6 +233,7 @@ def fuzzy_candidates(typos: DataFrame, vocab: DataFrame, least: float = S.fuzzy_
     A deletion breaks two of the term's n - 1 pairs at most, an insertion one, so n - 1 - 2x - y pairs are shared and one of the term's
     2x + y + 1 rarest pairs is among them. Only those are looked up, by pair and length. Where that is more than the term has, every
     word of that length is a candidate (under the pair ``""``); with the default score that is never so from four letters on.
+    The vocabulary grows with the corpus and a file of it is much smaller than its pairs in memory, so it is never broadcast.
     """
     far = 1 - least / 100
     known = vocab.select(F.col("term").alias("match"), F.length("term").alias("m"), F.explode(F.array_append(bigrams(F.col("term")), F.lit(""))).alias("gram"))
@@ -246,7 +247,7 @@ def fuzzy_candidates(typos: DataFrame, vocab: DataFrame, least: float = S.fuzzy_
     each = each.withColumn("d", F.col("d") - F.pmod(F.col("d") - F.abs(n - m), F.lit(2))).filter(F.col("d") >= F.abs(n - m))
     wanted = (F.col("d") + n - m) + F.floor((F.col("d") + m - n) / 2) + 1
     looked = F.when(wanted > F.size("grams"), F.array(F.lit(""))).otherwise(F.slice("grams", F.lit(1), wanted.cast("int")))
-    return each.select("term", "m", F.explode(looked).alias("gram")).join(known, ["m", "gram"]).select("term", "match").distinct()
+    return each.select("term", "m", F.explode(looked).alias("gram")).join(known.hint("merge"), ["m", "gram"]).select("term", "match").distinct()
 
 
 def fuzzy_matches(terms: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -255,7 +256,7 @@ def fuzzy_matches(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     Candidates share a rare pair of letters; a banded edit distance, which never exceeds the insert-delete distance, comes before the exact ratio.
     """
     vocab = materialize(vocab.select("term"), "vocabulary")  # read by each of the joins
-    typos = terms.select("term").distinct().filter(F.length("term") >= S.fuzzy_min_term_len).join(vocab, "term", "left_anti")
+    typos = terms.select("term").distinct().filter(F.length("term") >= S.fuzzy_min_term_len).join(vocab.hint("merge"), "term", "left_anti")
     met = fuzzy_candidates(materialize(typos, "typos"), vocab)
     room = F.floor((1 - S.fuzzy_min_score / 100) * (F.length("term") + F.length("match")) + 1e-9)
     scored = met.filter(F.levenshtein("term", "match") <= room).withColumn("score", ratio_udf()(F.col("term"), F.col("match"))).filter(F.col("score") >= S.fuzzy_min_score)
