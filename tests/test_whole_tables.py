@@ -75,6 +75,14 @@ def test_texts_beyond_their_heads(spark, tmp_path):
     assert {r["page_id"] for r in run("court_judge_asof")} == {0, 1, 2, 3}
 
 
+def test_frontier_holds_every_new_link(spark, tmp_path):
+    """More new urls than any budget of the query once was: all of them come back."""
+    html = "".join(f'<a href="/en/new{i}">x</a>' for i in range(150))
+    spark.createDataFrame([(0, "https://thther.example.org/en/0", html)], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = registry.QUERIES["frontier_step"](spark, f"file://{tmp_path}").collect()
+    assert sorted(r["link_ord"] for r in got) == list(range(150))
+
+
 def test_boost_cuts_words_before_rows_meet_questions(spark, tmp_path):
     """An exchange stands between the words and the pairs: without one the join's code cuts them again in each pair."""
     sf = tables(spark, tmp_path, ["water permit office"], ["water permit office of county clerk"])

@@ -27,19 +27,20 @@ def external_counts(edges: DataFrame, allowed: tuple) -> DataFrame:
     return edges.select(U.external_domain("dst_url", allowed).alias("domain")).filter("domain IS NOT NULL").groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
 
 
-def frontier_step(edges: DataFrame, seen: DataFrame, allowed: tuple, budget: int = S.max_pages) -> DataFrame:
-    """The next level of a crawl: (url, class, pos).
+def frontier_step(edges: DataFrame, seen: DataFrame, allowed: tuple, budget: int | None = S.max_pages) -> DataFrame:
+    """The next level of a crawl: (url, class, page_id, link_ord).
 
     In scope, no trap, no asset, not seen before; each url once, where first discovered. Priority urls come first, the rest after, each by
-    order of discovery, cut to the budget. (A queue that puts each new priority url in front would order ties the other way round; the set
+    order of discovery, cut to the budget; without one the whole level stays. (A queue that puts each new priority url in front would order ties the other way round; the set
     is the same as long as the budget does not bind.)
     """
     found = edges.filter(T.let(F.col("dst_url"), lambda u: U.in_scope(u, allowed) & ~U.is_trap(u) & ~U.is_asset(u)))
     first = found.groupBy(F.col("dst_url").alias("url")).agg(F.min(F.struct("page_id", "link_ord")).alias("at"))
     fresh = first.join(seen.select("url"), "url", "left_anti").withColumn("class", F.when(U.priority("url") < 0, 0).otherwise(1).cast("long"))
-    # places are given by sorted partitions, so the frontier is not gathered in one task
-    ranked = numbered(fresh, [F.col("class"), F.col("at"), F.col("url")], "place").filter(F.col("place") < budget)
-    return ranked.select("url", "class", F.col("at.page_id").alias("page_id"), F.col("at.link_ord").alias("link_ord"))
+    if budget is not None:
+        # places are given by sorted partitions, so the frontier is not gathered in one task
+        fresh = numbered(fresh, [F.col("class"), F.col("at"), F.col("url")], "place").filter(F.col("place") < budget)
+    return fresh.select("url", "class", F.col("at.page_id").alias("page_id"), F.col("at.link_ord").alias("link_ord"))
 
 
 def route(status: Column, content_type: Column, url: Column) -> Column:

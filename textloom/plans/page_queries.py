@@ -15,8 +15,6 @@ from textloom.operators import blocks, brand, crawl, curated, reports
 ALLOWED = ("example.org", "ththan.example.net")
 #: A page of fewer visible characters gives no chunk.
 LEAST_CHARS = 1200
-#: Pages of the next crawl level.
-BUDGET = 60
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -128,7 +126,7 @@ def page_blocks(spark, sf):
 def frontier_step(spark, sf):
     p = pages(spark, sf)
     seen = p.filter("page_id % 2 = 0").select(U.normalize("url").alias("url"))
-    return crawl.frontier_step(crawl.links(p), seen, ALLOWED, budget=BUDGET)
+    return crawl.frontier_step(crawl.links(p), seen, ALLOWED, budget=None)
 
 
 def homepage_lookup(spark, sf):
@@ -383,7 +381,7 @@ ORACLE_SQL = {
     "frontier_step": _LINKS + f""",
         s AS (SELECT {_NORM} AS url FROM pages WHERE page_id % 2 = 0),
         f AS (SELECT dst_url AS url, min({{'p': page_id, 'l': link_ord}}) AS spot FROM l WHERE {_of(_IN, 'dst_url')} AND NOT {_trap(_of(_PQ, 'dst_url'))} AND NOT {_asset(_of(_PATH, 'dst_url'))} GROUP BY 1)
-        SELECT url, (CASE WHEN {_priority(_PQ)} < 0 THEN 0 ELSE 1 END)::BIGINT AS class, spot.p AS page_id, spot.l AS link_ord FROM f WHERE url NOT IN (SELECT url FROM s) ORDER BY class, page_id, link_ord, url LIMIT {BUDGET}""",
+        SELECT url, (CASE WHEN {_priority(_PQ)} < 0 THEN 0 ELSE 1 END)::BIGINT AS class, spot.p AS page_id, spot.l AS link_ord FROM f WHERE url NOT IN (SELECT url FROM s)""",
     "homepage_lookup": "SELECT page_id, url FROM pages WHERE rtrim(lower(url), '/') IN ('https://thther.example.org/en/685', 'https://www.thther.example.org/en/685') ORDER BY page_id LIMIT 1",
     "suffix_lookup": f"SELECT page_id, url, length({_VISIBLE}) AS n_chars FROM pages WHERE rtrim(lower(url), '/') LIKE '%/en/685' ORDER BY page_id LIMIT 1",
     "chunk_counts": f"WITH {_CHUNKS} SELECT * FROM n",
