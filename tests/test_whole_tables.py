@@ -4,8 +4,12 @@ import hashlib
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tests.test_operators import chunk_model
 from textloom import config
+from textloom.functions import text as T
+from textloom.operators import chunks
 from textloom.plans import registry
 
 
@@ -89,3 +93,17 @@ def test_boost_cuts_words_before_rows_meet_questions(spark, tmp_path):
     plan = registry.QUERIES["keyword_boost"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     pairs, dealt, cut = (next(i for i, x in enumerate(plan) if w in x) for w in ("Join Cross", "RepartitionByExpression", "split("))
     assert pairs < dealt < cut
+
+
+def test_blanks_of_any_kind_without_patterns_over_whole_texts(spark):
+    """Ends are trimmed without a pattern, words need no trimmed copy, and the chunker's fold casts no state."""
+    blank = [chr(c) for c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    cases = [f"{b}{a}x{b}{a}y{a}" for a in blank for b in blank] + ["", " ", "".join(blank), "x", "\u200bx\x1c"]
+    rows = spark.createDataFrame([(c,) for c in cases], "t string").select("t", T.trim_all("t"), T.words("t"), T.word_count("t"), T.squeeze("t")).collect()
+    assert len(rows) == len(cases)
+    for t, trimmed, words, n, squeezed in rows:
+        model = "".join(" " if c in blank else c for c in t).split(" ")
+        model = [w for w in model if w]
+        assert trimmed == t.strip("".join(blank)) and words == model and n == len(model) and squeezed == " ".join(model)
+    assert "regexp" not in T.trim_all(F.col("t"))._jc.toString()
+    assert "cast(named_struct" not in spark.range(1).select(chunks.chunk_section(F.lit("x").cast("string")))._jdf.queryExecution().analyzed().toString().lower()

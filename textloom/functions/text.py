@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from textloom import config
 
 ColumnLike = Column | str
+#: White space as ``(?U)\\s`` has it.
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def col(c: ColumnLike) -> Column:
@@ -21,12 +23,12 @@ def let(x: Column, f) -> Column:
 
 def trim_all(c: ColumnLike) -> Column:
     """Strip white space of any kind (Spark's trim knows U+0020 only)."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def squeeze(c: ColumnLike) -> Column:
-    """Lower case, white-space runs as one space, trimmed: the text that equality of passages is judged by."""
-    return F.regexp_replace(F.lower(trim_all(c)), r"(?U)\s+", " ")
+    """Lower case, white-space runs as one space, trimmed: the text that equality of passages is judged by. (A single space is such a run already.)"""
+    return F.regexp_replace(F.lower(trim_all(c)), r"(?U) \s+|[^\S ]\s*", " ")
 
 
 def text_hash(c: ColumnLike) -> Column:
@@ -34,9 +36,8 @@ def text_hash(c: ColumnLike) -> Column:
 
 
 def words(c: ColumnLike) -> Column:
-    """White-space words; none for a blank text."""
-    t = trim_all(c)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"(?U)\s+"))
+    """White-space words; none for a blank text. (Only blanks at the ends make empty ones.)"""
+    return F.array_remove(F.split(col(c), r"(?U)\s+"), "")
 
 
 def word_count(c: ColumnLike) -> Column:
@@ -75,7 +76,7 @@ def tokens_set(c: ColumnLike) -> Column:
 
 
 def sentence_marks(c: ColumnLike) -> Column:
-    return F.regexp_count(col(c), F.lit("[.!?]"))
+    return F.length(col(c)) - F.length(F.translate(col(c), ".!?", ""))
 
 
 def looks_like_nav(c: ColumnLike) -> Column:
@@ -96,7 +97,7 @@ def _nav(t: Column) -> Column:
             | ((n >= 10) & (marks <= F.greatest(F.lit(1), F.floor(n * 0.08))) & (total < 45 * n))
         )
 
-    lengths = F.filter(F.transform(F.split(t, r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.length(trim_all(x))), lambda n: n > 0)
+    lengths = F.filter(F.transform(F.split(t, r"[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]+"), lambda x: F.length(trim_all(x))), lambda n: n > 0)
     counted = let(lengths, lambda ns: F.struct(sentence_marks(t).alias("marks"), F.size(ns).alias("n"), F.aggregate(ns, F.lit(0), lambda a, n: a + n).alias("total")))
     return let(counted, of)
 
@@ -119,7 +120,7 @@ def strip_markers(c: ColumnLike) -> Column:
 
 def squeeze_blanks(c: ColumnLike) -> Column:
     """Plain text of a page-less document: blanks and tabs squeezed, newlines kept."""
-    return trim_all(F.regexp_replace(col(c), r"[ \t]+", " "))
+    return trim_all(F.regexp_replace(col(c), r" [ \t]+|\t[ \t]*", " "))
 
 
 def indel_ratio(a: ColumnLike, b: ColumnLike) -> Column:

@@ -23,35 +23,50 @@ def hard_windows(sentence: Column, size: int = S.chunk_max_tokens, overlap: int
 def chunk_section(text: Column, size: int = S.chunk_max_tokens, overlap: int = S.chunk_overlap_tokens, counts: Column | None = None, total: Column | None = None) -> Column:
     """Chunks of a section by words, or by another counter's ``counts`` of its sentences and ``total`` of the text: whole if short enough, else sentences packed greedily; a new chunk starts with the tail sentences of the last one
     that fit in ``overlap`` tokens, and is not checked again when its first sentence joins."""
-    state = "struct<out:array<string>,cur:array<struct<s:string,n:int>>,n:int>"
-    zero = F.expr(f"cast(named_struct('out', array(), 'cur', array(), 'n', 0) as {state})")
     sized = F.transform(T.sentences(text), lambda s: F.struct(s.alias("s"), F.size(T.words(s)).alias("n")))
     if counts is not None:
         sized = F.zip_with(T.sentences(text), counts, lambda s, n: F.struct(s.alias("s"), n.cast("int").alias("n")))
-    join = lambda cur: F.array_join(F.transform(cur, lambda x: x["s"]), " ")
-
-    def tail(cur: Column) -> Column:
-        kind = "struct<keep:array<struct<s:string,n:int>>,n:int,stop:boolean>"
-        start = F.expr(f"cast(named_struct('keep', array(), 'n', 0, 'stop', false) as {kind})")
-
-        def add(a: Column, x: Column) -> Column:
-            full = a["stop"] | (a["n"] + x["n"] > overlap)
-            grown = F.struct(F.array_prepend(a["keep"], x).alias("keep"), (a["n"] + x["n"]).alias("n"), F.lit(False).alias("stop")).cast(kind)
-            return F.when(full, F.struct(a["keep"].alias("keep"), a["n"].alias("n"), F.lit(True).alias("stop")).cast(kind)).otherwise(grown)
-
-        return F.aggregate(F.reverse(cur), start, add)
-
-    def step(st: Column, x: Column) -> Column:
-        closed = F.when(F.size(st["cur"]) > 0, F.array_append(st["out"], join(st["cur"]))).otherwise(st["out"])
-        monster = F.struct(F.concat(closed, hard_windows(x["s"], size, overlap)).alias("out"), F.array().cast("array<struct<s:string,n:int>>").alias("cur"), F.lit(0).alias("n")).cast(state)
-        t = tail(st["cur"])
-        fresh = F.struct(closed.alias("out"), F.array_append(t["keep"], x).alias("cur"), (t["n"] + x["n"]).alias("n")).cast(state)
-        grown = F.struct(st["out"].alias("out"), F.array_append(st["cur"], x).alias("cur"), (st["n"] + x["n"]).alias("n")).cast(state)
-        return F.when(x["n"] > size, monster).when((st["n"] + x["n"] > size) & (F.size(st["cur"]) > 0), fresh).otherwise(grown)
-
-    packed = F.aggregate(sized, zero, step, lambda st: F.when(F.size(st["cur"]) > 0, F.array_append(st["out"], join(st["cur"]))).otherwise(st["out"]))
-    whole = T.trim_all(text)
-    return F.when(whole == "", F.array().cast("array<string>")).when((T.word_count(text) if total is None else total) <= size, F.array(whole)).otherwise(F.filter(packed, lambda c: T.trim_all(c) != ""))
+
+    def packed(xs: Column) -> Column:
+        """The fold keeps places only: ``out`` has (first, end) of each chunk, or (place, -1) of an over-long sentence; the open chunk is from ``lo`` up to ``i``, of ``n`` tokens."""
+        zero = F.struct(F.array().cast("array<struct<lo:int,hi:int>>").alias("out"), F.lit(0).alias("lo"), F.lit(0).alias("i"), F.lit(0).alias("n"))
+
+        def range_(lo: Column, hi: Column) -> Column:
+            return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+        def closed(st: Column) -> Column:
+            return F.when(st["lo"] < st["i"], F.array_append(st["out"], range_(st["lo"], st["i"]))).otherwise(st["out"])
+
+        def tail(st: Column) -> Column:
+            start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(False).alias("stop"))
+
+            def add(a: Column, x: Column) -> Column:
+                full = a["stop"] | (a["n"] + x["n"] > overlap)
+                return F.struct((a["k"] + F.when(full, 0).otherwise(1)).alias("k"), (a["n"] + F.when(full, 0).otherwise(x["n"])).alias("n"), full.alias("stop"))
+
+            return F.aggregate(F.reverse(F.slice(xs, st["lo"] + 1, st["i"] - st["lo"])), start, add)
+
+        def state(out: Column, lo: Column, i: Column, n: Column) -> Column:
+            return F.struct(out.alias("out"), lo.alias("lo"), i.alias("i"), n.alias("n"))
+
+        def step(st: Column, x: Column) -> Column:
+            after = st["i"] + 1
+            monster = state(F.array_append(closed(st), range_(st["i"], F.lit(-1))), after, after, F.lit(0))
+            fresh = T.let(tail(st), lambda t: state(closed(st), st["i"] - t["k"], after, t["n"] + x["n"]))
+            grown = state(st["out"], st["lo"], after, st["n"] + x["n"])
+            return F.when(x["n"] > size, monster).when((st["n"] + x["n"] > size) & (st["lo"] < st["i"]), fresh).otherwise(grown)
+
+        def written(r: Column) -> Column:
+            whole = F.array_join(F.transform(F.slice(xs, r["lo"] + 1, r["hi"] - r["lo"]), lambda x: x["s"]), " ")
+            return F.when(r["hi"] < 0, hard_windows(F.element_at(xs, r["lo"] + 1)["s"], size, overlap)).otherwise(F.array(whole))
+
+        return F.flatten(F.transform(F.aggregate(xs, zero, step, closed), written))
+
+    def of(whole: Column) -> Column:
+        short = (T.word_count(text) if total is None else total) <= size
+        return F.when(whole == "", F.array().cast("array<string>")).when(short, F.array(whole)).otherwise(F.filter(T.let(sized, packed), lambda c: T.trim_all(c) != ""))
+
+    return T.let(T.trim_all(text), of)
 
 
 def pieces(blocks: DataFrame, keys: list[str], order: list[str], counter=None) -> DataFrame:
