@@ -70,3 +70,14 @@ def test_centroids_of_few_and_equal_rows():
     x = np.vstack([np.eye(4)[i % 4] + 0.01 for i in range(40)])
     at = centroids(x, 4)
     assert sorted((at @ np.eye(4)).argmax(axis=1).tolist()) == [0, 1, 2, 3]
+
+
+def test_embedding_bounds_the_batches_of_a_worker(spark):
+    """Without a bound a Python worker holds 10,000 texts of any length at once."""
+    from textloom.embedders import HashingEmbedder, ModelEmbedder
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for embedder in (HashingEmbedder(8), ModelEmbedder(lambda: lambda texts: [[0.0]] * len(texts), 1)):
+        spark.conf.unset(name)
+        assert embedder.embed(spark.createDataFrame([("a",)], "t string"), "t", "v").count() == 1
+        assert spark.conf.get(name) == "8m"

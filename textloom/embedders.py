@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom import config
 from textloom.functions import text as T
+from textloom.scratch import bounded_batches
 
 
 class Embedder(Protocol):
@@ -60,6 +61,7 @@ class HashingEmbedder:
         return F.pandas_udf(_iterates(run), "array<double>")(text)
 
     def embed(self, rows: DataFrame, text_col: str, out: str, query: bool = False) -> DataFrame:
+        bounded_batches(rows.sparkSession)  # a worker holds a batch's texts, not 10,000 texts of any length
         text = F.concat(F.lit(self.prefix), F.col(text_col)) if query and self.prefix else F.col(text_col)
         return rows.withColumn(out, self.column(text))
 
@@ -82,6 +84,7 @@ class ModelEmbedder:
 
     def embed(self, rows: DataFrame, text_col: str, out: str, query: bool = False) -> DataFrame:
         load, size = self.load, self.batch
+        bounded_batches(rows.sparkSession)
 
         def run(parts):
             import pandas as pd
