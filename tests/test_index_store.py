@@ -66,3 +66,17 @@ def test_character_references(spark):
     }
     rows = spark.createDataFrame([(x,) for x in cases] + [(None,)], "t string").select("t", H.decode_entities("t").alias("d")).collect()
     assert {r["t"]: r["d"] for r in rows} == cases | {None: None}
+
+
+def test_a_merge_has_parts_by_the_size_of_its_files(spark, tmp_path):
+    """A store of twice the bytes is merged in twice the parts, each of as many rows, and the rows are the same."""
+    made = []
+    for n in (4000, 8000):
+        store = index_store.CorpusStore(spark, f"file://{tmp_path}/s{n}")
+        store.rebuild(spark.range(n).selectExpr("CAST(id AS string) AS chunk_id", "sha2(CAST(id AS string), 256) AS more"))
+        store.upsert(spark.range(0, n, 7).selectExpr("CAST(id AS string) AS chunk_id", "'new' AS more"), "chunk_id")
+        store.PART_BYTES = 1 << 14
+        got = store.read()
+        assert got.count() == n and got.filter("more = 'new'").count() == -(-n // 7)
+        made.append(got.rdd.getNumPartitions())
+    assert made[0] > 8 and 1.6 < made[1] / made[0] < 2.4

@@ -48,6 +48,8 @@ class CorpusStore:
 
     #: Changes after which an upsert folds them.
     FOLD_AFTER = 8
+    #: Bytes of files for each part of a merge.
+    PART_BYTES = 16 << 20
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -98,9 +100,21 @@ class CorpusStore:
             all_ = all_.unionByName(new, allowMissingColumns=True)
         if came is not None:
             last = came.groupBy("__k").agg(F.max("__at").alias("__at"))
+            parts = self._parts([whole, *changes])
+            if parts > int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+                # both sides dealt by key into as many parts as the files ask for, so a task's share does not grow with the store
+                all_, last = all_.repartition(parts, key), last.repartition(parts, "__k")
             all_ = all_.join(last, F.col(key) == F.col("__k"), "left").filter("__at IS NULL OR __v >= __at").drop("__k", "__at")
         return all_.drop("__v")
 
+    def _parts(self, versions: list[int]) -> int:
+        """Parts of about ``PART_BYTES`` of these versions' files."""
+        sizes = []
+        for v in versions:
+            fs, p = self._fs(f"{self.path}/v{v}")
+            sizes.append(fs.getContentSummary(p).getLength())
+        return -(-sum(sizes) // self.PART_BYTES)
+
     def fold(self) -> int:
         """Write the latest rows as a whole version; again on top of what another writer has put there meanwhile."""
         while True:
