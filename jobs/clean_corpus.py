@@ -20,55 +20,75 @@ from pyspark.sql import functions as F
 from jobs.common import command_line
 from textloom.functions import text as T
 from textloom.operators import blocks, chunks
+from textloom.scratch import bounded_batches
 
 LOG = logging.getLogger("jobs.clean_corpus")
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEAN = "doc_id long, lang string, n_words long, text_sha256 string, text string, source string"
 REJECTED = "doc_id long, n_words long, source string, reason string"
 
 
 def judged(docs: DataFrame, fraction: float, least: int, held: list[DataFrame]) -> DataFrame:
-    """(doc_id, lang, source, text, n_words, text_sha256, reason): documents without boilerplate; ``reason`` is null for what stays.
+    """(doc_id, lang, source, text, n_words, reason): documents without boilerplate; ``reason`` is null for what stays.
 
     A null text is empty and so is one of boilerplate alone. Ids are keys: rows without one are left out, of rows alike in id the texts are taken together.
     What is kept on the executors' disks on the way is added to ``held``, for the caller to give back.
     """
     docs = docs.filter("doc_id IS NOT NULL")
-    # read twice, for the frequencies and for the texts
-    paras = blocks.paragraphs(docs.select("doc_id", "text"), "doc_id").persist(StorageLevel.DISK_ONLY)
-    held.append(paras)
-    boiler = blocks.boilerplate(paras, docs, "doc_id", fraction, least)
-    stripped = blocks.strip_boilerplate(paras, boiler, "doc_id")
-    about = docs.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("source").alias("source"))
-    rows = about.join(stripped, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("token_count", T.word_count("text")).withColumn("h", T.text_hash("text"))
-    rows = rows.withColumn("reason", F.when(F.col("token_count") == 0, "empty").otherwise(chunks.drop_reason())).persist(StorageLevel.DISK_ONLY)
+    # of the paragraphs only hashes are moved; read twice, for the frequencies and for the documents that lose some
+    hashes = blocks.paragraph_hashes(blocks.paragraphs(docs.select("doc_id", "text", T.facts("text").alias("f")), "doc_id", F.col("f.even")), "doc_id").persist(StorageLevel.DISK_ONLY)
+    boiler = blocks.frequent(hashes, docs, fraction, least).select("h").persist(StorageLevel.DISK_ONLY)
+    held += [hashes, boiler]
+    LOG.info("%d boilerplate paragraphs", boiler.count())  # written, so its size is known where it is joined
+    gone = hashes.select("doc_id", "h").join(boiler, "h").groupBy("doc_id").agg(F.collect_list("h").alias("gone"))
+    # the one shuffle of the texts
+    whole = docs.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("source").alias("source"), F.collect_list("text").alias("texts"))
+    rows = whole.join(gone.hint("merge"), "doc_id", "left").select("doc_id", "lang", "source", blocks.without(F.col("texts"), F.col("gone")).alias("text"))
+    rows = rows.withColumn("f", T.facts("text"))
+    f = F.col("f")
+    rows = rows.withColumn("token_count", F.coalesce(f["words"].cast("long"), T.word_count("text"))).withColumn("h", T.text_hash("text", f["even"]))
+    rows = rows.withColumn("reason", F.when(F.col("token_count") == 0, "empty").otherwise(chunks.drop_reason(f))).drop("f").persist(StorageLevel.DISK_ONLY)
     held.append(rows)
-    first = rows.filter("reason IS NULL").groupBy("h").agg(F.min("doc_id").alias("first"))
-    both = rows.join(first, "h", "left")
-    again = F.col("reason").isNull() & (F.col("doc_id") != F.col("first"))
-    return both.select("doc_id", "lang", "source", "text", F.col("token_count").alias("n_words"), F.sha2("text", 256).alias("text_sha256"), F.when(again, "duplicate").otherwise(F.col("reason")).alias("reason"))
+    # ids and hashes only: the texts stay where they are
+    stay = rows.filter("reason IS NULL").select("h", "doc_id")
+    again = stay.join(stay.groupBy("h").agg(F.min("doc_id").alias("first")), "h").filter("doc_id <> first").select("doc_id", F.lit("duplicate").alias("again")).persist(StorageLevel.DISK_ONLY)
+    held.append(again)
+    LOG.info("%d duplicates", again.count())
+    both = rows.join(again, "doc_id", "left")
+    return both.select("doc_id", "lang", "source", "text", F.col("token_count").alias("n_words"), F.coalesce("reason", "again").alias("reason"))
 
 
 def run(spark: SparkSession, documents: str, out: str, config: dict) -> None:
     """Clean ``documents`` into ``out``."""
+    before = spark.conf.get(BATCH, None)
+    bounded_batches(spark)
+    try:
+        _run(spark, documents, out, config)
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
+
+
+def _run(spark: SparkSession, documents: str, out: str, config: dict) -> None:
     docs = spark.read.parquet(documents)
     LOG.info("read %d rows of %s", docs.count(), documents)
     held: list[DataFrame] = []
-    rows = judged(docs, config["boilerplate_fraction"], config["boilerplate_min_documents"], held).persist(StorageLevel.DISK_ONLY)
+    rows = judged(docs, config["boilerplate_fraction"], config["boilerplate_min_documents"], held)
     some = config.get("sources")
     mine = rows.filter(F.col("source").isin(some)) if some else rows
     # tasks of about one size, each with few sources: a source of many documents is spread
     even = mine.hint("rebalance", "source")
     how = "dynamic" if some else "static"
-    even.filter("reason IS NULL").drop("reason").write.mode("overwrite").option("partitionOverwriteMode", how).partitionBy("source").parquet(f"{out}/clean")
+    clean = even.filter("reason IS NULL").select("doc_id", "lang", "n_words", F.sha2("text", 256).alias("text_sha256"), "text", "source")
+    clean.write.mode("overwrite").option("partitionOverwriteMode", how).partitionBy("source").parquet(f"{out}/clean")
     left = even.filter("reason IS NOT NULL").select("doc_id", "n_words", "source", "reason")
     left.write.mode("overwrite").option("partitionOverwriteMode", how).partitionBy("source", "reason").json(f"{out}/rejected")
-    report = rows.groupBy("source", F.coalesce("reason", F.lit("kept")).alias("status")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_words").alias("words"))
+    report = rows.groupBy("source", F.coalesce("reason", F.lit("kept")).alias("status")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_words").alias("words")).persist(StorageLevel.DISK_ONLY)
+    held.append(report)
     report.orderBy("source", "status").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/report")
-    for r in rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("status")).count().orderBy("status").collect():  # a row a reason
-        LOG.info("%s: %d documents", r["status"], r["count"])
+    for r in report.groupBy("status").agg(F.sum("documents").alias("n")).orderBy("status").collect():  # a row a reason
+        LOG.info("%s: %d documents", r["status"], r["n"])
     LOG.info("wrote clean, rejected and report to %s", out)
-    for x in (rows, *held):
+    for x in held:
         x.unpersist()
 
 

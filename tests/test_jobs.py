@@ -128,3 +128,34 @@ def test_command_line(tmp_path):
     assert config_of("clean_corpus", str(tmp_path / "own.json")) == {"boilerplate_fraction": 0.02, "boilerplate_min_documents": 7, "sources": None}
     done = subprocess.run([sys.executable, "-m", "jobs.ingest_pages", "--help"], cwd=ROOT, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0 and "--checkpoint" in done.stdout
+
+
+ODD = ["", " ", "a", "a b\nc d.", "a  b", " a", "a\n", "a\n\nb", "a\tb! c?", "é x", "a b", "x\x1cy z", "x\x1f y", "a\r\nb", None, " ".join("abcdefghij" * 3), "\n".join(["Home x"] * 12), "Ἑλλάς ΣΑΣ\nİx"]
+
+
+def test_facts_say_what_the_expressions_say(spark):
+    from textloom.functions import text as T
+
+    rows = spark.createDataFrame(list(enumerate(ODD)), "i int, text string").select("i", "text", T.facts("text").alias("f"))
+    f = F.col("f")
+    for got, want in ((T.looks_like_nav("text", f), T.looks_like_nav("text")), (T.looks_like_garbage("text", f), T.looks_like_garbage("text")), (T.text_hash("text", f["even"]), T.text_hash("text")), (F.coalesce(f["words"].cast("long"), T.word_count("text")), T.word_count("text"))):
+        assert [r["text"] for r in rows.filter(~got.eqNullSafe(want)).collect()] == []
+    assert {r["text"] for r in rows.filter("f.even").collect()} == {"", "a", "a b\nc d.", *ODD[-3:]}
+
+
+def test_texts_are_moved_once_and_lose_what_a_join_would_take(spark):
+    from jobs.clean_corpus import judged
+    from textloom.operators import blocks
+
+    line = "the same line of twenty letters and more"
+    rows = [(i, f"own {i} words\n{line}" + ("\nx  y" if i % 2 else "\n\n" + line.upper()), "en", "s") for i in range(20)]
+    rows += [(3, f"second text\n{line}", "de", "r"), (40, None, None, None), (41, line, "en", "s"), (42, "x\x1cy z", "en", "s")]
+    docs, held = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), []
+    got = {r["doc_id"]: r["text"] for r in judged(docs, 0.1, 5, held).collect()}
+    # ids and hashes are kept on the way, no paragraphs
+    assert held[0].columns == ["doc_id", "h", "counts"]
+    paras = blocks.paragraphs(docs, "doc_id")
+    want = {r["doc_id"]: r["text"] for r in blocks.strip_boilerplate(paras, blocks.boilerplate(paras, docs, "doc_id", 0.1, 5), "doc_id").collect()}
+    assert {k: v for k, v in got.items() if v} == want and got[40] == got[41] == "" and got[3] == "own 3 words\nsecond text\nx  y"
+    for x in held:
+        x.unpersist()

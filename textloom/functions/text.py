@@ -28,11 +28,36 @@ def trim_all(c: ColumnLike) -> Column:
 
 def squeeze(c: ColumnLike) -> Column:
     """Lower case, white-space runs as one space, trimmed: the text that equality of passages is judged by. (A single space is such a run already.)"""
-    return F.regexp_replace(F.lower(trim_all(c)), r"(?U) \s+|[^\S ]\s*", " ")
+    return F.regexp_replace(F.lower(trim_all(c)), r"(?U)\s(?<! (?!\s))\s*", " ")
 
 
-def text_hash(c: ColumnLike) -> Column:
-    return F.sha2(squeeze(c), 256)
+def text_hash(c: ColumnLike, even: Column | None = None) -> Column:
+    """The hash of ``squeeze``; of an ``even`` text (see ``facts``) that takes no pattern."""
+    if even is None:
+        return F.sha2(squeeze(c), 256)
+    return F.sha2(F.when(even, F.lower(F.replace(col(c), F.lit("\n"), F.lit(" ")))).otherwise(squeeze(c)), 256)
+
+
+def facts(c: ColumnLike) -> Column:
+    """Whether a text is ``even``, that is its only blanks are single spaces and newlines between words, and of an even one: words, words of one character, sentence marks, lines and their characters.
+
+    Most texts are even. Those that are not have nulls: the expressions of this module tell of any text, at some times the cost. A text is counted in an Arrow batch.
+    """
+
+    def run(texts):
+        import pandas as pd
+
+        out = []
+        for t in texts:
+            words = (t or "").split()  # at blanks of any kind, and at some controls more
+            if t is None or " ".join(words) != t.replace("\n", " "):
+                out.append((False, None, None, None, None, None))
+            else:
+                ends = t.count("\n")
+                out.append((True, len(words), sum(len(w) == 1 for w in words), t.count(".") + t.count("!") + t.count("?"), ends + 1 if t else 0, len(t) - ends))
+        return pd.DataFrame(out, columns=["even", "words", "singles", "marks", "lines", "total"]).astype({x: "Int32" for x in ("words", "singles", "marks", "lines", "total")})
+
+    return F.pandas_udf(run, "even boolean, words int, singles int, marks int, lines int, total int")(col(c))
 
 
 def words(c: ColumnLike) -> Column:
@@ -40,6 +65,11 @@ def words(c: ColumnLike) -> Column:
     return F.array_remove(F.split(col(c), r"(?U)\s+"), "")
 
 
+def lines(c: ColumnLike) -> Column:
+    """A text cut at newline runs. (A single character is no pattern.)"""
+    return F.when(F.contains(col(c), F.lit("\n\n")), F.split(col(c), r"\n+")).otherwise(F.split(col(c), "\n"))
+
+
 def word_count(c: ColumnLike) -> Column:
     """The default token counter."""
     return F.size(words(c)).cast("long")
@@ -76,15 +106,15 @@ def tokens_set(c: ColumnLike) -> Column:
 
 
 def sentence_marks(c: ColumnLike) -> Column:
-    return F.length(col(c)) - F.length(F.translate(col(c), ".!?", ""))
+    return F.regexp_count(col(c), F.lit("[.!?]"))
 
 
-def looks_like_nav(c: ColumnLike) -> Column:
-    """Menus and link lists: few words without a sentence mark, a menu prefix or phrase, or many short lines with hardly a mark."""
-    return let(trim_all(c), _nav)
+def looks_like_nav(c: ColumnLike, known: Column | None = None) -> Column:
+    """Menus and link lists: few words without a sentence mark, a menu prefix or phrase, or many short lines with hardly a mark. ``known``: the text's ``facts``, where they are at hand."""
+    return let(trim_all(c), lambda t: _nav(t, known))
 
 
-def _nav(t: Column) -> Column:
+def _nav(t: Column, known: Column | None) -> Column:
     def of(x: Column) -> Column:
         marks, n, total = x["marks"], x["n"], x["total"]
         phrase = F.lit(False)
@@ -97,14 +127,17 @@ def _nav(t: Column) -> Column:
             | ((n >= 10) & (marks <= F.greatest(F.lit(1), F.floor(n * 0.08))) & (total < 45 * n))
         )
 
-    lengths = F.filter(F.transform(F.split(t, r"[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]+"), lambda x: F.length(trim_all(x))), lambda n: n > 0)
+    lengths = F.filter(F.transform(F.split(t, r"[\v\x1c-\x1e]+"), lambda x: F.length(trim_all(x))), lambda n: n > 0)
     counted = let(lengths, lambda ns: F.struct(sentence_marks(t).alias("marks"), F.size(ns).alias("n"), F.aggregate(ns, F.lit(0), lambda a, n: a + n).alias("total")))
+    if known is not None:
+        counted = F.when(known["even"], F.struct(known["marks"].alias("marks"), known["lines"].alias("n"), known["total"].alias("total"))).otherwise(counted)
     return let(counted, of)
 
 
-def looks_like_garbage(c: ColumnLike) -> Column:
-    """Twenty words or more, over two fifths of them single characters."""
-    return let(words(c), lambda w: (F.size(w) >= 20) & (F.size(F.filter(w, lambda x: F.length(x) == 1)) > 0.40 * F.size(w)))
+def looks_like_garbage(c: ColumnLike, known: Column | None = None) -> Column:
+    """Twenty words or more, over two fifths of them single characters. ``known`` as above."""
+    said = let(words(c), lambda w: (F.size(w) >= 20) & (F.size(F.filter(w, lambda x: F.length(x) == 1)) > 0.40 * F.size(w)))
+    return said if known is None else F.when(known["even"], (known["words"] >= 20) & (known["singles"] > 0.40 * known["words"])).otherwise(said)
 
 
 def looks_like_shell(c: ColumnLike) -> Column:

@@ -63,15 +63,25 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", T.squeeze_blanks("text").alias("text")).filter("text <> ''")
 
 
-def paragraphs(blocks: DataFrame, key: str) -> DataFrame:
-    """(key, pos, para, h): paragraphs by newline runs, with their hash; blank ones are left out."""
-    cut = blocks.select(key, F.posexplode(F.split("text", r"\n+")).alias("pos", "raw"))
-    return cut.select(key, F.col("pos").cast("long"), T.trim_all("raw").alias("para")).filter("para <> ''").withColumn("h", T.text_hash("para"))
+def paragraphs(blocks: DataFrame, key: str, even: Column | None = None) -> DataFrame:
+    """(key, pos, para, h): paragraphs by newline runs, with their hash; blank ones are left out. ``even`` (see ``text.facts``) of a text holds for its paragraphs."""
+    cut = blocks.select(key, F.lit(False).alias("even") if even is None else even.alias("even"), F.posexplode(T.lines("text")).alias("pos", "raw"))
+    cut = cut.select(key, F.col("pos").cast("long"), T.trim_all("raw").alias("para"), "even").filter("para <> ''")
+    return cut.withColumn("h", T.text_hash("para", None if even is None else F.col("even"))).drop("even")
+
+
+def paragraph_hashes(paras: DataFrame, key: str, min_chars: int = config.SETTINGS.boilerplate_min_chars) -> DataFrame:
+    """(key, h, counts): the distinct hashes of a document's paragraphs, and whether one of that hash has enough characters."""
+    return paras.groupBy(key, "h").agg(F.max(F.length("para") >= min_chars).alias("counts"))
 
 
 def paragraph_frequency(paras: DataFrame, key: str, min_chars: int = config.SETTINGS.boilerplate_min_chars) -> DataFrame:
     """(h, n_docs): documents in which a paragraph of enough characters stands; a row a (document, hash) before counting, so no distinct sets."""
-    return paras.filter(F.length("para") >= min_chars).select(key, "h").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"))
+    return _frequency(paragraph_hashes(paras.filter(F.length("para") >= min_chars), key, min_chars))
+
+
+def _frequency(hashes: DataFrame) -> DataFrame:
+    return hashes.filter("counts").groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def boilerplate(paras: DataFrame, docs: DataFrame, key: str, fraction: float = config.SETTINGS.boilerplate_doc_fraction, least: int = config.SETTINGS.boilerplate_min_pages) -> DataFrame:
@@ -79,8 +89,13 @@ def boilerplate(paras: DataFrame, docs: DataFrame, key: str, fraction: float = c
 
     At most 1 / fraction paragraphs a document pass, so the table is small; Spark broadcasts it where its measured size allows.
     """
+    return frequent(paragraph_hashes(paras, key), docs, fraction, least)
+
+
+def frequent(hashes: DataFrame, docs: DataFrame, fraction: float, least: int) -> DataFrame:
+    """``boilerplate`` of ``paragraph_hashes``."""
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    found = paragraph_frequency(paras, key).join(F.broadcast(n))  # one row
+    found = _frequency(hashes).join(F.broadcast(n))  # one row
     return found.filter((F.col("n") >= least) & (F.col("n_docs") >= F.greatest(F.lit(least), F.floor(F.col("n") * fraction)))).select("h", "n_docs")
 
 
@@ -89,3 +104,13 @@ def strip_boilerplate(paras: DataFrame, boiler: DataFrame, key: str) -> DataFram
     kept = paras.join(boiler.select("h"), "h", "left_anti")
     lines = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "para"))).alias("ps"))
     return lines.select(key, F.array_join(F.transform("ps", lambda p: p["para"]), "\n").alias("text"))
+
+
+def without(texts: Column, gone: Column) -> Column:
+    """The text that is left of a document's ``texts`` without the paragraphs whose hashes are in ``gone`` (null: none), which need hashes only where some go; "" if nothing is."""
+    def cut(text: Column) -> Column:
+        return F.filter(F.transform(T.lines(text), lambda x, i: F.struct(i.alias("pos"), T.trim_all(x).alias("para"))), lambda p: p["para"] != "")
+
+    one = T.let(F.flatten(F.transform(texts, cut)), lambda ps: F.when(F.size(texts) > 1, F.array_sort(ps)).otherwise(ps))
+    left = T.let(one, lambda ps: F.when(gone.isNull(), ps).otherwise(F.filter(ps, lambda p: ~F.array_contains(gone, T.text_hash(p["para"])))))
+    return F.array_join(F.transform(left, lambda p: p["para"]), "\n")

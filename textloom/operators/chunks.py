@@ -81,9 +81,9 @@ def pieces(blocks: DataFrame, keys: list[str], order: list[str], counter=None) -
     return cut.select(*keys, *order, F.col("piece_ord").cast("long"), F.col("chunk").alias("text")).withColumn("token_count", T.word_count("text") if counter is None else counter(F.col("text")))
 
 
-def drop_reason() -> Column:
-    """The first filter that a chunk fails: short, nav, garbage, or null."""
-    return F.when(F.col("token_count") < S.chunk_min_tokens, "short").when(T.looks_like_nav("text"), "nav").when(T.looks_like_garbage("text"), "garbage")
+def drop_reason(known: Column | None = None) -> Column:
+    """The first filter that a chunk fails: short, nav, garbage, or null; ``known``: the text's ``text.facts``, where they are at hand."""
+    return F.when(F.col("token_count") < S.chunk_min_tokens, "short").when(T.looks_like_nav("text", known), "nav").when(T.looks_like_garbage("text", known), "garbage")
 
 
 def judged(cut: DataFrame, order: list[str]) -> DataFrame:
