@@ -64,3 +64,19 @@ def test_an_empty_table(spark, tmp_path):
 
 def test_grams():
     assert len(grams("aaaa")) == 1 and len(grams("ab")) == len(grams(None)) == 0 and len(grams("🙂a🙂a")) == 2
+
+
+def test_a_list_is_moved_once_however_many_words_ask_for_it(spark, corpus, monkeypatch):
+    from textloom.operators import lexical_index
+
+    rows, index, words = corpus
+    asked = [words[0] + x for x in ("", "a", "b", "c")] + words[:40]
+    want = {i for i, _ in holding(rows, asked)}
+    frame = spark.createDataFrame([(w,) for w in asked], "word string")
+    seen, common = [], lexical_index._common
+    monkeypatch.setattr(lexical_index, "_common", lambda shared: seen.append(shared) or common(shared))
+    once = {r["chunk_id"] for r in index.candidates(frame).collect()}
+    known, places, begin = seen[0].value
+    assert len(seen) == 1 and len(known) < len(places) and len(begin) == len(set(asked))
+    monkeypatch.setattr(lexical_index, "ROUND_GRAMS", 40)
+    assert want <= once == {r["chunk_id"] for r in index.candidates(frame).collect()} and len(seen) > 2

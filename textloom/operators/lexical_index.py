@@ -23,6 +23,8 @@ BLOCK_LOG2 = 12
 BUCKETS = 64
 #: Entries of lists that a task packs at once.
 ENTRIES = 1 << 21
+#: Runs of the words that are looked up at once; a block's lists of these are at most 8 KB each.
+ROUND_GRAMS = 1 << 15
 #: Blocks of candidates up to which the scan of the texts is told them, so that it can skip row groups.
 TOLD = 4096
 
@@ -40,15 +42,15 @@ def _packed(batches: Iterator) -> Iterator:
     def lists(found: list, places: list) -> pa.RecordBatch:
         g = np.concatenate(found) if found else np.zeros(0, np.int64)
         at = np.repeat(np.array(places, np.int64), [len(x) for x in found])
-        by = np.lexsort((at, at >> BLOCK_LOG2, g))
+        by = np.lexsort((at, g))
         g, at = g[by], at[by]
         block, row = at >> BLOCK_LOG2, (at & ((1 << BLOCK_LOG2) - 1)).astype(np.uint16)
         cuts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (block[1:] != block[:-1])][: len(g)])
         step = np.diff(row, prepend=np.uint16(0)).astype(np.uint16)
         step[cuts] = row[cuts]
-        raw = step.tobytes()
-        ends = np.r_[cuts[1:], len(g)] if len(cuts) else cuts
-        return pa.RecordBatch.from_arrays([pa.array(g[cuts]), pa.array(block[cuts]), pa.array([raw[2 * a : 2 * b] for a, b in zip(cuts, ends, strict=True)], pa.binary())], ["gram", "block", "rows"])
+        ends = pa.py_buffer((2 * np.r_[cuts, len(g)]).astype(np.int32))  # a list is a stretch of the one buffer
+        rows = pa.Array.from_buffers(pa.binary(), len(cuts), [None, ends, pa.py_buffer(step)])
+        return pa.RecordBatch.from_arrays([pa.array(g[cuts]), pa.array(block[cuts]), rows], ["gram", "block", "rows"])
 
     found, places, held = [], [], 0
     for batch in batches:
@@ -62,23 +64,26 @@ def _packed(batches: Iterator) -> Iterator:
     yield lists(found, places)
 
 
-def _common(batches: Iterator) -> Iterator:
-    """mapInArrow over (block, wanted, lists array<struct<gram, rows>>): (place) of the rows that are in the lists of all ``wanted`` grams."""
-    import pyarrow as pa
+def _common(shared):
+    """mapInArrow over (block, lists array<struct<gram, rows>>), with the words as a sorted array of grams, places in it, and where each word's begin: (place) of the rows in the lists of all grams of some word."""
 
-    for batch in batches:
-        out = []
-        for block, wanted, lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            of: dict[int, list] = {}
-            for x in lists:
-                of.setdefault(x["gram"], []).append(np.cumsum(np.frombuffer(x["rows"], np.uint16), dtype=np.int64))
-            if len(of) == wanted:
-                rows = None
-                for parts in sorted(of.values(), key=lambda p: sum(map(len, p))):
-                    own = np.concatenate(parts)
-                    rows = own if rows is None else np.intersect1d(rows, own)
-                out.append((block << BLOCK_LOG2) + rows)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64())], ["place"])
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        known, places, begin = shared.value
+        for batch in batches:
+            out = [np.zeros(0, np.int64)]
+            for block, lists in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held = np.zeros((len(known), 1 << BLOCK_LOG2 - 3), np.uint8)  # a bit a row
+                for at, rows in zip(np.searchsorted(known, lists.values.field(0).to_numpy()), lists.values.field(1), strict=True):
+                    bits = np.zeros(1 << BLOCK_LOG2, bool)
+                    bits[np.cumsum(np.frombuffer(rows.as_buffer(), np.uint16), dtype=np.int64)] = True
+                    held[at] |= np.packbits(bits)
+                some = np.bitwise_or.reduce(np.bitwise_and.reduceat(held[places], begin, axis=0), axis=0)
+                out.append((block << BLOCK_LOG2) + np.flatnonzero(np.unpackbits(some)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out), pa.int64())], ["place"])
+
+    return run
 
 
 def _cut(words):
@@ -103,7 +108,7 @@ class LexicalIndex:
         packed = packed.withColumn("texts", F.lit(made)).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
         # one list that no word asks for: it names the texts' version, and an index of no texts is not an empty table
         packed = packed.unionByName(self.spark.createDataFrame([(-1, -1, b"", made, 0)], "gram long, block long, rows binary, texts int, bucket int"))
-        return self.lists.rebuild(packed.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(64))).sortWithinPartitions("gram"), by=["bucket"])
+        return self.lists.rebuild(packed.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(64))).sortWithinPartitions("bucket", "gram"), by=["bucket"])  # as the writer wants it, so it is sorted once
 
     def candidates(self, words: DataFrame, version: int | None = None) -> DataFrame:
         """The rows that may hold some of ``words`` (word): those in the lists of all of a word's characters, and all rows if a word has fewer than three.
@@ -115,11 +120,20 @@ class LexicalIndex:
         asked = materialize(words.filter("word IS NOT NULL").select("word").distinct().withColumn("grams", F.pandas_udf(_cut, "array<long>")("word")), "words")
         if asked.filter(F.size("grams") == 0).limit(1).count():
             return texts.drop("place", "block")
-        each = asked.select("word", F.explode("grams").alias("gram"), F.size("grams").alias("wanted"))
-        buckets = [r[0] for r in each.select(F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")).distinct().collect()]  # BUCKETS at most
-        lists = lists.filter(F.col("bucket").isin(buckets)).select("gram", "block", "rows")
-        met = lists.join(each, "gram").groupBy("word", "block").agg(F.first("wanted").alias("wanted"), F.collect_list(F.struct("gram", "rows")).alias("lists"))
-        found = materialize(met.select("block", "wanted", "lists").mapInArrow(_common, "place long").distinct(), "candidates")
+        found = None
+        for part in search.dealt(asked, F.size("grams") * (search.ROUND_BYTES // ROUND_GRAMS)):
+            grams_ = [r[0] for r in part.select("grams").collect()]  # about ROUND_GRAMS
+            if not grams_:
+                continue
+            known, places = np.unique(np.concatenate(grams_), return_inverse=True)
+            shared = self.spark.sparkContext.broadcast((known, places, np.cumsum([0, *map(len, grams_[:-1])])))
+            each = part.select(F.explode("grams").alias("gram")).distinct()
+            buckets = [r[0] for r in each.select(F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")).distinct().collect()]  # BUCKETS at most
+            # a list is moved once to its block, however many words ask for it
+            met = lists.filter(F.col("bucket").isin(buckets)).select("gram", "block", "rows").join(F.broadcast(each), "gram", "left_semi")
+            met = met.groupBy("block").agg(F.collect_list(F.struct("gram", "rows")).alias("lists")).mapInArrow(_common(shared), "place long")
+            found = met if found is None else found.unionByName(met).distinct()
+        found = materialize(found if found is not None else self.spark.createDataFrame([], "place long"), "candidates")
         blocks = [r[0] for r in found.select(F.shiftright("place", BLOCK_LOG2)).distinct().limit(TOLD + 1).collect()]
         some = texts.filter(F.col("block").isin(blocks)) if len(blocks) <= TOLD else texts
         return some.join(found, "place", "left_semi").drop("place", "block")
